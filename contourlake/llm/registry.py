@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import fingerprints, lines
+from . import fingerprints, lines, packing, quality
 
 
 def queries() -> dict:
     return {
         "op1_fingerprints": fingerprints.op1_fingerprints,
         "op5_line_dedup": lines.op5_line_dedup,
+        "op8_packing": packing.op8_packing,
+        "op10_quality": quality.op10_quality,
     }
 
 
