@@ -21,14 +21,17 @@ def _distinct(rows: list[np.ndarray], features: list[np.ndarray], bits: int) ->
     return keys >> bits, keys & ((1 << bits) - 1)
 
 
-def word_features(bits: int, bigrams: bool = False) -> Callable[[np.ndarray, np.ndarray], Pairs]:
-    """Hashed words, and pairs of neighbouring words if asked for, in 2**bits features."""
+def word_features(bits: int, bigrams: bool = False, prefixes: tuple[int, ...] = ()) -> Callable[[np.ndarray, np.ndarray], Pairs]:
+    """Hashed words, their prefixes of these lengths in bytes, and pairs of neighbouring words if asked for, in 2**bits features."""
 
     def make(data: np.ndarray, offsets: np.ndarray) -> Pairs:
-        words, at = word_hashes(data, offsets)
+        words, at, *heads = word_hashes(data, offsets, prefixes)
         row = np.repeat(np.arange(len(at) - 1), np.diff(at))
         shift = np.uint64(64 - bits)
         rows, found = [row], [words >> shift]
+        for head in heads[0] if heads else ():
+            rows.append(row[head != 0])
+            found.append(head[head != 0] >> shift)
         if bigrams and len(words) > 1:
             same = row[1:] == row[:-1]
             rows.append(row[1:][same])

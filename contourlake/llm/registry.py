@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprints, lines, packing, quality
+from . import fingerprints, lines, mixing, packing, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_fingerprints": fingerprints.op1_fingerprints,
+        "op2_toxicity": toxicity.op2_toxicity,
+        "op3_mixing": mixing.op3_mixing,
         "op5_line_dedup": lines.op5_line_dedup,
         "op8_packing": packing.op8_packing,
         "op10_quality": quality.op10_quality,

@@ -49,9 +49,14 @@ def _cut(data: np.ndarray, begin: int, end: int) -> int:
     return end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word in order, and where each row's words begin (with the end of the last)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple:
+    """A 64-bit hash of each word in order, and where each row's words begin (with the end of the last).
+
+    With `prefixes`, also one array for each length: the hash of the word's
+    first so many bytes, 0 for words that are not longer.
+    """
     parts, where, begin, end = [], [], 0, len(data)
+    heads: list[list[np.ndarray]] = [[] for _ in prefixes]
     while begin < end:
         stop = _cut(data, begin, end)
         piece = data[begin:stop]
@@ -70,10 +75,18 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         sums = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum((_LOWER[piece].astype(np.uint64) + np.uint64(1)) * power[: len(piece)], out=sums[1:])
         parts.append(mix64((sums[ends] - sums[starts]) * inverse[starts]))
+        for k, found in zip(prefixes, heads, strict=True):
+            longer = ends - starts > k
+            at = starts[longer]
+            own = np.zeros(len(starts), np.uint64)
+            own[longer] = mix64((sums[at + k] - sums[at]) * inverse[at] + np.uint64(k))
+            found.append(own)
         where.append(starts + begin)
         begin = stop
     hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     positions = np.concatenate(where) if where else np.zeros(0, np.int64)
+    if prefixes:
+        return hashes, np.searchsorted(positions, offsets), [np.concatenate(x) if x else hashes for x in heads]
     return hashes, np.searchsorted(positions, offsets)
 
 
