@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, lines, mixing, packing, quality, toxicity
+from . import fingerprints, lines, mixing, packing, probminhash, quality, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_mixing": mixing.op3_mixing,
         "op5_line_dedup": lines.op5_line_dedup,
+        "op7_near_dedup": probminhash.op7_near_dedup,
         "op8_packing": packing.op8_packing,
         "op10_quality": quality.op10_quality,
     }
