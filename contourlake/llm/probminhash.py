@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, row_groups, table, text_buffers, written
+from .common import arrow_rows, mix64, row_groups, table, text_buffers, written
 from .components import connected_components
 from .words import shingle_hashes, weighted_shingles, word_hashes
 
@@ -136,6 +136,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    with arrow_rows(pairs.sparkSession, 500):
+        return written(_verified(pairs, texts, least))
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id) for each row of docs: the smallest id that verified links lead to.
 
@@ -154,7 +159,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     texts = known.join(shared.select("doc").distinct(), "doc", "left_semi")
     # first each document against the smallest that shares any band with it
     one = shared.where("doc != first").groupBy("doc").agg(F.min("first").alias("b")).select(F.col("doc").alias("a"), "b")
-    links = written(_verified(one, texts, least))
+    links = _compared(one, texts, least)
     tried = one
     # then against the smallest of its other bands, where that lies in another component
     labels = connected_components(links)
@@ -162,7 +167,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     own = written(own)
     heads_of = own.where("doc = first").select(F.col("band"), F.col("c").alias("fc")).distinct()
     two = own.where("doc != first").join(heads_of, "band").where("c != fc").select(F.col("doc").alias("a"), F.col("first").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = written(_verified(two, texts, least))
+    more = _compared(two, texts, least)
     links = links.unionByName(more)
     tried = tried.unionByName(two)
     # last every pair of one band that is still in different components and was not compared
@@ -174,7 +179,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
         left.alias("p").join(left.alias("q"), F.expr("p.band = q.band and p.doc > q.doc and p.c != q.c"))
         .select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     )
-    last = written(_verified(three, texts, least))
+    last = _compared(three, texts, least)
     classes = connected_components(links.unionByName(last).unionByName(copies))
     ids = source.select(F.col("doc").alias("id"))
     return ids.join(classes, "id", "left").select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("class_id"))

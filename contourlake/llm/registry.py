@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, lines, mixing, packing, probminhash, quality, toxicity
+from . import epsjoin, fingerprints, lines, mixing, packing, probminhash, quality, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_fingerprints": fingerprints.op1_fingerprints,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_mixing": mixing.op3_mixing,
+        "op4_epsilon_join": epsjoin.op4_epsilon_join,
         "op5_line_dedup": lines.op5_line_dedup,
         "op7_near_dedup": probminhash.op7_near_dedup,
         "op8_packing": packing.op8_packing,
