@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import epsjoin, fingerprints, lines, mixing, packing, probminhash, quality, toxicity
+from . import epsjoin, fingerprints, lines, mixing, packing, probminhash, quality, toxicity, wrappers
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_mixing": mixing.op3_mixing,
         "op4_epsilon_join": epsjoin.op4_epsilon_join,
         "op5_line_dedup": lines.op5_line_dedup,
+        "op6_wrappers": wrappers.op6_wrappers,
         "op7_near_dedup": probminhash.op7_near_dedup,
         "op8_packing": packing.op8_packing,
         "op10_quality": quality.op10_quality,
