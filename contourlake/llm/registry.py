@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import epsjoin, fingerprints, lines, mixing, packing, probminhash, quality, toxicity, wrappers
+from . import epsjoin, fingerprints, lines, mixing, packing, probminhash, quality, rindex, toxicity, wrappers
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_wrappers": wrappers.op6_wrappers,
         "op7_near_dedup": probminhash.op7_near_dedup,
         "op8_packing": packing.op8_packing,
+        "op9_repeats": rindex.op9_repeats,
         "op10_quality": quality.op10_quality,
     }
 
