@@ -187,9 +187,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each class, the one with the smallest id; rows without an id stay; of rows with one id one stays."""
-    classes = near_duplicates(docs, least, id_col, text_col).where(F.col("class_id") != F.col(id_col)).select(id_col).distinct()
-    rest = docs.join(classes, id_col, "left_anti").select(*docs.columns)
-    return rest.where(F.col(id_col).isNull()).unionByName(rest.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    classes = written(near_duplicates(docs, least, id_col, text_col).where(F.col("class_id") != F.col(id_col)).select(id_col).distinct())
+    known = docs.where(F.col(id_col).isNotNull()).join(classes, id_col, "left_anti").select(*docs.columns).dropDuplicates([id_col])
+    return known.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op7_near_dedup(spark, sf_dir):
