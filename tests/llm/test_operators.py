@@ -1,0 +1,404 @@
+"""Each operator against brute force, and on nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from contourlake.llm import epsjoin, fingerprints, lines, mixing, packing, probminhash, quality, rindex, tokens, toxicity, words, wrappers
+from contourlake.llm.components import connected_components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, h string, lines string, key string, turn string"
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def _text(rng, n=60):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def _docs(spark, rows):
+    """rows: (doc_id, text) or (doc_id, text, source); the other columns clash with names the operators use inside."""
+    return spark.createDataFrame([(r[0], r[1], "en", r[2] if len(r) > 2 else "s", 1, "r", None, "l", "k", "t") for r in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    rng = random.Random(5)
+    base = _text(rng, 120)
+    return _docs(spark, [(1, None), (2, ""), (3, base), (3, base), (4, base + "\n" + base), (None, base), (None, None), (5, "x " * 30000, None), (6, "é" * 500 + "\n" + base, None), (7, "short")]).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return _docs(spark, [(1, "a")]).where("doc_id > 1")
+
+
+def test_fingerprints_compare_neighbours(spark):
+    rng = random.Random(1)
+    texts = {i: _text(rng, 5 + 30 * i) for i in range(12)} | {12: "", 13: "ab"}
+    got = {r["doc_id"]: r for r in fingerprints.compare_neighbours(_docs(spark, list(texts.items()))).collect()}
+    ids = sorted(texts, reverse=True)
+    for k, i in enumerate(ids):
+        x, y = texts[i], texts[ids[(k + 1) % len(ids)]]
+        edited = x[: len(x) - len(x) // 2] + y[: len(x) // 2]
+        assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[i]["n_chars"] == len(x)
+        assert got[i]["fingerprint"] == fingerprints.fingerprint(x)
+        assert got[i]["near_edited"] == fingerprints.likeness(got[i]["fingerprint"], fingerprints.fingerprint(edited))
+    assert all(got[i]["near_edited"] > 0.3 and got[i]["near_next"] < 0.3 for i in range(4, 12))
+    assert fingerprints.likeness("1::", "1::") == 1.0 and fingerprints.fingerprint("") == "1::"
+
+
+def test_fingerprints_edges(edge, empty):
+    assert fingerprints.compare_neighbours(edge).count() == 10 and fingerprints.compare_neighbours(empty).count() == 0
+    assert fingerprints.with_fingerprints(edge).where("text = '' and fingerprint != '1::'").count() == 0
+
+
+def test_common_subsequence():
+    rng = random.Random(2)
+    for _ in range(50):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 15))) for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, p in enumerate(a):
+            for j, q in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if p == q else max(table[i][j + 1], table[i + 1][j])
+        assert fingerprints._common(a, b) == table[-1][-1]
+
+
+def _toxic_rows(n, seed):
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for i in range(n):
+        bad = i % 5 == 0
+        rows.append((i, _text(rng, 30) + (" awful nasty" if bad else "") + (" vile rotten mean" if bad and i % 2 else "")))
+        labels.append((i, 1, int(bad)))
+    return rows, labels
+
+
+def test_toxicity_held_out(spark):
+    rows, labels = _toxic_rows(300, 3)
+    docs, known = _docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit_toxicity(docs, known, where=F.col("doc_id") % 3 != 1)
+    got = {r["doc_id"]: r for r in model.score(docs).collect()}
+    held = [i for i in range(300) if i % 3 == 1]
+    assert np.mean([(got[i]["p_toxic"] >= 0.5) == (i % 5 == 0) for i in held]) > 0.95
+    assert (np.diff(model.thresholds) > 0).all()
+    mild = np.mean([got[i]["severity"] for i in range(0, 300, 10)])
+    assert np.mean([got[i]["severity"] for i in range(5, 300, 10)]) > mild
+    kept = toxicity.reject_toxic(docs, model)
+    assert kept.columns == docs.columns and kept.where("doc_id % 5 != 0").count() == 240
+
+
+def test_toxicity_edges(spark, edge, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = toxicity.fit_toxicity(edge, none)
+    assert toxicity.reject_toxic(edge, model).count() == 10 and model.score(empty).count() == 0
+    odd = spark.createDataFrame([(None, 1, 1), (3, None, None), (3, 1, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.fit_toxicity(edge, odd).score(edge).count() == 10
+
+
+def test_mixing_weights():
+    shares = [1000, 100, 10]
+    assert mixing.temperature_weights(shares, 1.0) == pytest.approx([s / 1110 for s in shares])
+    tau = mixing.mixing_exponent(shares, target_entropy=0.9)
+    assert mixing.entropy(mixing.temperature_weights(shares, tau)) == pytest.approx(0.9)
+    tau = mixing.mixing_exponent(shares, max_epochs=3.0)
+    assert max(mixing.epochs(shares, mixing.temperature_weights(shares, tau), None)) == pytest.approx(3.0)
+    with pytest.raises(ValueError):
+        mixing.mixing_exponent(shares)
+
+
+def test_mixing_realises_the_budget(spark):
+    rng = random.Random(4)
+    docs = _docs(spark, [(i, _text(rng, 20), "big" if i < 200 else "small" if i < 260 else None) for i in range(280)])
+    whole = mixing.mix(docs, max_epochs=2.0).select("doc_id", "source", "epoch", "turn").collect()
+    count = collections.Counter(r["doc_id"] for r in whole)
+    assert set(count) == set(range(280)) and max(count.values()) == 2 and all(count[i] == 1 for i in range(200))
+    assert all(0 <= r["turn"] <= 1 for r in whole)
+    some = mixing.mix(docs, target_entropy=1.0, budget=2000.0).groupBy("source").count().collect()
+    tokens = sum(r["count"] for r in some) * 20
+    assert 1900 <= tokens <= 2000
+    again = mixing.mix(docs, target_entropy=1.0, budget=2000.0).select("doc_id").collect()
+    assert len({r["doc_id"] for r in again}) == len(again) == tokens // 20
+
+
+def test_mixing_edges(edge, empty):
+    out = mixing.mix(edge, max_epochs=2.0)
+    assert set(out.columns) == set(edge.columns) | {"epoch"} and out.where("doc_id = 3").count() >= 2
+    assert mixing.mix(empty, max_epochs=2.0).count() == 0
+
+
+def _links(vectors, labels, least):
+    ids = sorted(vectors)
+    near = collections.defaultdict(set)
+    for a in ids:
+        for b in ids:
+            if a < b and labels[a] == labels[b]:
+                x, y = np.array(vectors[a], float), np.array(vectors[b], float)
+                if x @ y / np.sqrt((x @ x) * (y @ y)) >= least:
+                    near[a].add(b)
+                    near[b].add(a)
+    part = {i: i for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for a in ids:
+            low = min([part[a], *(part[b] for b in near[a])])
+            changed |= low != part[a]
+            part[a] = low
+    return {i: (len(near[i]), part[i]) for i in ids}
+
+
+def test_epsilon_join(spark, monkeypatch):
+    monkeypatch.setattr(epsjoin, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(12, 10))
+    vectors = {i: (base[i % 12] + 0.06 * rng.normal(size=10)).astype(np.float32).tolist() for i in range(150)}
+    vectors |= {150 + i: vectors[7] for i in range(5)}
+    labels = {i: i % 3 if i < 150 else 7 % 3 for i in vectors}
+    rows = [(i, vectors[i], labels[i], 0) for i in vectors]
+    want = _links(vectors, labels, 0.98)
+    odd = [(900, None, 1, 0), (901, [0.0] * 10, 1, 0), (902, [float("nan")] * 10, 1, 0), (903, [None] * 10, 1, 0), (904, vectors[7], None, 0), (905, [float("inf")] + [1.0] * 9, 1, 0), (906, [1.0, 2.0], 1, 0), (907, [], 1, 0)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int, n_same int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in epsjoin.epsilon_join(df).collect()}
+    assert got == want | {r[0]: (0, r[0]) for r in odd}
+    assert epsjoin.epsilon_join(df.where("vec_id < 0")).count() == 0
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(8)
+    pool = [_text(rng, 6) for _ in range(20)] + ["Short", "  Padded Line Here\t", "padded line here", "ÄÄÄÄÄÄÄÄÄÄ", "ääääääääää"]
+    texts = {i: "\n".join(rng.choice(pool) for _ in range(8)) for i in range(30)}
+    key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
+    holders = collections.defaultdict(set)
+    for i, t in texts.items():
+        for x in t.split("\n"):
+            holders[key(x)].add(i)
+    gone = lambda i, x: len(key(x)) >= 10 and len(holders[key(x)]) > 1 and min(holders[key(x)]) != i
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in lines.drop_shared_lines(_docs(spark, list(texts.items()))).collect()}
+    assert got == {i: ("\n".join(x for x in t.split("\n") if not gone(i, x)), 8, sum(gone(i, x) for x in t.split("\n"))) for i, t in texts.items()}
+
+
+def test_line_dedup_edges(edge, empty):
+    out = lines.drop_shared_lines(edge)
+    assert out.count() == 10 and out.where("doc_id = 4").collect()[0]["text"] == "" and out.where("text is null").count() == 0
+    assert out.where("doc_id is null and n_dropped > 0").count() == 0 and lines.drop_shared_lines(empty).count() == 0
+    assert lines.drop_shared_lines(edge, min_docs=3).where("doc_id = 6").collect()[0]["n_dropped"] == 1
+
+
+PAGE = '<html><head><title>t</title><style>p{{}}</style></head><body><nav><ul><li><a href="/a">Menu {0}</a></li><li><a href="/b">More</a></li></ul></nav><div class="ad">Buy {0}</div>{1}<footer>&copy; site</footer>'
+
+
+def test_wrappers(spark):
+    bodies = ["<article><h1>Head &amp; one</h1><p>First  <b>bold</b>\ntext.<p>Second<br>line</article>", "<article><h1>Two</h1><p>Only.</p><div class='comments'><p>I disagree</p></div></article>", "<main><p>Plain &lt;x&gt;</p><form><p>Mail</p></form></main>", ""]
+    rows = [(i, f"http://h{i % 2}.example.com/{i}", PAGE.format(i, b), "x") for i, b in enumerate(bodies)] + [(8, None, None, "x"), (9, "bad url", "", "x")]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string, wrapper string")).collect()}
+    assert got[0] == "Head & one\nFirst bold text.\nSecond line" and got[1] == "Two\nOnly." and got[2] == "Plain <x>"
+    assert got[3] == "" and got[8] == "" and got[9] == ""
+
+
+def test_wrapper_alignment():
+    one = wrappers.Wrapper.of(["nav", "#", "/nav", "article", "(p #)+"], [(0, 0, None), (4, 4, "Menu"), (0, 0, None), (0, 0, None), (90, 0, None)])
+    two = wrappers.Wrapper.of(["nav", "#", "/nav", "div.ad", "#", "/div", "article", "(p #)+"], [(0, 0, None), (5, 5, "Other"), (0, 0, None), (0, 0, None), (9, 0, None), (0, 0, None), (0, 0, None), (80, 0, None)])
+    one.absorb(two)
+    assert one.expression() == "nav # /nav (div.ad)? (#)? (/div)? article (p #)+"
+    assert [x["k"] for x, use in zip(one.items, one.article(), strict=True) if use] == ["(p #)+"]
+    assert one.items[1]["t"] is None
+    assert wrappers.folded(["ul", "li", "#", "li", "#", "/ul"]) == ["ul", ("+", ("li", "#")), "/ul"]
+
+
+def _classes(texts, least):
+    sets = {}
+    for i, t in texts.items():
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        sets[i] = words.weighted_shingles(words.word_hashes(data, np.array([0, len(data)]))[0], 5)
+    part = {i: i for i in texts}
+
+    def root(i):
+        while part[i] != i:
+            i = part[i]
+        return i
+
+    for a in texts:
+        for b in texts:
+            if a < b and probminhash.probability_jaccard(*sets[a], *sets[b]) >= least:
+                x, y = sorted((root(a), root(b)))
+                part[y] = x
+    return {i: root(i) for i in texts}
+
+
+def test_probability_jaccard_against_the_formula():
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        x, y = {int(k): int(w) for k, w in zip(rng.choice(30, 12, False), rng.integers(1, 5, 12), strict=True)}, {int(k): int(w) for k, w in zip(rng.choice(30, 15, False), rng.integers(1, 5, 15), strict=True)}
+        want = sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
+        side = lambda d: (np.array(sorted(d)), np.array([d[k] for k in sorted(d)]))
+        assert probminhash.probability_jaccard(*side(x), *side(y)) == pytest.approx(want)
+    a = (np.arange(1, 500, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.ones(499, int))
+    b = (a[0][:450], a[1][:450])
+    agree = (probminhash.sketch(*a, 2000) == probminhash.sketch(*b, 2000)).mean()
+    assert abs(agree - 450 / 499) < 0.03
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rng = random.Random(10)
+    texts = {}
+    for g in range(4):
+        base = _text(rng, 150).split()
+        for k in range(12):
+            own = list(base)
+            for _ in range(k % 7):
+                own[rng.randrange(len(own))] = rng.choice(WORDS)
+            texts[len(texts)] = " ".join(own)
+    texts |= {len(texts) + i: _text(rng, 80) for i in range(10)} | {100: "", 101: None, 102: texts[3].upper(), 103: "one two", 104: "one two"}
+    got = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(_docs(spark, list(texts.items()))).collect()}
+    assert got == _classes(texts, 0.8)
+    kept = probminhash.keep_one(_docs(spark, list(texts.items())))
+    assert {r["doc_id"] for r in kept.collect()} == set(got.values()) and len(kept.columns) == 10
+
+
+def test_near_duplicates_edges(edge, empty):
+    rows = probminhash.near_duplicates(edge).collect()
+    assert len(rows) == 10 and {r["class_id"] for r in rows if r["doc_id"] is None} == {None}
+    assert probminhash.near_duplicates(empty).count() == 0
+    kept = probminhash.keep_one(edge)
+    assert kept.where("doc_id = 3").count() == 1 and kept.where("doc_id is null").count() == 2
+
+
+def test_components(spark):
+    rng = random.Random(11)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)] + [(None, 3), (5, 5)]
+    part = {v: v for e in edges for v in e if v is not None and None not in e and e[0] != e[1]}
+    for _ in range(200):
+        for a, b in edges:
+            if a is not None and b is not None and a != b:
+                part[a] = part[b] = min(part[a], part[b])
+    got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == part
+
+
+TOKENIZER = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+
+
+def test_tokens_equal_the_library():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    bits = ["a", "Z", "'", "'s", "'re", " ", "  ", "\n", "\t", "12", "é", "中", "😀", ".", "!!", "　", "don't", "<|endoftext|>", "٣"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(500)]
+    library = Tokenizer.from_file(TOKENIZER)
+    library.encode_special_tokens = True
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    encoder = tokens.Encoder.of(TOKENIZER)
+    assert [ids.tolist() for _, ids in encoder.encode(texts)] == want
+    whole = " ".join(texts)
+    assert encoder._long(whole, 700).tolist() == library.encode(whole, add_special_tokens=False).ids
+
+
+def test_packing_round_trip(spark, edge, empty):
+    rng = random.Random(13)
+    docs = _docs(spark, [(i, _text(rng, rng.randint(0, 900)) + ".") for i in range(80)])
+    encoder = tokens.Encoder.of(TOKENIZER)
+    ids = {r["doc_id"]: [*next(encoder.encode([r["text"]]))[1].tolist(), 1] for r in docs.collect()}
+    rows = packing.pack(docs, TOKENIZER).collect()
+    sequences, pieces = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        own = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["ids_crc32"] == zlib.crc32(np.array(own, "<u4").tobytes()) and r["doc_tokens"] == len(ids[r["doc_id"]])
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+        pieces[r["doc_id"]].append((r["start"], r["length"]))
+    for spans, ends in ((pieces, {i: len(x) for i, x in ids.items()}), (sequences, None)):
+        for k, own in spans.items():
+            at = 0
+            for start, length in sorted(own):
+                assert start == at
+                at += length
+            assert at == ends[k] if ends else at <= 2048
+    size = [sum(n for _, n in s) for s in sequences.values()]
+    assert sum(2048 if n & (n - 1) else n for n in size) <= 1.02 * sum(size)
+    assert packing.pack(edge, TOKENIZER).where("doc_tokens = 1 and length = 1").count() == 3 and packing.pack(empty, TOKENIZER).count() == 0
+
+
+def test_best_cuts_are_optimal():
+    rng = random.Random(14)
+    for _ in range(20):
+        at = sorted({0, *(rng.randrange(1, 60) for _ in range(25))})
+        while max(b - a for a, b in zip(at, at[1:], strict=False)) > 10:
+            at = sorted({*at, *range(0, at[-1], 7)})
+        cost = [rng.randrange(5) for _ in at]
+        key, _ = packing.best_cuts(at, cost, 10)
+        best = [0] + [10**9] * (len(at) - 1)
+        for i in range(1, len(at)):
+            best[i] = min(best[j] + cost[i] + 10 - (at[i] - at[j]) for j in range(i) if at[i] - at[j] <= 10)
+        assert [k - p for k, p in zip(key, at, strict=True)] == best
+
+
+@pytest.mark.parametrize("crowd", [8192, 2])
+def test_repeats_against_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(rindex, "CROWD", crowd)
+    rng = random.Random(15)
+    passage, base = _text(rng, 90), _text(rng, 150)
+    texts = {i: _text(rng, 60) + passage[rng.randrange(60) :] + _text(rng, 30) for i in range(8)}
+    for i in range(8, 16):
+        own = base.split()
+        own[rng.randrange(len(own))] = "é" * 3
+        texts[i] = " ".join(own)
+    texts |= {16: base, 17: "ab " * 200 + "end", 18: "", 19: None, 20: "x" * 199, 21: passage, 22: passage}
+    count = collections.Counter()
+    raw = {i: (t or "").encode() for i, t in texts.items()}
+    for b in raw.values():
+        count.update(b[k : k + 200] for k in range(len(b) - 199))
+    got = {r["doc_id"]: r for r in rindex.drop_repeated_bytes(_docs(spark, list(texts.items()))).collect()}
+    for i, b in raw.items():
+        cut = rindex.covered([(k, k) for k in range(len(b) - 199) if count[b[k : k + 200]] > 1], 200)
+        gone = {p for lo, hi in cut for p in range(lo, hi)}
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"]) == (len(b), len(gone), len(cut)), i
+        assert bytes(got[i]["kept"]) == bytes(c for p, c in enumerate(b) if p not in gone)
+
+
+def test_repeats_edges(edge, empty):
+    rows = rindex.drop_repeated_bytes(edge).collect()
+    assert len(rows) == 10 and all(r["n_removed"] == r["n_bytes"] for r in rows if r["doc_id"] == 3)
+    assert rindex.drop_repeated_bytes(empty).count() == 0
+
+
+def test_matching_statistics():
+    rng = random.Random(16)
+    texts = list(dict.fromkeys(bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 40))) for _ in range(12)))
+    index = rindex.RunLengthIndex(texts)
+    found = index.matching_statistics()
+    suffixes = [(k, i) for k, t in enumerate(texts) for i in range(len(t))]
+
+    def common(x, y):
+        n = 0
+        while n < min(len(x), len(y)) and x[n] == y[n]:
+            n += 1
+        return n
+
+    for k, i in suffixes:
+        assert found[index.starts[k] + i] == max(common(texts[k][i:], texts[q][j:]) for q, j in suffixes if (q, j) != (k, i))
+    assert len(index.heads) < len(index.text)
+
+
+def test_quality_held_out(spark, edge, empty):
+    rng = random.Random(17)
+    rows = [(i, _text(rng, 40) if i % 4 else " ".join(w.upper() + "!!" for w in _text(rng, 40).split())) for i in range(240)]
+    docs, labels = _docs(spark, rows), spark.createDataFrame([(i, int(i % 4 > 0), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = quality.fit_quality(docs, labels, where=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    got = {r["doc_id"]: r["score"] for r in model.score(docs).collect()}
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([(got[i] >= 0.5) == (i % 4 > 0) for i in held]) > 0.95
+    assert model.score(edge).where("score is null or score < 0 or score > 1").count() == 0 and model.score(empty).count() == 0
+    one = quality.fit_quality(docs, labels.where("quality = 1"))
+    assert one.score(docs).where("score <= 0.5").count() == 0
+
+
+def test_dual_coordinate_descent_separates():
+    rows = [np.array([0, 2]), np.array([0]), np.array([1, 2]), np.array([1])]
+    w, bias = quality.dual_coordinate_descent(rows, np.ones(3), np.array([1, 1, 0, 0]))
+    assert [float(w[r].sum() + bias) > 0 for r in rows] == [True, True, False, False]
