@@ -27,7 +27,7 @@ from .common import arrow_rows, forget, mix64, shuffle_width, table, text_buffer
 from .words import _powers
 
 #: Length of the anchors' grams; contexts of one anchor that an index takes at most; bytes of an index.
-GRAM, CROWD, INDEX = 41, 8192, 3 << 20
+GRAM, CROWD, INDEX = 41, 8192, 1 << 19
 #: Bytes of a document that are worked on at once.
 STRETCH = 1 << 20
 
@@ -94,7 +94,7 @@ def suffix_ranks(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[t
     differs from all others, so no comparison passes one.
     """
     n = len(text)
-    to_end = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
+    to_end = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)
     key = (text // ALPHABET).astype(np.uint64)
     wide = np.concatenate((text % ALPHABET, np.zeros(5, text.dtype))).astype(np.uint64)
     for k in range(5):
@@ -183,12 +183,11 @@ class RunLengthIndex:
             sampled = np.full(len(self.text), -1, np.int64)
             sampled[at] = length
             sampled[lone] = 0
-            places = np.flatnonzero(sampled >= 0)
             # between samples a match shrinks by one from place to place
-            previous = np.searchsorted(places, np.arange(len(self.text)), side="right") - 1
-            known = previous >= 0
-            near = places[previous[known]]
-            out[known] = np.maximum(out[known], sampled[near] - (np.flatnonzero(known) - near))
+            places = np.arange(len(self.text))
+            near = np.maximum.accumulate(np.where(sampled >= 0, places, -1))
+            shrunk = np.where(near >= 0, sampled[near] - (places - near), 0)
+            np.maximum(out, shrunk, out=out)
         return out
 
 
