@@ -10,7 +10,8 @@ time passes the largest time in any register, so most shingles arrive once.
 Documents with equal words are one vertex from the start. Documents that share
 a band are candidates; each is verified on its whole shingle sets. Bands are not
 expanded to all pairs: members are first compared with the smallest of their
-band, and only what that leaves in different components is compared further.
+band; what that leaves in different components is compared where documents
+share one of their rarest shingles, as all similar ones do.
 """
 
 from __future__ import annotations
@@ -21,14 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import arrow_rows, mix64, row_groups, table, text_buffers, written
 from .components import connected_components
 from .words import shingle_hashes, weighted_shingles, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bands and registers in each: two documents of similarity 0.8 share no band with a probability of about 3e-6.
-BANDS, ROWS = 24, 4
+#: Bands and registers in each: two documents of similarity 0.8 share no band with a probability of about 5e-6.
+#: Six registers keep documents apart that only have a passage in common, of which a large corpus has very many.
+BANDS, ROWS = 40, 6
 REGISTERS = BANDS * ROWS
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -141,6 +144,65 @@ def _compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         return written(_verified(pairs, texts, least))
 
 
+#: 64-bit words of the bitmap of a document's shingles.
+MAP = 32
+
+
+def _crossing(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b), a > b: every pair of members (doc, c) in different components c that may be similar enough.
+
+    The similarity is at most the common weight of two sets, as shares of one.
+    So a document loses no link by its rarest shingles of a weight of 1 - least
+    and a little more: similar ones share one of these. Shingles that only one
+    component has are rarer than all others and join with none, so a document
+    that has too many of them is done at once. Pairs are then bounded by
+    1 / (1 + x / (1 - x) + y / (1 - y)), x and y being the shares of either set
+    that the other lacks; bitmaps show inside the join what it lacks at least.
+    """
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(2))
+            maps, totals = np.zeros((batch.num_rows, MAP * 64), bool), np.zeros(batch.num_rows, np.int64)
+            for k in range(batch.num_rows):
+                part = data[offsets[k] : offsets[k + 1]]
+                own, weight = weighted_shingles(word_hashes(part, np.array([0, len(part)]))[0], SHINGLE)
+                maps[k, (own % np.uint64(MAP * 64)).astype(np.int64)] = True
+                totals[k] = weight.sum()
+            words = np.packbits(maps, axis=1, bitorder="little").view("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals), *(pa.array(words[:, k]) for k in range(MAP))], names=["doc", "total", *(f"b{k}" for k in range(MAP))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(2))
+            sets = [weighted_shingles(word_hashes(data[offsets[k] : offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]]))[0], SHINGLE) for k in range(batch.num_rows)]
+            for i in range(0, batch.num_rows, 64):
+                some = sets[i : i + 64]
+                at = np.repeat(np.arange(i, i + len(some)), [len(x[0]) for x in some])
+                found = np.concatenate([x[0] for x in some]).view(np.int64)
+                weight = np.concatenate([x[1] / max(1, x[1].sum()) for x in some])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(found), pa.array(weight)], names=["doc", "c", "shingle", "weight"])
+
+    slack = 1e-9
+    whole = members.join(texts, "doc").select("doc", "c", "text")
+    sets = whole.mapInArrow(run, "doc long, c long, shingle long, weight double")
+    live = sets.groupBy("shingle").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("shingle", "n")
+    rows = sets.join(live, "shingle")
+    by = Window.partitionBy("doc")
+    alive = F.sum("weight").over(by)
+    before = F.coalesce(F.sum("weight").over(by.orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    head = written(rows.withColumn("alive", alive).withColumn("before", before).where((F.col("alive") >= least - slack) & (1 - F.col("alive") + F.col("before") <= 1 - least + slack)).select("doc", "c", "shingle"))
+    left = head.select("doc").distinct()
+    maps = whole.join(left, "doc", "left_semi").mapInArrow(bits, "doc long, total long, " + ", ".join(f"b{k} long" for k in range(MAP))).dropDuplicates(["doc"])
+    full = written(head.join(maps, "doc"))
+    lacks = lambda s, t: " + ".join(f"bit_count({s}.b{k} & ~{t}.b{k})" for k in range(MAP))
+    share = lambda s, t: F.expr(f"cast({lacks(s, t)} as double) / {s}.total")
+    x, y = share("p", "q"), share("q", "p")
+    close = x / F.greatest(1 - x, F.lit(slack)) + y / F.greatest(1 - y, F.lit(slack)) <= 1 / least - 1 + slack
+    pairs = full.alias("p").join(full.alias("q"), F.expr("p.shingle = q.shingle and p.doc > q.doc and p.c != q.c") & close)
+    return pairs.select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id) for each row of docs: the smallest id that verified links lead to.
 
@@ -154,14 +216,20 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     heads = written(drawn.groupBy("same").agg(F.min("doc").alias("head"), F.min_by("bands", "doc").alias("bands")))
     copies = drawn.select("doc", "same").join(heads.select("same", "head"), "same").where("doc != head").select(F.col("doc").alias("a"), F.col("head").alias("b"))
     bands = written(heads.select(F.col("head").alias("doc"), F.posexplode("bands").alias("band", "value")).select("doc", F.xxhash64("band", "value").alias("band")))
-    firsts = bands.groupBy("band").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("band", "first")
-    shared = written(bands.join(firsts, "band").select("band", "doc", "first"))
-    texts = known.join(shared.select("doc").distinct(), "doc", "left_semi")
-    # first each document against the smallest that shares any band with it
-    one = shared.where("doc != first").groupBy("doc").agg(F.min("first").alias("b")).select(F.col("doc").alias("a"), "b")
+    sizes = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = written(bands.join(sizes, "band"))
+    # a document near the middle of its group shares bands with most of it; it is what the others are compared with
+    scores = met.groupBy("doc").agg(F.sum("n").alias("score"))
+    scored = met.join(scores, "doc").select("band", "doc", F.struct("score", (-F.col("doc")).alias("minus")).alias("rank"))
+    centres = scored.groupBy("band").agg(F.max("rank").alias("centre"))
+    shared = written(met.select("band", "doc").join(centres, "band").select("band", "doc", "centre", (-F.col("centre.minus")).alias("first")))
+    # texts are shuffled once, at every size alike; what follows reads candidates only
+    texts = written(known.join(shared.select("doc").distinct().hint("merge"), "doc", "left_semi"))
+    # first each document against the most central one that shares any band with it
+    one = shared.groupBy("doc").agg(F.max("centre").alias("centre")).select(F.col("doc").alias("a"), (-F.col("centre.minus")).alias("b")).where("a != b")
     links = _compared(one, texts, least)
     tried = one
-    # then against the smallest of its other bands, where that lies in another component
+    # then against the centres of its other bands, where these lie in another component
     labels = connected_components(links)
     own = shared.join(labels.withColumnRenamed("id", "doc"), "doc", "left").select("band", "doc", "first", F.coalesce("component", "doc").alias("c"))
     own = written(own)
@@ -170,15 +238,12 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     more = _compared(two, texts, least)
     links = links.unionByName(more)
     tried = tried.unionByName(two)
-    # last every pair of one band that is still in different components and was not compared
+    # last what bands still hold in different components and was not compared
     labels = connected_components(links)
     own = written(shared.join(labels.withColumnRenamed("id", "doc"), "doc", "left").select("band", "doc", F.coalesce("component", "doc").alias("c")))
     mixed = own.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
-    left = own.join(mixed, "band", "left_semi")
-    three = (
-        left.alias("p").join(left.alias("q"), F.expr("p.band = q.band and p.doc > q.doc and p.c != q.c"))
-        .select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    )
+    left = own.join(mixed, "band", "left_semi").select("doc", "c").distinct()
+    three = _crossing(left, texts, least).join(tried, ["a", "b"], "left_anti")
     last = _compared(three, texts, least)
     classes = connected_components(links.unionByName(last).unionByName(copies))
     ids = source.select(F.col("doc").alias("id"))
