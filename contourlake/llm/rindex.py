@@ -39,16 +39,18 @@ def _prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, inverse
 
 
-def anchors(data: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(base, grams, contexts, at, low, high) for stretches of one document.
+def anchors(data: np.ndarray, size: int, stretch: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(grams, contexts, at, low, high) for stretches of one document.
 
     at: where anchors begin; low, high: the first and last window that each
     serves; grams, contexts: hashes of the anchor and of its context. All places
-    are in the document.
+    are in the document, and each comes once: an anchor with windows in several
+    stretches is held until its last one.
     """
     n, reach = len(data), size - GRAM
-    for begin in range(0, max(0, n - size + 1), STRETCH):
-        end = min(n, begin + STRETCH + size - 1)
+    rest = None
+    for begin in range(0, max(0, n - size + 1), stretch):
+        end = min(n, begin + stretch + size - 1)
         base, stop = max(0, begin - reach), min(n, end + size)
         part = data[base:stop]
         sums, inverse = _prefix_hash(part)
@@ -80,7 +82,15 @@ def anchors(data: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray, np.n
         # how much of the context the document's ends cut off is part of its hash
         shape = (at - a).astype(np.uint64) * np.uint64(1024) + (b - at).astype(np.uint64)
         context = mix64((sums[b] - sums[a]) * inverse[a] + mix64(shape))
-        yield base, gram[at], context, at + base, low + base, high + base
+        found = (gram[at], context, at + base, low + base, high + base)
+        if rest is not None and rest[2][0] == found[2][0]:
+            found[3][0] = rest[3][0]
+        elif rest is not None:
+            yield rest
+        rest = tuple(x[-1:] for x in found)
+        yield tuple(x[:-1] for x in found)
+    if rest is not None:
+        yield rest
 
 
 #: Columns that a symbol can stand in, groups of an index, and symbols of an end mark and a byte.
@@ -202,7 +212,7 @@ def _anchored(rows: DataFrame, size: int) -> DataFrame:
             data, offsets = text_buffers(batch.column(1))
             held: list[tuple] = []
             for i in range(batch.num_rows):
-                for _, gram, context, at, low, high in anchors(data[offsets[i] : offsets[i + 1]], size):
+                for gram, context, at, low, high in anchors(data[offsets[i] : offsets[i + 1]], size, STRETCH):
                     held.append((gram, context, np.full(len(at), keys[i]), at, at - low, high - low))
             if held:
                 g, c, k, at, back, span = (np.concatenate(x) for x in zip(*held, strict=True))

@@ -361,6 +361,26 @@ def test_repeats_against_brute_force(spark, monkeypatch, crowd):
         assert bytes(got[i]["kept"]) == bytes(c for p, c in enumerate(b) if p not in gone)
 
 
+def test_repeats_across_stretches(spark, monkeypatch):
+    rng = random.Random(18)
+    passage, double = _text(rng, 90), _text(rng, 400)
+    texts = [(0, _text(rng, 700)), (1, _text(rng, 300) + passage + _text(rng, 200)), (2, _text(rng, 500) + passage), (3, double), (3, double), (4, "ab " * 400 + _text(rng, 90))]
+    data = np.frombuffer(texts[0][1].encode(), np.uint8)
+    whole = [np.concatenate(x) for x in zip(*rindex.anchors(data, 200, 1 << 20), strict=True)]
+    for stretch in (100, 300, 731):
+        assert all((np.concatenate(x) == y).all() for x, y in zip(zip(*rindex.anchors(data, 200, stretch), strict=True), whole, strict=True))
+    monkeypatch.setattr(rindex, "STRETCH", 300)
+    raw = [(i, t.encode()) for i, t in texts]
+    count = collections.Counter(b[k : k + 200] for _, b in raw for k in range(len(b) - 199))
+    want = []
+    for i, b in raw:
+        cut = rindex.covered([(k, k) for k in range(len(b) - 199) if count[b[k : k + 200]] > 1], 200)
+        gone = {p for lo, hi in cut for p in range(lo, hi)}
+        want.append((i, len(b), len(gone), len(cut), bytes(c for p, c in enumerate(b) if p not in gone)))
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in rindex.drop_repeated_bytes(_docs(spark, texts)).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_repeats_edges(edge, empty):
     rows = rindex.drop_repeated_bytes(edge).collect()
     assert len(rows) == 10 and all(r["n_removed"] == r["n_bytes"] for r in rows if r["doc_id"] == 3)
