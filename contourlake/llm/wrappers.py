@@ -152,19 +152,37 @@ def _name(item) -> str:
     return item if isinstance(item, str) else "(" + " ".join(map(_name, item[1])) + ")+"
 
 
+def surroundings(names: list[str]) -> list[tuple[str, ...]]:
+    """For each item of a page the elements around it."""
+    paths, around = [], []
+    for k in names:
+        if k.startswith("/"):
+            if any(p.split(".")[0] == k[1:] for p in around):
+                while around.pop().split(".")[0] != k[1:]:
+                    pass
+        elif not k.startswith("(") and k != "#" and k.split(".")[0] not in SEPARATOR:
+            around.append(k)
+        paths.append(tuple(around))
+    return paths
+
+
 class Wrapper:
-    """Items of the expression in order: name, whether optional, whether a text constant or slot, characters and link characters seen."""
+    """Items of the expression in order: name, elements around it, whether optional, whether a text constant or slot, characters and link characters seen."""
 
     def __init__(self, items: list[dict] | None = None):
         self.items = items or []
 
     @classmethod
     def of(cls, names: list[str], texts: list[tuple[int, int, str | None]]) -> Wrapper:
-        return cls([{"k": k, "o": 0, "c": c, "l": n, "t": t} for k, (c, n, t) in zip(names, texts, strict=True)])
+        return cls([{"k": k, "p": p, "o": 0, "c": c, "l": n, "t": t} for k, p, (c, n, t) in zip(names, surroundings(names), texts, strict=True)])
 
     def absorb(self, other: Wrapper) -> None:
-        """Align with another wrapper: items that only one side has become optional, texts that differ slots."""
-        a, b = [x["k"] for x in self.items], [x["k"] for x in other.items]
+        """Align with another wrapper: items that only one side has become optional, texts that differ slots.
+
+        Items are alike if their names and the elements around them are. Both
+        sides stay in order, so every page folded in is one reading of the whole.
+        """
+        a, b = [(x["p"], x["k"]) for x in self.items], [(x["p"], x["k"]) for x in other.items]
         if not a:
             self.items = other.items
             return
@@ -172,7 +190,7 @@ class Wrapper:
         for kind, i, j, p, q in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
             if kind == "equal":
                 for x, y in zip(self.items[i:j], other.items[p:q], strict=True):
-                    out.append({"k": x["k"], "o": x["o"] | y["o"], "c": x["c"] + y["c"], "l": x["l"] + y["l"], "t": x["t"] if x["t"] == y["t"] else None})
+                    out.append({"k": x["k"], "p": x["p"], "o": x["o"] | y["o"], "c": x["c"] + y["c"], "l": x["l"] + y["l"], "t": x["t"] if x["t"] == y["t"] else None})
             else:
                 out.extend(x | {"o": 1} for x in self.items[i:j])
                 out.extend(y | {"o": 1} for y in other.items[p:q])
@@ -181,18 +199,20 @@ class Wrapper:
     def expression(self) -> str:
         return " ".join(f"({x['k']})?" if x["o"] else x["k"] for x in self.items)
 
+    def read(self, names: list[str]) -> list[int]:
+        """For each item of a page the place of the item that it is: the first one alike, in order. A page that was folded in has them all."""
+        keys = list(zip(surroundings(names), names, strict=True))
+        ours = [(x["p"], x["k"]) for x in self.items]
+        places, at = [], 0
+        for key in keys:
+            at = ours.index(key, at)
+            places.append(at)
+            at += 1
+        return places
+
     def article(self) -> list[bool]:
         """For each item whether its text is the article's."""
-        paths, around = [], []
-        for x in self.items:
-            k = x["k"]
-            if k.startswith("/"):
-                if any(p.split(".")[0] == k[1:] for p in around):
-                    while around.pop().split(".")[0] != k[1:]:
-                        pass
-            elif not k.startswith("(") and k != "#" and k.split(".")[0] not in SEPARATOR:
-                around.append(k)
-            paths.append(tuple(around))
+        paths = [x["p"] for x in self.items]
         has_main = any(any(p.split(".")[0] in MAIN for p in path) and x["c"] for path, x in zip(paths, self.items, strict=True))
         best: dict[tuple, int] = {}
         for path, x in zip(paths, self.items, strict=True):
@@ -267,11 +287,14 @@ def _host(url: Column) -> Column:
 
 
 def _dump(w: Wrapper) -> str:
-    return json.dumps([[x["k"], x["o"], x["c"], x["l"], x["t"]] for x in w.items], ensure_ascii=False, separators=(",", ":"))
+    paths = {p: i for i, p in enumerate(dict.fromkeys(x["p"] for x in w.items))}
+    return json.dumps([list(paths), [[x["k"], x["o"], x["c"], x["l"], x["t"], paths[x["p"]]] for x in w.items]], ensure_ascii=False, separators=(",", ":"))
 
 
 def _load(s: str) -> Wrapper:
-    return Wrapper([dict(zip("koclt", x, strict=True)) for x in json.loads(s)])
+    paths, items = json.loads(s)
+    paths = [tuple(p) for p in paths]
+    return Wrapper([dict(zip("koclt", x, strict=False)) | {"p": paths[x[5]]} for x in items])
 
 
 #: Constant texts are kept in wrappers up to so many characters; longer ones count as slots.
@@ -338,7 +361,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     joined = source.join(wrappers, F.col("h") == F.col("host"), "left").select("row.*", F.col("wrapper").alias("__wrapper"), F.col("page").alias("__page"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded: dict[str, tuple[list[str], list[bool]]] = {}
+        loaded: dict[str, tuple[Wrapper, list[bool]]] = {}
         plans: dict[tuple, list[bool]] = {}
         for batch in batches:
             texts = []
@@ -351,12 +374,9 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
                         if len(loaded) > 500:
                             loaded.clear()
                         w = _load(wrapper) if wrapper else Wrapper.of(names, [(sum(len(b.text) for b in own), sum(b.links for b in own), None) for own in held])
-                        loaded[wrapper] = ([x["k"] for x in w.items], w.article())
-                    ours, article = loaded[wrapper]
-                    plan = [False] * len(names)
-                    for kind, i, j, p, _ in SequenceMatcher(None, ours, names, autojunk=False).get_opcodes():
-                        if kind == "equal":
-                            plan[p : p + j - i] = article[i:j]
+                        loaded[wrapper] = (w, w.article())
+                    w, article = loaded[wrapper]
+                    plan = [article[i] for i in w.read(names)]
                     if len(plans) > 5000:
                         plans.clear()
                     plans[key] = plan

@@ -212,6 +212,19 @@ def test_wrapper_alignment():
     assert wrappers.folded(["ul", "li", "#", "li", "#", "/ul"]) == ["ul", ("+", ("li", "#")), "/ul"]
 
 
+def test_wrappers_read_every_page_whole(spark):
+    rng = random.Random(19)
+    parts = ["<h2>{}</h2>", "<p>{}</p>", "<ul><li>{}<li>x</ul>", "<pre>{}</pre>", "<blockquote>{}</blockquote>", "<figure><figcaption>{}</figcaption></figure>"]
+    want, rows = {}, []
+    for i in range(300):
+        said = [_text(rng, 4) for _ in range(rng.randint(2, 10))]
+        forms = [rng.choice(parts) for _ in said]
+        want[i] = "\n".join(t + "\nx" * f.startswith("<ul") for t, f in zip(said, forms, strict=True))
+        rows.append((i, f"http://one.example.com/{i}", PAGE.format(i, "<article>" + "".join(f.format(t) for t, f in zip(said, forms, strict=True)) + "</article>")))
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
+
+
 def _classes(texts, least):
     sets = {}
     for i, t in texts.items():
