@@ -3,10 +3,12 @@
 A page is a stream of block tags and text blocks. Adjacent equal runs become
 repeated groups; streams of one host are then aligned one after the other:
 parts that only one side has become optional groups, text that differs becomes a
-slot. What results is a wrapper, a regular expression without alternatives. Its
-text slots are marked as article or not, by the elements around them and by the
-text and links that all pages of the host have put there. Pages are matched with
-their host's wrapper again, and the text in article slots is the page's text.
+slot. What results is a wrapper, a regular expression without alternatives. The
+pages of a host are of one or more templates, told apart by where their text
+stands, and each template has its wrapper. Text slots are marked as article or
+not, by the elements around them and by the text and links that all pages of the
+template have put there. Pages are matched with their wrapper again, and the text
+in article slots is the page's text.
 
 Wrappers are folded in each partition first, so a host that holds a third of all
 pages costs one small wrapper a partition.
@@ -14,11 +16,13 @@ pages costs one small wrapper a partition.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -38,6 +42,8 @@ AROUND_WORDS = frozenset(
     "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login register share sharing social related recommended comment comments respond disqus pagination pager widget toolbar search copyright legal disclaimer skip".split()
 )
 MAIN = frozenset(("article", "main"))
+#: Elements that are parts of a text, not places of their own.
+PARTS = frozenset("ul ol dl table thead tbody tfoot figure details".split())
 _WORD = re.compile(r"[a-z0-9]+")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
@@ -50,12 +56,12 @@ _BLANK = re.compile(r"\s+")
 
 
 class Block:
-    """A run of text without a block tag inside: its text, how much of it is in links, and the elements around it."""
+    """A run of text without a block tag inside: its text, how much of it is in links, the elements around it, and the separator that opens it."""
 
-    __slots__ = ("links", "path", "text")
+    __slots__ = ("links", "opener", "path", "text")
 
-    def __init__(self, text: str, links: int, path: tuple[str, ...]):
-        self.text, self.links, self.path = text, links, path
+    def __init__(self, text: str, links: int, path: tuple[str, ...], opener: str):
+        self.text, self.links, self.path, self.opener = text, links, path, opener
 
 
 def stream(page: str) -> tuple[list[str], list[Block]]:
@@ -70,8 +76,9 @@ def stream(page: str) -> tuple[list[str], list[Block]]:
         nonlocal links
         text = _BLANK.sub(" ", "".join(parts)).strip()
         if text:
+            opener = keys[-1] if keys and keys[-1].split(".")[0] in SEPARATOR else ""
             keys.append("#")
-            blocks.append(Block(text, links, tuple(k for _, k in around)))
+            blocks.append(Block(text, links, tuple(k for _, k in around), opener))
         parts.clear()
         links = 0
 
@@ -169,12 +176,18 @@ def surroundings(names: list[str]) -> list[tuple[str, ...]]:
 class Wrapper:
     """Items of the expression in order: name, elements around it, whether optional, whether a text constant or slot, characters and link characters seen."""
 
-    def __init__(self, items: list[dict] | None = None):
+    def __init__(self, items: list[dict] | None = None, places: dict[tuple[str, ...], int] | None = None):
         self.items = items or []
+        #: Where text stands that may be the article's, and how many characters more than twice those in links.
+        self.places = places or {}
 
     @classmethod
-    def of(cls, names: list[str], texts: list[tuple[int, int, str | None]]) -> Wrapper:
-        return cls([{"k": k, "p": p, "o": 0, "c": c, "l": n, "t": t} for k, p, (c, n, t) in zip(names, surroundings(names), texts, strict=True)])
+    def of(cls, names: list[str], texts: list[tuple[int, int, str | None]], places: dict[tuple[str, ...], int] | None = None) -> Wrapper:
+        return cls([{"k": k, "p": p, "o": 0, "c": c, "l": n, "t": t} for k, p, (c, n, t) in zip(names, surroundings(names), texts, strict=True)], places)
+
+    def place(self, other: Wrapper) -> None:
+        for path, n in other.places.items():
+            self.places[path] = self.places.get(path, 0) + n
 
     def absorb(self, other: Wrapper) -> None:
         """Align with another wrapper: items that only one side has become optional, texts that differ slots.
@@ -182,6 +195,7 @@ class Wrapper:
         Items are alike if their names and the elements around them are. Both
         sides stay in order, so every page folded in is one reading of the whole.
         """
+        self.place(other)
         a, b = [(x["p"], x["k"]) for x in self.items], [(x["p"], x["k"]) for x in other.items]
         if not a:
             self.items = other.items
@@ -211,30 +225,63 @@ class Wrapper:
         return places
 
     def article(self) -> list[bool]:
-        """For each item whether its text is the article's."""
-        paths = [x["p"] for x in self.items]
-        has_main = any(any(p.split(".")[0] in MAIN for p in path) and x["c"] for path, x in zip(paths, self.items, strict=True))
-        best: dict[tuple, int] = {}
-        for path, x in zip(paths, self.items, strict=True):
-            if not excluded(path):
-                best[path] = best.get(path, 0) + x["c"] - 2 * x["l"]
-        top = max(best, key=best.get) if best else ()
-        out = []
-        for path, x in zip(paths, self.items, strict=True):
-            own = x["k"].strip("()+#").split(" ")[0]
-            if not x["c"] or excluded(path) or marked(own):
-                out.append(False)
-            elif has_main:
-                out.append(any(p.split(".")[0] in MAIN for p in path))
-            else:
-                out.append(path[: len(top)] == top and 2 * x["l"] <= x["c"])
-        return out
+        """For each item whether its text is the article's, by the place of the item as a whole."""
+        places: dict[tuple, int] = {}
+        for x in self.items:
+            if x["c"] and not excluded(x["p"]):
+                places[home(x["p"])] = places.get(home(x["p"]), 0) + x["c"] - 2 * x["l"]
+        main, tops = any(map(in_main, places)), best(places)
+        return [bool(x["c"]) and is_article(x["p"], x["k"].strip("()+#").split(" ")[0], main, tops) and (main or not linked(x)) for x in self.items]
+
+
+def linked(item: dict) -> bool:
+    return 2 * item["l"] > item["c"]
+
+
+def home(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path without the parts of a text at its end."""
+    n = len(path)
+    while n and path[n - 1].split(".")[0] in PARTS:
+        n -= 1
+    return path[:n]
+
+
+def in_main(path: tuple[str, ...]) -> bool:
+    return any(p.split(".")[0] in MAIN for p in path)
+
+
+def best(*places: dict[tuple[str, ...], int]) -> set[tuple[str, ...]]:
+    """Of each of these the place with the most text."""
+    return {max(x, key=lambda p: (x[p], p)) for x in places if x}
+
+
+def is_article(path: tuple[str, ...], opener: str, main: bool, tops: set[tuple[str, ...]]) -> bool:
+    """Whether text there is the article's; main: whether the template has a main element with text; else `tops` are its best places."""
+    if excluded(path) or marked(opener):
+        return False
+    return in_main(path) if main else any(path[: len(top)] == top for top in tops)
+
+
+def template(held: list[list[Block]]) -> tuple[str, dict[tuple[str, ...], int]]:
+    """The name of a page's template, and the page's places.
+
+    Pages with text in a main element are one template, others one for each set of places.
+    """
+    places: dict[tuple, int] = {}
+    for own in held:
+        for b in own:
+            if not excluded(b.path) and not marked(b.opener):
+                places[home(b.path)] = places.get(home(b.path), 0) + len(b.text) - 2 * b.links
+    if any(map(in_main, places)):
+        return "main", {}
+    return hashlib.blake2b(repr(sorted(places)).encode("utf-8", "replace"), digest_size=12).hexdigest(), places
 
 
 def marked(key: str) -> bool:
     return bool(AROUND_WORDS.intersection(key.split(".", 1)[1].split(" "))) if "." in key else False
 
 
+@lru_cache(1 << 16)
 def excluded(path: tuple[str, ...]) -> bool:
     """Whether an element on the path is not the article's; a header outside of the article counts."""
     inside = False
@@ -288,13 +335,14 @@ def _host(url: Column) -> Column:
 
 def _dump(w: Wrapper) -> str:
     paths = {p: i for i, p in enumerate(dict.fromkeys(x["p"] for x in w.items))}
-    return json.dumps([list(paths), [[x["k"], x["o"], x["c"], x["l"], x["t"], paths[x["p"]]] for x in w.items]], ensure_ascii=False, separators=(",", ":"))
+    places = [[p, n] for p, n in w.places.items()]
+    return json.dumps([places, list(paths), [[x["k"], x["o"], x["c"], x["l"], x["t"], paths[x["p"]]] for x in w.items]], ensure_ascii=False, separators=(",", ":"))
 
 
 def _load(s: str) -> Wrapper:
-    paths, items = json.loads(s)
+    places, paths, items = json.loads(s)
     paths = [tuple(p) for p in paths]
-    return Wrapper([dict(zip("koclt", x, strict=False)) | {"p": paths[x[5]]} for x in items])
+    return Wrapper([dict(zip("koclt", x, strict=False)) | {"p": paths[x[5]]} for x in items], {tuple(p): n for p, n in places})
 
 
 #: Constant texts are kept in wrappers up to so many characters; longer ones count as slots.
@@ -302,14 +350,14 @@ CONSTANT = 80
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper): the wrapper of each host, folded over all of its pages.
+    """(host, template, wrapper): the wrapper of each template of a host, folded over all of its pages.
 
-    Pages without a url are one host of the empty name. Pages of a host are
+    Pages without a url are one host of the empty name. Pages of a template are
     folded partition by partition, then the partial wrappers in two rounds.
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, Wrapper] = {}
+        found: dict[tuple[str, str], Wrapper] = {}
         same: dict[tuple, Wrapper] = {}
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -318,13 +366,15 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
                 for own in held:
                     text = own[0].text if len(own) == 1 and len(own[0].text) <= CONSTANT else None
                     texts.append((sum(len(b.text) for b in own), sum(b.links for b in own), text))
-                one = Wrapper.of(names, texts)
+                kind, places = template(held)
+                one = Wrapper.of(names, texts, places)
                 # pages of one form are summed up; forms are aligned at the end
-                key = (host, tuple(names))
+                key = ((host, kind), tuple(names))
                 known = same.get(key)
                 if known is None:
                     same[key] = one
                 else:
+                    known.place(one)
                     for x, y in zip(known.items, one.items, strict=True):
                         x["c"] += y["c"]
                         x["l"] += y["l"]
@@ -336,7 +386,8 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
         for (h, _), w in same.items():
             found.setdefault(h, Wrapper()).absorb(w)
         salt = TaskContext.get().partitionId() % 64
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([salt] * len(found), pa.int32()), pa.array([_dump(w) for w in found.values()], pa.string())], names=["host", "salt", "wrapper"])
+        hosts, kinds = ([k[i] for k in found] for i in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(kinds, pa.string()), pa.array([salt] * len(found), pa.int32()), pa.array([_dump(w) for w in found.values()], pa.string())], names=["host", "template", "salt", "wrapper"])
 
     def fold(pdf):
         total = Wrapper()
@@ -344,43 +395,57 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
             total.absorb(_load(w))
         return pdf.iloc[:1].assign(wrapper=_dump(total))
 
-    partial = pages.select(_host(F.col(url_col)).alias("host"), F.col(html_col)).mapInArrow(local, "host string, salt int, wrapper string")
-    half = partial.groupBy("host", "salt").applyInPandas(fold, "host string, salt int, wrapper string")
-    return half.groupBy("host").applyInPandas(fold, "host string, salt int, wrapper string").select("host", "wrapper")
+    partial = pages.select(_host(F.col(url_col)).alias("host"), F.col(html_col)).mapInArrow(local, "host string, template string, salt int, wrapper string")
+    half = partial.groupBy("host", "template", "salt").applyInPandas(fold, partial.schema)
+    return half.groupBy("host", "template").applyInPandas(fold, partial.schema).select("host", "template", "wrapper")
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """pages with the html replaced by `text`, the text of the blocks in article slots of the host's wrapper.
+    """pages with the html replaced by `text`, the text of the blocks in article slots of their template's wrapper.
+
+    On pages without text in a main element, the article's places are the one
+    with the most text in the template and the one with the most text in all such
+    pages of the host; slots that hold mostly links are left out where the page's
+    own text there is mostly links too.
 
     Null and empty html give the empty text. Repeated rows are extracted alike;
     other columns pass through; a column named text is replaced.
     """
     kept = [c for c in pages.columns if c not in (html_col, "text")]
-    wrappers = written(infer_wrappers(pages, url_col, html_col))
+    wrappers = written(infer_wrappers(pages, url_col, html_col).groupBy("host").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("template", "wrapper")))).alias("wrapper")))
     source = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), _host(F.col(url_col)).alias("h"), F.col(html_col).alias("page"))
     joined = source.join(wrappers, F.col("h") == F.col("host"), "left").select("row.*", F.col("wrapper").alias("__wrapper"), F.col("page").alias("__page"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded: dict[str, tuple[Wrapper, list[bool]]] = {}
-        plans: dict[tuple, list[bool]] = {}
+        loaded: dict[str, tuple[dict[str, Wrapper], set]] = {}
+        plans: dict[tuple, tuple[list[bool], set]] = {}
         for batch in batches:
             texts = []
             for wrapper, page in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1), strict=True):
                 names, held = observed(page.as_py() or "")
-                key = (wrapper, tuple(names))
+                kind, _ = template(held)
+                key = (wrapper, kind, tuple(names))
                 plan = plans.get(key)
                 if plan is None:
                     if wrapper not in loaded:
                         if len(loaded) > 500:
                             loaded.clear()
-                        w = _load(wrapper) if wrapper else Wrapper.of(names, [(sum(len(b.text) for b in own), sum(b.links for b in own), None) for own in held])
-                        loaded[wrapper] = (w, w.article())
-                    w, article = loaded[wrapper]
-                    plan = [article[i] for i in w.read(names)]
+                        own = {k: _load(w) for k, w in json.loads(wrapper).items()}
+                        total = Wrapper()
+                        for w in own.values():
+                            total.place(w)
+                        loaded[wrapper] = (own, best(total.places))
+                    own, tops = loaded[wrapper]
+                    w = own[kind]
                     if len(plans) > 5000:
                         plans.clear()
-                    plans[key] = plan
-                texts.append("\n".join(b.text for use, own in zip(plan, held, strict=True) if use for b in own))
+                    plan = plans[key] = ([linked(w.items[i]) for i in w.read(names)], tops | best(w.places))
+                links, tops = plan
+                use = []
+                for link, own in zip(links, held, strict=True):
+                    link = link and kind != "main" and 2 * sum(b.links for b in own) > sum(len(b.text) for b in own)
+                    use.extend(b.text for b in own if not link and is_article(b.path, b.opener, kind == "main", tops))
+                texts.append("\n".join(use))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string())], names=[*kept, "text"])
 
     return joined.mapInArrow(run, pages.select(*[F.col(f"`{c}`") for c in kept]).schema.add("text", "string"))

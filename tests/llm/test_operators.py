@@ -225,6 +225,26 @@ def test_wrappers_read_every_page_whole(spark):
     assert {r["page_id"]: r["text"] for r in got} == want
 
 
+def test_wrappers_of_mixed_templates(spark):
+    bodies = {
+        "<article><p>{0}</p></article>": "{0}",
+        "<article><p>{0}</p></article><article><p>{0} b</p></article>": "{0}\n{0} b",
+        "<div class='content'><p class='text'>{0}</p><p>{0} b</p></div><div class='about'><p>us</p></div>": "{0}\n{0} b",
+        "<div class='story'><h1>{0}</h1>{0} b</div><div class='about'><p>us</p></div>": "{0}\n{0} b",
+        "<div class='content'><p>See</p><ul><li>{0}<li>{0} b</ul></div>": "See\n{0}\n{0} b",
+        "<div class='story'><p class='copyright'>us</p><p>{0}</p></div>": "{0}",
+    }
+    for url in ("http://one.example.com/{}", "no url", None):
+        rows, want = [], {}
+        for i in range(60):
+            said = _text(random.Random(i), 20)
+            body, text = list(bodies.items())[0 if i < 30 else i % len(bodies)]
+            rows.append((i, url and url.format(i), PAGE.format(i, body.format(said))))
+            want[i] = text.format(said)
+        got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert {r["page_id"]: r["text"] for r in got} == want
+
+
 def _classes(texts, least):
     sets = {}
     for i, t in texts.items():
