@@ -230,8 +230,8 @@ class Wrapper:
         for x in self.items:
             if x["c"] and not excluded(x["p"]):
                 places[home(x["p"])] = places.get(home(x["p"]), 0) + x["c"] - 2 * x["l"]
-        main, tops = any(map(in_main, places)), best(places)
-        return [bool(x["c"]) and is_article(x["p"], x["k"].strip("()+#").split(" ")[0], main, tops) and (main or not linked(x)) for x in self.items]
+        kind, tops = main_kind(places) or "", best(places)
+        return [bool(x["c"]) and is_article(x["p"], x["k"].strip("()+#").split(" ")[0], kind, tops) and (bool(kind) or not linked(x)) for x in self.items]
 
 
 def linked(item: dict) -> bool:
@@ -255,25 +255,34 @@ def best(*places: dict[tuple[str, ...], int]) -> set[tuple[str, ...]]:
     return {max(x, key=lambda p: (x[p], p)) for x in places if x}
 
 
-def is_article(path: tuple[str, ...], opener: str, main: bool, tops: set[tuple[str, ...]]) -> bool:
-    """Whether text there is the article's; main: whether the template has a main element with text; else `tops` are its best places."""
+def is_article(path: tuple[str, ...], opener: str, kind: str, tops: set[tuple[str, ...]]) -> bool:
+    """Whether text there is the article's in a template of that name; where no main element has text, `tops` are its best places."""
     if excluded(path) or marked(opener):
         return False
-    return in_main(path) if main else any(path[: len(top)] == top for top in tops)
+    if kind in ("main", "framed"):
+        return in_main(path) and (kind == "framed" or not framed(path))
+    return any(path[: len(top)] == top for top in tops)
+
+
+def main_kind(places: dict[tuple[str, ...], int]) -> str | None:
+    """Which of "main" and "framed" it is if a main element has text; framed main elements count where they hold more than the others."""
+    inside = [p for p in places if in_main(p)]
+    free, held = ([places[p] for p in inside if framed(p) == x] for x in (False, True))
+    return None if not inside else "framed" if not free or sum(held) > sum(free) else "main"
 
 
 def template(held: list[list[Block]]) -> tuple[str, dict[tuple[str, ...], int]]:
     """The name of a page's template, and the page's places.
 
-    Pages with text in a main element are one template, others one for each set of places.
+    Pages with text in a main element are one template, or two by whether framed ones count, others one for each set of places.
     """
     places: dict[tuple, int] = {}
     for own in held:
         for b in own:
             if not excluded(b.path) and not marked(b.opener):
                 places[home(b.path)] = places.get(home(b.path), 0) + len(b.text) - 2 * b.links
-    if any(map(in_main, places)):
-        return "main", {}
+    if kind := main_kind(places):
+        return kind, {}
     return hashlib.blake2b(repr(sorted(places)).encode("utf-8", "replace"), digest_size=12).hexdigest(), places
 
 
@@ -283,13 +292,28 @@ def marked(key: str) -> bool:
 
 @lru_cache(1 << 16)
 def excluded(path: tuple[str, ...]) -> bool:
-    """Whether an element on the path is not the article's; a header outside of the article counts."""
+    """Whether an element on the path is not the article's; a header outside of the article counts, and so do words of elements that hold no main element."""
     inside = False
+    worded = False
     for key in path:
         name = key.split(".")[0]
-        inside |= name in MAIN
-        if name in AROUND or (name == "header" and not inside) or (marked(key) and name not in MAIN and name not in ("html", "body")):
+        if name in MAIN and not inside:
+            inside, worded = True, False
+        worded |= marked(key) and name not in MAIN and name not in ("html", "body")
+        if name in AROUND or (name == "header" and not inside):
             return True
+    return worded
+
+
+@lru_cache(1 << 16)
+def framed(path: tuple[str, ...]) -> bool:
+    """Whether an element around the main element has one of AROUND_WORDS: a layout's, or that of a list of other articles."""
+    for key in path:
+        name = key.split(".")[0]
+        if name in MAIN:
+            return False
+        if marked(key) and name not in ("html", "body"):
+            return in_main(path)
     return False
 
 
@@ -443,8 +467,8 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
                 links, tops = plan
                 use = []
                 for link, own in zip(links, held, strict=True):
-                    link = link and kind != "main" and 2 * sum(b.links for b in own) > sum(len(b.text) for b in own)
-                    use.extend(b.text for b in own if not link and is_article(b.path, b.opener, kind == "main", tops))
+                    link = link and kind not in ("main", "framed") and 2 * sum(b.links for b in own) > sum(len(b.text) for b in own)
+                    use.extend(b.text for b in own if not link and is_article(b.path, b.opener, kind, tops))
                 texts.append("\n".join(use))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string())], names=[*kept, "text"])
 

@@ -245,6 +245,24 @@ def test_wrappers_of_mixed_templates(spark):
         assert {r["page_id"]: r["text"] for r in got} == want
 
 
+def test_wrappers_in_layout_containers(spark):
+    bodies = {
+        "<div class='with-sidebar'><article><p>{0}</p><div class='comments'><p>no</p></div></article><div class='sidebar'><p>no</p></div></div>": "{0}",
+        "<div class='legal-content'><main><div class='page-header-fixed'><p>no</p></div><p>{0}</p></main></div>": "{0}",
+        "<article><p>{0}</p></article><div class='related'><article><p>no</p></article></div>": "{0}",
+        "<div class='has-sidebar'><article><p>{0}</p></article></div><article><p>b</p></article>": "{0}\nb",
+        "<aside><article><p>no</p></article></aside><article><p>{0}</p></article>": "{0}",
+    }
+    rows, want = [], {}
+    for i in range(20):
+        said = _text(random.Random(i), 20)
+        body, text = list(bodies.items())[i % len(bodies)]
+        rows.append((i, f"http://h{i % 3}.example.com/{i}", PAGE.format(i, body.format(said))))
+        want[i] = text.format(said)
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
+
+
 def _classes(texts, least):
     sets = {}
     for i, t in texts.items():
