@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contourlake.llm.common import table, written
+from contourlake.llm.common import shuffle_width, table, written
 from contourlake.llm.lines import drop_shared_lines
 from contourlake.llm.mixing import MAX_EPOCHS, mix
 from contourlake.llm.packing import pack
@@ -35,8 +35,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are brought towards equal weights: small ones repeat, up to MAX_EPOCHS times, and every document comes once at least."""
-    return mix(docs, max_epochs=MAX_EPOCHS).select(*docs.columns)
+    """Sources are brought towards equal weights: small ones repeat, up to MAX_EPOCHS times, and every document comes once at least. Rows are in the order of their turn."""
+    mixed = mix(docs, max_epochs=MAX_EPOCHS).repartitionByRange(shuffle_width(spark), "turn").sortWithinPartitions("turn")
+    return mixed.select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 import os
+import random
 
 import pytest
 
 import corpus_pipeline
+from contourlake.llm.mixing import MAX_EPOCHS, mix
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -21,3 +23,15 @@ def test_stages_follow_each_other(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count() == near
     assert corpus_pipeline.run(spark, SF).agg({"length": "sum"}).collect()[0][0] == packed.agg({"length": "sum"}).collect()[0][0]
+
+
+def test_mixing_stage_is_in_order_of_turn(spark, tmp_path):
+    rng = random.Random(20)
+    rows = [(i, " ".join(str(rng.random()) for _ in range(20)), "big" if i < 600 else "small") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4).cache()
+    want = [r["doc_id"] for r in mix(docs, max_epochs=MAX_EPOCHS).orderBy("turn").collect()]
+    corpus_pipeline.mixing(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    files = sorted(f for f in os.listdir(f"{tmp_path}/mixed") if f.endswith(".parquet"))
+    got = [r["doc_id"] for f in files for r in spark.read.parquet(f"{tmp_path}/mixed/{f}").collect()]
+    assert got == want and len(got) > 900
+    assert not any(a == b for a, b in zip(got, got[1:], strict=False))
