@@ -1,14 +1,15 @@
 """HTML extraction by union-free regular-expression inference.
 
-A page is a stream of block tags and text blocks. Adjacent equal runs become
-repeated groups; streams of one host are then aligned one after the other:
-parts that only one side has become optional groups, text that differs becomes a
-slot. What results is a wrapper, a regular expression without alternatives. The
-pages of a host are of one or more templates, told apart by where their text
-stands, and each template has its wrapper. Text slots are marked as article or
-not, by the elements around them and by the text and links that all pages of the
-template have put there. Pages are matched with their wrapper again, and the text
-in article slots is the page's text.
+A page is a tree of block elements and texts. Equal siblings become one repeated
+item; the trees of one host are then aligned one after the other, element by
+element: an item that only one side has becomes optional, items whose order
+differs become a repeated group of optional ones, a text that differs becomes a
+slot. What results is a wrapper, a regular expression without alternatives. It
+knows of each place how much text the pages put there, how much of it in links,
+and whether pages that differ elsewhere have the same text there: that is the
+template's. A page's article is then the element in which the host's pages say
+something of their own; names of elements and words of classes decide between
+places of which the wrapper leaves both open.
 
 Wrappers are folded in each partition first, so a host that holds a third of all
 pages costs one small wrapper a partition.
@@ -20,10 +21,10 @@ import hashlib
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -31,445 +32,562 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Elements that do not end a block, elements whose content is no text, elements that close themselves, and empty elements (fixed values).
+#: Elements that do not end a block, elements whose content is no text, and empty elements (fixed values).
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
-RAW = ("script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "select", "title", "canvas", "audio", "video")
-SEPARATOR = frozenset("p li dt dd tr td th option h1 h2 h3 h4 h5 h6 hr pre blockquote figcaption caption".split())
+RAW = frozenset("script style noscript template textarea svg math iframe object select title canvas audio video".split())
 VOID = frozenset("area base col embed hr input link meta param source track br img wbr".split())
-#: Elements, and words in class, id or role, whose text is not the article's.
+#: Elements that are a block of text or a part of one, not a place of its own.
+PARTS = frozenset("p li dt dd tr td th option h1 h2 h3 h4 h5 h6 hr pre blockquote figcaption caption ul ol dl table thead tbody tfoot figure details".split())
+#: Elements that end when one of these begins right inside of them.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "tbody": ("td", "th", "tr", "thead", "tbody"), "tfoot": ("td", "th", "tr", "thead", "tbody")}
+#: Elements, and words in class, id or role, that say that a text is not the article's.
 AROUND = frozenset("nav footer aside form menu dialog button head".split())
 AROUND_WORDS = frozenset(
     "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login register share sharing social related recommended comment comments respond disqus pagination pager widget toolbar search copyright legal disclaimer skip".split()
 )
 MAIN = frozenset(("article", "main"))
-#: Elements that are parts of a text, not places of their own.
-PARTS = frozenset("ul ol dl table thead tbody tfoot figure details".split())
-_WORD = re.compile(r"[a-z0-9]+")
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^\"'>])*(?:/>|>.*?(?:</(?P=raw)\s*>|$))"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^\"'>]*)([\"'>]?)")
+_STOP = re.compile(r"[\"'>]")
+_ATTR = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_CLOSE = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in RAW}
+_OPEN = {n: re.compile(rf"<{n}(?=[\s/>])", re.I) for n in RAW}
 _BLANK = re.compile(r"\s+")
 
-
-class Block:
-    """A run of text without a block tag inside: its text, how much of it is in links, the elements around it, and the separator that opens it."""
-
-    __slots__ = ("links", "opener", "path", "text")
-
-    def __init__(self, text: str, links: int, path: tuple[str, ...], opener: str):
-        self.text, self.links, self.path, self.opener = text, links, path, opener
-
-
-def stream(page: str) -> tuple[list[str], list[Block]]:
-    """The page's block tags and, as '#', its text blocks; closing tags of separators are left out, for authors leave them out too."""
-    keys: list[str] = []
-    blocks: list[Block] = []
-    around: list[tuple[str, str]] = []
-    parts: list[str] = []
-    links, in_link = 0, False
-
-    def flush() -> None:
-        nonlocal links
-        text = _BLANK.sub(" ", "".join(parts)).strip()
-        if text:
-            opener = keys[-1] if keys and keys[-1].split(".")[0] in SEPARATOR else ""
-            keys.append("#")
-            blocks.append(Block(text, links, tuple(k for _, k in around), opener))
-        parts.clear()
-        links = 0
-
-    for m in _TOKEN.finditer(page):
-        text = m["text"] if m["text"] is not None else m["cdata"]
-        if text is not None:
-            text = html.unescape(text) if m["text"] is not None else text
-            parts.append(text)
-            if in_link:
-                links += len(text.strip())
-            continue
-        name = m["name"]
-        if name is None:
-            continue
-        name = name.lower()
-        if name in INLINE:
-            if name == "a":
-                in_link = not m["close"]
-            elif name == "br":
-                parts.append(" ")
-            continue
-        flush()
-        if name in SEPARATOR:
-            if not m["close"] and name not in VOID:
-                words = " ".join(sorted({w for a in _ATTR.findall(m["attrs"]) for w in _WORD.findall(a.lower())}))
-                key = f"{name}.{words}" if words else name
-                if keys and keys[-1].split(".")[0] in SEPARATOR:
-                    keys.pop()  # an element without text of its own
-                keys.append(key)
+#: How the words of an element speak against it.
+PLAIN, PARTLY, PLAINLY = 0, 1, 2
+#: A place is forgotten by a host's wrapper if less than one of so many pages has it; so much of a page's own text an element must hold to be the article's.
+SELDOM, MOST = 1000, 0.9
+
+
+def _tag_end(page: str, m: re.Match, state: dict) -> tuple[int, str]:
+    """Where the tag ends and its attributes; quotes count after '=' and where they are closed, and once a tag never ends no longer."""
+    at = m.end() - (1 if m[4] else 0)
+    while not state["broken"]:
+        s = _STOP.search(page, at)
+        if s is None:
+            state["broken"] = True
+            break
+        if s[0] == ">":
+            return s.end(), page[m.start(3) : s.start()]
+        at, before = s.end(), s.start() - 1
+        while page[before].isspace():
+            before -= 1
+        if page[before] == "=" and at <= state[s[0]]:
+            at = page.index(s[0], at) + 1
+    end = page.find(">", m.end(2))
+    return (end + 1, page[m.start(3) : end]) if end >= 0 else (len(page), page[m.start(3) :])
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, rest) of a page, kind being "open", "close" or "text", in time linear in its length; contents of RAW elements are left out."""
+    at, n = 0, len(page)
+    state = {"broken": False, '"': page.rfind('"'), "'": page.rfind("'")}
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield "text", "", html.unescape(page[at:])
+            return
+        if lt > at:
+            yield "text", "", html.unescape(page[at:lt])
+        m = _TAG.match(page, lt)
+        if m is None:
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                at = end + 3 if end >= 0 else n
+            elif page.startswith("<![CDATA[", lt):
+                end = page.find("]]>", lt + 9)
+                yield "text", "", page[lt + 9 : end if end >= 0 else n]
+                at = end + 3 if end >= 0 else n
+            elif page[lt + 1 : lt + 2] in ("!", "?", "/"):
+                end = page.find(">", lt)
+                at = end + 1 if end >= 0 else n
+            else:
+                yield "text", "", "<"
+                at = lt + 1
             continue
-        if name in VOID:
+        name = m[2].lower()
+        if m[4] == ">":
+            at, rest = m.end(), m[3]
+        else:
+            at, rest = _tag_end(page, m, state)
+        if name in RAW:
+            if not m[1] and not rest.endswith("/"):
+                at = _raw_end(page, name, at, state)
             continue
-        if m["close"]:
-            if any(n == name for n, _ in around):
-                while around.pop()[0] != name:
-                    pass
-                keys.append("/" + name)
-            in_link = False
+        yield "close" if m[1] else "open", name, rest
+
+
+def _raw_end(page: str, name: str, at: int, state: dict) -> int:
+    """Where a RAW element's content ends; without an end tag scripts and styles last to the end of the page, others hold nothing."""
+    if name in state:
+        return state[name] or at
+    depth, start = 1, at
+    while depth:
+        end = _CLOSE[name].search(page, at)
+        if end is None:
+            state[name] = len(page) if name in ("script", "style") else 0
+            return state[name] or start
+        if name not in ("script", "style", "textarea", "title"):
+            depth += len(_OPEN[name].findall(page, at, end.start()))
+        depth -= 1
+        at = end.end()
+    return at
+
+
+def _words(attrs: str) -> tuple[int, str]:
+    """How the words of class, id and role speak against an element, and those of letters alone, in order."""
+    strength, found = PLAIN, set()
+    for value in _ATTR.findall(attrs):
+        for token in value.lower().strip("\"'").split():
+            words = [w for w in re.split(r"[^a-z0-9]+", token) if w.isalpha()]
+            found.update(words)
+            hits = sum(w in AROUND_WORDS for w in words)
+            if hits:
+                strength = max(strength, PLAINLY if hits == len(words) else PARTLY)
+    return strength, " ".join(sorted(found))
+
+
+class Slot:
+    """A place of a wrapper: an element by the elements around it. Texts right inside of it are its item '#'."""
+
+    __slots__ = ("chars", "high", "key", "kids", "links", "low", "order", "pages", "parent", "text", "times")
+
+    def __init__(self, parent: int, key: str):
+        self.parent, self.key = parent, key
+        #: Pages and elements seen, items with how many elements have them and whether any has several in a row, and groups of items in order.
+        self.pages, self.times, self.kids, self.order = 1, 0, {}, []
+        #: Characters of text, of these in links, the text's digest ("" once it differs), and least and largest digest of the pages.
+        self.chars, self.links, self.text, self.low, self.high = 0, 0, None, None, None
+
+    def saw(self, items: list[str]) -> None:
+        """One element with these items in order."""
+        self.times += 1
+        runs = [k for i, k in enumerate(items) if i == 0 or items[i - 1] != k]
+        several = {k for i, k in enumerate(items) if i and items[i - 1] == k}
+        for k in dict.fromkeys(runs):
+            known = self.kids.setdefault(k, [0, False])
+            known[0] += 1
+            known[1] |= k in several
+        self.order = merged_order(self.order, grouped(runs))
+
+    def absorb(self, other: Slot) -> None:
+        self.pages += other.pages
+        self.times += other.times
+        for k, (n, several) in other.kids.items():
+            known = self.kids.setdefault(k, [0, False])
+            known[0] += n
+            known[1] |= several
+        if self.order != other.order:
+            self.order = merged_order(self.order, other.order)
+        self.chars += other.chars
+        self.links += other.links
+        if other.text is not None:
+            self.low, self.high = (other.low, other.high) if self.low is None else (min(self.low, other.low), max(self.high, other.high))
+            self.text = other.text if self.text in (None, other.text) else ""
+
+    def constant(self) -> bool:
+        """Whether pages that differ in other places have one text here."""
+        return bool(self.text) and self.low != self.high
+
+    def row(self) -> list:
+        return [self.parent, self.key, self.pages, self.times, self.kids, self.order, self.chars, self.links, self.text, self.low, self.high]
+
+    @classmethod
+    def of(cls, row: list) -> Slot:
+        out = cls(row[0], row[1])
+        _, _, out.pages, out.times, out.kids, out.order, out.chars, out.links, out.text, out.low, out.high = row
+        return out
+
+
+def grouped(runs: list[str]) -> list[list[str]]:
+    """Items in order, each once: what stands between the first and the last of an item is one group with it."""
+    last = {k: i for i, k in enumerate(runs)}
+    out: list[list[str]] = []
+    reach = -1
+    for i, k in enumerate(runs):
+        if i > reach:
+            out.append([])
+        out[-1].append(k)
+        reach = max(reach, last[k])
+    return [sorted(set(g)) for g in out]
+
+
+def merged_order(a: list[list[str]], b: list[list[str]]) -> list[list[str]]:
+    """Two orders as one that both follow: groups that either order crosses become one group."""
+    if not a or not b or a == b:
+        return a or b
+    where = {k: i for i, g in enumerate(a) for k in g}
+    out: list[tuple[int, list[str]]] = []  # the first group of a in each, and its items
+    done = 0  # groups of a that are in `out`
+    for g in b:
+        at = [where[k] for k in g if k in where]
+        keys = [k for k in g if k not in where]
+        if at:
+            low, high = min(at), max(at)
+            while done < low:
+                out.append((done, a[done]))
+                done += 1
+            first = done
+            while out and first > low:
+                first, held = out.pop()
+                keys += held
+            while done <= high:
+                keys += a[done]
+                done += 1
+            out.append((min(first, low), sorted(set(keys))))
         else:
-            words = " ".join(sorted({w for a in _ATTR.findall(m["attrs"]) for w in _WORD.findall(a.lower())}))
+            out.append((done, keys))
+    return [g for _, g in out] + a[done:]
+
+
+_PLACES: dict[tuple[int, str], int] = {}
+
+
+def _place(parent: int, key: str) -> int:
+    """A number for an element by the elements around it, the same on all machines."""
+    found = _PLACES.get((parent, key))
+    if found is None:
+        if len(_PLACES) > 200_000:
+            _PLACES.clear()
+        found = _PLACES[parent, key] = int.from_bytes(hashlib.blake2b(f"{parent} {key}".encode("utf-8", "replace"), digest_size=8).digest(), "big") >> 1
+    return found
+
+
+class Page:
+    """A page's slots, outer ones before inner ones, and its blocks: the slot's number, the text, and how much of it is in links."""
+
+    def __init__(self, page: str):
+        self.slots: dict[int, Slot] = {0: Slot(-1, "")}
+        self.names: dict[int, str] = {0: ""}
+        self.strength: dict[int, int] = {0: PLAIN}
+        self.blocks: list[tuple[int, str, int]] = []
+        stack: list[tuple[str, int, list[str]]] = [("", 0, [])]
+        open_names: Counter = Counter()
+        parts: list[str] = []
+        links, in_link = 0, False
+
+        def flush() -> None:
+            nonlocal links
+            text = _BLANK.sub(" ", "".join(parts)).strip()
+            if text:
+                stack[-1][2].append("#")
+                self.blocks.append((stack[-1][1], text, links))
+            parts.clear()
+            links = 0
+
+        def pop() -> str:
+            name, place, items = stack.pop()
+            open_names[name] -= 1
+            self.slots[place].saw(items)
+            return name
+
+        for kind, name, rest in tokens(page):
+            if kind == "text":
+                parts.append(rest)
+                if in_link:
+                    links += len(rest.strip())
+                continue
+            if name in INLINE:
+                if name == "a":
+                    in_link = kind == "open"
+                elif name == "br":
+                    parts.append(" ")
+                continue
+            flush()
+            if kind == "close":
+                if open_names[name]:
+                    while pop() != name:
+                        pass
+                in_link = False
+                continue
+            if name in VOID:
+                continue
+            while stack[-1][0] == "p" or stack[-1][0] in ENDS.get(name, ()) or (name[0] == "h" and name[1:].isdigit() and stack[-1][0][:1] == "h" and stack[-1][0][1:].isdigit()):
+                pop()
+            strength, words = _words(rest) if "=" in rest else (PLAIN, "")
             key = f"{name}.{words}" if words else name
-            keys.append(key)
-            if not m["attrs"].endswith("/"):
-                around.append((name, key))
-    flush()
-    return keys, blocks
-
-
-def folded(keys: list) -> list:
-    """Adjacent equal runs of up to 8 items as ('+', run); an item and its text are such a group even when alone."""
-    items = list(keys)
-    size = 1
-    while size <= 8:
-        out, i, changed = [], 0, False
-        while i < len(items):
-            run = items[i : i + size]
-            n = 1
-            while len(run) == size and items[i + n * size : i + (n + 1) * size] == run:
-                n += 1
-            pair = size == 2 and len(run) == 2 and run[1] == "#" and isinstance(run[0], str) and run[0].split(".")[0] in SEPARATOR
-            if (n > 1 or pair) and not (size == 1 and isinstance(run[0], tuple)):
-                out.append(("+", tuple(run)))
-                i += n * size
-                changed = True
-            elif n > 1:
-                out.append(run[0])
-                i += n
-                changed = True
+            stack[-1][2].append(key)
+            if rest.endswith("/") and name not in PARTS:
+                continue
+            place = _place(stack[-1][1], key)
+            if place not in self.slots:
+                self.slots[place], self.names[place] = Slot(stack[-1][1], key), name
+            self.strength[place] = max(strength, self.strength.get(place, PLAIN))
+            stack.append((name, place, []))
+            open_names[name] += 1
+        flush()
+        while stack:
+            pop()
+        self._measure()
+
+    def _measure(self) -> None:
+        held: dict[int, list[str]] = {}
+        for place, text, links in self.blocks:
+            slot = self.slots[place]
+            slot.chars += len(text)
+            slot.links += links
+            held.setdefault(place, []).append(text)
+        #: Characters of text of each slot, and these in links; how the slot's own name and words speak against it.
+        self.own = {p: (s.chars, s.links) for p, s in self.slots.items() if s.chars}
+        self.marks = self._marks()
+        spoken = self.spoken_against(frozenset(p for p, m in self.marks.items() if m == PARTLY))
+        said = [t for p, texts in held.items() if not spoken[p] for t in texts]
+        whole = _digest(said or [t for _, t, _ in self.blocks])
+        for place, texts in held.items():
+            slot = self.slots[place]
+            slot.text, slot.low, slot.high = _digest(texts), whole, whole
+
+    def inside(self, weight: dict[int, float]) -> dict[int, float]:
+        """For each slot the weight of it and of all slots in it."""
+        out = {p: weight.get(p, 0) for p in self.slots}
+        for p in reversed(self.slots):
+            parent = self.slots[p].parent
+            if parent >= 0:
+                out[parent] += out[p]
+        return out
+
+    def _marks(self) -> dict[int, int]:
+        """PLAIN, PARTLY or PLAINLY for each slot; an element that holds the page's main element, or a form its navigation, is layout."""
+        names = self.names
+        texts = {p: c for p, (c, _) in self.own.items()}
+        filled = self.inside(texts)
+        main = self.inside({p: 1 for p, n in names.items() if n in MAIN and filled[p]})
+        layout = self.inside({p: 1 for p, n in names.items() if n in ("nav", "footer", "aside") or n in MAIN})
+        in_main: dict[int, bool] = {}
+        out = {}
+        for p, s in self.slots.items():
+            name = names[p]
+            in_main[p] = name in MAIN or in_main.get(s.parent, False)
+            if name in MAIN or name in ("html", "body", ""):
+                out[p] = PLAIN
+            elif name in AROUND:
+                out[p] = PLAIN if name == "form" and layout[p] else PLAINLY
+            elif name == "header" and not in_main[p] and not main[p]:
+                out[p] = PLAINLY
             else:
-                out.append(items[i])
-                i += 1
-        items = out
-        size = 1 if changed and size > 1 else size + 1
-    return items
-
-
-def _name(item) -> str:
-    return item if isinstance(item, str) else "(" + " ".join(map(_name, item[1])) + ")+"
-
+                out[p] = PLAIN if main[p] and not in_main.get(s.parent, False) else self.strength[p]
+        return out
+
+    def spoken_against(self, lifted: frozenset[int] = frozenset()) -> dict[int, bool]:
+        """Whether the slot or an element around it is marked, and not lifted."""
+        marks, out = self.marks, {}
+        for p, s in self.slots.items():
+            out[p] = out.get(s.parent, False) or (marks[p] > PLAIN and p not in lifted)
+        return out
+
+    def article(self, known: dict[int, tuple[float, bool, bool]]) -> set[int]:
+        """The slots whose texts are the article's. known: of each slot of the host's wrapper, its own text a page, whether it is the template's, and whether it is mostly links."""
+        marks = self.marks
+        own = {p: known[p][0] if p in known else max(0, c - 2 * n) for p, (c, n) in self.own.items()}
+        outside = self.spoken_against()
+        # a place that is only partly spoken against counts after all if it holds more than all that is not
+        free = sum(w for p, w in own.items() if not outside[p])
+        weak = [p for p in self.slots if marks[p] == PARTLY and outside[p] and not outside.get(self.slots[p].parent, False)]
+        if weak:
+            held = self.inside({p: w for p, w in own.items() if not self._strongly(p)})
+            lifted = frozenset(p for p in weak if held[p] > free)
+            if lifted:
+                outside = self.spoken_against(lifted)
+        mains, outer = self._mains(own, outside), set()
+        if mains:
+            roots = mains
+        else:
+            weight = {p: w for p, w in own.items() if not outside[p]}
+            if not sum(weight.values()):
+                weight = {p: max(0, c - 2 * n) for p, (c, n) in self.own.items() if not outside[p]}
+            if not sum(weight.values()):
+                weight = {p: c for p, (c, _) in self.own.items() if not outside[p]}
+            roots, outer = self._narrowest(weight)
+        within: dict[int, bool] = {}
+        for p, s in self.slots.items():
+            within[p] = p in roots or within.get(s.parent, False)
+        use = {p for p in self.own if (within[p] or p in outer) and not outside[p]}
+        if not mains:
+            use -= {p for p in use if known.get(p, (0, False, False))[2] and 2 * self.own[p][1] > self.own[p][0]}
+        return use - self._template(use, known)
+
+    def _strongly(self, p: int) -> bool:
+        while p > 0:
+            if self.marks[p] == PLAINLY:
+                return True
+            p = self.slots[p].parent
+        return False
 
-def surroundings(names: list[str]) -> list[tuple[str, ...]]:
-    """For each item of a page the elements around it."""
-    paths, around = [], []
-    for k in names:
-        if k.startswith("/"):
-            if any(p.split(".")[0] == k[1:] for p in around):
-                while around.pop().split(".")[0] != k[1:]:
-                    pass
-        elif not k.startswith("(") and k != "#" and k.split(".")[0] not in SEPARATOR:
-            around.append(k)
-        paths.append(tuple(around))
-    return paths
+    def _mains(self, own: dict[int, float], outside: dict[int, bool]) -> set[int]:
+        """The outermost main elements with text; those in elements that are spoken against only where they hold more than the others."""
+        chars = self.inside({p: c for p, (c, _) in self.own.items() if not outside[p]})
+        held = self.inside({p: w for p, w in own.items() if not outside[p]})
+        state: dict[int, tuple[bool, bool]] = {}  # in a main element, in one with words against it
+        found: dict[bool, list[int]] = {False: [], True: []}
+        for p, s in self.slots.items():
+            inside, framed = state.get(s.parent, (False, False))
+            if self.names[p] in MAIN and not inside and chars[p]:
+                found[framed].append(p)
+            state[p] = (inside or self.names[p] in MAIN, framed or (self.strength[p] > PLAIN and self.names[p] not in ("html", "body")))
+        weight = {k: sum(held[p] or chars[p] for p in x) for k, x in found.items()}
+        return set(found[False] + found[True]) if weight[True] > weight[False] else set(found[False])
+
+    def _narrowest(self, weight: dict[int, float]) -> tuple[set[int], set[int]]:
+        """The innermost element, no part of a text, that still holds most of the weight; the texts of weight right inside of the elements around it."""
+        held = self.inside(weight)
+        need, around = MOST * held[0], [0]
+        for p, s in self.slots.items():
+            if s.parent == around[-1] and held[p] >= need and held[p] and self.names[p] not in PARTS:
+                around.append(p)
+        outer, home = set(around[:-1]), {}
+        for p, s in self.slots.items():
+            home[p] = home[s.parent] if self.names[p] in PARTS else p
+        return {around[-1]}, {p for p, w in weight.items() if w > 0 and home[p] in outer}
+
+    def _template(self, use: set[int], known: dict[int, tuple[float, bool, bool]]) -> set[int]:
+        """Of these slots those in elements whose whole text is the template's, unless that is the larger part of all."""
+        said = {p: self.own[p][0] for p in use}
+        fixed = {p: n for p, n in said.items() if known.get(p, (0, False, False))[1]}
+        if not fixed or 2 * sum(fixed.values()) > sum(said.values()):
+            return set()
+        whole, constant = self.inside(said), self.inside(fixed)
+        gone: dict[int, bool] = {}
+        for p, s in self.slots.items():
+            gone[p] = gone.get(s.parent, False) or (whole[p] > 0 and whole[p] == constant[p] and self.names[p] not in PARTS)
+        return {p for p in use if gone[p]}
+
+
+def _digest(texts: list[str]) -> str:
+    return hashlib.blake2b("\n".join(texts).encode("utf-8", "replace"), digest_size=12).hexdigest()
 
 
 class Wrapper:
-    """Items of the expression in order: name, elements around it, whether optional, whether a text constant or slot, characters and link characters seen."""
-
-    def __init__(self, items: list[dict] | None = None, places: dict[tuple[str, ...], int] | None = None):
-        self.items = items or []
-        #: Where text stands that may be the article's, and how many characters more than twice those in links.
-        self.places = places or {}
-
-    @classmethod
-    def of(cls, names: list[str], texts: list[tuple[int, int, str | None]], places: dict[tuple[str, ...], int] | None = None) -> Wrapper:
-        return cls([{"k": k, "p": p, "o": 0, "c": c, "l": n, "t": t} for k, p, (c, n, t) in zip(names, surroundings(names), texts, strict=True)], places)
-
-    def place(self, other: Wrapper) -> None:
-        for path, n in other.places.items():
-            self.places[path] = self.places.get(path, 0) + n
-
-    def absorb(self, other: Wrapper) -> None:
-        """Align with another wrapper: items that only one side has become optional, texts that differ slots.
-
-        Items are alike if their names and the elements around them are. Both
-        sides stay in order, so every page folded in is one reading of the whole.
-        """
-        self.place(other)
-        a, b = [(x["p"], x["k"]) for x in self.items], [(x["p"], x["k"]) for x in other.items]
-        if not a:
-            self.items = other.items
-            return
-        out: list[dict] = []
-        for kind, i, j, p, q in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-            if kind == "equal":
-                for x, y in zip(self.items[i:j], other.items[p:q], strict=True):
-                    out.append({"k": x["k"], "p": x["p"], "o": x["o"] | y["o"], "c": x["c"] + y["c"], "l": x["l"] + y["l"], "t": x["t"] if x["t"] == y["t"] else None})
+    """The slots of a host's pages, and how many pages these are."""
+
+    def __init__(self, slots: dict[int, Slot] | None = None, pages: int = 0):
+        self.slots, self.pages = slots or {}, pages
+
+    def absorb(self, slots: dict[int, Slot], pages: int) -> None:
+        """Align with a page, or with another wrapper, element by element."""
+        self.pages += pages
+        for place, slot in slots.items():
+            known = self.slots.get(place)
+            if known is None:
+                self.slots[place] = slot
             else:
-                out.extend(x | {"o": 1} for x in self.items[i:j])
-                out.extend(y | {"o": 1} for y in other.items[p:q])
-        self.items = out
-
-    def expression(self) -> str:
-        return " ".join(f"({x['k']})?" if x["o"] else x["k"] for x in self.items)
-
-    def read(self, names: list[str]) -> list[int]:
-        """For each item of a page the place of the item that it is: the first one alike, in order. A page that was folded in has them all."""
-        keys = list(zip(surroundings(names), names, strict=True))
-        ours = [(x["p"], x["k"]) for x in self.items]
-        places, at = [], 0
-        for key in keys:
-            at = ours.index(key, at)
-            places.append(at)
-            at += 1
-        return places
-
-    def article(self) -> list[bool]:
-        """For each item whether its text is the article's, by the place of the item as a whole."""
-        places: dict[tuple, int] = {}
-        for x in self.items:
-            if x["c"] and not excluded(x["p"]):
-                places[home(x["p"])] = places.get(home(x["p"]), 0) + x["c"] - 2 * x["l"]
-        kind, tops = main_kind(places) or "", best(places)
-        return [bool(x["c"]) and is_article(x["p"], x["k"].strip("()+#").split(" ")[0], kind, tops) and (bool(kind) or not linked(x)) for x in self.items]
+                known.absorb(slot)
+
+    def pruned(self) -> Wrapper:
+        """Without places that less than one of SELDOM pages has: what is left is at most SELDOM times an average page's."""
+        kept: dict[int, Slot] = {}
+        for place, slot in sorted(self.slots.items(), key=lambda x: x[1].pages, reverse=True):
+            if slot.pages * SELDOM >= self.pages:
+                kept[place] = slot
+        return Wrapper(kept, self.pages)
+
+    def expression(self, place: int = 0) -> str:
+        """The regular expression of what is in an element: '#' for a text, ? for optional, + for repeated and * for both."""
+        slot, out = self.slots[place], []
+        for group in slot.order:
+            items = []
+            for k in group:
+                n, several = slot.kids[k]
+                inner = "#" if k == "#" else f"{k}<{self.expression(_place(place, k))}>" if _place(place, k) in self.slots else f"{k}<>"
+                maybe = n < slot.times or len(group) > 1
+                items.append(f"({inner})" + ("*" if maybe and several else "+" if several else "?") if maybe or several else inner)
+            out.append(f"({' '.join(items)})+" if len(group) > 1 else items[0])
+        return " ".join(out)
+
+    def roles(self) -> bytes:
+        """Of each slot with text: its number, its own text a page, and whether it is the template's and mostly links."""
+        rows = [(p, 0.0 if s.constant() else max(0, s.chars - 2 * s.links) / s.pages, s.constant() + 2 * (2 * s.links > s.chars)) for p, s in sorted(self.slots.items()) if s.chars]
+        return np.array(rows, ROLE).tobytes()
+
+    def dump(self) -> str:
+        return json.dumps([self.pages, {str(p): s.row() for p, s in self.slots.items()}], separators=(",", ":"))
 
-
-def linked(item: dict) -> bool:
-    return 2 * item["l"] > item["c"]
-
-
-def home(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The path without the parts of a text at its end."""
-    n = len(path)
-    while n and path[n - 1].split(".")[0] in PARTS:
-        n -= 1
-    return path[:n]
-
-
-def in_main(path: tuple[str, ...]) -> bool:
-    return any(p.split(".")[0] in MAIN for p in path)
-
-
-def best(*places: dict[tuple[str, ...], int]) -> set[tuple[str, ...]]:
-    """Of each of these the place with the most text."""
-    return {max(x, key=lambda p: (x[p], p)) for x in places if x}
-
-
-def is_article(path: tuple[str, ...], opener: str, kind: str, tops: set[tuple[str, ...]]) -> bool:
-    """Whether text there is the article's in a template of that name; where no main element has text, `tops` are its best places."""
-    if excluded(path) or marked(opener):
-        return False
-    if kind in ("main", "framed"):
-        return in_main(path) and (kind == "framed" or not framed(path))
-    return any(path[: len(top)] == top for top in tops)
+    @classmethod
+    def load(cls, text: str) -> Wrapper:
+        pages, slots = json.loads(text)
+        return cls({int(p): Slot.of(r) for p, r in slots.items()}, pages)
 
 
-def main_kind(places: dict[tuple[str, ...], int]) -> str | None:
-    """Which of "main" and "framed" it is if a main element has text; framed main elements count where they hold more than the others."""
-    inside = [p for p in places if in_main(p)]
-    free, held = ([places[p] for p in inside if framed(p) == x] for x in (False, True))
-    return None if not inside else "framed" if not free or sum(held) > sum(free) else "main"
+ROLE = np.dtype([("place", "<i8"), ("weight", "<f4"), ("kind", "u1")])
 
 
-def template(held: list[list[Block]]) -> tuple[str, dict[tuple[str, ...], int]]:
-    """The name of a page's template, and the page's places.
-
-    Pages with text in a main element are one template, or two by whether framed ones count, others one for each set of places.
-    """
-    places: dict[tuple, int] = {}
-    for own in held:
-        for b in own:
-            if not excluded(b.path) and not marked(b.opener):
-                places[home(b.path)] = places.get(home(b.path), 0) + len(b.text) - 2 * b.links
-    if kind := main_kind(places):
-        return kind, {}
-    return hashlib.blake2b(repr(sorted(places)).encode("utf-8", "replace"), digest_size=12).hexdigest(), places
-
-
-def marked(key: str) -> bool:
-    return bool(AROUND_WORDS.intersection(key.split(".", 1)[1].split(" "))) if "." in key else False
-
-
-@lru_cache(1 << 16)
-def excluded(path: tuple[str, ...]) -> bool:
-    """Whether an element on the path is not the article's; a header outside of the article counts, and so do words of elements that hold no main element."""
-    inside = False
-    worded = False
-    for key in path:
-        name = key.split(".")[0]
-        if name in MAIN and not inside:
-            inside, worded = True, False
-        worded |= marked(key) and name not in MAIN and name not in ("html", "body")
-        if name in AROUND or (name == "header" and not inside):
-            return True
-    return worded
-
-
-@lru_cache(1 << 16)
-def framed(path: tuple[str, ...]) -> bool:
-    """Whether an element around the main element has one of AROUND_WORDS: a layout's, or that of a list of other articles."""
-    for key in path:
-        name = key.split(".")[0]
-        if name in MAIN:
-            return False
-        if marked(key) and name not in ("html", "body"):
-            return in_main(path)
-    return False
-
-
-def observed(page: str) -> tuple[list[str], list[list[Block]]]:
-    """The folded names of a page's stream, and the blocks that stand in each."""
-    keys, blocks = stream(page)
-    items = folded(keys)
-    names = [_name(x) for x in items]
-    # a group's texts are as many as its run has, times its repetitions: walk the keys again
-    held: list[list[Block]] = []
-    at = block = 0
-    for item in items:
-        own: list[Block] = []
-        n = max(0, _match(item, keys, at) - at)
-        for key in keys[at : at + n]:
-            if key == "#":
-                own.append(blocks[block])
-                block += 1
-        at += n
-        held.append(own)
-    return names, held
-
-
-def _match(item, keys: list[str], at: int) -> int:
-    """Where the item ends that begins at `at`, -1 if it does not."""
-    if isinstance(item, str):
-        return at + 1 if at < len(keys) and keys[at] == item else -1
-    end, n = at, 0
-    while True:
-        stop = end
-        for x in item[1]:
-            stop = _match(x, keys, stop)
-            if stop < 0:
-                break
-        if stop < 0:
-            return end if n else -1
-        end, n = stop, n + 1
+def _known(roles: bytes) -> dict[int, tuple[float, bool, bool]]:
+    return {p: (w, bool(k & 1), bool(k & 2)) for p, w, k in np.frombuffer(roles, ROLE).tolist()}
 
 
 def _host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def _dump(w: Wrapper) -> str:
-    paths = {p: i for i, p in enumerate(dict.fromkeys(x["p"] for x in w.items))}
-    places = [[p, n] for p, n in w.places.items()]
-    return json.dumps([places, list(paths), [[x["k"], x["o"], x["c"], x["l"], x["t"], paths[x["p"]]] for x in w.items]], ensure_ascii=False, separators=(",", ":"))
-
-
-def _load(s: str) -> Wrapper:
-    places, paths, items = json.loads(s)
-    paths = [tuple(p) for p in paths]
-    return Wrapper([dict(zip("koclt", x, strict=False)) | {"p": paths[x[5]]} for x in items], {tuple(p): n for p, n in places})
-
-
-#: Constant texts are kept in wrappers up to so many characters; longer ones count as slots.
-CONSTANT = 80
-
-
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, template, wrapper): the wrapper of each template of a host, folded over all of its pages.
+    """(host, wrapper, roles): the wrapper of each host, folded over all of its pages, and what it says of its slots.
 
-    Pages without a url are one host of the empty name. Pages of a template are
-    folded partition by partition, then the partial wrappers in two rounds.
+    Pages without a url are one host of the empty name. Pages are folded
+    partition by partition, then the partial wrappers in two rounds; a partial
+    wrapper is bounded, as places that few pages have are left out of it.
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[str, str], Wrapper] = {}
-        same: dict[tuple, Wrapper] = {}
+        found: dict[str, Wrapper] = {}
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                names, held = observed(page.as_py() or "")
-                texts = []
-                for own in held:
-                    text = own[0].text if len(own) == 1 and len(own[0].text) <= CONSTANT else None
-                    texts.append((sum(len(b.text) for b in own), sum(b.links for b in own), text))
-                kind, places = template(held)
-                one = Wrapper.of(names, texts, places)
-                # pages of one form are summed up; forms are aligned at the end
-                key = ((host, kind), tuple(names))
-                known = same.get(key)
-                if known is None:
-                    same[key] = one
-                else:
-                    known.place(one)
-                    for x, y in zip(known.items, one.items, strict=True):
-                        x["c"] += y["c"]
-                        x["l"] += y["l"]
-                        x["t"] = x["t"] if x["t"] == y["t"] else None
-                if len(same) > 2000:
-                    for (h, _), w in same.items():
-                        found.setdefault(h, Wrapper()).absorb(w)
-                    same.clear()
-        for (h, _), w in same.items():
-            found.setdefault(h, Wrapper()).absorb(w)
+                found.setdefault(host, Wrapper()).absorb(Page(page.as_py() or "").slots, 1)
         salt = TaskContext.get().partitionId() % 64
-        hosts, kinds = ([k[i] for k in found] for i in range(2))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(kinds, pa.string()), pa.array([salt] * len(found), pa.int32()), pa.array([_dump(w) for w in found.values()], pa.string())], names=["host", "template", "salt", "wrapper"])
+        hosts = list(found)
+        for i in range(0, len(hosts), 64):
+            some = hosts[i : i + 64]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([salt] * len(some), pa.int32()), pa.array([found[h].pruned().dump() for h in some], pa.string())], names=["host", "salt", "wrapper"])
+
+    def total(texts) -> Wrapper:
+        out = Wrapper()
+        for w in map(Wrapper.load, sorted(texts)):
+            out.absorb(w.slots, w.pages)
+        return out.pruned()
 
     def fold(pdf):
-        total = Wrapper()
-        for w in sorted(pdf["wrapper"]):
-            total.absorb(_load(w))
-        return pdf.iloc[:1].assign(wrapper=_dump(total))
+        return pdf.iloc[:1].assign(wrapper=total(pdf["wrapper"]).dump())
 
-    partial = pages.select(_host(F.col(url_col)).alias("host"), F.col(html_col)).mapInArrow(local, "host string, template string, salt int, wrapper string")
-    half = partial.groupBy("host", "template", "salt").applyInPandas(fold, partial.schema)
-    return half.groupBy("host", "template").applyInPandas(fold, partial.schema).select("host", "template", "wrapper")
+    def close(pdf):
+        w = total(pdf["wrapper"])
+        return pdf.iloc[:1][["host"]].assign(wrapper=w.dump(), roles=[w.roles()])
+
+    partial = pages.select(_host(F.col(url_col)).alias("host"), F.col(html_col)).mapInArrow(local, "host string, salt int, wrapper string")
+    return partial.groupBy("host", "salt").applyInPandas(fold, partial.schema).groupBy("host").applyInPandas(close, "host string, wrapper string, roles binary")
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """pages with the html replaced by `text`, the text of the blocks in article slots of their template's wrapper.
+    """pages with the html replaced by `text`, the article's blocks, one a line.
 
-    On pages without text in a main element, the article's places are the one
-    with the most text in the template and the one with the most text in all such
-    pages of the host; slots that hold mostly links are left out where the page's
-    own text there is mostly links too.
+    On pages with text in main elements (article, main) the article is these;
+    those in an element that is spoken against count only where they hold more
+    than the others. On other pages it is the innermost element that holds most
+    of the text that is neither in links nor the template's, with such texts right
+    inside of the elements around it, as a headline. In it, elements
+    whose names or words speak against them are left out, and elements whose
+    whole text the template has; words that are part of a compound, as in
+    "comment-free", do so only where the element holds no more than the rest.
 
     Null and empty html give the empty text. Repeated rows are extracted alike;
-    other columns pass through; a column named text is replaced.
+    other columns pass through; a column named text is replaced; an empty table
+    gives an empty table.
     """
     kept = [c for c in pages.columns if c not in (html_col, "text")]
-    wrappers = written(infer_wrappers(pages, url_col, html_col).groupBy("host").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("template", "wrapper")))).alias("wrapper")))
+    wrappers = written(infer_wrappers(pages, url_col, html_col).select(F.col("host").alias("__host"), F.col("roles").alias("__roles")))
     source = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), _host(F.col(url_col)).alias("h"), F.col(html_col).alias("page"))
-    joined = source.join(wrappers, F.col("h") == F.col("host"), "left").select("row.*", F.col("wrapper").alias("__wrapper"), F.col("page").alias("__page"))
+    joined = source.join(wrappers, F.col("h") == F.col("__host"), "left").select("row.*", F.col("__roles"), F.col("page").alias("__page"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded: dict[str, tuple[dict[str, Wrapper], set]] = {}
-        plans: dict[tuple, tuple[list[bool], set]] = {}
+        loaded: dict[bytes, dict] = {}
         for batch in batches:
             texts = []
-            for wrapper, page in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1), strict=True):
-                names, held = observed(page.as_py() or "")
-                kind, _ = template(held)
-                key = (wrapper, kind, tuple(names))
-                plan = plans.get(key)
-                if plan is None:
-                    if wrapper not in loaded:
-                        if len(loaded) > 500:
-                            loaded.clear()
-                        own = {k: _load(w) for k, w in json.loads(wrapper).items()}
-                        total = Wrapper()
-                        for w in own.values():
-                            total.place(w)
-                        loaded[wrapper] = (own, best(total.places))
-                    own, tops = loaded[wrapper]
-                    w = own[kind]
-                    if len(plans) > 5000:
-                        plans.clear()
-                    plan = plans[key] = ([linked(w.items[i]) for i in w.read(names)], tops | best(w.places))
-                links, tops = plan
-                use = []
-                for link, own in zip(links, held, strict=True):
-                    link = link and kind not in ("main", "framed") and 2 * sum(b.links for b in own) > sum(len(b.text) for b in own)
-                    use.extend(b.text for b in own if not link and is_article(b.path, b.opener, kind, tops))
-                texts.append("\n".join(use))
+            for roles, html_ in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1), strict=True):
+                known = loaded.get(roles)
+                if known is None:
+                    if len(loaded) > 500:
+                        loaded.clear()
+                    known = loaded[roles] = _known(roles)
+                page = Page(html_.as_py() or "")
+                use = page.article(known) if page.blocks else set()
+                texts.append("\n".join(t for p, t, _ in page.blocks if p in use))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string())], names=[*kept, "text"])
 
     return joined.mapInArrow(run, pages.select(*[F.col(f"`{c}`") for c in kept]).schema.add("text", "string"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import collections
 import hashlib
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -202,14 +204,88 @@ def test_wrappers(spark):
     assert got[3] == "" and got[8] == "" and got[9] == ""
 
 
+def _tree(rng, depth=0):
+    """A random tree of elements, as html and as the stream that an expression describes."""
+    marks, said = [], []
+    for _ in range(rng.randint(0, 4)):
+        kind = rng.choice(["#", "div", "section", "div class='big'", "ul"][: 5 if depth < 3 else 1])
+        if kind == "#" and said[-1:] != ["#"]:
+            marks.append(rng.choice(WORDS))
+            said.append("#")
+        elif kind != "#":
+            inner, stream = _tree(rng, depth + 1)
+            marks.append(f"<{kind}>{inner}</{kind.split()[0]}>")
+            said.append(kind.replace(" class='big'", ".big") + f"<{stream}>")
+    return "".join(marks), "".join(said)
+
+
+def test_wrappers_describe_every_page_folded_in():
+    rng = random.Random(21)
+    for size in (1, 2, 5, 40):
+        pages = [_tree(rng) for _ in range(size)]
+        whole, halves = wrappers.Wrapper(), [wrappers.Wrapper(), wrappers.Wrapper()]
+        for i, (page, _) in enumerate(pages):
+            whole.absorb(wrappers.Page(page).slots, 1)
+            halves[i % 2].absorb(wrappers.Page(page).slots, 1)
+        halves[0].absorb(wrappers.Wrapper.load(halves[1].dump()).slots, halves[1].pages)
+        assert halves[0].roles() == whole.roles() and halves[0].pages == size
+        for w in (whole, halves[0]):
+            pattern = re.compile(w.expression().replace(" ", "").replace(".", "[.]"))
+            assert all(pattern.fullmatch(stream) for _, stream in pages)
+
+
 def test_wrapper_alignment():
-    one = wrappers.Wrapper.of(["nav", "#", "/nav", "article", "(p #)+"], [(0, 0, None), (4, 4, "Menu"), (0, 0, None), (0, 0, None), (90, 0, None)])
-    two = wrappers.Wrapper.of(["nav", "#", "/nav", "div.ad", "#", "/div", "article", "(p #)+"], [(0, 0, None), (5, 5, "Other"), (0, 0, None), (0, 0, None), (9, 0, None), (0, 0, None), (0, 0, None), (80, 0, None)])
-    one.absorb(two)
-    assert one.expression() == "nav # /nav (div.ad)? (#)? (/div)? article (p #)+"
-    assert [x["k"] for x, use in zip(one.items, one.article(), strict=True) if use] == ["(p #)+"]
-    assert one.items[1]["t"] is None
-    assert wrappers.folded(["ul", "li", "#", "li", "#", "/ul"]) == ["ul", ("+", ("li", "#")), "/ul"]
+    w = wrappers.Wrapper()
+    for page in ("<nav>Menu</nav><div><p>one<p>two</div>", "<nav>Menu</nav><div class=note>x</div><div><h2>a</h2><p>b</p><h2>c</h2></div>"):
+        w.absorb(wrappers.Page(page).slots, 1)
+    assert w.expression() == "nav<#> (div.note<#>)? div<((h2<#>)? (p<#>)*)+>"
+    nav, note = (next(x for x in w.slots.values() if x.key == k) for k in ("nav", "div.note"))
+    assert nav.constant() and not note.constant()
+    few = wrappers.Wrapper()
+    for i in range(3000):
+        few.absorb(wrappers.Page(f"<p>x{i}</p>" + "<h6>y</h6>" * (i == 7) + "<h5>z</h5>" * (i % 900 == 0)).slots, 1)
+    assert [x.key for x in few.pruned().slots.values()] == ["", "p", "h5"]
+
+
+def _texts(spark, pages, url="http://one.example.com/"):
+    rows = [(i, url, p) for i, p in enumerate(pages)]
+    return [r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_wrappers_decide_by_what_pages_say(spark):
+    said = [_text(random.Random(i), 20) for i in range(8)]
+    assert _texts(spark, [f"<aside><p>{said[0]}</p></aside>", f"<div class='content'><p>{said[1]}</p></div>"]) == ["", said[1]]
+    assert _texts(spark, [f"<article><ul><li>{said[0]}</ul></article>", f"<div><p>{said[1]}</p></div>"]) == said[:2]
+    for words in ("share-page-content", "comment-free story", "notice-board"):
+        page = f"<body class='no-sidebar'><nav>Menu</nav><div class='{words}'><p>{{0}}</p><div class='comments'><p>No</p></div></div><div class='about'>About us and others</div></body>"
+        assert _texts(spark, [page.format(t) for t in said]) == said
+    # what all pages say is the template's, where they differ in other places; copies of one page do not show that
+    assert _texts(spark, [f"<div class='x'><p>{t}</p></div><div class='y'><p>{said[7] * 2}</p></div>" for t in said[:7]]) == said[:7]
+    assert _texts(spark, [f"<nav>{t}</nav><div><p>{said[0]}</p></div>" for t in said[1:4]]) == [said[0]] * 3
+    assert _texts(spark, [f"<form id='page'><nav>Menu</nav><div><p>{t}</p></div><form><p>Mail</p></form></form>" for t in said]) == said
+    assert _texts(spark, [f"<article><p>{t}</p><div class='box'><p>Write to us.</p></div><h2>Introduction</h2><p>{t} b</p></article>" for t in said]) == [f"{t}\nIntroduction\n{t} b" for t in said]
+    assert _texts(spark, ["<ul><li class='comment'><p>No</p></li></ul><div><p>" + said[0] + "</p></div>"]) == said[:1]
+
+
+def test_wrappers_long_and_broken_pages(spark):
+    for page in ('<a href="' * 120_000, "<p>x</p>" + '<a ="">"' * 120_000, "<a b='>" * 150_000, "<svg>" * 200_000, "<script>" * 100_000):
+        began = time.time()
+        wrappers.Page(page)
+        assert time.time() - began < 5
+    deep = wrappers.Page("<div>x" * 20_000)
+    assert len(deep.article({})) == 20_000
+    long = " ".join(WORDS * 500)
+    assert _texts(spark, ["<article>" + f"<p>{long}</p><h2>{long}</h2>" * 3 + "</article>", '<p>a <b>b</b> c<img alt="<p>">d &amp; e</p><p class="x>f', "a < b<p>c"]) == ["\n".join([long] * 6), "a b cd & e\nf", "a < b\nc"]
+
+
+def test_wrappers_edges(spark):
+    schema = "page_id long, url string, html string, row string, h string, page string, text string"
+    rows = [(1, "http://a.example.com", "<p>same words</p>", "r", "h", "p", "old")] * 2 + [(2, None, None, None, None, None, None), (None, "http://a.example.com", "", "r", "h", "p", "t")]
+    df = spark.createDataFrame(rows, schema)
+    got = wrappers.extract(df)
+    assert got.columns == ["page_id", "url", "row", "h", "page", "text"]
+    assert sorted((r["page_id"] or 0, r["text"], r["row"]) for r in got.collect()) == [(0, "", "r"), (1, "same words", "r"), (1, "same words", "r"), (2, "", None)]
+    assert wrappers.extract(df.where("page_id > 9")).count() == 0 and wrappers.infer_wrappers(df.where("page_id > 9")).count() == 0
 
 
 def test_wrappers_read_every_page_whole(spark):
@@ -333,30 +409,32 @@ def test_components(spark):
     assert got == part
 
 
-TOKENIZER = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+@pytest.fixture(scope="module")
+def tokenizer():
+    return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 
 
-def test_tokens_equal_the_library():
+def test_tokens_equal_the_library(tokenizer):
     from tokenizers import Tokenizer
 
     rng = random.Random(12)
     bits = ["a", "Z", "'", "'s", "'re", " ", "  ", "\n", "\t", "12", "é", "中", "😀", ".", "!!", "　", "don't", "<|endoftext|>", "٣"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(500)]
-    library = Tokenizer.from_file(TOKENIZER)
+    library = Tokenizer.from_file(tokenizer)
     library.encode_special_tokens = True
     want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
-    encoder = tokens.Encoder.of(TOKENIZER)
+    encoder = tokens.Encoder.of(tokenizer)
     assert [ids.tolist() for _, ids in encoder.encode(texts)] == want
     whole = " ".join(texts)
     assert encoder._long(whole, 700).tolist() == library.encode(whole, add_special_tokens=False).ids
 
 
-def test_packing_round_trip(spark, edge, empty):
+def test_packing_round_trip(spark, edge, empty, tokenizer):
     rng = random.Random(13)
     docs = _docs(spark, [(i, _text(rng, rng.randint(0, 900)) + ".") for i in range(80)])
-    encoder = tokens.Encoder.of(TOKENIZER)
+    encoder = tokens.Encoder.of(tokenizer)
     ids = {r["doc_id"]: [*next(encoder.encode([r["text"]]))[1].tolist(), 1] for r in docs.collect()}
-    rows = packing.pack(docs, TOKENIZER).collect()
+    rows = packing.pack(docs, tokenizer).collect()
     sequences, pieces = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
         own = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
@@ -372,7 +450,7 @@ def test_packing_round_trip(spark, edge, empty):
             assert at == ends[k] if ends else at <= 2048
     size = [sum(n for _, n in s) for s in sequences.values()]
     assert sum(2048 if n & (n - 1) else n for n in size) <= 1.02 * sum(size)
-    assert packing.pack(edge, TOKENIZER).where("doc_tokens = 1 and length = 1").count() == 3 and packing.pack(empty, TOKENIZER).count() == 0
+    assert packing.pack(edge, tokenizer).where("doc_tokens = 1 and length = 1").count() == 3 and packing.pack(empty, tokenizer).count() == 0
 
 
 def test_best_cuts_are_optimal():
