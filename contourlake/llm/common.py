@@ -22,11 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share, from spark.checkpoint.dir; where that is unset a local one, but on one machine only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="contourlake-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -42,12 +43,58 @@ def written(df: DataFrame) -> DataFrame:
     return back
 
 
-def forget(df: DataFrame) -> None:
-    """Delete what written() wrote for df, once nothing reads it any more, and let Spark drop the shuffle files behind it."""
-    jvm = df.sparkSession.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._written_to)
-    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    jvm.System.gc()
+def forget(*tables: DataFrame, shuffles: bool = False) -> None:
+    """Delete what written() wrote for these, once nothing reads it any more; `shuffles`: let Spark look for shuffle files that are of no use now."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if shuffles:
+            jvm.System.gc()
+
+
+def met(rows: DataFrame, groups: DataFrame, keys: list[str], by: list[str], n: str = "n") -> DataFrame:
+    """rows joined with groups, which have one row for each key; `n` is how many of `rows` have the key, or more.
+
+    A key with more rows than a task's share is dealt over several tasks by the
+    hash of the columns `by`, and its row in groups goes to each of these. There
+    are fewer such keys than tasks, so their list is broadcast. groups should be
+    cheap to read again. The column `n` is left out.
+    """
+    tasks = shuffle_width(rows.sparkSession)
+    share = max(1, (groups.agg(F.sum(n)).collect()[0][0] or 0) // tasks)
+    slots = F.ceil(F.col(n) / share).cast("int")
+    hot = groups.where(F.col(n) > share).select(*keys, slots.alias("__slots"))
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("__slot", F.coalesce(F.pmod(F.xxhash64(*by), F.col("__slots")), F.lit(0)).cast("int")).drop("__slots")
+    right = groups.withColumn("__slot", F.explode(F.sequence(F.lit(0), F.greatest(slots, F.lit(1)) - 1))).drop(n)
+    return left.join(right, [*keys, "__slot"]).drop("__slot")
+
+
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def numbered(rows: DataFrame, id_col: str, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """rows with `name`, a whole number in the order of the ids, and the table (id, number) that gives them back.
+
+    Ids that are whole numbers stand for themselves and need no table (None).
+    Others are sorted in ranges, so that numbers keep their order; null stays null.
+    """
+    if rows.schema[id_col].dataType.simpleString() in WHOLE:
+        return rows.withColumn(name, F.col(f"`{id_col}`").cast("long")), None
+    ids = rows.select(F.col(f"`{id_col}`").alias("id")).where("id is not null").distinct()
+    table_ = written(ids.repartitionByRange(shuffle_width(rows.sparkSession), "id").sortWithinPartitions("id").withColumn("number", F.monotonically_increasing_id()))
+    numbers = table_.select(F.col("id").alias("__id"), F.col("number").alias(name))
+    return rows.join(numbers, F.col(f"`{id_col}`") == F.col("__id"), "left").drop("__id"), table_
+
+
+def renamed(out: DataFrame, columns: list[str], table_: DataFrame | None) -> DataFrame:
+    """out with the numbers in these columns replaced by the ids that numbered() gave them for."""
+    if table_ is None:
+        return out
+    order = out.columns
+    for c in columns:
+        out = out.join(table_.select(F.col("number").alias(c), F.col("id").alias("__id")), c, "left").drop(c).withColumnRenamed("__id", c)
+    return out.select(*order)
 
 
 @contextmanager

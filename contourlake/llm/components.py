@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, met, written
 
 #: Rounds after which the star algorithm must have ended; it needs about the logarithm of the longest path.
 ROUNDS = 60
@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     rows with a null end are left out. Each round is written to the shared
     folder, so that lost executors cost one round at most. No round gathers the
     neighbours of a vertex: a star's centre only needs their minimum, and hot
-    centres are joined as skewed keys.
+    centres are dealt over several tasks.
     """
     now = written(edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(now)
@@ -31,13 +31,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if not state[0]:
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("v")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        large = written(large)
-        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), "m")
-        joined = large.join(low, F.col("a") == F.col("v"))
-        small = joined.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("v").alias("a"), F.col("m").alias("b"))).distinct()
-        now = written(small)
+        least = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m")))
+        large = written(met(both, least, ["a"], ["b"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct())
+        low = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        small = met(large, low, ["a"], ["b"]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        last, now = now, written(small)
+        forget(last, least, large, low)
         after = _state(now)
         if after == state:
             break

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, row_groups, text_buffers
+from .common import mix64, row_groups, text_buffers, written
 from .words import word_hashes
 
 #: Features of one group of rows: the row and the feature of each pair, ascending and distinct.
@@ -138,8 +138,12 @@ def scored(docs: DataFrame, text_col: str, makers: list[tuple[Callable, int]], w
     return source.mapInArrow(run, docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(name, "double"))
 
 
+#: Bytes of features that a sample brings to the driver at most, besides its number of rows.
+SAMPLE_BYTES = 256 << 20
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: int, id_col: str = "doc_id", text_col: str = "text", where: Column | None = None) -> DataFrame:
-    """At most `most` rows (id, label, text): ids picked by hash from all that have a label, spread evenly.
+    """At most `most` ids that have a label, those with the smallest hashes, as rows (id, label, text).
 
     An id with several labels gets the largest; an id with several texts gives
     each of them. The picked ids are broadcast, which `most` bounds.
@@ -147,9 +151,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: in
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if where is not None:
         known = known.where(where)
-    known = known.select(F.col(id_col).alias("doc"), F.col(label_col).cast("double").alias("label"))
-    n = known.count()
-    share = min(1.0, most / max(1, n))
-    picked = known.where(F.pmod(F.xxhash64("doc"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)).limit(most).groupBy("doc").agg(F.max("label").alias("label"))
+    picked = known.groupBy(F.col(id_col).alias("doc")).agg(F.max(F.col(label_col).cast("double")).alias("label")).orderBy(F.xxhash64("doc"), "doc").limit(most)
     source = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return source.join(F.broadcast(picked), "doc").select("doc", "label", "text")
+
+
+def fetched(sample: DataFrame, makers: list[tuple[Callable, int]], bytes_: int = SAMPLE_BYTES) -> tuple[list[np.ndarray], np.ndarray]:
+    """The features and labels of a sample's rows, in the order of the ids' hashes: the first ones whose features have so many bytes together."""
+    rows = written(featurised(sample, "text", makers).withColumn("h", F.xxhash64("doc")))
+    order = ["h", "doc", F.xxhash64("features")]
+    sizes = rows.select("h", F.length("features").alias("n")).orderBy("h").collect()
+    total = np.cumsum([r["n"] for r in sizes])
+    fits = max(1, int(np.searchsorted(total, bytes_, side="right")))
+    if fits < len(sizes):
+        rows = rows.where(F.col("h") < sizes[fits]["h"])
+    got = rows.orderBy(*order).select("features", "label").collect()
+    return [np.frombuffer(r["features"], "<i4") for r in got], np.array([r["label"] for r in got], float)

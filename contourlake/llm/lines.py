@@ -2,8 +2,9 @@
 
 Lines become 128-bit key hashes before the shuffle; counts of documents are
 two-sided minima that combine on the map side, so a line that a third of all
-documents hold costs one row a task. Texts are shuffled once, to meet the keys
-that they lose.
+documents hold costs one row a task. The lines of such a key are then dealt over
+several tasks, each with the key's document. Texts are shuffled once, to meet
+the keys that they lose.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import met, table, written
 
 
 def line_key(line: bytes) -> bytes:
@@ -59,10 +60,12 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(keys, f"doc {kind}, h binary")
     if min_docs == 2:
-        counted = keyed.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+        counted = keyed.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).where("first < last")
     else:
-        counted = keyed.distinct().groupBy("h").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    drops = keyed.join(counted.select("h", "first"), "h").where("doc != first").groupBy("doc").agg(F.collect_set("h").alias("drops"))
+        keyed = keyed.distinct()
+        counted = keyed.groupBy("h").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    shared = written(counted.select("h", "first", "n"))
+    drops = met(keyed, shared, ["h"], ["doc"]).where("doc != first").groupBy("doc").agg(F.collect_set("h").alias("drops"))
     through = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.struct(*[F.col(f"`{c}`") for c in through]).alias("row"))
     joined = rows.join(drops, "doc", "left").select("row.*", F.col("drops").alias("__drops"))

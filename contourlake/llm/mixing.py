@@ -5,66 +5,89 @@ bisection sets so that the weights have a given entropy, or no source is read
 more often than a limit. A source's budget of tokens is then a number of epochs:
 every whole epoch is a permutation of the source's blocks of documents, and the
 last one takes blocks in permuted order, and documents in the block where the
-budget ends. A block's place is its hash, so a source's plan is three numbers,
-and no text is shuffled.
+budget ends. A block's place is its hash, so a source's plan is a few numbers,
+and no text is shuffled where the table of plans is small enough for Spark to
+broadcast it. Sources are a table throughout, and a source of n documents has
+about sqrt(n) blocks: neither their number nor their size meets a limit.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import table, written
+from .common import met, table, written
 
-#: Blocks of each source, and the most sources whose plans the driver holds.
-BLOCKS, MOST_SOURCES = 4096, 1_000_000
+#: Characters of a run without blanks that count as one token.
+TOKEN = 16
+#: Exponents that are tried in one pass over the sources, and passes: together 48 halvings.
+TRIED, PASSES = 64, 8
 
 
-def word_count(text: Column) -> Column:
-    """Runs of other characters than blanks, tabs and line ends; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\r]+")), F.lit(0)).cast("long")
+def token_count(text: Column) -> Column:
+    """Runs of other characters than blanks, tabs and line ends, in pieces of TOKEN at most; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\r]{1,%d}" % TOKEN)), F.lit(0)).cast("long")
 
 
-def temperature_weights(tokens: list[int], exponent: float) -> list[float]:
-    """Shares to the power of the exponent, normalised; sources without tokens get 0."""
-    top = max(tokens, default=0)
-    raw = [(t / top) ** exponent if t > 0 else 0.0 for t in tokens]
-    total = sum(raw)
-    return [r / total if total else 0.0 for r in raw]
+def bisect(holds: Callable[[list[float]], list[bool]], low: float, high: float) -> float:
+    """The smallest value between low and high for which holds() is true, as it is at high; TRIED values are asked at once."""
+    if holds([low])[0]:
+        return low
+    for _ in range(PASSES):
+        step = (high - low) / TRIED
+        tried = [low + step * k for k in range(1, TRIED)]
+        first = next((x for x, yes in zip(tried, holds(tried), strict=True) if yes), high)
+        low, high = first - step if first != high else tried[-1], first
+    return high
 
 
-def entropy(weights: list[float]) -> float:
-    return -sum(w * math.log(w) for w in weights if w > 0)
+class Temperature:
+    """Weights (tokens / most tokens) ** exponent / total of a table of sources with `tokens`; sources without tokens have none."""
 
+    def __init__(self, sources: DataFrame):
+        self.sources = sources.where("tokens > 0")
+        ends = self.sources.agg(F.max("tokens").alias("top"), F.min("tokens").alias("low")).collect()[0]
+        self.top, self.low = int(ends["top"] or 1), int(ends["low"] or 1)
+        self.share = F.ln(F.col("tokens") / self.top)
 
-def epochs(tokens: list[int], weights: list[float], budget: float | None) -> list[float]:
-    """How often each source is read; without a budget, the least at which every source is read whole."""
-    if budget is None:
-        budget = max((t / w for t, w in zip(tokens, weights, strict=True) if w > 0), default=0.0)
-    return [w * budget / t if t > 0 else 1.0 for t, w in zip(tokens, weights, strict=True)]
+    def sums(self, exponents: list[float]) -> list[tuple[float, float]]:
+        """For each exponent the sum of the raw weights, and of these times the logarithm of the share."""
+        each = self.sources.select(self.share.alias("u"), F.posexplode(F.array(*map(F.lit, exponents))).alias("k", "x")).select("k", "u", F.exp(F.col("x") * F.col("u")).alias("w"))
+        got = {r["k"]: (r["s"], r["e"]) for r in each.groupBy("k").agg(F.sum("w").alias("s"), F.sum(F.col("u") * F.col("w")).alias("e")).collect()}
+        return [got.get(k, (1.0, 0.0)) for k in range(len(exponents))]
 
+    def entropies(self, exponents: list[float]) -> list[float]:
+        return [math.log(s) - x * e / s for x, (s, e) in zip(exponents, self.sums(exponents), strict=True)]
 
-def bisect(holds, low: float, high: float, steps: int = 60) -> float:
-    """The smallest value between low and high for which holds() is true, as it is at high."""
-    if holds(low):
-        return low
-    for _ in range(steps):
-        middle = (low + high) / 2
-        low, high = (low, middle) if holds(middle) else (middle, high)
-    return high
+    def budget(self, exponent: float, total: float) -> float:
+        """The least budget at which every source is read whole."""
+        return total * max(self.top, self.top * (self.low / self.top) ** (1 - exponent))
+
+    def most_epochs(self, exponents: list[float], budget: float | None) -> list[float]:
+        """How often the source that is read most often is read."""
+        out = []
+        for x, (s, _) in zip(exponents, self.sums(exponents), strict=True):
+            b = self.budget(x, s) if budget is None else budget
+            out.append(b / (s * self.top) * max(1.0, (self.low / self.top) ** (x - 1)))
+        return out
 
+    def exponent(self, target_entropy: float | None = None, max_epochs: float | None = None, budget: float | None = None) -> float:
+        """The exponent that meets the target: entropy at most the target (or the largest exponent), or the flattest within the limit (or 1)."""
+        if (target_entropy is None) == (max_epochs is None):
+            raise ValueError("give target_entropy or max_epochs")
+        if target_entropy is not None:
+            return bisect(lambda xs: [h <= target_entropy for h in self.entropies(xs)], 0.0, 64.0)
+        return bisect(lambda xs: [m <= max_epochs for m in self.most_epochs(xs, budget)], 0.0, 1.0)
 
-def mixing_exponent(tokens: list[int], target_entropy: float | None = None, max_epochs: float | None = None, budget: float | None = None) -> float:
-    """The exponent that meets the target: entropy at most the target (1 where even that is too flat), or the flattest within the limit."""
-    if (target_entropy is None) == (max_epochs is None):
-        raise ValueError("give target_entropy or max_epochs")
-    if target_entropy is not None:
-        return bisect(lambda x: entropy(temperature_weights(tokens, x)) <= target_entropy, 0.0, 64.0)
-    return bisect(lambda x: max(epochs(tokens, temperature_weights(tokens, x), budget), default=0.0) <= max_epochs, 0.0, 1.0)
+    def epochs(self, exponent: float, budget: float | None) -> Column:
+        """How often each source is read, as a column of the sources; those without tokens once."""
+        total = self.sums([exponent])[0][0]
+        b = self.budget(exponent, total) if budget is None else budget
+        return F.when(F.col("tokens") > 0, F.exp(F.lit(exponent) * self.share) / total * b / F.col("tokens")).otherwise(F.lit(1.0))
 
 
 def _unit(*parts: Column) -> Column:
@@ -88,48 +111,44 @@ def mix(
     in order of it are mixed at the weights throughout. Without a budget no
     document is left out. Null sources are one source; rows without tokens come
     once; repeated rows are taken together, so a budget ends before a group of
-    equal rows that would exceed it. Columns named epoch or turn are replaced.
+    equal rows that would exceed it. Columns named epoch or turn are replaced;
+    an empty table gives an empty table.
     """
-    spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("epoch", "turn")]
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    lean = docs.select(F.col(source_col).cast("string").alias("source"), key.alias("key"), word_count(F.col(text_col)).alias("tokens"))
-    block = F.pmod(F.col("key"), F.lit(BLOCKS))
-    blocks = written(lean.groupBy("source", block.alias("block")).agg(F.sum("tokens").alias("tokens")))
-    sources = blocks.groupBy("source").agg(F.sum("tokens").alias("tokens")).limit(MOST_SOURCES + 1).collect()
-    if len(sources) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    sources = sorted(((r["source"], int(r["tokens"])) for r in sources), key=lambda x: (x[0] is not None, x[0] or ""))
-    tokens = [t for _, t in sources]
-    weights = temperature_weights(tokens, mixing_exponent(tokens, target_entropy, max_epochs, budget))
-    rows = []
-    for (name, t), e in zip(sources, epochs(tokens, weights, budget), strict=True):
-        nearly = round(e, 9)
-        whole = int(nearly)
-        rows.append((name, whole, float((nearly - whole) * t), float(nearly)))
-    plan_schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("whole", T.IntegerType()), T.StructField("rest", T.DoubleType()), T.StructField("epochs", T.DoubleType())])
-    plan = spark.createDataFrame(rows, plan_schema)
-
-    def place(epoch: Column, block_: Column, source: Column) -> Column:
-        return _unit(F.lit(seed + 1), F.coalesce(source, F.lit("")), epoch, block_)
+    key = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    # a source by a name that is never null
+    name = F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`").cast("string")), F.lit("n"))
+    lean = written(docs.select(name.alias("name"), key.alias("key"), token_count(F.col(f"`{text_col}`")).alias("tokens")))
+    sources = written(lean.groupBy("name").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")))
+    heat = Temperature(sources)
+    exponent = heat.exponent(target_entropy, max_epochs, budget)
+    nearly = F.round(heat.epochs(exponent, budget), 9)
+    plan = sources.withColumn("epochs", nearly).withColumn("whole", F.floor("epochs").cast("int")).withColumn("rest", (F.col("epochs") - F.col("whole")) * F.col("tokens"))
+    plan = written(plan.withColumn("blocks", F.pow(F.lit(2.0), F.ceil(F.log2("n") / 2)).cast("long")).select("name", "n", "epochs", "whole", "rest", "blocks"))
+
+    def place(epoch: Column) -> Column:
+        return _unit(F.lit(seed + 1), F.col("name"), epoch, F.col("block"))
 
     # the block in which the budget of the last, broken epoch ends, and what is left for it
-    b = blocks.join(F.broadcast(plan), blocks["source"].eqNullSafe(plan["source"])).drop(plan["source"]).withColumn("at", place(F.col("whole"), F.col("block"), blocks["source"]))
-    up_to = F.sum("tokens").over(Window.partitionBy("source").orderBy("at"))
-    broken = b.withColumn("sum", up_to).where((F.col("sum") > F.col("rest")) & (F.col("rest") > 0)).groupBy("source").agg(F.min_by(F.struct("at", "block", (F.col("rest") - F.col("sum") + F.col("tokens")).alias("left")), "at").alias("x")).select("source", "x.*")
+    dealt = met(lean, plan, ["name"], ["key"]).withColumn("block", F.pmod(F.col("key"), F.col("blocks"))).where("rest > 0")
+    blocks = dealt.groupBy("name", "block", "whole", "rest").agg(F.sum("tokens").alias("tokens")).withColumn("at", place(F.col("whole")))
+    up_to = F.sum("tokens").over(Window.partitionBy("name").orderBy("at", "block"))
+    ends = blocks.withColumn("sum", up_to).where("sum > rest").groupBy("name").agg(F.min_by(F.struct("at", "block", (F.col("rest") - F.col("sum") + F.col("tokens")).alias("left")), F.struct("at", "block")).alias("x"))
+    broken = written(ends.select("name", "x.*"))
     # within it, documents in order of their keys; equal keys go together
-    edge = lean.withColumn("block", block).alias("d").join(F.broadcast(broken.alias("p")), F.expr("d.source <=> p.source and d.block = p.block")).select("d.source", "d.key", "d.tokens", "p.left")
-    sums = edge.withColumn("sum", F.sum("tokens").over(Window.partitionBy("source").orderBy("key"))).where(F.col("sum") <= F.col("left")).groupBy("source").agg(F.max("key").alias("last"))
-    ends = {r["source"]: (r["at"], r["last"]) for r in broken.alias("p").join(F.broadcast(sums.alias("s")), F.expr("p.source <=> s.source"), "left").select("p.source", "p.at", "s.last").collect()}
-    full = [(n, w, e, *(ends.get(n) or (2.0 if r > 0 else -1.0, None))) for n, w, r, e in rows]
-    limits = spark.createDataFrame(full, T.StructType([T.StructField("src", T.StringType()), T.StructField("whole", T.IntegerType()), T.StructField("epochs", T.DoubleType()), T.StructField("at", T.DoubleType()), T.StructField("last", T.LongType())]))
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(source_col).cast("string").alias("source"), key.alias("key"), (word_count(F.col(text_col)) == 0).alias("bare")).withColumn("block", block)
-    met = own.join(F.broadcast(limits), F.expr("source <=> src"))
-    last_place = place(F.col("whole"), F.col("block"), F.col("source"))
-    in_last = (last_place < F.col("at")) | ((last_place == F.col("at")) & (F.col("key") <= F.col("last")))
-    times = F.when(F.col("bare"), F.lit(1)).otherwise(F.col("whole") + F.coalesce(in_last, F.lit(False)).cast("int"))
-    many = met.withColumn("times", times).where("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
-    inside = (place(F.col("epoch"), F.col("block"), F.col("source")) * (BLOCKS - 1) + _unit(F.lit(seed + 2), F.col("key"))) / BLOCKS
+    edge = dealt.select("name", "block", "key", "tokens").join(broken.select("name", "block", "left"), ["name", "block"])
+    last = edge.withColumn("sum", F.sum("tokens").over(Window.partitionBy("name").orderBy("key"))).where("sum <= left").groupBy("name").agg(F.max("key").alias("last"))
+    limits = written(plan.join(broken.select("name", "at", F.col("block").alias("end")), "name", "left").join(last, "name", "left"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), name.alias("name"), key.alias("key"), (token_count(F.col(f"`{text_col}`")) == 0).alias("bare"))
+    rows = met(own, limits, ["name"], ["key"]).withColumn("block", F.pmod(F.col("key"), F.col("blocks")))
+    here = place(F.col("whole"))
+    in_end = (F.col("block") == F.col("end")) & (F.col("key") <= F.col("last"))
+    before = (here < F.col("at")) | ((here == F.col("at")) & (F.col("block") < F.col("end")))
+    # without an end the broken epoch has all blocks, or there is none
+    in_last = F.when(F.col("at").isNull(), F.col("rest") > 0).otherwise(before | F.coalesce(in_end, F.lit(False)))
+    times = F.when(F.col("bare"), F.lit(1)).otherwise(F.col("whole") + in_last.cast("int"))
+    many = rows.withColumn("times", times).where("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    inside = (place(F.col("epoch")) * (F.col("blocks") - 1) + _unit(F.lit(seed + 2), F.col("key"))) / F.col("blocks")
     turn = F.least((F.col("epoch") + inside) / F.greatest(F.col("epochs"), F.lit(1e-12)), F.lit(1.0))
     return many.select(*[F.col("row")[c].alias(c) for c in kept], F.col("epoch"), turn.alias("turn"))
 

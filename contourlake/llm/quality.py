@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .features import SHAPE_BITS, featurised, labelled_sample, scored, shape_features, word_features
+from .features import SHAPE_BITS, fetched, labelled_sample, scored, shape_features, word_features
 
 WORD_BITS = 18
 MAKERS = [(word_features(WORD_BITS, bigrams=True), 1 << WORD_BITS), (shape_features, 1 << SHAPE_BITS)]
@@ -77,9 +77,14 @@ class QualityModel:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, where=None, label_col: str = "quality") -> QualityModel:
-    sample = featurised(labelled_sample(docs, labels, label_col, most, where=where), "text", MAKERS).orderBy("doc").collect()
-    rows = [np.frombuffer(r["features"], "<i4") for r in sample]
-    return QualityModel.fit(rows, np.array([r["label"] > 0 for r in sample], int))
+    """A model from two-valued labels, fitted on at most `most` labelled rows and SAMPLE_BYTES of features.
+
+    Labels that are null, or of a null id, play no part; an id with both labels
+    counts as 1, and each text of a repeated id counts. Rows are picked by the
+    hash of their id.
+    """
+    rows, label = fetched(labelled_sample(docs, labels, label_col, most, where=where), MAKERS)
+    return QualityModel.fit(rows, (label > 0).astype(int))
 
 
 def op10_quality(spark, sf_dir):

@@ -7,27 +7,29 @@ all windows it serves lie in one context of 360 bytes at most. Where a context
 occurs twice, all of its windows repeat. The other contexts of an anchor are
 gathered, many anchors to an index: a suffix array, its Burrows-Wheeler
 transform in runs, and the common prefix lengths at run starts and run ends.
-Contexts are aligned by their anchors there. Streaming the samples in text order gives the matching statistics, the length
-of the longest match of each suffix with any other one, and marks the windows.
-Anchors with very many different contexts have the hashes of their windows
-counted instead, which spreads them over all tasks.
+Contexts are aligned by their anchors there. Streaming the samples in text
+order gives the matching statistics, the length of the longest match of each
+suffix with any other one, and marks the windows. An anchor with very many
+different contexts is split by the bytes around it before: windows that begin
+at nearly the same place of it have more than the anchor in common, so the text
+they share is a longer anchor of theirs.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, forget, mix64, shuffle_width, table, text_buffers, written
+from .common import arrow_rows, forget, met, mix64, shuffle_width, table, text_buffers, written
 from .words import _powers
 
-#: Length of the anchors' grams; contexts of one anchor that an index takes at most; bytes of an index.
-GRAM, CROWD, INDEX = 41, 8192, 1 << 19
+#: Length of the anchors' grams; different contexts that an anchor may have before it is split, and into how many; bytes of an index.
+GRAM, CROWD, SPLIT, INDEX = 41, 8192, 8, 1 << 19
 #: Bytes of a document that are worked on at once.
 STRETCH = 1 << 20
 
@@ -202,61 +204,109 @@ class RunLengthIndex:
 
 
 def _key(id_col: Column, text: Column) -> Column:
-    return F.xxhash64(id_col, text)
+    """128 bits of a row: two hashes of its id and text."""
+    return F.struct(F.xxhash64(id_col, text).alias("a"), F.xxhash64(text, F.lit(1), id_col).alias("b"))
+
+
+KEY = "struct<a:bigint,b:bigint>"
+ANCHORS = f"gram long, context long, key {KEY}, at long, back short, span short"
+
+
+def _anchor_batch(batch: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
+    """Rows of ANCHORS from (gram, context, row, at, back, span), row being the place of the key in the batch."""
+    g, c, row, at, back, span = (np.concatenate(x) for x in zip(*held, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(at), pa.array(back.astype(np.int16)), pa.array(span.astype(np.int16))], names=["gram", "context", "key", "at", "back", "span"])
 
 
 def _anchored(rows: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
             data, offsets = text_buffers(batch.column(1))
             held: list[tuple] = []
             for i in range(batch.num_rows):
                 for gram, context, at, low, high in anchors(data[offsets[i] : offsets[i + 1]], size, STRETCH):
-                    held.append((gram, context, np.full(len(at), keys[i]), at, at - low, high - low))
+                    held.append((gram, context, np.full(len(at), i), at, at - low, high - low))
             if held:
-                g, c, k, at, back, span = (np.concatenate(x) for x in zip(*held, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(k), pa.array(at), pa.array(back.astype(np.int16)), pa.array(span.astype(np.int16))], names=["gram", "context", "key", "at", "back", "span"])
+                yield _anchor_batch(batch, held)
 
-    return rows.mapInArrow(run, "gram long, context long, key long, at long, back short, span short")
+    return rows.mapInArrow(run, ANCHORS)
 
 
-def _contexts(rows: DataFrame, size: int) -> DataFrame:
-    """From (key, text, wanted): the bytes of contexts, and for crowded anchors the hashes of their windows.
+def longer_anchors(data: np.ndarray, size: int, width: int, at: np.ndarray, back: np.ndarray, span: np.ndarray, stretch: int) -> Iterator[tuple]:
+    """(gram, context, at, back, span): the windows of anchors dealt out by how far before the anchor they begin, `width` places together.
 
-    (gram, key, at, low, high, lead, bytes): a context begins at `at`, `lead` bytes late, its windows are low to
-    high; or, with null bytes, gram and `at` are two hashes of the window `low`.
+    The gram is what all windows that begin there share, the context what they
+    cover together; both are hashes of bytes around the anchor.
+    """
+    order = np.argsort(at, kind="stable")
+    at, back, span = at[order], back[order], span[order]
+    for begin in range(0, len(data), stretch):
+        i, j = np.searchsorted(at, [begin, begin + stretch])
+        if i == j:
+            continue
+        base = max(0, begin - size)
+        part = data[base : begin + stretch + size]
+        sums, inverse = _prefix_hash(part)
+        first, last = (back[i:j] - span[i:j]) // width, back[i:j] // width
+        many = last - first + 1
+        who = np.repeat(np.arange(i, j), many)
+        near = (np.repeat(first, many) + np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)) * width
+        far = near + width - 1
+        place = at[who] - base
+        a, b = place - near, place - far + size
+        gram = mix64((sums[b] - sums[a]) * inverse[a] + mix64(near.astype(np.uint64) + np.uint64(width << 32)))
+        a, b = np.maximum(place - far, 0), np.minimum(place - near + size, len(part))
+        shape = (place - a).astype(np.uint64) * np.uint64(1024) + (b - place + near).astype(np.uint64)
+        context = mix64((sums[b] - sums[a]) * inverse[a] + mix64(shape))
+        high = np.minimum(back[who], far)
+        yield gram, context, at[who], high, high - np.maximum(back[who] - span[who], near)
+
+
+def _split(rows: DataFrame, size: int, width: int) -> DataFrame:
+    """From (key, text, wanted): longer anchors for the windows of crowded ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            held: list[tuple] = []
+            for i, wanted in enumerate(batch.column(2).to_pylist()):
+                at, back, span = (np.array([x[c] for x in wanted], np.int64) for c in ("at", "back", "span"))
+                for gram, context, *rest in longer_anchors(data[offsets[i] : offsets[i + 1]], size, width, at, back, span, STRETCH):
+                    held.append((gram, context, np.full(len(gram), i), *rest))
+            if held:
+                yield _anchor_batch(batch, held)
+
+    return rows.mapInArrow(run, ANCHORS)
+
+
+def _contexts(rows: DataFrame, size: int, width: int) -> DataFrame:
+    """From (key, text, wanted), with anchors of that width: the bytes of their contexts.
+
+    (gram, key, at, low, high, lead, bytes): a context begins at `at`, `lead` bytes late, its windows are low to high.
     """
-    reach = size - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             out: list[tuple] = []
-            for i, (key, wanted) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                text = data[offsets[i] : offsets[i + 1]]
-                raw = text.tobytes()
+            for i, wanted in enumerate(batch.column(2).to_pylist()):
+                raw = data[offsets[i] : offsets[i + 1]].tobytes()
                 for x in wanted:
-                    low = x["at"] - x["back"]
-                    high = low + x["span"]
-                    if x["crowded"]:
-                        for s in range(low, high + 1):
-                            h = hashlib.blake2b(raw[s : s + size], digest_size=16).digest()
-                            out.append((int.from_bytes(h[:8], "big", signed=True), key, int.from_bytes(h[8:], "big", signed=True), s, s, 0, None))
-                    else:
-                        a = max(0, x["at"] - reach)
-                        out.append((x["gram"], key, a, low, -1 if x["known"] else high, reach - (x["at"] - a), raw[a : x["at"] + size]))
+                    near = x["back"] // width * width
+                    far = near + width - 1
+                    low, a = x["at"] - x["back"], max(0, x["at"] - far)
+                    out.append((x["gram"], i, a, low, -1 if x["known"] else low + x["span"], far - (x["at"] - a), raw[a : x["at"] - near + size]))
                 if len(out) > 5000:
-                    yield batch_of(out)
+                    yield batch_of(batch, out)
                     out = []
             if out:
-                yield batch_of(out)
+                yield batch_of(batch, out)
 
-    def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 6 + [pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["gram", "key", "at", "low", "high", "lead", "bytes"])
+    def batch_of(batch: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
+        gram, row, *numbers, raw = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), batch.column(0).take(pa.array(row)), *(pa.array(c, pa.int64()) for c in numbers), pa.array(raw, pa.binary())], names=["gram", "key", "at", "low", "high", "lead", "bytes"])
 
-    return rows.mapInArrow(run, "gram long, key long, at long, low long, high long, lead long, bytes binary")
+    return rows.mapInArrow(run, f"gram long, key {KEY}, at long, low long, high long, lead long, bytes binary")
 
 
 def _marked(contexts: DataFrame, size: int) -> DataFrame:
@@ -286,7 +336,8 @@ def _marked(contexts: DataFrame, size: int) -> DataFrame:
             found = list(marks(held))
             held.clear()
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["key", "low", "high"])
+                key, low, high = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["key", "low", "high"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -298,31 +349,45 @@ def _marked(contexts: DataFrame, size: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return dealt.mapInArrow(run, "key long, low long, high long")
+    return dealt.mapInArrow(run, f"key {KEY}, low long, high long")
+
+
+def _widths(size: int) -> list[int]:
+    """How many places together windows of an anchor may begin at: all, then ever fewer, down to one."""
+    out = [size - GRAM + 1]
+    while out[-1] > 1:
+        out.append(-(-out[-1] // SPLIT))
+    return out
 
 
 def repeated_windows(rows: DataFrame, size: int = 200) -> DataFrame:
     """(key, spans): for each key of rows (key, text) the windows, as runs of first bytes, that start in another place too."""
-    found = written(_anchored(rows, size))
-    grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("n > 1")
-    shared = written(found.join(grams.select("gram", (F.col("c0") == F.col("c1")).alias("same")), "gram"))
-    forget(found)
-    mixed = shared.where("not same").drop("same")
-    kinds = mixed.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one"))
-    crowds = kinds.groupBy("gram").agg((F.count("*") > CROWD).alias("crowded"))
-    judged = written(mixed.join(kinds, ["gram", "context"]).join(crowds, "gram").select("gram", "key", "at", "back", "span", (F.col("n") > 1).alias("known"), "crowded", (F.struct("key", "at") == F.col("one")).alias("first")))
+    texts = rows.dropDuplicates(["key"])
     runs = lambda df: df.select("key", (F.col("at") - F.col("back")).alias("low"), (F.col("at") - F.col("back") + F.col("span")).alias("high"))
-    sure = runs(shared.where("same")).unionByName(runs(judged.where("known")))
-    # a context that occurs often goes to the index once, for others to match
-    ship = judged.where("not known or first").groupBy("key").agg(F.collect_list(F.struct("gram", "at", "back", "span", "known", "crowded")).alias("wanted"))
-    with arrow_rows(rows.sparkSession, 500):
-        contexts = written(_contexts(rows.dropDuplicates(["key"]).join(ship, "key").select("key", "text", "wanted"), size))
-    indexed = _marked(contexts.where("bytes is not null"), size)
-    windows = contexts.where("bytes is null")
-    often = windows.groupBy("gram", "at").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = windows.join(often, ["gram", "at"]).select("key", "low", "high")
-    marks = sure.unionByName(indexed).unionByName(crowded)
-    return marks.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("spans"))
+    by_text = lambda df, *columns: texts.join(df.groupBy("key").agg(F.collect_list(F.struct(*columns)).alias("wanted")), "key").select("key", "text", "wanted")
+    sure, contexts = [], []
+    found = written(_anchored(rows, size))
+    for width in _widths(size):
+        grams = written(found.groupBy("gram").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("same")).where("n > 1"))
+        shared = written(met(found, grams, ["gram"], ["key", "at"]))
+        forget(found, grams, shuffles=True)
+        mixed = shared.where("not same").drop("same")
+        kinds = written(mixed.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one")).withColumn("known", F.col("n") > 1))
+        crowds = written(kinds.groupBy("gram").agg(F.sum("n").alias("n"), (F.lit(width > 1) & (F.count("*") > CROWD)).alias("crowded")))
+        judged = met(met(mixed, kinds, ["gram", "context"], ["key", "at"]), crowds, ["gram"], ["key", "at"])
+        judged = written(judged.select("gram", "key", "at", "back", "span", "known", "crowded", (F.struct("key", "at") == F.col("one")).alias("first")))
+        sure += [runs(shared.where("same")), runs(judged.where("known"))]
+        # a context that occurs often goes on once, for others to match
+        left = judged.where("not known or first")
+        with arrow_rows(rows.sparkSession, 500):
+            contexts.append(written(_contexts(by_text(left.where("not crowded"), "gram", "at", "back", "span", "known"), size, width)))
+            crowded = not crowds.where("crowded").isEmpty()
+            forget(kinds, crowds)
+            if not crowded:
+                break
+            found = written(_split(by_text(left.where("crowded"), "at", "back", "span"), size, -(-width // SPLIT)))
+    marks = _marked(reduce(DataFrame.unionByName, contexts), size)
+    return reduce(DataFrame.unionByName, sure, marks).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("spans"))
 
 
 def covered(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:

@@ -12,31 +12,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .features import featurised, labelled_sample, scored, word_features
+from .features import fetched, labelled_sample, scored, word_features
 
 BITS = 20
 MAKERS = [(word_features(BITS, prefixes=(4, 5, 6)), 1 << BITS)]
 #: Labelled rows that the model is fitted on at most; standard deviations by which a feature's share in toxic and clean rows must differ.
 SAMPLE, DEVIATIONS = 12000, 4.0
-#: Grades: 0 for rows labelled clean; rows labelled toxic have 1, and one more for each of these counts of telling words.
-STEPS = (2, 4)
-#: A word tells if it stands in so many toxic rows, and so many times as often as in clean ones.
-TELLING_ROWS, TELLING_RATIO = 5, 12.0
+#: Severity grades: 0 for rows labelled clean, 1 to GRADES for rows labelled toxic; parts of the sample that judge each other.
+GRADES, FOLDS = 3, 2
 
 
 def grades(rows: list[np.ndarray], toxic: np.ndarray, size: int) -> np.ndarray:
-    """Severity grades from two-valued labels: how many different words a toxic row has that hardly stand in clean rows."""
-    count = [np.bincount(np.concatenate([r for r, t in zip(rows, toxic, strict=True) if t == side] or [np.zeros(0, int)]), minlength=size) for side in (0, 1)]
-    n_clean, n_toxic = max(1, int((toxic == 0).sum())), max(1, int(toxic.sum()))
-    telling = (count[1] >= TELLING_ROWS) & (count[1] / n_toxic >= TELLING_RATIO * (count[0] + 0.5) / n_clean)
-    hits = np.array([int(telling[r].sum()) for r in rows])
-    return np.where(toxic > 0, 1 + sum((hits >= s).astype(int) for s in STEPS), 0)
+    """Severity grades from two-valued labels: toxic rows in equal shares by the margin that a model of the other folds gives them."""
+    if not len(rows) or not toxic.any():
+        return toxic
+    margin = np.zeros(len(rows))
+    fold = np.arange(len(rows)) % FOLDS
+    for k in range(FOLDS):
+        model = OrdinalModel.fit([r for r, f in zip(rows, fold, strict=True) if f != k], toxic[fold != k], size)
+        for i in np.flatnonzero(fold == k):
+            margin[i] = float(model.weights[rows[i]].sum())
+    cuts = np.quantile(margin[toxic > 0], np.arange(1, GRADES) / GRADES)
+    return np.where(toxic > 0, 1 + (margin[:, None] > cuts).sum(axis=1), 0)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def cut_points(params: np.ndarray, top: int) -> np.ndarray:
+    """The ascending thresholds in the last `top` parameters: the first one, and logarithms of the gaps."""
+    last = params[len(params) - top :]
+    return last[0] + np.concatenate(([0.0], np.cumsum(np.exp(last[1:]))))
+
+
+def ordinal_loss(params: np.ndarray, owner: np.ndarray, col: np.ndarray, grade: np.ndarray, top: int, ridge: float) -> tuple[float, np.ndarray]:
+    """The mean negative log likelihood of the grades with a ridge on the weights, and its gradient.
+
+    params: weights, then thresholds as in cut_points; owner, col: the row and
+    the weight of each feature that occurs.
+    """
+    n, used = len(grade), len(params) - top
+    w, cut = params[:used], cut_points(params, top)
+    eta = np.bincount(owner, w[col], minlength=n)
+    high = np.where(grade < top, cut[np.minimum(grade, top - 1)] - eta, np.inf)
+    low = np.where(grade > 0, cut[np.maximum(grade - 1, 0)] - eta, -np.inf)
+    sh, sl = _sigmoid(high), _sigmoid(low)
+    p = (sh - sl).clip(1e-12)
+    dh, dl = sh * (1 - sh) / p / n, sl * (1 - sl) / p / n
+    slope = np.zeros_like(params)
+    slope[:used] = np.bincount(col, (dh - dl)[owner], minlength=used) + ridge * w
+    on_cut = np.bincount(np.maximum(grade - 1, 0), dl, minlength=top)[:top] - np.bincount(np.minimum(grade, top - 1), np.where(grade < top, dh, 0), minlength=top)[:top]
+    after = np.cumsum(on_cut[::-1])[::-1]
+    slope[used] = after[0]
+    slope[used + 1 :] = after[1:] * np.exp(params[used + 1 :])
+    return float(-np.log(p).mean() + ridge * (w @ w) / 2), slope
+
+
 class OrdinalModel:
     """Weights of features and ascending thresholds; grade k or less has probability logistic(thresholds[k] - x.w)."""
 
@@ -68,26 +100,13 @@ class OrdinalModel:
         params = np.concatenate((np.zeros(len(used)), [start[0]], gaps))
         first, second = np.zeros_like(params), np.zeros_like(params)
         for step in range(1, steps + 1):
-            w, cut = params[: len(used)], params[len(used)] + np.concatenate(([0.0], np.cumsum(np.exp(params[len(used) + 1 :]))))
-            eta = np.bincount(owner, w[col], minlength=n)
-            high = np.where(grade < top, cut[np.minimum(grade, top - 1)] - eta, np.inf)
-            low = np.where(grade > 0, cut[np.maximum(grade - 1, 0)] - eta, -np.inf)
-            sh, sl = _sigmoid(high), _sigmoid(low)
-            p = (sh - sl).clip(1e-12)
-            dh, dl = sh * (1 - sh) / p / n, sl * (1 - sl) / p / n
-            slope = np.zeros_like(params)
-            slope[: len(used)] = np.bincount(col, (dh - dl)[owner], minlength=len(used)) + ridge * w
-            on_cut = np.bincount(np.maximum(grade - 1, 0), dl, minlength=top)[:top] - np.bincount(np.minimum(grade, top - 1), np.where(grade < top, dh, 0), minlength=top)[:top]
-            after = np.cumsum(on_cut[::-1])[::-1]
-            slope[len(used)] = after[0]
-            slope[len(used) + 1 :] = after[1:] * np.exp(params[len(used) + 1 :])
+            slope = ordinal_loss(params, owner, col, grade, top, ridge)[1]
             first = 0.9 * first + 0.1 * slope
             second = 0.99 * second + 0.01 * slope**2
             params = params - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         weights = np.zeros(size)
         weights[used] = params[: len(used)]
-        cut = params[len(used)] + np.concatenate(([0.0], np.cumsum(np.exp(params[len(used) + 1 :]))))
-        return cls(weights, cut)
+        return cls(weights, cut_points(params, top))
 
     def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """docs with `severity` (expected grade) and `p_toxic` (of any grade above 0).
@@ -105,11 +124,15 @@ class OrdinalModel:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, label_col: str = "toxic", where=None) -> OrdinalModel:
-    """An ordinal model from two-valued labels, fitted on at most `most` labelled rows."""
-    sample = featurised(labelled_sample(docs, labels, label_col, most, where=where), "text", MAKERS).orderBy("doc").collect()
-    rows = [np.frombuffer(r["features"], "<i4") for r in sample]
-    toxic = np.array([r["label"] > 0 for r in sample], int)
-    return OrdinalModel.fit(rows, grades(rows, toxic, 1 << BITS) if rows else toxic, 1 << BITS)
+    """An ordinal model from two-valued labels, fitted on at most `most` labelled rows and SAMPLE_BYTES of features.
+
+    Labels that are null, or of a null id, play no part; an id with both labels
+    is toxic, and each text of a repeated id counts. Rows are picked by the hash
+    of their id. Without toxic rows the model finds nothing toxic.
+    """
+    rows, label = fetched(labelled_sample(docs, labels, label_col, most, where=where), MAKERS)
+    toxic = (label > 0).astype(int)
+    return OrdinalModel.fit(rows, grades(rows, toxic, 1 << BITS), 1 << BITS)
 
 
 def reject_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text", most: float = 0.5) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
 import time
@@ -104,15 +105,65 @@ def test_toxicity_edges(spark, edge, empty):
     assert toxicity.fit_toxicity(edge, odd).score(edge).count() == 10
 
 
-def test_mixing_weights():
-    shares = [1000, 100, 10]
-    assert mixing.temperature_weights(shares, 1.0) == pytest.approx([s / 1110 for s in shares])
-    tau = mixing.mixing_exponent(shares, target_entropy=0.9)
-    assert mixing.entropy(mixing.temperature_weights(shares, tau)) == pytest.approx(0.9)
-    tau = mixing.mixing_exponent(shares, max_epochs=3.0)
-    assert max(mixing.epochs(shares, mixing.temperature_weights(shares, tau), None)) == pytest.approx(3.0)
+def _weights(tokens, exponent):
+    raw = [(t / max(tokens)) ** exponent if t else 0.0 for t in tokens]
+    return [r / sum(raw) for r in raw]
+
+
+def _epochs(tokens, weights, budget):
+    budget = budget or max(t / w for t, w in zip(tokens, weights, strict=True) if w)
+    return [w * budget / t if t else 1.0 for t, w in zip(tokens, weights, strict=True)]
+
+
+def test_mixing_weights(spark):
+    tokens = [1000, 100, 10, 0, 10]
+    heat = mixing.Temperature(spark.createDataFrame([(t,) for t in tokens], "tokens long"))
+    entropy = lambda x: -sum(w * math.log(w) for w in _weights(tokens, x) if w)
+    assert heat.entropies([0.0, 0.5, 1.0, 2.0]) == pytest.approx([entropy(x) for x in (0.0, 0.5, 1.0, 2.0)])
+    assert entropy(heat.exponent(target_entropy=0.9)) == pytest.approx(0.9)
+    for budget in (None, 3000.0):
+        assert heat.most_epochs([0.1, 0.7, 1.0], budget) == pytest.approx([max(e for e, t in zip(_epochs(tokens, _weights(tokens, x), budget), tokens, strict=True) if t) for x in (0.1, 0.7, 1.0)])
+        x = heat.exponent(max_epochs=3.0, budget=budget)
+        assert max(_epochs(tokens, _weights(tokens, x), budget)) == pytest.approx(3.0)
+        got = [r[0] for r in spark.createDataFrame([(t,) for t in tokens], "tokens long").select(heat.epochs(x, budget)).collect()]
+        assert got == pytest.approx(_epochs(tokens, _weights(tokens, x), budget))
     with pytest.raises(ValueError):
-        mixing.mixing_exponent(shares)
+        heat.exponent()
+    assert [r[0] for r in spark.createDataFrame([("a b\tc\n", ), ("", ), (None, ), ("x" * 33, )], "t string").select(mixing.token_count(F.col("t"))).collect()] == [3, 0, 0, 3]
+
+
+def test_mixing_takes_the_first_blocks(spark):
+    """The chosen rows of a broken epoch: blocks in order of their place, then documents in order of their key, while the budget lasts."""
+    rng = random.Random(22)
+    texts = {i: _text(rng, rng.randint(1, 30)) for i in range(120)}
+    docs = _docs(spark, [(i, t, "big" if i < 90 else "small") for i, t in texts.items()])
+    budget = 900.0
+    facts = {r["doc_id"]: r for r in docs.select("doc_id", "source", F.xxhash64(F.lit(17), "doc_id", "text").alias("key")).collect()}
+    got = collections.defaultdict(list)
+    for r in mixing.mix(docs, target_entropy=0.6, budget=budget).select("doc_id", "epoch").collect():
+        got[r["doc_id"]].append(r["epoch"])
+    size = {i: len(t.split()) for i, t in texts.items()}
+    total = {s: sum(size[i] for i in texts if facts[i]["source"] == s) for s in ("big", "small")}
+    names = list(total)
+    x = mixing.Temperature(spark.createDataFrame([(t,) for t in total.values()], "tokens long")).exponent(target_entropy=0.6)
+    for name, e in zip(names, _epochs(list(total.values()), _weights(list(total.values()), x), budget), strict=True):
+        own = [i for i in texts if facts[i]["source"] == name]
+        blocks = 1 << math.ceil(math.log2(len(own)) / 2)
+        order = spark.createDataFrame([(i, "s" + name, int(e), facts[i]["key"] % blocks, facts[i]["key"]) for i in own], "i int, name string, epoch int, block long, key long")
+        order = [r["i"] for r in order.orderBy(F.shiftrightunsigned(F.xxhash64(F.lit(18), "name", "epoch", "block"), 11), "block", "key").collect()]
+        left = (e - int(e)) * total[name]
+        want = {i: list(range(int(e))) for i in own}
+        for i in order:
+            left -= size[i]
+            if left < 0:
+                break
+            want[i] = [*range(int(e) + 1)]
+        assert {i: sorted(got[i]) for i in own} == want
+
+
+def test_mixing_of_very_many_sources(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b "), F.col("id").cast("string")).alias("text"), F.col("id").cast("string").alias("source"))
+    assert mixing.mix(docs, max_epochs=2.0).count() == 3000
 
 
 def test_mixing_realises_the_budget(spark):
@@ -157,7 +208,8 @@ def _links(vectors, labels, least):
 
 
 def test_epsilon_join(spark, monkeypatch):
-    monkeypatch.setattr(epsjoin, "BLOCK", 16)
+    monkeypatch.setattr(epsjoin, "BLOCK", 16 * 40)
+    monkeypatch.setattr(epsjoin, "INNER", 5)
     rng = np.random.default_rng(6)
     base = rng.normal(size=(12, 10))
     vectors = {i: (base[i % 12] + 0.06 * rng.normal(size=10)).astype(np.float32).tolist() for i in range(150)}
@@ -170,6 +222,32 @@ def test_epsilon_join(spark, monkeypatch):
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in epsjoin.epsilon_join(df).collect()}
     assert got == want | {r[0]: (0, r[0]) for r in odd}
     assert epsjoin.epsilon_join(df.where("vec_id < 0")).count() == 0
+    # ids of another type, in their own order; numbers near the ends of doubles
+    named = df.withColumn("vec_id", F.format_string("v%04d", "vec_id")).withColumn("embedding", F.transform(F.col("embedding").cast("array<double>"), lambda x: x * 1e200))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in epsjoin.epsilon_join(named).collect()}
+    assert got == {f"v{i:04d}": (n, f"v{c:04d}") for i, (n, c) in (want | {r[0]: (0, r[0]) for r in odd}).items()}
+
+
+def test_epsilon_join_of_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (3, [0.0, 1.0], 0), (None, [1.0, 0.0], 0)]
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in epsjoin.epsilon_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(0, 0, None, None), (1, 4, 1, True), (1, 4, 1, True), (2, 2, 1, False), (3, 0, 3, True)]
+
+
+def test_epsilon_join_prunes_and_keeps_all_links(spark, monkeypatch):
+    """A tree of several levels over clusters that lie apart, against brute force."""
+    monkeypatch.setattr(epsjoin, "BLOCK", 4 * 12 * 8)
+    rng = np.random.default_rng(23)
+    base = rng.normal(size=(60, 12))
+    vectors = {i: (base[i % 60] + 0.02 * rng.normal(size=12)).astype(np.float32).tolist() for i in range(900)}
+    df = spark.createDataFrame([(i, v, 1) for i, v in vectors.items()], "vec_id long, embedding array<float>, label int")
+    heads = df.select(F.col("vec_id").alias("vec"), "label", F.col("embedding").alias("v"), F.lit(1).cast("long").alias("n_same"))
+    axes = epsjoin.principal_axes(heads)
+    blocks = epsjoin.written(epsjoin._blocks(epsjoin._placed(heads, axes, 0.2), axes))
+    n = blocks.count()
+    assert n > 64 and epsjoin._interval_pairs(blocks, 0.2).count() < 0.25 * n * (n + 1) / 2
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in epsjoin.epsilon_join(df).collect()}
+    assert got == _links(vectors, dict.fromkeys(vectors, 1), 0.98)
 
 
 def test_line_dedup_against_brute_force(spark):
@@ -467,7 +545,7 @@ def test_best_cuts_are_optimal():
         assert [k - p for k, p in zip(key, at, strict=True)] == best
 
 
-@pytest.mark.parametrize("crowd", [8192, 2])
+@pytest.mark.parametrize("crowd", [8192, 2, 1])
 def test_repeats_against_brute_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(rindex, "CROWD", crowd)
     rng = random.Random(15)
