@@ -83,8 +83,8 @@ def numbered(rows: DataFrame, id_col: str, name: str) -> tuple[DataFrame, DataFr
         return rows.withColumn(name, F.col(f"`{id_col}`").cast("long")), None
     ids = rows.select(F.col(f"`{id_col}`").alias("id")).where("id is not null").distinct()
     table_ = written(ids.repartitionByRange(shuffle_width(rows.sparkSession), "id").sortWithinPartitions("id").withColumn("number", F.monotonically_increasing_id()))
-    numbers = table_.select(F.col("id").alias("__id"), F.col("number").alias(name))
-    return rows.join(numbers, F.col(f"`{id_col}`") == F.col("__id"), "left").drop("__id"), table_
+    numbers = table_.select(F.col("id").alias("__theirs"), F.col("number").alias(name))
+    return rows.join(numbers, F.col(f"`{id_col}`") == F.col("__theirs"), "left").drop("__theirs"), table_
 
 
 def renamed(out: DataFrame, columns: list[str], table_: DataFrame | None) -> DataFrame:
@@ -93,7 +93,7 @@ def renamed(out: DataFrame, columns: list[str], table_: DataFrame | None) -> Dat
         return out
     order = out.columns
     for c in columns:
-        out = out.join(table_.select(F.col("number").alias(c), F.col("id").alias("__id")), c, "left").drop(c).withColumnRenamed("__id", c)
+        out = out.join(table_.select(F.col("number").alias(c), F.col("id").alias("__theirs")), c, "left").drop(c).withColumnRenamed("__theirs", c)
     return out.select(*order)
 
 

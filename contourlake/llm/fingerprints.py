@@ -17,11 +17,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, table
+from .common import numbered, renamed, shuffle_width, table
 
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 #: Letters that a signature aims at, code points in the rolling window, and the shared run that a comparison needs.
@@ -139,11 +140,15 @@ def _in_id_order(docs: DataFrame) -> tuple[DataFrame, int]:
     """
     spark = docs.sparkSession
     parts = max(1, shuffle_width(spark))
-    limits = sorted(set(docs.approxQuantile("id", [k / parts for k in range(1, parts)], 0.5 / parts)))
-    limits_arr = F.array(*[F.lit(int(x)).cast("long") for x in limits]).cast("array<long>")
+    limits = np.array(sorted(set(docs.approxQuantile("id", [k / parts for k in range(1, parts)], 0.5 / parts))), np.int64)
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(len(limits) - np.searchsorted(limits, ids.to_numpy()))
+
     # part 0 has the largest ids; rows without an id come last
-    part = F.when(F.col("id").isNull(), F.lit(len(limits))).otherwise(F.size(F.filter(limits_arr, lambda x: x >= F.col("id"))))
-    parted = docs.withColumn("part", part.cast("int"))
+    part = F.when(F.col("id").isNull(), F.lit(len(limits))).otherwise(place(F.coalesce("id", F.lit(0))))
+    parted = docs.withColumn("part", part)
     heads = sorted((r["part"], r["head"]) for r in parted.groupBy("part").agg(F.max("id").alias("head")).collect())
     before = [(p, h, heads[i - 1][0]) for i, (p, h) in enumerate(heads)]
     if not before:
@@ -161,9 +166,12 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The next document has the next smaller id (after the last: the first); rows
     with one id follow each other by text, rows without an id come last. The
     edited text is the text with its last floor(n / 2) code points replaced by
-    as many first ones of the next text, or by all of that.
+    as many first ones of the next text, or by all of that. Null text is empty.
+    Ids are of any type that can be sorted; other columns are not read; an empty
+    table gives no rows.
     """
-    rows, parts = _in_id_order(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    source, names = numbered(docs.select(*dict.fromkeys((id_col, text_col))), id_col, "__id")
+    rows, parts = _in_id_order(source.select(F.col("__id").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")))
     dealt = rows.repartitionByRange(parts, "part").sortWithinPartitions("part", "guest", F.col("id").desc_nulls_last(), "text")
 
     def one(key, text: str, own: str, after: str, after_print: str) -> tuple:
@@ -191,7 +199,8 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for i in range(0, len(out), 2048):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 2048], strict=True), schema, strict=True)], schema=schema)
 
-    return dealt.mapInArrow(run, f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = dealt.mapInArrow(run, f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return renamed(out, [id_col], names)
 
 
 def op1_fingerprints(spark, sf_dir):

@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_rows, mix64, row_groups, table, text_buffers, written
+from .common import arrow_rows, forget, met, mix64, numbered, renamed, row_groups, table, text_buffers, written
 from .components import connected_components
-from .words import shingle_hashes, weighted_shingles, word_hashes
+from .words import rows_of_shingles, weighted_shingles, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and registers in each: two documents of similarity 0.8 share no band with a probability of about 5e-6.
@@ -36,25 +36,28 @@ REGISTERS = BANDS * ROWS
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def sketch(shingles: np.ndarray, weights: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
-    """The shingle in each register; zeros for an empty set."""
-    held = np.zeros(registers, np.uint64)
-    if len(shingles) == 0:
-        return held
-    best = np.full(registers, np.inf)
+def sketches(row: np.ndarray, shingles: np.ndarray, weights: np.ndarray, n: int, registers: int = REGISTERS) -> np.ndarray:
+    """The shingle in each register of each of n rows; zeros for an empty set. row: the row of each shingle."""
+    held = np.zeros(n * registers, np.uint64)
+    best = np.full(n * registers, np.inf)
     who, state, rate = shingles, shingles, weights.astype(float)
     time = np.zeros(len(shingles))
     while len(who):
         state = mix64(state + _STEP)
         # the low bits pick the register, the high ones the waiting time
         time = time - np.log(((state >> np.uint64(11)).astype(float) + 1.0) * 2.0**-53) / rate
-        spot = ((state & np.uint64(0xFFFF)) * np.uint64(registers) >> np.uint64(16)).astype(np.int64)
+        spot = row * registers + ((state & np.uint64(0xFFFF)) * np.uint64(registers) >> np.uint64(16)).astype(np.int64)
         np.minimum.at(best, spot, time)
         won = time == best[spot]
         held[spot[won]] = who[won]
-        alive = time < best.max()
-        who, state, rate, time = who[alive], state[alive], rate[alive], time[alive]
-    return held
+        alive = time < best.reshape(n, registers).max(axis=1)[row]
+        row, who, state, rate, time = row[alive], who[alive], state[alive], rate[alive], time[alive]
+    return held.reshape(n, registers)
+
+
+def sketch(shingles: np.ndarray, weights: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
+    """The shingle in each register of one set."""
+    return sketches(np.zeros(len(shingles), np.int64), shingles, weights, 1, registers)[0]
 
 
 def probability_jaccard(a: np.ndarray, u: np.ndarray, b: np.ndarray, v: np.ndarray) -> float:
@@ -88,19 +91,19 @@ def _sketched(docs: DataFrame) -> DataFrame:
             rows, same, bands = [], [], []
             for i, j in row_groups(offsets):
                 words, at = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                for k in range(i, j):
-                    own = words[at[k - i] : at[k - i + 1]]
-                    if len(own) == 0:
-                        continue
-                    place = np.arange(len(own), dtype=np.uint64) * _STEP
-                    one, two = mix64(own + place).sum(dtype=np.uint64), mix64((own ^ np.uint64(0x5BD1E995)) + place).sum(dtype=np.uint64)
-                    grid = sketch(*weighted_shingles(own, SHINGLE)).reshape(BANDS, ROWS)
-                    band = np.arange(BANDS, dtype=np.uint64)
-                    for r in range(ROWS):
-                        band = mix64(band * _STEP + grid[:, r])
-                    rows.append(k)
-                    same.append(int(one).to_bytes(8, "big") + int(two).to_bytes(8, "big"))
-                    bands.append(band.view(np.int64))
+                n = np.diff(at)
+                held = np.flatnonzero(n)
+                if not len(held):
+                    continue
+                place = (np.arange(len(words)) - np.repeat(at[:-1], n)).astype(np.uint64) * _STEP
+                one, two = (np.add.reduceat(mix64((words ^ salt) + place), at[:-1][held], dtype=np.uint64) for salt in (np.uint64(0), np.uint64(0x5BD1E995)))
+                grid = sketches(*rows_of_shingles(words, at, SHINGLE), j - i)[held].reshape(len(held), BANDS, ROWS)
+                band = np.tile(np.arange(BANDS, dtype=np.uint64), (len(held), 1))
+                for r in range(ROWS):
+                    band = mix64(band * _STEP + grid[:, :, r])
+                rows.extend((held + i).tolist())
+                same.extend(x.tobytes() + y.tobytes() for x, y in zip(one, two, strict=True))
+                bands.append(band.view(np.int64).ravel())
             flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(same, pa.binary()), lists], names=["doc", "same", "bands"])
@@ -157,7 +160,8 @@ def _crossing(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     component has are rarer than all others and join with none, so a document
     that has too many of them is done at once. Pairs are then bounded by
     1 / (1 + x / (1 - x) + y / (1 - y)), x and y being the shares of either set
-    that the other lacks; bitmaps show inside the join what it lacks at least.
+    that the other lacks: where two documents meet by the rarest shingle they
+    share, at least what each has of rarer ones, and what bitmaps show.
     """
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,20 +190,22 @@ def _crossing(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     slack = 1e-9
     whole = members.join(texts, "doc").select("doc", "c", "text")
     sets = whole.mapInArrow(run, "doc long, c long, shingle long, weight double")
-    live = sets.groupBy("shingle").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("shingle", "n")
-    rows = sets.join(live, "shingle")
+    live = written(sets.groupBy("shingle").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("shingle", "n", F.col("n").alias("often")))
+    rows = met(sets, live, ["shingle"], ["doc"])
     by = Window.partitionBy("doc")
     alive = F.sum("weight").over(by)
-    before = F.coalesce(F.sum("weight").over(by.orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    head = written(rows.withColumn("alive", alive).withColumn("before", before).where((F.col("alive") >= least - slack) & (1 - F.col("alive") + F.col("before") <= 1 - least + slack)).select("doc", "c", "shingle"))
+    before = F.coalesce(F.sum("weight").over(by.orderBy("often", "shingle").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rarer = 1 - F.col("alive") + F.col("before")
+    head = written(rows.withColumn("alive", alive).withColumn("before", before).where((F.col("alive") >= least - slack) & (rarer <= 1 - least + slack)).select("doc", "c", "shingle", F.greatest(rarer, F.lit(0.0)).alias("rarer")))
     left = head.select("doc").distinct()
     maps = whole.join(left, "doc", "left_semi").mapInArrow(bits, "doc long, total long, " + ", ".join(f"b{k} long" for k in range(MAP))).dropDuplicates(["doc"])
     full = written(head.join(maps, "doc"))
+    forget(live, head)
     lacks = lambda s, t: " + ".join(f"bit_count({s}.b{k} & ~{t}.b{k})" for k in range(MAP))
     share = lambda s, t: F.expr(f"cast({lacks(s, t)} as double) / {s}.total")
     x, y = share("p", "q"), share("q", "p")
-    close = x / F.greatest(1 - x, F.lit(slack)) + y / F.greatest(1 - y, F.lit(slack)) <= 1 / least - 1 + slack
-    pairs = full.alias("p").join(full.alias("q"), F.expr("p.shingle = q.shingle and p.doc > q.doc and p.c != q.c") & close)
+    bound = lambda x, y: x / F.greatest(1 - x, F.lit(slack)) + y / F.greatest(1 - y, F.lit(slack)) <= 1 / least - 1 + slack
+    pairs = full.alias("p").join(full.alias("q"), F.expr("p.shingle = q.shingle and p.doc > q.doc and p.c != q.c") & bound(F.col("p.rarer"), F.col("q.rarer")) & bound(x, y))
     return pairs.select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b")).distinct()
 
 
@@ -208,53 +214,63 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
 
     Rows with one id are one document; rows without an id get a null class.
     Texts without words link with nothing. Documents of equal words have one
-    class without being compared. Other columns are not read.
+    class without being compared. Ids are of any type that can be sorted. Other
+    columns are not read; an empty table gives no rows.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    source, names = numbered(docs.select(*dict.fromkeys((id_col, text_col))), id_col, "__doc")
+    source = source.select(F.col("__doc").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     known = source.where("doc is not null")
     drawn = written(_sketched(known))
-    heads = written(drawn.groupBy("same").agg(F.min("doc").alias("head"), F.min_by("bands", "doc").alias("bands")))
-    copies = drawn.select("doc", "same").join(heads.select("same", "head"), "same").where("doc != head").select(F.col("doc").alias("a"), F.col("head").alias("b"))
+    heads = written(drawn.groupBy("same").agg(F.min("doc").alias("head"), F.min_by("bands", "doc").alias("bands"), F.count("*").alias("n")))
+    several = heads.where("n > 1").select("same", "head", "n")
+    copies = written(met(drawn.select("doc", "same"), several, ["same"], ["doc"]).where("doc != head").select(F.col("doc").alias("a"), F.col("head").alias("b")))
     bands = written(heads.select(F.col("head").alias("doc"), F.posexplode("bands").alias("band", "value")).select("doc", F.xxhash64("band", "value").alias("band")))
-    sizes = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    met = written(bands.join(sizes, "band"))
+    forget(drawn, heads)
+    sizes = written(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n")))
+    shares = written(met(bands, sizes, ["band"], ["doc"]))
     # a document near the middle of its group shares bands with most of it; it is what the others are compared with
-    scores = met.groupBy("doc").agg(F.sum("n").alias("score"))
-    scored = met.join(scores, "doc").select("band", "doc", F.struct("score", (-F.col("doc")).alias("minus")).alias("rank"))
-    centres = scored.groupBy("band").agg(F.max("rank").alias("centre"))
-    shared = written(met.select("band", "doc").join(centres, "band").select("band", "doc", "centre", (-F.col("centre.minus")).alias("first")))
+    scores = shares.groupBy("doc").agg(F.sum("size").alias("score"))
+    scored = shares.join(scores, "doc").select("band", "doc", F.struct("score", (-F.col("doc")).alias("minus")).alias("rank"))
+    centres = written(scored.groupBy("band").agg(F.max("rank").alias("centre"), F.count("*").alias("n")))
+    shared = written(met(shares, centres, ["band"], ["doc"]).select("band", "doc", "size", "centre", (-F.col("centre.minus")).alias("first")))
+    forget(bands, sizes, shares, centres)
     # texts are shuffled once, at every size alike; what follows reads candidates only
     texts = written(known.join(shared.select("doc").distinct().hint("merge"), "doc", "left_semi"))
     # first each document against the most central one that shares any band with it
-    one = shared.groupBy("doc").agg(F.max("centre").alias("centre")).select(F.col("doc").alias("a"), (-F.col("centre.minus")).alias("b")).where("a != b")
+    one = written(shared.groupBy("doc").agg(F.max("centre").alias("centre")).select(F.col("doc").alias("a"), (-F.col("centre.minus")).alias("b")).where("a != b"))
     links = _compared(one, texts, least)
-    tried = one
     # then against the centres of its other bands, where these lie in another component
     labels = connected_components(links)
-    own = shared.join(labels.withColumnRenamed("id", "doc"), "doc", "left").select("band", "doc", "first", F.coalesce("component", "doc").alias("c"))
-    own = written(own)
-    heads_of = own.where("doc = first").select(F.col("band"), F.col("c").alias("fc")).distinct()
-    two = own.where("doc != first").join(heads_of, "band").where("c != fc").select(F.col("doc").alias("a"), F.col("first").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    own = written(shared.join(labels.withColumnRenamed("id", "doc"), "doc", "left").select("band", "doc", "first", "size", F.coalesce("component", "doc").alias("c")))
+    heads_of = written(own.where("doc = first").groupBy("band").agg(F.max("c").alias("fc"), F.max("size").alias("n")))
+    two = written(met(own.where("doc != first"), heads_of, ["band"], ["doc"]).where("c != fc").select(F.col("doc").alias("a"), F.col("first").alias("b")).distinct().join(one, ["a", "b"], "left_anti"))
     more = _compared(two, texts, least)
     links = links.unionByName(more)
-    tried = tried.unionByName(two)
+    forget(own, heads_of)
     # last what bands still hold in different components and was not compared
     labels = connected_components(links)
     own = written(shared.join(labels.withColumnRenamed("id", "doc"), "doc", "left").select("band", "doc", F.coalesce("component", "doc").alias("c")))
-    mixed = own.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
-    left = own.join(mixed, "band", "left_semi").select("doc", "c").distinct()
-    three = _crossing(left, texts, least).join(tried, ["a", "b"], "left_anti")
+    mixed = written(own.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high").select("band", "n"))
+    left = written(met(own, mixed, ["band"], ["doc"]).select("doc", "c").distinct())
+    three = _crossing(left, texts, least).join(one.unionByName(two), ["a", "b"], "left_anti")
     last = _compared(three, texts, least)
+    forget(texts, shared, own, mixed, left)
     classes = connected_components(links.unionByName(last).unionByName(copies))
-    ids = source.select(F.col("doc").alias("id"))
-    return ids.join(classes, "id", "left").select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("class_id"))
+    out = source.select(F.col("doc").alias("id")).join(classes, "id", "left").select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("class_id"))
+    return renamed(out, [id_col, "class_id"], names)
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each class, the one with the smallest id; rows without an id stay; of rows with one id one stays."""
+    """docs with one document of each class, the one with the smallest id.
+
+    Rows without an id stay; of the rows with one id the one whose text has the
+    smallest hash stays. Texts without words are no copies of each other; an
+    empty table gives an empty table.
+    """
     classes = written(near_duplicates(docs, least, id_col, text_col).where(F.col("class_id") != F.col(id_col)).select(id_col).distinct())
-    known = docs.where(F.col(id_col).isNotNull()).join(classes, id_col, "left_anti").select(*docs.columns).dropDuplicates([id_col])
-    return known.unionByName(docs.where(F.col(id_col).isNull()))
+    known = docs.where(F.col(id_col).isNotNull()).join(classes, id_col, "left_anti")
+    first = known.groupBy(id_col).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in (text_col, *docs.columns)])).alias("__row"))
+    return first.select("__row.*").unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op7_near_dedup(spark, sf_dir):

@@ -106,3 +106,25 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 def weighted_shingles(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes in ascending order, and how often each occurs."""
     return np.unique(shingle_hashes(words, size), return_counts=True)
+
+
+def rows_of_shingles(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle, count) of all rows of a piece at once: what weighted_shingles gives for each, in the order of rows and shingles."""
+    n = np.diff(at)
+    hashes, owner = [], []
+    if len(words) >= size:
+        whole = shingle_hashes(words, size)
+        row = np.repeat(np.arange(len(n)), n)[: len(whole)]
+        inside = np.arange(len(whole)) + size <= at[1:][row]
+        hashes.append(whole[inside])
+        owner.append(row[inside])
+    for k in np.flatnonzero((n > 0) & (n < size)).tolist():
+        hashes.append(shingle_hashes(words[at[k] : at[k + 1]], size))
+        owner.append(np.array([k]))
+    if not hashes:
+        return np.zeros(0, np.int64), words[:0], np.zeros(0, np.int64)
+    found, row = np.concatenate(hashes), np.concatenate(owner)
+    order = np.lexsort((found, row))
+    found, row = found[order], row[order]
+    first = np.flatnonzero(np.concatenate(([True], (found[1:] != found[:-1]) | (row[1:] != row[:-1]))))
+    return row[first], found[first], np.diff(np.append(first, len(found)))

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from contourlake.llm import epsjoin, fingerprints, lines, mixing, packing, probminhash, quality, rindex, tokens, toxicity, words, wrappers
+from contourlake.llm import common, epsjoin, features, fingerprints, lines, mixing, packing, probminhash, quality, rindex, tokens, toxicity, words, wrappers
 from contourlake.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, h string, lines string, key string, turn string"
@@ -57,6 +57,56 @@ def test_fingerprints_compare_neighbours(spark):
     assert fingerprints.likeness("1::", "1::") == 1.0 and fingerprints.fingerprint("") == "1::"
 
 
+def _plain_fingerprint(text):
+    """The definition, a code point at a time."""
+    codes = [0] * 6 + [ord(c) for c in text]
+    word = (1 << 32) - 1
+
+    def spread(h):
+        h = (h ^ h >> 15) * 0x85EBCA6B & word
+        return h ^ h >> 13
+
+    rolling = []
+    for i in range(len(text)):
+        h = 0
+        for k, c in enumerate(codes[i : i + 7]):  # the middle one counts twice
+            h = (h * 0x9E3779B1 + (2 * c if k == 3 else c)) & word
+        rolling.append(spread(h))
+    block = 1
+    while block * 64 < len(text):
+        block *= 2
+
+    def signature(size):
+        out, total, since = "", 0, 0
+        for i, h in enumerate(rolling):
+            total, since = (total + h) & word, since + 1
+            if size == 1 or h < 2**32 // size or since == 4 * size or i == len(rolling) - 1:
+                out += fingerprints.LETTERS.tobytes().decode()[spread(total) >> 26]
+                total, since = 0, 0
+        return out
+
+    return f"{block}:{signature(block)}:{signature(2 * block)}" if text else "1::"
+
+
+def test_fingerprint_against_the_definition():
+    rng = random.Random(26)
+    for n in (0, 1, 6, 63, 64, 65, 130, 700, 5000):
+        for text in ("".join(rng.choice("ab é中😀\n") for _ in range(n)), "x" * n, "xy" * (n // 2)):
+            assert fingerprints.fingerprint(text) == _plain_fingerprint(text)
+
+
+def test_fingerprints_of_other_ids(spark):
+    rows = [(f"k{i:02d}", f"{i} " * 50) for i in range(9)] + [(None, "none")]
+    got = {r["doc_id"]: r for r in fingerprints.compare_neighbours(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    for (i, x), (_, y) in zip(rows, [rows[-1], *rows[:-1]], strict=True):
+        want = x[: len(x) - len(x) // 2] + y[: len(x) // 2]
+        assert got[i]["edited_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+    large = [(2**62 + i, f"{i} " * 40) for i in range(50)] + [(None, "none")]
+    got = {r["doc_id"]: r["edited_sha256"] for r in fingerprints.compare_neighbours(spark.createDataFrame(large, "doc_id long, text string")).collect()}
+    x, y = large[7][1], large[6][1]
+    assert got[2**62 + 7] == hashlib.sha256((x[: len(x) - len(x) // 2] + y[: len(x) // 2]).encode()).hexdigest()
+
+
 def test_fingerprints_edges(edge, empty):
     assert fingerprints.compare_neighbours(edge).count() == 10 and fingerprints.compare_neighbours(empty).count() == 0
     assert fingerprints.with_fingerprints(edge).where("text = '' and fingerprint != '1::'").count() == 0
@@ -97,10 +147,48 @@ def test_toxicity_held_out(spark):
     assert kept.columns == docs.columns and kept.where("doc_id % 5 != 0").count() == 240
 
 
+def test_ordinal_likelihood_and_gradient():
+    rng = np.random.default_rng(27)
+    for top in (1, 2, 3):
+        n, used = 30, 5
+        grade = rng.integers(0, top + 1, n)
+        owner, col = rng.integers(0, n, 60), rng.integers(0, used, 60)
+        params = rng.normal(size=used + top)
+        loss, slope = toxicity.ordinal_loss(params, owner, col, grade, top, 0.1)
+        cut = [params[used]]
+        for gap in params[used + 1 :]:
+            cut.append(cut[-1] + math.exp(gap))
+        plain = 0.0
+        for i in range(n):
+            eta = sum(params[c] for o, c in zip(owner, col, strict=True) if o == i)
+            at_most = [1 / (1 + math.exp(eta - c)) for c in cut] + [1.0]
+            plain -= math.log(at_most[grade[i]] - (at_most[grade[i] - 1] if grade[i] else 0.0)) / n
+        assert loss == pytest.approx(plain + 0.05 * (params[:used] ** 2).sum())
+        for k in range(len(params)):
+            step = np.zeros(len(params))
+            step[k] = 1e-6
+            up, down = (toxicity.ordinal_loss(params + s * step, owner, col, grade, top, 0.1)[0] for s in (1, -1))
+            assert slope[k] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+
+
+def test_samples_are_bounded(spark):
+    docs = _docs(spark, [(i, _text(random.Random(i), 30)) for i in range(200)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    picked = features.labelled_sample(docs, labels, "toxic", 50)
+    order = [r["doc_id"] for r in labels.orderBy(F.xxhash64("doc_id")).collect()]
+    assert {r["doc"] for r in picked.collect()} == set(order[:50])
+    whole, label = features.fetched(picked, toxicity.MAKERS)
+    assert label.tolist() == [i % 2 for i in order[:50]]
+    few, label = features.fetched(picked, toxicity.MAKERS, 4 * sum(map(len, whole[:10])))
+    assert len(few) == 10 and all((x == y).all() for x, y in zip(few, whole, strict=False))
+
+
 def test_toxicity_edges(spark, edge, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.fit_toxicity(edge, none)
     assert toxicity.reject_toxic(edge, model).count() == 10 and model.score(empty).count() == 0
+    clash = edge.withColumns({c: F.lit("old") for c in ("severity", "p_toxic", "score")})
+    assert dict(model.score(clash).dtypes)["severity"] == dict(model.score(clash).dtypes)["p_toxic"] == "double" and model.score(clash).where("score = 'old'").count() == 10
     odd = spark.createDataFrame([(None, 1, 1), (3, None, None), (3, 1, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
     assert toxicity.fit_toxicity(edge, odd).score(edge).count() == 10
 
@@ -417,6 +505,20 @@ def test_wrappers_in_layout_containers(spark):
     assert {r["page_id"]: r["text"] for r in got} == want
 
 
+def test_sketches_of_a_piece_are_those_of_its_rows():
+    rng = random.Random(24)
+    texts = ["", _text(rng, 3), _text(rng, 200), "", _text(rng, 5), "a a a a a a a a", _text(rng, 40)]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    own, at = words.word_hashes(data, offsets)
+    row, found, count = words.rows_of_shingles(own, at, 5)
+    grid = probminhash.sketches(row, found, count, len(texts), 48)
+    for k in range(len(texts)):
+        one = words.weighted_shingles(own[at[k] : at[k + 1]], 5)
+        assert (found[row == k] == one[0]).all() and (count[row == k] == one[1]).all()
+        assert (grid[k] == probminhash.sketch(*one, 48)).all()
+
+
 def _classes(texts, least):
     sets = {}
     for i, t in texts.items():
@@ -467,6 +569,31 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r["doc_id"] for r in kept.collect()} == set(got.values()) and len(kept.columns) == 10
 
 
+def test_near_duplicates_of_long_texts_and_other_ids(spark):
+    """More shingles than a bitmap has bits, similarities on both sides of the threshold, ids that are texts."""
+    rng = random.Random(25)
+    texts = {}
+    for g in range(3):
+        base = [f"{rng.randrange(10**6)}" for _ in range(6000)]
+        for k in range(6):
+            own = list(base)
+            for at in rng.sample(range(6000), 30 + 60 * k):
+                own[at] = f"{rng.randrange(10**6)}"
+            texts[f"d{g}{k}"] = " ".join(own)
+    got = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()}
+    assert got == _classes(texts, 0.8) and len(set(got.values())) > 3
+    kept = probminhash.keep_one(spark.createDataFrame([*texts.items(), (None, "x"), (None, "x")], "doc_id string, text string")).collect()
+    assert sorted(r["doc_id"] or "" for r in kept) == ["", "", *sorted(set(got.values()))]
+
+
+def test_met_deals_hot_keys_out(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    groups = common.written(rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("least")).where("k < 2000"))
+    got = sorted(map(tuple, common.met(rows, groups, ["k"], ["v"]).select("k", "v", "least").collect()))
+    assert got == sorted((k, v, k) for k, v in ((0 if i % 3 == 0 else i, i) for i in range(3000)) if k < 2000)
+    assert common.met(rows, groups.where("k < 0"), ["k"], ["v"]).count() == 0
+
+
 def test_near_duplicates_edges(edge, empty):
     rows = probminhash.near_duplicates(edge).collect()
     assert len(rows) == 10 and {r["class_id"] for r in rows if r["doc_id"] is None} == {None}
@@ -625,6 +752,24 @@ def test_quality_held_out(spark, edge, empty):
     assert one.score(docs).where("score <= 0.5").count() == 0
 
 
+def test_dual_coordinate_descent_against_a_plain_solver():
+    """Its weights reach the least loss that gradient descent on the primal problem finds."""
+    rng = np.random.default_rng(28)
+    rows = [np.unique(rng.integers(0, 12, 5)) for _ in range(60)]
+    values, y = rng.normal(size=12), rng.integers(0, 2, 60)
+    x = np.zeros((60, 13))
+    for i, r in enumerate(rows):
+        x[i, r] = values[r]
+    x[:, 12] = 1
+    sign = np.where(y > 0, 1.0, -1.0)
+    loss = lambda w: w @ w / 2 + 0.5 * (np.maximum(0, 1 - sign * (x @ w)) ** 2).sum()
+    plain = np.zeros(13)
+    for _ in range(20_000):
+        plain -= 0.002 * (plain - x.T @ (sign * np.maximum(0, 1 - sign * (x @ plain))))
+    w, bias = quality.dual_coordinate_descent(rows, values, y, 0.5, 300)
+    assert loss(np.append(w, bias)) == pytest.approx(loss(plain), rel=1e-4)
+
+
 def test_dual_coordinate_descent_separates():
     rows = [np.array([0, 2]), np.array([0]), np.array([1, 2]), np.array([1])]
     w, bias = quality.dual_coordinate_descent(rows, np.ones(3), np.array([1, 1, 0, 0]))
