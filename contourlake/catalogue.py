@@ -8,31 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import color, geometry, numbers, settings
-from .operators import kmeans, layers, masks, paths, pixels
+from .operators import layers, masks, paths, pixels
 from .plans import derived, export, vectorize
 from .plans.derived import AREA, DENSE, MASK, PATH, RASTER, RING
+from .registered import QUERIES, SQL
+from .registered import register as _register
 from .streaming import queue
 
-_QUERIES: dict[str, Callable] = {}
-_SQL: dict[str, str] = {}
-
-
-def _register(sql: str | None = None) -> Callable:
-    def add(f: Callable) -> Callable:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 def queries() -> dict[str, Callable]:
-    return dict(_QUERIES)
+    from . import catalogue_documents, catalogue_points  # noqa: F401  they enter their queries when imported
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    queries()
+    return dict(SQL)
 
 
 #: A fixed palette for queries that need one.
@@ -480,35 +472,6 @@ def names(spark, sf_dir):
     return p.select("p_partkey", stem(F.concat("p_name", ending)).alias("stem"), layers.layer_name(F.col("p_partkey") % 40).alias("layer"))
 
 
-@_register()
-def quantized_palette(spark, sf_dir):
-    """k-means of the rasters: ten iterations have no SQL form."""
-    return kmeans.palette(kmeans.quantize(derived.dense(spark, sf_dir), 6))
-
-
-@_register()
-def douglas_peucker(spark, sf_dir):
-    p = paths.to_points(derived.order_path(spark, sf_dir))
-    return p.select("path_id", geometry.douglas_peucker(F.col("points"), F.lit(2000.0)).alias("points"))
-
-
-@_register()
-def greedy_dedupe(spark, sf_dir):
-    p = paths.to_points(derived.order_path(spark, sf_dir))
-    return p.select("path_id", geometry.collapse_short(geometry.dedupe_near(F.col("points")), 5000.0).alias("points"))
-
-
-@_register()
-def simplified_paths(spark, sf_dir):
-    return paths.simplify(derived.order_path(spark, sf_dir), 2000.0, 0.3, 40.0)
-
-
-@_register()
-def joined_damage(spark, sf_dir):
-    raw = derived.order_path(spark, sf_dir)
-    return paths.join_damage(raw, paths.drop_collinear(raw, 0.01))
-
-
 @_register()
 def vectorized_images(spark, sf_dir):
     """The whole conversion of the rasters."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,10 @@ def dist(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.hypot((ax - bx).cast("double"), (ay - by).cast("double"))
 
 
+def to_radians(degrees: Column) -> Column:
+    return F.radians(degrees.cast("double"))
+
+
 def turning_angle(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """The angle between two steps in radians; 0 where a step has no length."""
     size = F.hypot(ax.cast("double"), ay.cast("double")) * F.hypot(bx.cast("double"), by.cast("double"))
@@ -140,34 +146,45 @@ def dedupe_near(points: Column, eps: float = 0.01) -> Column:
 
 def douglas_peucker_points(points: list[tuple[float, float]], eps: float) -> list[tuple[float, float]]:
     """Points kept by splitting at the first farthest point while it is further off than eps."""
-    n = len(points)
+    x, y = np.array(points, float).reshape(-1, 2).T
+    return [points[i] for i in douglas_peucker_places(x, y, eps)]
+
+
+def douglas_peucker_places(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
+    """The places of the points that are kept."""
+    n = len(x)
     if n < 3:
-        return points
-    keep = [False] * n
+        return np.arange(n)
+    keep = np.zeros(n, bool)
     keep[0] = keep[-1] = True
     spans = [(0, n - 1)]
     while spans:
         a, b = spans.pop()
-        (ax, ay), (bx, by) = points[a], points[b]
-        dx, dy = bx - ax, by - ay
-        size = (dx * dx + dy * dy) ** 0.5
-        most, at = 0.0, -1
-        for i in range(a + 1, b):
-            x, y = points[i]
-            d = ((x - ax) ** 2 + (y - ay) ** 2) ** 0.5 if size == 0 else abs(dy * x - dx * y + bx * ay - by * ax) / size
-            if d > most:
-                most, at = d, i
-        if at >= 0 and most > eps:
-            keep[at] = True
-            spans += [(a, at), (at, b)]
-    return [p for p, k in zip(points, keep, strict=True) if k]
+        if b - a < 2:
+            continue
+        dx, dy = x[b] - x[a], y[b] - y[a]
+        size = np.sqrt(dx * dx + dy * dy)
+        px, py = x[a + 1 : b], y[a + 1 : b]
+        d = np.sqrt((px - x[a]) ** 2 + (py - y[a]) ** 2) if size == 0 else np.abs(dy * px - dx * py + x[b] * y[a] - y[b] * x[a]) / size
+        at = int(d.argmax())
+        if d[at] > eps:
+            keep[a + 1 + at] = True
+            spans += [(a, a + 1 + at), (a + 1 + at, b)]
+    return np.flatnonzero(keep)
 
 
 def douglas_peucker(points: Column, eps: Column) -> Column:
     """The same on arrays of points, in Arrow batches: the recursion has no built-in form."""
 
-    @F.pandas_udf(POINTS)
-    def run(rows: pd.Series, limit: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None else [{"x": x, "y": y} for x, y in douglas_peucker_points([(p["x"], p["y"]) for p in r], e)] for r, e in zip(rows, limit, strict=True)])
+    @F.arrow_udf(POINTS)
+    def run(rows: pa.Array, limit: pa.Array) -> pa.Array:
+        flat = rows.flatten()
+        x, y = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        sizes = np.array([0 if r is None else r for r in pc.list_value_length(rows).to_pylist()], np.int64)
+        ends = np.cumsum(sizes)
+        keep = [douglas_peucker_places(x[b - n : b], y[b - n : b], e) for b, n, e in zip(ends.tolist(), sizes.tolist(), limit.to_pylist(), strict=True)]
+        at = np.concatenate([np.zeros(0, np.int64), *(k + b - n for k, b, n in zip(keep, ends, sizes, strict=True))])
+        offsets = np.concatenate(([0], np.cumsum([len(k) for k in keep]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), flat.take(pa.array(at)), mask=rows.is_null() if rows.null_count else None)
 
     return run(points, eps)

@@ -75,6 +75,19 @@ def merged_settings(text: str | None, legacy: tuple[str, ...] = ("paletteMode",
     return DEFAULTS | {k: v for k, v in own.items() if k in DEFAULTS}
 
 
+def settings_column(text: Column, legacy: tuple[str, ...] = ("paletteMode", "paletteSize", "optimizePreset")) -> Column:
+    """The same as a struct of a column of JSON."""
+    old = F.lit(False)
+    for k in legacy:
+        old = old | F.get_json_object(text, f"$.{k}").isNotNull()
+    fields = []
+    for k, v in DEFAULTS.items():
+        own = F.get_json_object(text, f"$.{k}")
+        own = own if isinstance(v, str) else own.try_cast("double")
+        fields.append(F.when(old, F.lit(v)).otherwise(F.coalesce(own, F.lit(v))).alias(k))
+    return F.struct(*fields)
+
+
 def parse_flags(argv: list[str], options: BatchOptions | None = None) -> BatchOptions:
     """--name value pairs over the options; values are numbers where they parse, unknown names are ignored."""
     out = dataclasses.asdict(options or BatchOptions())

@@ -84,7 +84,7 @@ def group_layers(paths: DataFrame, keys: list[str] = ["image_id"]) -> DataFrame:
 
 def drawable(paths: Column) -> Column:
     """Paths with exact data, 3 points or more, or a hole of 3 or more."""
-    return F.filter(paths, lambda p: (F.size(p["points"]) >= 3) | F.exists(F.coalesce(p["holes"], F.array().cast("array<array<struct<x:double,y:double>>>")), lambda h: F.size(h) >= 3))
+    return F.filter(paths, lambda p: (F.length(F.coalesce(p["svg_path_data"], F.lit(""))) > 0) | (F.size(p["points"]) >= 3) | F.exists(F.coalesce(p["holes"], F.array().cast("array<array<struct<x:double,y:double>>>")), lambda h: F.size(h) >= 3))
 
 
 def metrics(paths: DataFrame, keys: list[str] = ["image_id"]) -> DataFrame:  # noqa: B006

@@ -17,10 +17,6 @@ KEY = ["image_id", "label"]
 CELL = [*KEY, "width", "height", "x", "y"]
 
 
-def _square(n: int) -> Column:
-    return F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dy in range(-n, n + 1) for dx in range(-n, n + 1)])
-
-
 def neighbors(mask: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
     """Each bit's cells at the offsets that lie on the canvas, with the bit they come from as fx, fy."""
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets])
@@ -30,18 +26,21 @@ def neighbors(mask: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
 
 
 def dilate(mask: DataFrame, n: int = 1) -> DataFrame:
-    """Bits within n of a bit, in both directions; n steps of one equal one of n."""
+    """Bits within n of a bit, in both directions; n steps of one equal one of n. Rows first, then columns: 2 (2n + 1) rows a bit."""
     if n <= 0:
         return mask
-    return neighbors(mask, [(dx, dy) for dy in range(-n, n + 1) for dx in range(-n, n + 1)]).select(*CELL).distinct()
+    wide = neighbors(mask, [(d, 0) for d in range(-n, n + 1)]).select(*CELL).distinct()
+    return neighbors(wide, [(0, d) for d in range(-n, n + 1)]).select(*CELL).distinct()
 
 
 def erode(mask: DataFrame, n: int = 1) -> DataFrame:
     """Bits whose whole square of radius n is set; counted by a hash aggregate that combines before its shuffle."""
     if n <= 0:
         return mask
-    near = neighbors(mask, [(dx, dy) for dy in range(-n, n + 1) for dx in range(-n, n + 1)])
-    return near.groupBy(*CELL).count().where(F.col("count") == (2 * n + 1) ** 2).select(*CELL)
+    out = mask
+    for steps in ([(d, 0) for d in range(-n, n + 1)], [(0, d) for d in range(-n, n + 1)]):
+        out = neighbors(out.select(*CELL), steps).groupBy(*CELL).count().where(F.col("count") == 2 * n + 1).select(*CELL)
+    return out
 
 
 def close(mask: DataFrame, n: int = 1) -> DataFrame:

@@ -19,10 +19,11 @@ def ring(nodes: DataFrame, keys: list[str] = KEYS, reach: int = 1) -> DataFrame:
     """nodes with their cyclic neighbours: px, py, nx, ny (and ppx, ppy, nnx, nny), and n, the length of the path."""
     w = Window.partitionBy(*keys).orderBy("pos")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    back = Window.partitionBy(*keys).orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = nodes.withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
     for k, (before, after) in enumerate((("p", "n"), ("pp", "nn"))[:reach], 1):
         for c in "xy":
-            out = out.withColumn(before + c, F.coalesce(F.lag(c, k).over(w), _from_end(c, k, w, whole)))
+            out = out.withColumn(before + c, F.coalesce(F.lag(c, k).over(w), _from_end(c, k, w, whole, back)))
             out = out.withColumn(after + c, F.coalesce(F.lead(c, k).over(w), _from_start(c, k, w, whole)))
     return out
 
@@ -36,12 +37,12 @@ def _from_start(c: str, k: int, w, whole) -> Column:
     return F.when(ends & (F.col("n") > 1), F.nth_value(c, 2).over(whole)).otherwise(first)
 
 
-def _from_end(c: str, k: int, w, whole) -> Column:
+def _from_end(c: str, k: int, w, whole, back) -> Column:
     last = F.last(c).over(whole)
     if k == 1:
         return last
     starts = F.row_number().over(w) == 1
-    return F.when(starts & (F.col("n") > 1), F.element_at(F.slice(F.collect_list(c).over(whole), -2, 1), 1)).otherwise(last)
+    return F.when(starts & (F.col("n") > 1), F.nth_value(c, 2).over(back)).otherwise(last)
 
 
 def _step() -> tuple[Column, Column, Column, Column]:
@@ -87,18 +88,27 @@ def short_edges(nodes: DataFrame, min_len: float = 0.5, keys: list[str] = KEYS)
 def self_intersections(nodes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """(keys, crosses): whether two edges that are no neighbours touch; false for fewer than 4 nodes.
 
-    Edges of one path meet in a join on the path; pairs whose boxes are apart
-    go before the exact test.
+    Edges are dealt to the cells of a grid over their path, about as many as it
+    has edges, and meet edges of the same cell; a pair is tested in the first
+    cell that both have, after their boxes.
     """
     w = Window.partitionBy(*keys).orderBy("pos")
     edges = ring(nodes, keys).select(*keys, "n", (F.row_number().over(w) - 1).alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("nx").alias("bx"), F.col("ny").alias("by"))
+    box = Window.partitionBy(*keys)
+    for v in "xy":
+        low, high = F.least(F.col(f"a{v}"), F.col(f"b{v}")), F.greatest(F.col(f"a{v}"), F.col(f"b{v}"))
+        side, lines = F.greatest(F.max(high).over(box) - F.min(low).over(box), F.lit(1e-300)), F.floor(F.sqrt("n"))
+        cell = lambda at, low=low, side=side, lines=lines: F.least(F.floor((at - F.min(low).over(box)) / side * lines), lines - 1).cast("int")
+        edges = edges.withColumn(f"l{v}", cell(low)).withColumn(f"h{v}", cell(high))
+    cells = F.flatten(F.transform(F.sequence("lx", "hx"), lambda x: F.transform(F.sequence("ly", "hy"), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    edges = edges.where("n >= 4").withColumn("cell", F.explode(cells))
     p, q = edges.alias("p"), edges.alias("q")
-    same = [F.col(f"p.{k}") == F.col(f"q.{k}") for k in keys]
+    same = [F.col(f"p.{k}") == F.col(f"q.{k}") for k in (*keys, "cell")]
     c = lambda s: (F.col(f"{s}.ax"), F.col(f"{s}.ay"), F.col(f"{s}.bx"), F.col(f"{s}.by"))
     pa, pb, pc, pd_ = c("p")
     qa, qb, qc, qd = c("q")
     boxes = (F.least(pa, pc) <= F.greatest(qa, qc)) & (F.least(qa, qc) <= F.greatest(pa, pc)) & (F.least(pb, pd_) <= F.greatest(qb, qd)) & (F.least(qb, qd) <= F.greatest(pb, pd_))
-    apart = F.expr("q.i > p.i + 1 and not (p.i = 0 and q.i = p.n - 1) and p.n >= 4")
+    apart = F.expr("q.i > p.i + 1 and not (p.i = 0 and q.i = p.n - 1) and p.cell.x = greatest(p.lx, q.lx) and p.cell.y = greatest(p.ly, q.ly)")
     hit = p.join(q, [*same, apart, boxes]).where(segments_intersect((pa, pb), (pc, pd_), (qa, qb), (qc, qd))).select(*[F.col(f"p.{k}") for k in keys]).distinct().withColumn("crosses", F.lit(True))
     return nodes.select(*keys).distinct().join(hit, keys, "left").withColumn("crosses", F.coalesce("crosses", F.lit(False)))
 

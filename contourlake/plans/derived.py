@@ -18,8 +18,8 @@ def cents(c: str):
 
 
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One image for each event type: day by hour, channels from counts and sums; missing cells are transparent."""
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("image_id"), (F.dayofmonth("ts") - 1).alias("x"), F.hour("ts").alias("y"), cents("value").alias("c"), "event_id")
+    """An image for each event type of each 10,000 events: day by hour, channels from counts and sums; missing cells are transparent."""
+    e = table(spark, sf_dir, "events").select(F.concat("event_type", F.lit("_"), F.expr("event_id div 10000").cast("string")).alias("image_id"), (F.dayofmonth("ts") - 1).alias("x"), F.hour("ts").alias("y"), cents("value").alias("c"), "event_id")
     out = e.groupBy("image_id", "x", "y").agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.sum("event_id").alias("e"))
     return out.select(
         "image_id", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), "x", "y", "n",
@@ -28,11 +28,11 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-RASTER = """r AS (SELECT event_type AS image_id, 31 AS width, 24 AS height, CAST(day(ts) - 1 AS INTEGER) AS x, CAST(hour(ts) AS INTEGER) AS y,
+RASTER = """r AS (SELECT event_type || '_' || CAST(event_id // 10000 AS VARCHAR) AS image_id, 31 AS width, 24 AS height, CAST(day(ts) - 1 AS INTEGER) AS x, CAST(hour(ts) AS INTEGER) AS y,
   CAST(count(*) AS BIGINT) AS n, CAST(least(255, 24 * count(*)) AS INTEGER) AS r,
   CAST(least(255, CAST(sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS BIGINT) // 100) AS INTEGER) AS g,
   CAST(sum(event_id) % 256 AS INTEGER) AS b, CASE WHEN sum(event_id) % 5 = 0 THEN 0 ELSE 255 END AS a
-  FROM events GROUP BY event_type, day(ts), hour(ts))"""
+  FROM events GROUP BY event_type, event_id // 10000, day(ts), hour(ts))"""
 
 
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +85,21 @@ g AS (SELECT a.*, b1.x AS px, b1.y AS py, c1.x AS nx, c1.y AS ny, b2.x AS ppx, b
 )
 
 
+def drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of closed paths on canvases of 60 by 40, one canvas for each 64 order keys: image_id, path_id, pos, x, y, color."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path_id"), "l_linenumber", F.col("l_quantity").cast("long").alias("x"), (F.col("l_partkey") % 40).alias("y"))
+    pos = F.row_number().over(Window.partitionBy("path_id").orderBy("l_linenumber", "x", "y")) - 1
+    color = F.element_at(F.array(*map(F.lit, DRAWN)), (F.col("path_id") % 3 + 1).cast("int"))
+    return li.select(F.expr("path_id div 64").alias("image_id"), "path_id", pos.alias("pos"), "x", "y", color.alias("color"))
+
+
+DRAWN = ("#30783c", "#ff0000", "#0a141e")
+DRAWING = """p AS (SELECT path_id, CAST(row_number() OVER (PARTITION BY path_id ORDER BY l_linenumber, x, y) - 1 AS INTEGER) AS pos, x, y FROM
+  (SELECT l_orderkey AS path_id, l_linenumber, CAST(l_quantity AS BIGINT) AS x, l_partkey % 40 AS y FROM lineitem))"""
+#: The same with cyclic neighbours, images and colours.
+DRAWN_RING = DRAWING + RING[len(PATH) :] + ", h AS (SELECT *, path_id // 64 AS image_id, ['#30783c', '#ff0000', '#0a141e'][path_id % 3 + 1] AS color FROM g)"
+
+
 def order_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored paths: a layer for each customer, a path for each order."""
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("layer"), F.col("o_orderkey").alias("pos"), (cents("o_totalprice") % 1000).alias("area"))

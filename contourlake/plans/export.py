@@ -77,11 +77,12 @@ def _field(p: dict, name: str):
 
 
 def svg_text(width: int, height: int, layers: list[dict], style: str = "grouped") -> str:
-    """grouped: a group a layer; flat: paths alone, in reverse order; plain: groups with unguarded curves and no holes."""
+    """grouped: a group a layer; flat: paths alone, in reverse order of drawing; plain: groups with unguarded curves and no holes."""
     body = []
-    for layer in layers:
+    turn = reversed if style == "flat" else iter
+    for layer in turn(layers):
         paths = []
-        for p in layer["paths"]:
+        for p in turn(layer["paths"]):
             points, holes, exact = p["points"] or [], _field(p, "holes") or [], _field(p, "svg_path_data")
             fine = [r for r in ([points] if style == "plain" else [points, *holes]) if len(r) >= 3]
             if not exact and not fine:
@@ -89,14 +90,13 @@ def svg_text(width: int, height: int, layers: list[dict], style: str = "grouped"
             d = exact or " ".join(bezier_text(r, style != "plain") for r in fine)
             tx, ty = _field(p, "tx"), _field(p, "ty")
             if style == "flat":
-                paths.append(f'<path d="{d}" fill="{layer["color"]}" transform="translate({tx or 0:g},{ty or 0:g})"/>')
+                paths.append(f'<path fill="{layer["color"]}" d="{d}" transform="translate({fixed(tx or 0.0, 2)}, {fixed(ty or 0.0, 2)})" />')
                 continue
             move = f' transform="translate({_xy(tx or 0.0, ty or 0.0)})"' if tx is not None or ty is not None else ""
             paths.append(f'<path fill="{layer["color"]}" opacity="1.00" d="{d}"{move} />')
         body.append("\n".join(paths) if style == "flat" else f'<g id="{layer["color"]}ff">\n' + "\n".join(paths) + "\n</g>")
-    if style == "flat":
-        return f'<?xml version="1.0" encoding="UTF-8"?>\n<svg version="1.1" xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">\n' + "\n".join(body) + "\n</svg>\n"
-    return HEAD + f'<svg width="{width}pt" height="{height}pt" viewBox="0 0 {width} {height}" version="1.1" xmlns="http://www.w3.org/2000/svg" shape-rendering="geometricPrecision">\n' + "\n".join(body) + "\n</svg>\n"
+    shape = "" if style == "flat" else ' shape-rendering="geometricPrecision"'
+    return HEAD + f'<svg width="{width}pt" height="{height}pt" viewBox="0 0 {width} {height}" version="1.1" xmlns="http://www.w3.org/2000/svg"{shape}>\n' + "\n".join(b for b in body if b or style != "flat") + "\n</svg>\n"
 
 
 def eps_text(width: int, height: int, layers: list[dict], style: str = "grouped") -> str:
@@ -138,37 +138,56 @@ def dxf_text(width: int, height: int, layers: list[dict], style: str = "grouped"
     return "\n".join(f"{code}\n{value}" for code, value in pairs) + "\n"
 
 
-def _texts(images: DataFrame, write: Callable, style: str) -> DataFrame:
+WRITERS: dict[str, Callable] = {"svg": svg_text, "eps": eps_text, "dxf": dxf_text}
+
+
+def exports(images: DataFrame, style: str = "grouped", formats: tuple[str, ...] = tuple(WRITERS)) -> DataFrame:
+    """(image_id, format, text): a document of each image in each format, from one pass over the images."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, widths, heights, layers = (c.to_pylist() for c in batch.columns)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([write(w, h, x or [], style) for w, h, x in zip(widths, heights, layers, strict=True)], pa.string())], names=["image_id", "text"])
+            rows = list(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True))
+            for k in formats:
+                texts = pa.array([WRITERS[k](w, h, x or [], style) for w, h, x in rows], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k] * len(rows), pa.string()), texts], names=["image_id", "format", "text"])
 
-    return images.select("image_id", "width", "height", "layers").mapInArrow(run, f"image_id {images.schema['image_id'].dataType.simpleString()}, text string")
+    return images.select("image_id", "width", "height", "layers").mapInArrow(run, f"image_id {images.schema['image_id'].dataType.simpleString()}, format string, text string")
 
 
 def to_svg(images: DataFrame, style: str = "grouped") -> DataFrame:
     """(image_id, text)."""
-    return _texts(images, svg_text, style)
+    return exports(images, style, ("svg",)).drop("format")
 
 
 def to_eps(images: DataFrame, style: str = "grouped") -> DataFrame:
-    return _texts(images, eps_text, style)
+    return exports(images, style, ("eps",)).drop("format")
 
 
 def to_dxf(images: DataFrame, style: str = "grouped") -> DataFrame:
-    return _texts(images, dxf_text, style)
+    return exports(images, style, ("dxf",)).drop("format")
+
 
+def write_vectors(texts: DataFrame, folder: str) -> None:
+    """Documents as Parquet rows (image_id, text) under format=...; spread over tasks by image."""
+    spread = texts.select("format", "image_id", "text").repartition("format", "image_id")
+    spread.write.partitionBy("format").mode("overwrite").parquet(folder)
 
-def exports(images: DataFrame, style: str = "grouped") -> DataFrame:
-    """(image_id, format, text): three documents an image."""
-    parts = [f(images, style).select("image_id", F.lit(k).alias("format"), "text") for k, f in (("svg", to_svg), ("eps", to_eps), ("dxf", to_dxf))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
+def write_files(texts: DataFrame, folder: str) -> None:
+    """Each document as a file image_id.format of the folder, written by the executors through the folder's own file system."""
 
-def write_vectors(texts: DataFrame, folder: str) -> None:
-    """Documents as text under format=..., written by the executors."""
-    texts.select("format", "image_id", F.col("text").alias("value")).repartition("format").write.partitionBy("format", "image_id").mode("overwrite").text(folder)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path)
+        for batch in batches:
+            for image, kind, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with store.open_output_stream(f"{path}/{image}.{kind}") as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    texts.select("image_id", "format", "text").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
 def zip_results(texts: DataFrame) -> bytes:

@@ -13,6 +13,7 @@ from ..functions.geometry import POINTS, douglas_peucker_points
 from ..functions.numbers import round_to
 from ..functions.settings import BatchOptions
 from ..operators import kmeans, layers, masks, pixels
+from ..sources.stages import staged
 
 
 def _finished(points: list[tuple[float, float]], tolerance: float, smoothing: float, corner: float) -> list[tuple[float, float]]:
@@ -54,21 +55,24 @@ def _simplified(paths: DataFrame, corner: float) -> DataFrame:
 
 
 def vectorize(images: DataFrame, options: BatchOptions | None = None) -> DataFrame:
-    """(image_id, width, height, layers, path_count, node_count) of pixels (image_id, width, height, x, y, r, g, b, a)."""
+    """(image_id, width, height, layers, path_count, node_count) of pixels (image_id, width, height, x, y, r, g, b, a).
+
+    What several later steps read is written once: labels, palettes, masks and finished paths.
+    """
     o = options or BatchOptions()
-    labelled = kmeans.quantize(images, o.palette_size)
-    palette = pixels.keep_covered(kmeans.palette(labelled)).withColumn("params", layer_params(F.col("hex"), o.speckle_threshold, o.simplify_tolerance, o.smoothing))
+    labelled = staged(kmeans.quantize(images, o.palette_size))
+    palette = staged(pixels.keep_covered(kmeans.palette(labelled)).withColumn("params", layer_params(F.col("hex"), o.speckle_threshold, o.simplify_tolerance, o.smoothing)))
     small = palette.select("image_id", "label", F.col("params.speckle").cast("int").alias("speckle"))
     mask = labelled.select("image_id", "label", "x", "y", "width", "height").join(small, ["image_id", "label"])
     sized = masks.components(mask)
     from pyspark.sql.window import Window
 
-    mask = sized.withColumn("size", F.count("*").over(Window.partitionBy("image_id", "label", "component"))).where("size >= speckle").select("image_id", "label", "x", "y", "width", "height")
-    dry = pixels.drop_flooded(palette, pixels.background_flood(mask))
+    mask = staged(sized.withColumn("size", F.count("*").over(Window.partitionBy("image_id", "label", "component"))).where("size >= speckle").select("image_id", "label", "x", "y", "width", "height"))
+    dry = staged(pixels.drop_flooded(palette, pixels.background_flood(mask)))
     outlines = masks.trace_edges(mask.join(dry.select("image_id", "label"), ["image_id", "label"], "left_semi"))
     points = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
     paths = outlines.groupBy("image_id", "label", "path").agg(points.alias("points")).withColumnRenamed("path", "pos").join(dry.select("image_id", "label", "params"), ["image_id", "label"])
-    fine = _simplified(paths, o.corner_threshold).where((F.size("points") >= 3) & (F.col("area") >= F.col("params.min_area"))).drop("params")
+    fine = staged(_simplified(paths, o.corner_threshold).where((F.size("points") >= 3) & (F.col("area") >= F.col("params.min_area"))).drop("params"))
     # a layer's paths by area; candidates without paths have gone
     ranked = layers.rank_paths(fine, ["image_id", "label"]).drop("pos").withColumnRenamed("rank", "pos")
     candidates = dry.join(fine.select("image_id", "label").distinct(), ["image_id", "label"], "left_semi").withColumn("pos", F.col("label"))

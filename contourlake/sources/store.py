@@ -86,5 +86,10 @@ def dump_state(state: dict) -> str:
     return json.dumps({k: state[k] for k in DEFAULT_STATE})
 
 
+def cleared_state() -> dict:
+    """Preferences once they are cleared: the defaults."""
+    return load_state(None)
+
+
 def job_id() -> str:
     return str(uuid.uuid4())

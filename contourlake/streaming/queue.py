@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from ..sources.stages import staged
+
 #: Progress that items have at the steps of a conversion (fixed values).
 STEPS = {"processing": 1, "decode": 8, "trace": 18, "vectorize": 35, "export": 92, "result": 100}
 STATUS = {"queued": "queued", "retry": "queued", "processing": "processing", "progress": "processing", "result": "done", "error": "error"}
@@ -46,11 +48,13 @@ def fold_queue_stream(events: DataFrame) -> DataFrame:
             return
         for pdf in frames:
             for e in pdf.sort_values(["at", "seq"]).itertuples():
-                if now[0] == "deleted" or (e.at, e.seq) <= (now[4], now[5]):
+                if now[0] == "deleted":
                     continue
-                if e.kind == "delete":
+                if e.kind == "delete":  # also one that comes after later events
                     now = ("deleted", 0, None, None, e.at, e.seq)
                     continue
+                if (e.at, e.seq) <= (now[4], now[5]):
+                    continue
                 status = STATUS.get(e.kind, "processing")
                 progress = 0 if status == "queued" else 100 if status == "done" else int(e.progress) if pd.notna(e.progress) else 1
                 now = (status, progress, e.error if status == "error" else None, e.payload if status == "done" else None, e.at, e.seq)
@@ -67,11 +71,32 @@ def next_queued(queue: DataFrame) -> DataFrame:
 
 def enqueue(queue: DataFrame, items: DataFrame) -> DataFrame:
     """queue with items after its last pos."""
-    last = queue.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("last"))
-    placed = items.withColumn("pos", F.row_number().over(Window.orderBy("created_at", "id"))).join(F.broadcast(last)).withColumn("pos", F.col("pos") + F.col("last"))
+    last = queue.agg(F.max("pos")).collect()[0][0]
+    tasks = max(1, int(queue.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # ranges of the order get the number of items before them, then each its own numbers
+    ranged = items.repartitionByRange(tasks, "created_at", "id").withColumn("__part", F.spark_partition_id())
+    ranged = staged(ranged.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy("created_at", "id"))))
+    before, sizes = 0 if last is None else last + 1, []
+    for r in ranged.groupBy("__part").count().orderBy("__part").collect():
+        sizes.append((r["__part"], before))
+        before += r["count"]
+    starts = queue.sparkSession.createDataFrame(sizes, "__part int, __before long")
+    placed = ranged.join(F.broadcast(starts), "__part").withColumn("pos", (F.col("__before") + F.col("__at") - 1).cast(queue.schema["pos"].dataType))
     return queue.unionByName(placed.select(*queue.columns))
 
 
+def flags(queue: DataFrame) -> DataFrame:
+    """(processing, done): whether any item is in that state; an empty queue has neither."""
+    any_ = lambda s: F.coalesce(F.bool_or(F.col("status") == s), F.lit(False))
+    return queue.agg(any_("processing").alias("processing"), any_("done").alias("done"))
+
+
+def dispatched(queue: DataFrame, settings: DataFrame) -> DataFrame:
+    """The next queued item with `settings`, those that hold now: the latest row of settings (text, at)."""
+    latest = settings.agg(F.max_by("text", F.struct("at", "text")).alias("settings"))
+    return next_queued(queue).join(F.broadcast(latest))
+
+
 def remove(queue: DataFrame, ids: DataFrame) -> DataFrame:
     return queue.join(ids.select("id"), "id", "left_anti").select(*queue.columns)
 
