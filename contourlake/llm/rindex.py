@@ -209,13 +209,6 @@ def _key(id_col: Column, text: Column) -> Column:
 
 
 KEY = "struct<a:bigint,b:bigint>"
-ANCHORS = f"gram long, context long, key {KEY}, at long, back short, span short"
-
-
-def _anchor_batch(batch: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
-    """Rows of ANCHORS from (gram, context, row, at, back, span), row being the place of the key in the batch."""
-    g, c, row, at, back, span = (np.concatenate(x) for x in zip(*held, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(at), pa.array(back.astype(np.int16)), pa.array(span.astype(np.int16))], names=["gram", "context", "key", "at", "back", "span"])
 
 
 def _anchored(rows: DataFrame, size: int) -> DataFrame:
@@ -227,63 +220,21 @@ def _anchored(rows: DataFrame, size: int) -> DataFrame:
                 for gram, context, at, low, high in anchors(data[offsets[i] : offsets[i + 1]], size, STRETCH):
                     held.append((gram, context, np.full(len(at), i), at, at - low, high - low))
             if held:
-                yield _anchor_batch(batch, held)
-
-    return rows.mapInArrow(run, ANCHORS)
-
+                g, c, row, at, back, span = (np.concatenate(x) for x in zip(*held, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(at), pa.array(back.astype(np.int16)), pa.array(span.astype(np.int16))], names=["gram", "context", "key", "place", "back", "span"])
 
-def longer_anchors(data: np.ndarray, size: int, width: int, at: np.ndarray, back: np.ndarray, span: np.ndarray, stretch: int) -> Iterator[tuple]:
-    """(gram, context, at, back, span): the windows of anchors dealt out by how far before the anchor they begin, `width` places together.
-
-    The gram is what all windows that begin there share, the context what they
-    cover together; both are hashes of bytes around the anchor.
-    """
-    order = np.argsort(at, kind="stable")
-    at, back, span = at[order], back[order], span[order]
-    for begin in range(0, len(data), stretch):
-        i, j = np.searchsorted(at, [begin, begin + stretch])
-        if i == j:
-            continue
-        base = max(0, begin - size)
-        part = data[base : begin + stretch + size]
-        sums, inverse = _prefix_hash(part)
-        first, last = (back[i:j] - span[i:j]) // width, back[i:j] // width
-        many = last - first + 1
-        who = np.repeat(np.arange(i, j), many)
-        near = (np.repeat(first, many) + np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)) * width
-        far = near + width - 1
-        place = at[who] - base
-        a, b = place - near, place - far + size
-        gram = mix64((sums[b] - sums[a]) * inverse[a] + mix64(near.astype(np.uint64) + np.uint64(width << 32)))
-        a, b = np.maximum(place - far, 0), np.minimum(place - near + size, len(part))
-        shape = (place - a).astype(np.uint64) * np.uint64(1024) + (b - place + near).astype(np.uint64)
-        context = mix64((sums[b] - sums[a]) * inverse[a] + mix64(shape))
-        high = np.minimum(back[who], far)
-        yield gram, context, at[who], high, high - np.maximum(back[who] - span[who], near)
-
-
-def _split(rows: DataFrame, size: int, width: int) -> DataFrame:
-    """From (key, text, wanted): longer anchors for the windows of crowded ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            held: list[tuple] = []
-            for i, wanted in enumerate(batch.column(2).to_pylist()):
-                at, back, span = (np.array([x[c] for x in wanted], np.int64) for c in ("at", "back", "span"))
-                for gram, context, *rest in longer_anchors(data[offsets[i] : offsets[i + 1]], size, width, at, back, span, STRETCH):
-                    held.append((gram, context, np.full(len(gram), i), *rest))
-            if held:
-                yield _anchor_batch(batch, held)
+    return rows.mapInArrow(run, f"gram long, context long, key {KEY}, place long, back short, span short")
 
-    return rows.mapInArrow(run, ANCHORS)
 
+#: A context: it begins at `at` of its text, `lead` bytes late in the columns of its anchor at `place`, and its windows begin at low to high.
+CONTEXT = ["gram", "key", "place", "at", "low", "high", "lead", "bytes"]
+CONTEXT_TYPES = [pa.int64(), None, *[pa.int64()] * 5, pa.binary()]
+CONTEXT_SCHEMA = f"gram long, key {KEY}, place long, at long, low long, high long, lead long, bytes binary"
 
-def _contexts(rows: DataFrame, size: int, width: int) -> DataFrame:
-    """From (key, text, wanted), with anchors of that width: the bytes of their contexts.
 
-    (gram, key, at, low, high, lead, bytes): a context begins at `at`, `lead` bytes late, its windows are low to high.
-    """
+def _contexts(rows: DataFrame, size: int) -> DataFrame:
+    """From (key, text, wanted): the contexts of anchors, with their flags `known` and `crowded`."""
+    reach = size - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,10 +243,9 @@ def _contexts(rows: DataFrame, size: int, width: int) -> DataFrame:
             for i, wanted in enumerate(batch.column(2).to_pylist()):
                 raw = data[offsets[i] : offsets[i + 1]].tobytes()
                 for x in wanted:
-                    near = x["back"] // width * width
-                    far = near + width - 1
-                    low, a = x["at"] - x["back"], max(0, x["at"] - far)
-                    out.append((x["gram"], i, a, low, -1 if x["known"] else low + x["span"], far - (x["at"] - a), raw[a : x["at"] - near + size]))
+                    place, low = x["place"], x["place"] - x["back"]
+                    at = max(0, place - reach)
+                    out.append((x["gram"], i, place, at, low, low + x["span"], reach - (place - at), raw[at : place + size], x["known"], x["crowded"]))
                 if len(out) > 5000:
                     yield batch_of(batch, out)
                     out = []
@@ -303,25 +253,66 @@ def _contexts(rows: DataFrame, size: int, width: int) -> DataFrame:
                 yield batch_of(batch, out)
 
     def batch_of(batch: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
-        gram, row, *numbers, raw = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), batch.column(0).take(pa.array(row)), *(pa.array(c, pa.int64()) for c in numbers), pa.array(raw, pa.binary())], names=["gram", "key", "at", "low", "high", "lead", "bytes"])
+        columns = list(zip(*out, strict=True))
+        columns[1] = batch.column(0).take(pa.array(columns[1]))
+        kinds = [*CONTEXT_TYPES, pa.bool_(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([c if t is None else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[*CONTEXT, "known", "crowded"])
+
+    return rows.mapInArrow(run, f"{CONTEXT_SCHEMA}, known boolean, crowded boolean")
 
-    return rows.mapInArrow(run, f"gram long, key {KEY}, at long, low long, high long, lead long, bytes binary")
+
+def longer_anchors(data: np.ndarray, offsets: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, size: int, width: int) -> tuple[np.ndarray, ...]:
+    """(row, gram, context, begin, end, near): the windows of contexts dealt out by how far before the anchor they begin, `width` places together.
+
+    data, offsets: the contexts' bytes; place, low, high: the anchor and its
+    windows there. The gram is a hash of the bytes that all windows have that
+    begin near to near + width - 1 before the anchor, the context of those that
+    they cover together.
+    """
+    sums, inverse = _prefix_hash(data)
+    first, last = (place - high) // width, (place - low) // width
+    many = last - first + 1
+    row = np.repeat(np.arange(len(place)), many)
+    near = (np.repeat(first, many) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)) * width
+    at, far = place[row], near + width - 1
+    a, b = at - near, at - far + size
+    gram = mix64((sums[b] - sums[a]) * inverse[a] + mix64(near.astype(np.uint64) + np.uint64(width << 32)))
+    a, b = np.maximum(at - far, offsets[row]), np.minimum(at - near + size, offsets[row + 1])
+    shape = (at - a).astype(np.uint64) * np.uint64(1024) + (b - at + near).astype(np.uint64)
+    return row, gram, mix64((sums[b] - sums[a]) * inverse[a] + mix64(shape)), a, b, near
+
+
+def _split(contexts: DataFrame, size: int, width: int) -> DataFrame:
+    """The contexts of crowded anchors cut to longer anchors, and `context`, a hash of their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = text_buffers(batch.column(7))
+            place, at, low, high = (batch.column(k).to_numpy() for k in (2, 3, 4, 5))
+            shift = offsets[:-1] - at  # from places of the text to places of the batch's bytes
+            row, gram, context, a, b, near = longer_anchors(raw, offsets, place + shift, low + shift, high + shift, size, width)
+            far = place[row] - near - width + 1
+            begin, whole = a - shift[row], raw.tobytes()
+            columns = [gram.view(np.int64), None, place[row], begin, np.maximum(low[row], far), np.minimum(high[row], far + width - 1), begin - far, [whole[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]]
+            columns = [batch.column(1).take(pa.array(row)) if t is None else pa.array(c, t) for c, t in zip(columns, CONTEXT_TYPES, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(context.view(np.int64))], names=[*CONTEXT, "context"])
+
+    return contexts.select(*CONTEXT).mapInArrow(run, f"{CONTEXT_SCHEMA}, context long")
 
 
 def _marked(contexts: DataFrame, size: int) -> DataFrame:
     """(key, low, high): runs of windows that occur in another place of their anchor's contexts."""
-    dealt = contexts.repartition(shuffle_width(contexts.sparkSession), "gram").sortWithinPartitions("gram", "key", "at")
+    dealt = contexts.repartition(shuffle_width(contexts.sparkSession), "gram").sortWithinPartitions("gram", "key", "place")
 
     def marks(held: list[tuple]) -> Iterator[tuple]:
         group, last, groups = -1, None, []
         for x in held:
             group, last = group + (x[0] != last), x[0]
             groups.append(group)
-        index = RunLengthIndex([x[6] for x in held], groups, [x[5] for x in held])
+        index = RunLengthIndex([x[7] for x in held], groups, [x[6] for x in held])
         enough = index.matching_statistics() >= size
-        for (_, key, at, low, high, _, _), start in zip(held, index.starts[:-1].tolist(), strict=True):
-            if high < low:
+        for (_, key, _, at, low, high, _, _, known), start in zip(held, index.starts[:-1].tolist(), strict=True):
+            if known:
                 continue
             own = enough[start + low - at : start + high - at + 1]
             step = np.flatnonzero(np.diff(np.concatenate(([False], own, [False])).astype(np.int8)))
@@ -345,7 +336,7 @@ def _marked(contexts: DataFrame, size: int) -> DataFrame:
                     yield from flush()
                     weight = 0
                 held.append(row)
-                weight += len(row[6])
+                weight += len(row[7])
         if held:
             yield from flush()
 
@@ -360,33 +351,46 @@ def _widths(size: int) -> list[int]:
     return out
 
 
+def _judged(found: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """Anchors (gram, context, key, place, ...) that repeat: those with one context, and the others with `known`, `crowded` and `first`.
+
+    known: the context occurs in another place too; first: it is the one place
+    that stands for all of these; crowded: the anchor has more than `crowd` contexts.
+    """
+    grams = written(found.groupBy("gram").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("same")).where("n > 1"))
+    shared = written(met(found, grams, ["gram"], ["key", "place"]))
+    forget(found, grams, shuffles=True)
+    mixed = shared.where("not same").drop("same")
+    kinds = written(mixed.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("one")).withColumn("known", F.col("n") > 1))
+    crowds = written(kinds.groupBy("gram").agg(F.sum("n").alias("n"), (F.count("*") > crowd).alias("crowded")))
+    judged = met(met(mixed, kinds, ["gram", "context"], ["key", "place"]), crowds, ["gram"], ["key", "place"])
+    judged = written(judged.withColumn("first", F.struct("key", "place") == F.col("one")).drop("one", "context"))
+    same = written(shared.where("same").drop("gram", "context", "bytes", "same"))
+    forget(shared, kinds, crowds)
+    return same, judged
+
+
 def repeated_windows(rows: DataFrame, size: int = 200) -> DataFrame:
     """(key, spans): for each key of rows (key, text) the windows, as runs of first bytes, that start in another place too."""
-    texts = rows.dropDuplicates(["key"])
-    runs = lambda df: df.select("key", (F.col("at") - F.col("back")).alias("low"), (F.col("at") - F.col("back") + F.col("span")).alias("high"))
-    by_text = lambda df, *columns: texts.join(df.groupBy("key").agg(F.collect_list(F.struct(*columns)).alias("wanted")), "key").select("key", "text", "wanted")
-    sure, contexts = [], []
-    found = written(_anchored(rows, size))
-    for width in _widths(size):
-        grams = written(found.groupBy("gram").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("same")).where("n > 1"))
-        shared = written(met(found, grams, ["gram"], ["key", "at"]))
-        forget(found, grams, shuffles=True)
-        mixed = shared.where("not same").drop("same")
-        kinds = written(mixed.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one")).withColumn("known", F.col("n") > 1))
-        crowds = written(kinds.groupBy("gram").agg(F.sum("n").alias("n"), (F.lit(width > 1) & (F.count("*") > CROWD)).alias("crowded")))
-        judged = met(met(mixed, kinds, ["gram", "context"], ["key", "at"]), crowds, ["gram"], ["key", "at"])
-        judged = written(judged.select("gram", "key", "at", "back", "span", "known", "crowded", (F.struct("key", "at") == F.col("one")).alias("first")))
-        sure += [runs(shared.where("same")), runs(judged.where("known"))]
-        # a context that occurs often goes on once, for others to match
+    runs = lambda df: df.select("key", (F.col("place") - F.col("back")).alias("low"), (F.col("place") - F.col("back") + F.col("span")).alias("high"))
+    same, judged = _judged(written(_anchored(rows, size)), CROWD)
+    sure = [runs(same), written(runs(judged.where("known")))]
+    # a context that occurs often goes on once, for others to match
+    left = judged.where("not known or first").groupBy("key").agg(F.collect_list(F.struct("gram", "place", "back", "span", "known", "crowded")).alias("wanted"))
+    with arrow_rows(rows.sparkSession, 500):
+        contexts = written(_contexts(rows.dropDuplicates(["key"]).join(left, "key").select("key", "text", "wanted"), size))
+    forget(judged, shuffles=True)
+    whole = [*CONTEXT, "known"]
+    indexed, crowd = [contexts.where("not crowded").select(*whole)], contexts.where("crowded")
+    for width in _widths(size)[1:]:
+        if crowd.isEmpty():
+            break
+        same, judged = _judged(written(_split(crowd, size, width)), CROWD if width > 1 else size)
+        sure += [same.select("key", "low", "high"), judged.where("known").select("key", "low", "high")]
         left = judged.where("not known or first")
-        with arrow_rows(rows.sparkSession, 500):
-            contexts.append(written(_contexts(by_text(left.where("not crowded"), "gram", "at", "back", "span", "known"), size, width)))
-            crowded = not crowds.where("crowded").isEmpty()
-            forget(kinds, crowds)
-            if not crowded:
-                break
-            found = written(_split(by_text(left.where("crowded"), "at", "back", "span"), size, -(-width // SPLIT)))
-    marks = _marked(reduce(DataFrame.unionByName, contexts), size)
+        indexed.append(left.where("not crowded").select(*whole))
+        crowd = left.where("crowded")
+    marks = _marked(reduce(DataFrame.unionByName, indexed), size)
     return reduce(DataFrame.unionByName, sure, marks).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("spans"))
 
 
