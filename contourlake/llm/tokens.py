@@ -1,8 +1,9 @@
 """Byte-level BPE over whole columns of text: split in numpy, each distinct word encoded once.
 
 The vocabulary is a file of the `tokenizers` library, whose path is a
-parameter; ids equal those of that library. A worker keeps the ids of the words
-it has met, up to KEPT of them.
+parameter; ids equal those of that library, which takes the file's added tokens
+where a text spells them out. A worker keeps the ids of the words it has met, up
+to KEPT of them.
 """
 
 from __future__ import annotations
@@ -82,7 +83,10 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        #: The added tokens, and what finds them, the longest first.
+        self._special = special
+        self._spelt = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         # the 256 printable stand-ins of the bytes: those that print stand for themselves, the others follow from U+0100 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
@@ -148,16 +152,23 @@ class Encoder:
                 held += len(texts[j])
                 j += 1
             if j == i + 1 and held > 2 * piece:
-                yield i, self._long(texts[i], piece)
+                yield i, self._spelling(texts[i], piece)
             else:
-                ids, sizes = self._piece(texts[i:j])
+                # texts that spell out an added token are few, and encoded for themselves
+                odd = [k for k in range(i, j) if self._spelt and self._spelt.search(texts[k])]
+                ids, sizes = self._piece(["" if k in odd else texts[k] for k in range(i, j)] if odd else texts[i:j])
                 at = np.concatenate(([0], np.cumsum(sizes)))
                 for k in range(i, j):
-                    yield k, ids[at[k - i] : at[k - i + 1]]
+                    yield k, self._spelling(texts[k], piece) if k in odd else ids[at[k - i] : at[k - i + 1]]
             i = j
 
+    def _spelling(self, text: str, piece: int) -> np.ndarray:
+        """A text cut at the added tokens."""
+        parts = self._spelt.split(text) if self._spelt else [text]
+        return np.concatenate([np.array([self._special[x]], np.uint32) if k % 2 else self._long(x, piece) for k, x in enumerate(parts)])
+
     def _long(self, text: str, piece: int) -> np.ndarray:
-        parts, begin = [], 0
+        parts, begin = [np.zeros(0, np.uint32)], 0
         while begin < len(text):
             gap = _GAP.search(text, begin + piece) if begin + piece < len(text) else None
             end = gap.start() if gap else len(text)
