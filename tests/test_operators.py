@@ -146,3 +146,22 @@ def test_store(spark, tmp_path):
     assert [r["id"] for r in s.all().collect()] == ["1"]
     s.clear()
     assert s.all().count() == 0
+
+
+def test_stages_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from contourlake.sources import stages
+
+    made = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda f: None))
+    assert stages.shared_folder(made("local[4]")) and stages.shared_folder(made("local"))
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError):
+            stages.shared_folder(made(master))
+
+
+def test_png_filters_undo_each_other():
+    rng = np.random.default_rng(7)
+    for width, height in ((1, 1), (3, 11), (17, 10)):
+        rgba = rng.integers(0, 256, (height, width, 4), dtype=np.uint8).tobytes()
+        assert png.decode(png.encode_filtered(width, height, rgba)) == (width, height, rgba)
