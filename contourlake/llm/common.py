@@ -49,8 +49,10 @@ def met(rows: DataFrame, groups: DataFrame, keys: list[str], by: list[str], n: s
     are fewer such keys than tasks, so their list is broadcast. groups should be
     cheap to read again. The column `n` is left out.
     """
-    tasks = shuffle_width(rows.sparkSession)
-    share = max(1, (groups.agg(F.sum(n)).collect()[0][0] or 0) // tasks)
+    total, most = groups.agg(F.sum(n), F.max(n)).collect()[0]
+    share = max(1, (total or 0) // shuffle_width(rows.sparkSession))
+    if (most or 0) <= share:
+        return rows.join(groups.drop(n), keys)
     slots = F.ceil(F.col(n) / share).cast("int")
     hot = groups.where(F.col(n) > share).select(*keys, slots.alias("__slots"))
     left = rows.join(F.broadcast(hot), keys, "left").withColumn("__slot", F.coalesce(F.pmod(F.xxhash64(*by), F.col("__slots")), F.lit(0)).cast("int")).drop("__slots")
