@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import catalogue  # noqa: F401  its SQL is used here
 from .catalogue_points import fixed_sql
 from .functions import settings
 from .functions.geometry import POINTS
 from .operators import layers, masks, paths, pixels
 from .plans import derived, export, vectorize
 from .plans.derived import DENSE, DRAWING, DRAWN_RING, MASK, RASTER
-from .registered import register
+from .registered import SQL, register
 from .sources import png, store
 from .sources.stages import fresh
 from .streaming import queue
@@ -25,6 +26,14 @@ def png_pixels(spark, sf_dir):
     return png.read_images(spark, folder)
 
 
+@register(SQL["bilinear_resize"])
+def png_thumbnails(spark, sf_dir):
+    """The same files scaled down to 16 pixels on their longer side."""
+    folder = fresh(spark, "png")
+    png.write_images(derived.dense(spark, sf_dir), folder)
+    return png.read_images(spark, folder, 16).select("image_id", "x", "y", "r", "g", "b", "a")
+
+
 @register(f"WITH {RASTER} SELECT image_id || '.png' AS name, image_id, CASE WHEN contains(image_id, 'e_') THEN NULL ELSE 31 END AS width, contains(image_id, 'e_') AS bad FROM r GROUP BY image_id")
 def png_errors(spark, sf_dir):
     """Files with a broken signature, or a buffer of another size, have an error and no pixels."""

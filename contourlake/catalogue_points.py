@@ -180,23 +180,65 @@ def joined_damage(spark, sf_dir):
     return paths.join_damage(raw, paths.drop_collinear(raw, 0.01))
 
 
-_PEUCKER = f"""WITH RECURSIVE {_DOUBLE}, n AS (SELECT path_id, count(*) AS n FROM pd GROUP BY path_id),
-f AS (SELECT a.path_id, a.pos AS i, b.pos AS j, c.pos AS m, CASE WHEN a.x = b.x AND a.y = b.y THEN sqrt((c.x - a.x) * (c.x - a.x) + (c.y - a.y) * (c.y - a.y)) ELSE abs((b.y - a.y) * c.x - (b.x - a.x) * c.y + b.x * a.y - b.y * a.x) / sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) END AS d
-  FROM pd a JOIN pd b ON b.path_id = a.path_id AND b.pos > a.pos + 1 JOIN pd c ON c.path_id = a.path_id AND c.pos > a.pos AND c.pos < b.pos),
-t AS (SELECT path_id, i, j, m FROM f WHERE d > 2000 QUALIFY row_number() OVER (PARTITION BY path_id, i, j ORDER BY d DESC, m) = 1),
-s AS (SELECT path_id, 0 AS i, CAST(n - 1 AS INTEGER) AS j, CAST(NULL AS INTEGER) AS m FROM n UNION ALL SELECT s.path_id, CASE WHEN k = 0 THEN t.i ELSE t.m END, CASE WHEN k = 0 THEN t.m ELSE t.j END, t.m FROM s JOIN t ON t.path_id = s.path_id AND t.i = s.i AND t.j = s.j, (SELECT unnest([0, 1]) AS k)),
-z AS (SELECT path_id, i AS pos FROM s UNION SELECT path_id, j FROM s)
-SELECT pd.path_id, {_RECUT.format('pd.pos').replace('path_id', 'pd.path_id')} AS pos, x, y FROM pd JOIN z ON z.path_id = pd.path_id AND z.pos = pd.pos"""
-
-
-@register(_PEUCKER)
+def peucker_sql(source: str, name: str, eps: float) -> str:
+    """CTEs that end in `name` (path_id, pos, x, y): nodes kept by splitting at the first farthest one, with their old pos. Recursive."""
+    return f"""{name}_n AS (SELECT path_id, max(pos) AS top FROM {source} GROUP BY path_id),
+{name}_f AS (SELECT a.path_id, a.pos AS i, b.pos AS j, c.pos AS m, CASE WHEN a.x = b.x AND a.y = b.y THEN sqrt((c.x - a.x) * (c.x - a.x) + (c.y - a.y) * (c.y - a.y)) ELSE abs((b.y - a.y) * c.x - (b.x - a.x) * c.y + b.x * a.y - b.y * a.x) / sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) END AS d
+  FROM {source} a JOIN {source} b ON b.path_id = a.path_id AND b.pos > a.pos + 1 JOIN {source} c ON c.path_id = a.path_id AND c.pos > a.pos AND c.pos < b.pos),
+{name}_t AS (SELECT path_id, i, j, m, d > {eps} AS split FROM {name}_f QUALIFY row_number() OVER (PARTITION BY path_id, i, j ORDER BY d DESC, m) = 1),
+{name}_s AS (SELECT path_id, 0 AS i, CAST(top AS INTEGER) AS j FROM {name}_n UNION ALL SELECT s.path_id, CASE WHEN k = 0 THEN t.i ELSE t.m END, CASE WHEN k = 0 THEN t.m ELSE t.j END FROM {name}_s s JOIN {name}_t t ON t.path_id = s.path_id AND t.i = s.i AND t.j = s.j AND t.split, (SELECT unnest([0, 1]) AS k)),
+{name}_z AS (SELECT path_id, i AS pos FROM {name}_s UNION SELECT path_id, j FROM {name}_s),
+{name} AS (SELECT s.path_id, s.pos, x, y FROM {source} s JOIN {name}_z z ON z.path_id = s.path_id AND z.pos = s.pos)"""
+
+
+@register(f"WITH RECURSIVE {_DOUBLE}, {peucker_sql('pd', 'k', 2000)} SELECT path_id, {_RECUT.format('pos')} AS pos, x, y FROM k")
 def douglas_peucker(spark, sf_dir):
     p = paths.to_points(derived.order_path(spark, sf_dir))
     return paths.to_nodes(p.select("path_id", geometry.douglas_peucker(F.col("points"), F.lit(2000.0)).alias("points")))
 
 
-@register()
+def wide_sql(source: str, name: str) -> str:
+    """CTE `name`: nodes of `source` (path_id, pos from 0, x, y) with two cyclic neighbours on each side, and n."""
+    near = ", ".join(f"{c}.x AS {k}x, {c}.y AS {k}y" for c, k in (("b", "p"), ("c", "n"), ("e", "nn")))
+    on = lambda c, step: f"JOIN {source} {c} ON {c}.path_id = a.path_id AND {c}.pos = (a.pos + {step} + 2 * a.n) % a.n"
+    return f"{name}_q AS (SELECT *, count(*) OVER (PARTITION BY path_id) AS n FROM {source}), {name} AS (SELECT a.*, {near} FROM {name}_q a {on('b', -1)} {on('c', 1)} {on('e', 2)})"
+
+
+def corner_sql(p: str, q: str, r: str) -> str:
+    """The angle at q in degrees; arguments are prefixes of x and y."""
+    ax, ay, bx, by = f"({p}x - {q}x)", f"({p}y - {q}y)", f"({r}x - {q}x)", f"({r}y - {q}y)"
+    size = f"(sqrt({ax} * {ax} + {ay} * {ay}) * sqrt({bx} * {bx} + {by} * {by}))"
+    return f"CASE WHEN {size} = 0 THEN 180 ELSE degrees(acos(greatest(-1, least(1, ({ax} * {bx} + {ay} * {by}) / {size})))) END"
+
+
+def chaikin_sql(source: str, name: str, corner: float) -> str:
+    sharp = f"n < 4 OR {corner_sql('p', '', 'n')} < {corner} OR {corner_sql('', 'n', 'nn')} < {corner}"
+    at = lambda t, c: f"{c} * {1 - t}::DOUBLE + n{c} * {t}::DOUBLE"
+    return f"""{wide_sql(source, name + '_w')}, {name}_h AS (SELECT *, {sharp} AS sharp FROM {name}_w),
+{name} AS (SELECT path_id, {_RECUT.format('pos, k')} AS pos, x, y FROM (SELECT path_id, pos, 0 AS k, CASE WHEN sharp THEN x ELSE {at(0.25, 'x')} END AS x, CASE WHEN sharp THEN y ELSE {at(0.25, 'y')} END AS y FROM {name}_h UNION ALL SELECT path_id, pos, 1, {at(0.75, 'x')}, {at(0.75, 'y')} FROM {name}_h WHERE NOT sharp))"""
+
+
+def relax_sql(source: str, name: str, blend: float, corner: float) -> str:
+    move = lambda c: f"CASE WHEN n < 6 OR {corner_sql('p', '', 'n')} < {corner} THEN {c} ELSE {c} * {1 - blend!r}::DOUBLE + (p{c} + n{c}) * 0.5::DOUBLE * {blend!r}::DOUBLE END AS {c}"
+    return f"{wide_sql(source, name + '_w')}, {name} AS (SELECT path_id, pos, {move('x')}, {move('y')} FROM {name}_w)"
+
+
+def _simplified_sql(strength: float, corner: float) -> str:
+    smooth = lambda c: f"CASE WHEN n < 4 OR p{c} IS NULL OR n{c} IS NULL OR {corner_sql('p', '', 'n')} < {corner} THEN {c} ELSE {c} * {1 - strength!r}::DOUBLE + (p{c} + n{c}) * 0.5::DOUBLE * {strength!r}::DOUBLE END AS {c}"
+    blend, least = min(0.35, 0.12 + strength * 0.8), max(14.0, max(16.0, corner * 0.8) * 0.75)
+    cut = max(18.0, min(140.0, corner * 0.85))
+    return f"""WITH RECURSIVE {_DOUBLE}, c AS (SELECT path_id, count(*) AS n FROM pd GROUP BY path_id),
+ring AS (SELECT pd.* FROM pd JOIN c ON c.path_id = pd.path_id WHERE n >= 4 UNION ALL SELECT pd.path_id, CAST(n AS INTEGER), x, y FROM pd JOIN c ON c.path_id = pd.path_id WHERE n >= 4 AND pos = 0),
+{peucker_sql('ring', 'dp', 2000)}, kept AS (SELECT path_id, {_RECUT.format('pos')} AS pos, x, y FROM (SELECT dp.* FROM dp JOIN c ON c.path_id = dp.path_id WHERE pos < n)),
+around AS (SELECT *, count(*) OVER (PARTITION BY path_id) AS n, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM kept WINDOW w AS (PARTITION BY path_id ORDER BY pos)),
+smooth AS (SELECT path_id, pos, {smooth('x')}, {smooth('y')}, n FROM around), large AS (SELECT path_id, pos, x, y FROM smooth WHERE n >= 6),
+{chaikin_sql('large', 'c1', cut)}, {chaikin_sql('c1', 'c2', cut)}, {relax_sql('c2', 'x1', blend, least)}, {relax_sql('x1', 'x2', blend, least)}
+SELECT path_id, pos, x, y FROM x2 UNION ALL SELECT path_id, pos, x, y FROM smooth WHERE n < 6 UNION ALL SELECT pd.path_id, pos, x, y FROM pd JOIN c ON c.path_id = pd.path_id WHERE n < 4"""
+
+
+@register(_simplified_sql(0.3, 40.0))
 def simplified_paths(spark, sf_dir):
+    """Rings simplified by distance, smoothed, cut twice at their corners, and relaxed twice."""
     return paths.simplify(derived.order_path(spark, sf_dir), 2000.0, 0.3, 40.0)
 
 

@@ -39,13 +39,14 @@ class Store:
     def _append(self, rows: DataFrame, gone: bool) -> None:
         version = (self._log().agg(F.max("_version")).collect()[0][0] or 0) + 1
         full = rows.select("id", *[F.col(c) if c in rows.columns else F.lit(None).cast(self.schema[c].dataType).alias(c) for c in self.values])
-        full.withColumns({"_version": F.lit(version).cast("long"), "_gone": F.lit(gone)}).write.mode("append").parquet(self.folder)
+        full.withColumns({"_version": F.lit(version).cast("long"), "_gone": F.lit(gone)}).sortWithinPartitions("id").write.mode("append").parquet(self.folder)
 
     def all(self) -> DataFrame:
         last = self._log().groupBy("id").agg(F.max_by(F.struct(*self.values, "_gone"), "_version").alias("r"))
         return last.where("not r._gone").select("id", *[F.col(f"r.{c}").alias(c) for c in self.values])
 
     def get(self, key: str) -> DataFrame:
+        """The row of one id; the test goes to the scans, whose files are sorted by id."""
         return self.all().where(F.col("id") == key)
 
     def put(self, rows: DataFrame) -> None:
