@@ -32,19 +32,21 @@ def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, size: int, alpha: flo
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], values: np.ndarray, y: np.ndarray, c: float = 1.0, passes: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and bias of min |w|^2/2 + c * sum of squared hinge losses; rows hold feature numbers, values their value."""
+    """Weights and bias of min (|w|^2 + bias^2) / 2 + c * sum of hinge losses; rows hold feature numbers, values their value.
+
+    Each step maximises the dual in one variable, which lies between 0 and c.
+    """
     sign = np.where(y > 0, 1.0, -1.0)
     w, bias = np.zeros(len(values)), 0.0
     alpha = np.zeros(len(rows))
     own = [values[r] for r in rows]
-    diagonal = 1 / (2 * c)
-    norm = np.array([float(v @ v) for v in own]) + 1.0 + diagonal
+    norm = np.array([float(v @ v) for v in own]) + 1.0
     order = np.random.default_rng(seed)
     for _ in range(passes):
         for i in order.permutation(len(rows)).tolist():
             r, v, s = rows[i], own[i], sign[i]
-            gradient = s * (float(w[r] @ v) + bias) - 1 + diagonal * alpha[i]
-            new = max(0.0, alpha[i] - gradient / norm[i])
+            gradient = s * (float(w[r] @ v) + bias) - 1
+            new = min(c, max(0.0, alpha[i] - gradient / norm[i]))
             step = (new - alpha[i]) * s
             if step:
                 w[r] += step * v
@@ -61,7 +63,11 @@ class QualityModel:
 
     @classmethod
     def fit(cls, rows: list[np.ndarray], y: np.ndarray, c: float = 0.1, beta: float = 0.75) -> QualityModel:
-        """Without rows, or with one class only, every score is that class's share."""
+        """Without rows, or with one class only, every score is that class's share.
+
+        beta: how far weights are moved from their mean size towards themselves;
+        features of weight 0, which no support vector has, stay at 0.
+        """
         if len(rows) == 0 or len(set(y.tolist())) < 2:
             share = (float(y.sum()) + 1) / (len(y) + 2)
             return cls(np.zeros(SIZE), np.log(share / (1 - share)))

@@ -753,7 +753,7 @@ def test_quality_held_out(spark, edge, empty):
 
 
 def test_dual_coordinate_descent_against_a_plain_solver():
-    """Its weights reach the least loss that gradient descent on the primal problem finds."""
+    """Its weights reach the least loss of the primal problem, which projected gradient steps on the whole dual find."""
     rng = np.random.default_rng(28)
     rows = [np.unique(rng.integers(0, 12, 5)) for _ in range(60)]
     values, y = rng.normal(size=12), rng.integers(0, 2, 60)
@@ -761,13 +761,16 @@ def test_dual_coordinate_descent_against_a_plain_solver():
     for i, r in enumerate(rows):
         x[i, r] = values[r]
     x[:, 12] = 1
-    sign = np.where(y > 0, 1.0, -1.0)
-    loss = lambda w: w @ w / 2 + 0.5 * (np.maximum(0, 1 - sign * (x @ w)) ** 2).sum()
-    plain = np.zeros(13)
-    for _ in range(20_000):
-        plain -= 0.002 * (plain - x.T @ (sign * np.maximum(0, 1 - sign * (x @ plain))))
-    w, bias = quality.dual_coordinate_descent(rows, values, y, 0.5, 300)
-    assert loss(np.append(w, bias)) == pytest.approx(loss(plain), rel=1e-4)
+    sign, c = np.where(y > 0, 1.0, -1.0), 0.5
+    loss = lambda w: w @ w / 2 + c * np.maximum(0, 1 - sign * (x @ w)).sum()
+    signed = x * sign[:, None]
+    alpha, rate = np.zeros(60), 1 / np.linalg.norm(signed @ signed.T, 2)
+    for _ in range(100_000):
+        alpha = np.clip(alpha + rate * (1 - signed @ (signed.T @ alpha)), 0, c)
+    plain = signed.T @ alpha
+    w, bias = quality.dual_coordinate_descent(rows, values, y, c, 2000)
+    assert loss(np.append(w, bias)) == pytest.approx(loss(plain), rel=1e-3)
+    assert loss(plain) == pytest.approx(alpha.sum() - plain @ plain / 2, rel=1e-3)
 
 
 def test_dual_coordinate_descent_separates():
