@@ -33,25 +33,33 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Six registers keep documents apart that only have a passage in common, of which a large corpus has very many.
 BANDS, ROWS = 40, 6
 REGISTERS = BANDS * ROWS
+#: Arrivals that are drawn at once, where so many processes do not run.
+DRAWS = 8192
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def sketches(row: np.ndarray, shingles: np.ndarray, weights: np.ndarray, n: int, registers: int = REGISTERS) -> np.ndarray:
-    """The shingle in each register of each of n rows; zeros for an empty set. row: the row of each shingle."""
+    """The shingle in each register of each of n rows; zeros for an empty set. row: the row of each shingle, ascending."""
     held = np.zeros(n * registers, np.uint64)
     best = np.full(n * registers, np.inf)
-    who, state, rate = shingles, shingles, weights.astype(float)
-    time = np.zeros(len(shingles))
+    who, base, rate, time, drawn = shingles, mix64(shingles), weights.astype(float), np.zeros(len(shingles)), 0
     while len(who):
-        state = mix64(state + _STEP)
+        # few processes are left of short texts, which need many arrivals: these are drawn together
+        many = min(64, max(1, DRAWS // len(who)))
+        state = mix64(base[:, None] + np.arange(drawn + 1, drawn + many + 1, dtype=np.uint64) * _STEP)
+        drawn += many
         # the low bits pick the register, the high ones the waiting time
-        time = time - np.log(((state >> np.uint64(11)).astype(float) + 1.0) * 2.0**-53) / rate
-        spot = row * registers + ((state & np.uint64(0xFFFF)) * np.uint64(registers) >> np.uint64(16)).astype(np.int64)
-        np.minimum.at(best, spot, time)
-        won = time == best[spot]
-        held[spot[won]] = who[won]
-        alive = time < best.reshape(n, registers).max(axis=1)[row]
-        row, who, state, rate, time = row[alive], who[alive], state[alive], rate[alive], time[alive]
+        waits = -np.log(((state >> np.uint64(11)).astype(float) + 1.0) * 2.0**-53) / rate[:, None]
+        times = np.cumsum(np.hstack((time[:, None], waits)), axis=1)[:, 1:]
+        spot = row[:, None] * registers + ((state & np.uint64(0xFFFF)) * np.uint64(registers) >> np.uint64(16)).astype(np.int64)
+        np.minimum.at(best, spot.ravel(), times.ravel())
+        won = times == best[spot]
+        held[spot[won]] = np.broadcast_to(who[:, None], won.shape)[won]
+        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        latest = np.repeat(best.reshape(n, registers)[row[first]].max(axis=1), np.diff(np.append(first, len(row))))
+        time = times[:, -1]
+        alive = time < latest
+        row, who, base, rate, time = row[alive], who[alive], base[alive], rate[alive], time[alive]
     return held.reshape(n, registers)
 
 
