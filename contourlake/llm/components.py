@@ -27,9 +27,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     centres are dealt over several tasks.
     """
     now = written(edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if now.isEmpty():
+        return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     for _ in range(ROUNDS):
-        if _settled(now):
-            break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m")))
         large = written(met(both, least, ["a"], ["b"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct())
@@ -37,6 +37,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = met(large, low, ["a"], ["b"]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         last, now = now, written(small)
         forget(last, least, large, low)
+        if _settled(now):
+            break
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

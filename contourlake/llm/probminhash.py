@@ -10,7 +10,7 @@ time passes the largest time in any register, so most shingles arrive once.
 Documents with equal words are one vertex from the start. Documents that share
 a band are candidates; each is verified on its whole shingle sets. Bands are not
 expanded to all pairs: members are first compared with the smallest of their
-band; what that leaves in different components is compared where documents
+bands; what that leaves in different components is compared where documents
 share one of their rarest shingles, as all similar ones do.
 """
 
@@ -234,36 +234,23 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     copies = written(met(drawn.select("doc", "same"), several, ["same"], ["doc"]).where("doc != head").select(F.col("doc").alias("a"), F.col("head").alias("b")))
     bands = written(heads.select(F.col("head").alias("doc"), F.posexplode("bands").alias("band", "value")).select("doc", F.xxhash64("band", "value").alias("band")))
     forget(drawn, heads)
-    sizes = written(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n")))
-    shares = written(met(bands, sizes, ["band"], ["doc"]))
-    # a document near the middle of its group shares bands with most of it; it is what the others are compared with
-    scores = shares.groupBy("doc").agg(F.sum("size").alias("score"))
-    scored = shares.join(scores, "doc").select("band", "doc", F.struct("score", (-F.col("doc")).alias("minus")).alias("rank"))
-    centres = written(scored.groupBy("band").agg(F.max("rank").alias("centre"), F.count("*").alias("n")))
-    shared = written(met(shares, centres, ["band"], ["doc"]).select("band", "doc", "size", "centre", (-F.col("centre.minus")).alias("first")))
-    forget(bands, sizes, shares, centres)
+    sizes = written(bands.groupBy("band").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    shared = written(met(bands, sizes, ["band"], ["doc"]))
+    forget(bands, sizes)
     # texts are shuffled once, at every size alike; what follows reads candidates only
     texts = written(known.join(shared.select("doc").distinct().hint("merge"), "doc", "left_semi"))
-    # first each document against the most central one that shares any band with it
-    one = written(shared.groupBy("doc").agg(F.max("centre").alias("centre")).select(F.col("doc").alias("a"), (-F.col("centre.minus")).alias("b")).where("a != b"))
+    # first each document against the first ones of its bands
+    one = written(shared.where("doc != first").select(F.col("doc").alias("a"), F.col("first").alias("b")).distinct())
     links = _compared(one, texts, least)
-    # then against the centres of its other bands, where these lie in another component
-    labels = connected_components(links)
-    own = written(shared.join(labels.withColumnRenamed("id", "doc"), "doc", "left").select("band", "doc", "first", "size", F.coalesce("component", "doc").alias("c")))
-    heads_of = written(own.where("doc = first").groupBy("band").agg(F.max("c").alias("fc"), F.max("size").alias("n")))
-    two = written(met(own.where("doc != first"), heads_of, ["band"], ["doc"]).where("c != fc").select(F.col("doc").alias("a"), F.col("first").alias("b")).distinct().join(one, ["a", "b"], "left_anti"))
-    more = _compared(two, texts, least)
-    links = links.unionByName(more)
-    forget(own, heads_of)
-    # last what bands still hold in different components and was not compared
-    labels = connected_components(links)
+    labels = connected_components(links.unionByName(copies))
+    # then what bands still hold in different components and was not compared
     own = written(shared.join(labels.withColumnRenamed("id", "doc"), "doc", "left").select("band", "doc", F.coalesce("component", "doc").alias("c")))
     mixed = written(own.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high").select("band", "n"))
     left = written(met(own, mixed, ["band"], ["doc"]).select("doc", "c").distinct())
-    three = _crossing(left, texts, least).join(one.unionByName(two), ["a", "b"], "left_anti")
-    last = _compared(three, texts, least)
+    last = _compared(_crossing(left, texts, least).join(one, ["a", "b"], "left_anti"), texts, least)
     forget(texts, shared, own, mixed, left)
-    classes = connected_components(links.unionByName(last).unionByName(copies))
+    # components so far are stars, which the last links join
+    classes = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(last))
     out = source.select(F.col("doc").alias("id")).join(classes, "id", "left").select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("class_id"))
     return renamed(out, [id_col, "class_id"], names)
 
