@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m")))
-        large = written(met(both, least, ["a"], ["b"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct())
+        large = written(met(both, least, ["a"], ["b"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b"))
         low = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
         small = met(large, low, ["a"], ["b"]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         last, now = now, written(small)

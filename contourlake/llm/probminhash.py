@@ -209,11 +209,11 @@ def _crossing(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     maps = whole.join(left, "doc", "left_semi").mapInArrow(bits, "doc long, total long, " + ", ".join(f"b{k} long" for k in range(MAP))).dropDuplicates(["doc"])
     full = written(head.join(maps, "doc"))
     forget(live, head)
-    lacks = lambda s, t: " + ".join(f"bit_count({s}.b{k} & ~{t}.b{k})" for k in range(MAP))
-    share = lambda s, t: F.expr(f"cast({lacks(s, t)} as double) / {s}.total")
-    x, y = share("p", "q"), share("q", "p")
+    lacks = lambda s, t, n: " + ".join(f"bit_count({s}.b{k} & ~{t}.b{k})" for k in range(n))
+    share = lambda s, t, n: F.expr(f"cast({lacks(s, t, n)} as double) / {s}.total")
+    maps_lack = lambda n: (share("p", "q", n), share("q", "p", n))  # noqa: E731  a third of the maps shows most pairs to differ
     bound = lambda x, y: x / F.greatest(1 - x, F.lit(slack)) + y / F.greatest(1 - y, F.lit(slack)) <= 1 / least - 1 + slack
-    pairs = full.alias("p").join(full.alias("q"), F.expr("p.shingle = q.shingle and p.doc > q.doc and p.c != q.c") & bound(F.col("p.rarer"), F.col("q.rarer")) & bound(x, y))
+    pairs = full.alias("p").join(full.alias("q"), F.expr("p.shingle = q.shingle and p.doc > q.doc and p.c != q.c") & bound(F.col("p.rarer"), F.col("q.rarer")) & bound(*maps_lack(MAP // 3)) & bound(*maps_lack(MAP)))
     return pairs.select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b")).distinct()
 
 
@@ -249,8 +249,12 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     left = written(met(own, mixed, ["band"], ["doc"]).select("doc", "c").distinct())
     last = _compared(_crossing(left, texts, least).join(one, ["a", "b"], "left_anti"), texts, least)
     forget(texts, shared, own, mixed, left)
-    # components so far are stars, which the last links join
-    classes = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(last))
+    # the last links join components so far: a graph of these alone
+    ends = [labels.select(F.col("id").alias(e), F.col("component").alias(f"c{e}")) for e in "ab"]
+    across = last.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    roots = connected_components(across).select(F.col("id").alias("component"), F.col("component").alias("root"))
+    classes = labels.join(roots, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+    classes = classes.unionByName(roots.select(F.col("component").alias("id"), F.col("root").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
     out = source.select(F.col("doc").alias("id")).join(classes, "id", "left").select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("class_id"))
     return renamed(out, [id_col, "class_id"], names)
 
