@@ -311,13 +311,13 @@ def _marked(contexts: DataFrame, size: int) -> DataFrame:
             groups.append(group)
         index = RunLengthIndex([x[7] for x in held], groups, [x[6] for x in held])
         enough = index.matching_statistics() >= size
-        for (_, key, _, at, low, high, _, _, known), start in zip(held, index.starts[:-1].tolist(), strict=True):
+        for (_, a, b, at, low, high, _, _, known), start in zip(held, index.starts[:-1].tolist(), strict=True):
             if known:
                 continue
             own = enough[start + low - at : start + high - at + 1]
             step = np.flatnonzero(np.diff(np.concatenate(([False], own, [False])).astype(np.int8)))
-            for a, b in zip(step[::2].tolist(), step[1::2].tolist(), strict=True):
-                yield key, low + a, low + b - 1
+            for i, j in zip(step[::2].tolist(), step[1::2].tolist(), strict=True):
+                yield a, b, low + i, low + j - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -327,11 +327,12 @@ def _marked(contexts: DataFrame, size: int) -> DataFrame:
             found = list(marks(held))
             held.clear()
             if found:
-                key, low, high = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["key", "low", "high"])
+                a, b, low, high = (pa.array(c, pa.int64()) for c in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([a, b], names=["a", "b"]), low, high], names=["key", "low", "high"])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            gram, key, _, *rest = batch.columns
+            for row in zip(*(c.to_pylist() for c in (gram, key.field(0), key.field(1), *rest)), strict=True):
                 if (weight > INDEX or len(held) >= GROUPS) and row[0] != held[-1][0]:
                     yield from flush()
                     weight = 0
@@ -365,9 +366,8 @@ def _judged(found: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
     crowds = written(kinds.groupBy("gram").agg(F.sum("n").alias("n"), (F.count("*") > crowd).alias("crowded")))
     judged = met(met(mixed, kinds, ["gram", "context"], ["key", "place"]), crowds, ["gram"], ["key", "place"])
     judged = written(judged.withColumn("first", F.struct("key", "place") == F.col("one")).drop("one", "context"))
-    same = written(shared.where("same").drop("gram", "context", "bytes", "same"))
-    forget(shared, kinds, crowds)
-    return same, judged
+    forget(kinds, crowds)
+    return shared.where("same"), judged
 
 
 def repeated_windows(rows: DataFrame, size: int = 200) -> DataFrame:
