@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import epsjoin, fingerprints, lines, mixing, packing, probminhash, quality, rindex, toxicity, wrappers
+from . import epsjoin, fingerprints, lines, maxscore, merkle, mixing, packing, probminhash, quality, rindex, toxicity, whitening, wrappers
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_packing": packing.op8_packing,
         "op9_repeats": rindex.op9_repeats,
         "op10_quality": quality.op10_quality,
+        "op11_max_score": maxscore.op11_max_score,
+        "op12_manifest": merkle.op12_manifest,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": lines.OP5_SQL}
+    return {"op5_line_dedup": lines.OP5_SQL, "op11_max_score": maxscore.OP11_SQL, "op12_manifest": merkle.OP12_SQL}

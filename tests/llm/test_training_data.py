@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from contourlake.llm import common, epsjoin, features, fingerprints, lines, mixing, packing, probminhash, quality, rindex, tokens, toxicity, words, wrappers
+from contourlake.llm import common, epsjoin, features, fingerprints, lines, maxscore, merkle, mixing, packing, probminhash, quality, rindex, tokens, toxicity, whitening, words, wrappers
 from contourlake.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, h string, lines string, key string, turn string"
@@ -777,3 +777,157 @@ def test_dual_coordinate_descent_separates():
     rows = [np.array([0, 2]), np.array([0]), np.array([1, 2]), np.array([1])]
     w, bias = quality.dual_coordinate_descent(rows, np.ones(3), np.array([1, 1, 0, 0]))
     assert [float(w[r].sum() + bias) > 0 for r in rows] == [True, True, False, False]
+
+
+def _plain_top(items, queries, k):
+    """(query, rank, id, score) by all inner products."""
+    out = []
+    for q, v in queries:
+        scores = sorted((-sum(x * y for x, y in zip(v, w)), i) for i, w in items if i != q)
+        out += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)]
+    return sorted(out)
+
+
+VECTORS = "vec_id long, embedding array<long>, row string, query string, score string, rank string"
+
+
+def _vectors(spark, rows):
+    return spark.createDataFrame([(i, v, "r", "q", "s", "k") for i, v in rows], VECTORS)
+
+
+@pytest.mark.parametrize("shape", ["dense", "sparse", "ties", "uneven"])
+def test_max_score_equals_all_products(spark, shape, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.integers(-200, 200, (300, 16))
+    if shape == "sparse":
+        x[rng.random(x.shape) < 0.85] = 0
+        x[:20] = 0
+    elif shape == "ties":
+        x = rng.integers(-1, 2, (300, 4))
+    rows = [(int(i), v[: 3 + i % 14].tolist() if shape == "uneven" else v.tolist()) for i, v in enumerate(x)]
+    monkeypatch.setattr(maxscore, "BLOCK", 512)
+    # small shards, so that several meet
+    found = maxscore.max_score(_vectors(spark, rows), _vectors(spark, rows).where("vec_id % 7 = 0"), 5, shard=600)
+    assert sorted(map(tuple, found.select("query_id", "rank", "vec_id", "score").collect())) == _plain_top(rows, [r for r in rows if r[0] % 7 == 0], 5)
+
+
+def test_max_score_skips_and_large_numbers():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 50, (2000, 30)) * (rng.random((2000, 30)) < 0.1)
+    block = maxscore.Postings(np.arange(2000), x.astype(np.int64))
+    for q in x[:20]:
+        want = _plain_top([(i, v) for i, v in enumerate(x.tolist())], [(-1, q.tolist())], 5)
+        assert maxscore.best(block.search(q, -1, 5, None), 5) == [(s, i) for _, _, i, s in want]
+        # with the k-th score known, only what can reach it comes back
+        assert sorted(maxscore.best(block.search(q, -1, 5, want[-1][3]), 5)) == sorted((s, i) for _, _, i, s in want)
+        assert block.search(q, -1, 5, want[0][3] + 1) == []
+    huge = maxscore.Postings(np.arange(3), np.array([[2**62, 2**62], [2**62, 2**62 + 1], [-5, 0]], np.int64))
+    assert maxscore.best(huge.search(np.array([2**62, 2**62]), 0, 2, None), 2) == [(2**124 + 2**62 * (2**62 + 1), 1), (-5 * 2**62, 2)]
+
+
+def test_max_score_odd_tables(spark):
+    rows = [(0, [1, 2]), (0, [5, 5]), (1, None), (2, [1, None]), (None, [9, 9]), (3, []), (4, [3, 3]), (4, [3, 3]), (5, [0, 0])]
+    got = sorted(map(tuple, maxscore.max_score(_vectors(spark, rows), _vectors(spark, rows).where("vec_id = 0"), 3).select("query_id", "rank", "vec_id", "score").collect()))
+    # each row of a repeated query asks; rows with its id are its own
+    assert got == sorted([(0, 1, 4, 9), (0, 2, 4, 9), (0, 3, 3, 0), (0, 1, 4, 30), (0, 2, 4, 30), (0, 3, 3, 0)])
+    none = _vectors(spark, rows).where("vec_id > 90")
+    assert maxscore.max_score(none, none).count() == 0 and maxscore.max_score(none, _vectors(spark, rows)).count() == 0
+    big = maxscore.max_score(_vectors(spark, [(1, [2**40]), (2, [2**40 - 1]), (3, [1])]), _vectors(spark, [(9, [2**40])]), 3).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(big, key=lambda r: r["rank"])] == [(1, None), (2, None), (3, 2**40)]
+    floats = spark.createDataFrame([(1, [0.5, float("nan")]), (2, [0.999, -0.001]), (3, None), (4, [float("inf"), 1.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in maxscore.quantised(floats).collect()] == [(2, [255, -1])]
+
+
+def _plain_manifest(rows, spoilt):
+    """rows: (doc_id, source, lang, n_chars, text); a row of the result for each."""
+    h = lambda *x: hashlib.sha256("".join(x).encode()).hexdigest()
+    leaf = lambda r: h(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in r))
+
+    def tree(digests):
+        """(root, the siblings of each)."""
+        level, members, path = list(digests), [[i] for i in range(len(digests))], [[] for _ in digests]
+        while len(level) > 1:
+            up, own = [], []
+            for i in range(0, len(level), 3):
+                run = level[i : i + 3]
+                for j in range(len(run)):
+                    for m in members[i + j]:
+                        path[m].append((run[:j], run[j + 1 :]))
+                up.append(h(*run))
+                own.append([m for x in members[i : i + 3] for m in x])
+            level, members = up, own
+        return level[0], path
+
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[r[1]].append(r)
+    names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    sub = {}
+    for g in names:
+        groups[g].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        sub[g] = tree([leaf(r) for r in groups[g]])
+    root, upper = tree([sub[g][0] for g in names])
+    out = []
+    for g, up in zip(names, upper):
+        for r, own in zip(groups[g], sub[g][1]):
+            path, node = own + up, leaf(spoilt(r))
+            for left, right in path:
+                node = h(*left, node, *right)
+            out.append((r[0], leaf(r), sub[g][0], root, h(*(x for left, right in path for x in left + right)), node, node == root))
+    return sorted(out, key=str)
+
+
+MANIFEST = "doc_id long, source string, lang string, n_chars long, text string, leaf string, tree string, pos string, id string"
+
+
+@pytest.mark.parametrize(("top", "levels"), [(4096, 7), (40, 1), (10, 2)])
+def test_manifest_equals_a_plain_tree(spark, top, levels):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "a", "a", "b", "c", "é", None]), "en", 3, f"t{i}\nx" if i % 3 else None) for i in range(130)]
+    rows += [(500, "one", None, None, ""), (7, "a", "en", 3, "again"), (7, "a", "en", 3, "again"), (None, "a", "en", 3, "x\ny"), (None, None, None, None, None)] + [(600 + i, f"s{i}", "en", 1, "z" * 3000 * (i == 1)) for i in range(30)]
+    df = spark.createDataFrame([(*r, "l", "t", "p", "i") for r in rows], MANIFEST).repartition(5)
+    odd = lambda r: r[0] is not None and zlib.crc32(str(r[0]).encode()) % 2 == 0 and r[4] is not None
+    spoilt = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    seen = merkle.leaf([spoilt if c == "text" else F.col(c) for c in merkle.COLUMNS])
+    got = sorted(map(tuple, merkle.manifest(df, seen=seen, top=top, levels=levels).collect()), key=str)
+    assert got == _plain_manifest(rows, lambda r: (*r[:4], r[4].replace("\n", "")) if odd(r) else r)
+    proofs = merkle.manifest(df, top=top, levels=levels, proofs=True).collect()
+    assert all(r["verified"] and merkle.folded(r["leaf"], [(s["left"], s["right"]) for s in r["proof"]]) == r["root"] for r in proofs)
+
+
+def test_manifest_of_few_rows(spark):
+    df = lambda rows: spark.createDataFrame([(*r, "l", "t", "p", "i") for r in rows], MANIFEST)
+    assert merkle.manifest(df([])).count() == 0
+    one = merkle.manifest(df([(1, "a", "en", 1, "x")])).collect()[0]
+    assert one["leaf"] == one["subroot"] == one["root"] == one["folded_root"] and one["proof_sha256"] == hashlib.sha256(b"").hexdigest() and one["verified"]
+
+
+def test_whitening_equals_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 6)) @ rng.normal(size=(6, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist()), (None, x[1].tolist()), (900, None), (901, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (902, [float("nan")] * 6), (903, [])]
+    df = spark.createDataFrame([(i, v, "d", "n", 1) for i, v in rows], "vec_id long, embedding array<double>, d string, n string, x int")
+    got = whitening.whiten(df, 4).toPandas()
+    fit = np.floor(64 * np.array([v for _, v in rows[:402]])).astype(np.int64) + 1_000_000
+    n, s = len(fit), fit.sum(axis=0)
+    centred = (n * fit - s) / n
+    v = centred.T @ centred / n
+    e, u = np.linalg.eigh(v)
+    e, u = e[::-1], u[:, ::-1]
+    assert len(got) == 402 * 4 and set(got["n"]) == {n} and got["identity_error"].nunique() == 1 and got["identity_error"].max() < 1e-9
+    for k in range(4):
+        own = got[got["component"] == k + 1]
+        assert np.allclose(own["explained"], e[k] / np.trace(v), rtol=1e-9)
+        own = own[own["vec_id"].notna()].drop_duplicates("vec_id").sort_values("vec_id")
+        want = centred[:400] @ u[:, k] / np.sqrt(e[k])
+        assert np.allclose(own["whitened"], want, atol=1e-7) or np.allclose(own["whitened"], -want, atol=1e-7)
+        assert own["deviation"].tolist() == ((n * fit[:400] - s) ** 2).sum(axis=1).tolist()
+
+
+def test_whitening_without_variance(spark):
+    df = lambda rows: spark.createDataFrame(rows, "vec_id string, embedding array<float>")
+    flat = whitening.whiten(df([("a", [1.0, 2.0]), ("b", [1.0, 4.0]), ("c", [3.0])])).orderBy("vec_id", "component").collect()
+    assert [(r["vec_id"], r["component"], r["n"]) for r in flat] == [("a", 1, 2), ("a", 2, 2), ("b", 1, 2), ("b", 2, 2), ("c", 1, 1)]
+    assert abs(flat[0]["whitened"]) == 1.0 and flat[1]["whitened"] is None and flat[0]["explained"] == 1.0 and flat[4]["explained"] is None and flat[4]["whitened"] is None
+    assert whitening.whiten(df([])).count() == 0 and whitening.whiten(df([("a", None)])).count() == 0
+    assert whitening.deviations(np.array([[2**40, 1], [3, 4]])) == [None, 25]
