@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import color, geometry, numbers, settings
 from .operators import layers, masks, paths, pixels
 from .plans import derived, export, vectorize
-from .plans.derived import AREA, DENSE, MASK, PATH, RASTER, RING
+from .plans.derived import AREA, DENSE, LEDGER, LEDGER_WIDTH, MASK, PATH, RASTER, RING
 from .registered import QUERIES, SQL
 from .registered import register as _register
 from .streaming import queue
@@ -206,6 +207,12 @@ def component_sizes(spark, sf_dir):
     return masks.component_sizes(derived.mask(spark, sf_dir))
 
 
+@_register(f"WITH RECURSIVE {_COMPONENTS.replace(MASK, LEDGER).replace('* 31', f'* {LEDGER_WIDTH}')} SELECT component, CAST(count(*) AS BIGINT) AS size FROM z GROUP BY ALL")
+def table_components(spark, sf_dir):
+    """The connected parts of one mask over a whole table, over many tiles."""
+    return masks.component_sizes(derived.ledger(spark, sf_dir)).select("component", "size")
+
+
 @_register(f"WITH RECURSIVE {_COMPONENTS} SELECT image_id, label, x, y FROM n WHERE size >= 6")
 def remove_small(spark, sf_dir):
     return masks.remove_small(derived.mask(spark, sf_dir), 6).select("image_id", "label", "x", "y")
@@ -243,6 +250,20 @@ def loop_sizes(spark, sf_dir):
     return loops.groupBy("image_id", "label", "path").agg(F.min(F.col("y") * 1000 + F.col("x")).alias("root"), F.count("*").alias("points")).drop("path")
 
 
+_WALK = f"""{_SEGMENTS}, v AS (SELECT image_id, label, sx AS x, sy AS y, ex AS x2, ey AS y2 FROM e UNION SELECT image_id, label, ex, ey, sx, sy FROM e), c AS (SELECT image_id, label, x, y, y * 1000 + x AS root FROM v UNION SELECT v.image_id, v.label, v.x2, v.y2, c.root FROM c JOIN v ON v.image_id = c.image_id AND v.label = c.label AND v.x = c.x AND v.y = c.y),
+s0 AS (SELECT image_id, label, min(root) AS root FROM (SELECT image_id, label, x, y, min(root) AS root FROM c GROUP BY ALL) GROUP BY image_id, label, root HAVING count(*) >= 3),
+w AS (SELECT v.image_id, v.label, root, v.x, v.y, v.x2, v.y2, 0 AS pos FROM s0 JOIN v ON v.image_id = s0.image_id AND v.label = s0.label AND v.y * 1000 + v.x = root AND v.x2 > v.x
+  UNION ALL SELECT w.image_id, w.label, w.root, v.x, v.y, v.x2, v.y2, pos + 1 FROM w JOIN v ON v.image_id = w.image_id AND v.label = w.label AND v.x = w.x2 AND v.y = w.y2 AND NOT (v.x2 = w.x AND v.y2 = w.y) WHERE w.y2 * 1000 + w.x2 <> w.root)"""
+
+
+@_register(f"WITH RECURSIVE {_WALK} SELECT image_id, label, root, pos, x, y FROM w")
+def loop_points(spark, sf_dir):
+    """Loops point by point, from the topmost, then leftmost one to the right."""
+    loops = masks.trace_loops(masks.cell_segments(masks.marching_cells(derived.mask(spark, sf_dir))))
+    first = F.min(F.col("y") * 1000 + F.col("x")).over(Window.partitionBy("image_id", "label", "path"))
+    return loops.withColumn("root", first).drop("path")
+
+
 _BOUNDARY = MASK + ", w AS (SELECT * FROM (VALUES (0, 0, -1, 0, 0, 1, 0), (1, 1, 0, 1, 0, 1, 1), (2, 0, 1, 1, 1, 0, 1), (3, -1, 0, 0, 1, 0, 0)) t(side, dx, dy, ax, ay, bx, bw)), b AS (SELECT image_id, label, x, y, side, x + ax AS sx, y + ay AS sy, x + bx AS ex, y + bw AS ey FROM m, w WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.image_id = m.image_id AND o.label = m.label AND o.x = m.x + dx AND o.y = m.y + dy))"
 
 
@@ -260,6 +281,14 @@ def edge_loops(spark, sf_dir):
     return sizes.join(paths.signed_area(loops, keys), keys).groupBy("image_id", "label").agg(F.sum("edges").alias("edges"), F.sum("area").alias("area"))
 
 
+@_register(f"WITH {_BOUNDARY.replace(MASK, LEDGER)} SELECT (SELECT CAST(count(*) AS BIGINT) FROM b) AS edges, (SELECT CAST(count(*) AS DOUBLE) FROM m) AS area")
+def table_outlines(spark, sf_dir):
+    """The outlines of one mask over a whole table: all edges, and areas that add up to the bits."""
+    keys = ["image_id", "label", "path"]
+    loops = masks.trace_edges(derived.ledger(spark, sf_dir))
+    return loops.groupBy(*keys).agg(F.count("*").alias("edges")).join(paths.signed_area(loops, keys), keys).agg(F.sum("edges").alias("edges"), F.sum("area").alias("area"))
+
+
 @_register(f"WITH {RING} SELECT path_id, CAST(abs(sum(x * ny - nx * y)) AS DOUBLE) / 2 AS area FROM g GROUP BY path_id")
 def polygon_area(spark, sf_dir):
     return paths.polygon_area(derived.order_path(spark, sf_dir))

@@ -10,9 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stages import staged
+from . import graph, tiles
+
 KEY = ["image_id", "label"]
 CELL = [*KEY, "width", "height", "x", "y"]
 
@@ -52,43 +56,40 @@ def close_feather(mask: DataFrame) -> DataFrame:
     return erode(dilate(close(mask, 1), 1), 1)
 
 
+def _tile(x: Column, y: Column) -> list[Column]:
+    return [F.floor(x / tiles.TILE).cast("int").alias("tx"), F.floor(y / tiles.TILE).cast("int").alias("ty")]
+
+
 def components(mask: DataFrame) -> DataFrame:
     """mask with `component`, the smallest place (y * width + x) that a bit is connected to by its four sides.
 
-    One group is one mask of one image, whose size the image's bounds: the
-    sources scale images to a million pixels at most.
+    Tiles are labelled each for itself. Where bits of two tiles touch, their
+    labels are joined by an edge, and the components of these edges, a table of
+    the bits along the tiles' sides at most, are mapped back. So a mask may have
+    any size; repeated bits are labelled alike.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        width = int(pdf["width"].iloc[0])
-        place = pdf["y"].to_numpy(np.int64) * width + pdf["x"].to_numpy(np.int64)
-        order = np.argsort(place)
-        sorted_ = place[order]
-        ahead = []
-        for step, inside in ((1, sorted_ % width < width - 1), (width, np.ones(len(sorted_), bool))):
-            at = np.searchsorted(sorted_, sorted_ + step)
-            hit = inside & (at < len(sorted_))
-            hit[hit] = sorted_[at[hit]] == sorted_[hit] + step
-            ahead.append((np.flatnonzero(hit), at[hit]))
-        a, b = (np.concatenate(x) for x in zip(*ahead, strict=True))
-        label = np.arange(len(sorted_))
-        while True:
-            least = np.minimum(label[a], label[b])
-            new = label.copy()
-            np.minimum.at(new, label[a], least)
-            np.minimum.at(new, label[b], least)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        while (label[label] != label).any():
-            label = label[label]
-        out = np.empty(len(place), np.int64)
-        out[order] = sorted_[label]
-        return pdf.assign(component=out)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mask.schema if f.name != "component")
-    return mask.drop("component").groupBy(*KEY).applyInPandas(run, f"{schema}, component long")
+    rest = [c for c in mask.columns if c not in (*KEY, "component")]
+    place = (F.col("y").cast("long") * F.col("width") + F.col("x")).alias("place")
+    key = F.struct(*KEY).alias("key")
+    packed = mask.groupBy(key, *_tile(F.col("x"), F.col("y"))).agg(F.collect_list(F.struct(*rest, place)).alias("bits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, bits in enumerate(batch.column(1)):
+                x, y, at = (bits.values.field(c).to_numpy() for c in ("x", "y", "place"))
+                keys = batch.column(0).take(pa.array(np.full(len(x), i)))
+                yield pa.RecordBatch.from_arrays([keys, bits.values, pa.array(at[tiles.joined(x, y)])], names=["key", "bit", "root"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in packed.schema}
+    labelled = staged(packed.select("key", "bits").mapInArrow(run, f"key {kinds['key']}, bit {kinds['bits'][6:-1]}, root long"))
+    own = lambda side: F.expr(f"pmod(bit.{side}, {tiles.TILE})")
+    # bits on the right and lower sides meet the bits beyond
+    sides = [labelled.where(own(c) == tiles.TILE - 1).select("key", *[(F.col(f"bit.{d}") + int(d == c)).alias(d) for d in "xy"], F.col("root").alias("a")).join(labelled.where(own(c) == 0).select("key", "bit.x", "bit.y", F.col("root").alias("b")), ["key", "x", "y"]).select("key", "a", "b") for c in "xy"]
+    edges = staged(sides[0].unionByName(sides[1]).distinct())
+    if not edges.isEmpty():
+        found = graph.components(edges).withColumnRenamed("id", "root")
+        labelled = labelled.join(found, ["key", "root"], "left").withColumn("root", F.coalesce("component", "root"))
+    return labelled.select(*[F.col(f"key.{c}") for c in KEY], *[F.col(f"bit.{c}") for c in rest], F.col("root").alias("component")).select(*[c for c in mask.columns if c != "component"], "component")
 
 
 def component_sizes(mask: DataFrame) -> DataFrame:
@@ -164,49 +165,175 @@ def boundary_edges(mask: DataFrame) -> DataFrame:
     return lone.where("n = 1").select(*KEY, "e.*")
 
 
-def _walk_undirected(ax, ay, bx, by) -> Iterator[list[tuple[int, int]]]:
-    around: dict[tuple, list[tuple]] = {}
-    for p, q in zip(zip(ax, ay, strict=True), zip(bx, by, strict=True), strict=True):
-        around.setdefault(p, []).append(q)
-        around.setdefault(q, []).append(p)
-    seen: set[tuple] = set()
-    for start in around:
-        if start in seen:
-            continue
-        loop, at = [start], start
-        seen.add(start)
-        while True:
-            step = next((q for q in around[at] if q not in seen), None)
-            if step is None:
-                break
-            seen.add(step)
-            loop.append(step)
-            at = step
-        yield loop
+#: Bits of the parts of an element's number: y, x, and the side of a pixel or the direction of a dart.
+_Y, _X = 34, 5
+
+
+def _number(x: Column, y: Column, part: Column) -> Column:
+    """A number for an element that sorts by rows."""
+    return F.shiftleft(y.cast("long"), _Y) + F.shiftleft(x.cast("long"), _X) + part
+
+
+def _xy(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return (ids >> _X) & ((1 << (_Y - _X)) - 1), ids >> _Y, ids & ((1 << _X) - 1)
+
+
+def _vertex(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (y << 32) | x
+
+
+def _ends(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where edges of pixels start and end; sides 0 to 3 are top, right, bottom, left."""
+    x, y, side = _xy(ids)
+    return _vertex(x + ((side == 1) | (side == 2)), y + (side >= 2)), _vertex(x + (side <= 1), y + ((side == 1) | (side == 2)))
+
+
+PIECE = "id long, chain long, place long, path long, base long, total long, n long, next long, last long, low long, low_at long"
+
+
+def _pieces(steps: DataFrame, side: int, corners: bool) -> DataFrame:
+    """Steps (key, id, next) as chains of tiles: of each element its chain and place there, and path, base and total where the tile has all of its outline.
+
+    The rows at place 0 also have what joins chains: their length n, the element
+    that follows, null at a corner, their last element, and the smallest one but
+    the first with its place. corners: a missing `next` is a corner at which outlines touch.
+    """
+    at = lambda shift, bits: F.shiftright("id", shift).bitwiseAND(F.lit((1 << bits) - 1))
+    packed = steps.groupBy("key", F.floor(at(_X, _Y - _X) / side).alias("tx"), F.floor(at(_Y, 64 - _Y - 1) / side).alias("ty")).agg(F.collect_list(F.struct("id", "next")).alias("steps"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, own in enumerate(batch.column(1)):
+                ids, to = own.values.field("id").to_numpy(), own.values.field("next").fill_null(-1).to_numpy()
+                order, head, place, closed = tiles.chained(ids, to)
+                ids, to = ids[order], to[order]
+                n = np.bincount(head, minlength=len(ids))
+                path, base, total = np.where(closed, ids[head], -1), np.zeros(len(ids), np.int64), n[head]
+                first = np.flatnonzero(place == 0)
+                last = np.zeros(len(ids), np.int64)
+                last[head[place == n[head] - 1]] = np.flatnonzero(place == n[head] - 1)
+                low = np.full(len(ids), len(ids))
+                later = np.flatnonzero(place > 0)
+                np.minimum.at(low, head[later], later)
+                lone = low == len(ids)
+                low[lone] = 0
+                low_id, low_at = np.where(lone, -1, ids[low]), np.where(lone, -1, place[low])
+                if corners:
+                    begin, end = _ends(ids)
+                    open_ = first[~closed[first]]
+                    met = np.unique(end[last[open_]][to[last[open_]] < 0])
+                    strands = [tiles.Strand(*x) for x in zip(open_.tolist(), n[open_].tolist(), begin[open_].tolist(), end[last[open_]].tolist(), np.where(lone[open_], -1, low[open_]).tolist(), low_at[open_].tolist(), strict=True)]
+                    whole = set(met.tolist())
+                    for group in tiles.clusters(strands):
+                        count: dict[int, int] = {}
+                        for s in group:
+                            s.low, s.low_at = (None, None) if s.low < 0 else (s.low, s.low_at)
+                            for v in (s.start, s.end):
+                                count[v] = count.get(v, 0) + 1
+                        # a corner has two edges to it and two from it
+                        if all(to[last[s.first]] < 0 for s in group) and all(c == 4 and v in whole for v, c in count.items()):
+                            for k, p, b, t in tiles.walked(group):
+                                path[k], base[k], total[k] = ids[p], b, t
+                    path, base, total = path[head], base[head], total[head]
+                start = place == 0
+                mark = lambda v, keep: pa.array(v, pa.int64(), mask=~keep)
+                known = path >= 0
+                following = to[last[head]]
+                out = [ids, ids[head], place]
+                out = [pa.array(v, pa.int64()) for v in out] + [mark(path, known), mark(base, known), mark(total, known), mark(n[head], start), mark(following, start & ~known & (following >= 0)), mark(ids[last[head]], start), mark(low_id[head], start & (low_id[head] >= 0)), mark(low_at[head], start & (low_id[head] >= 0))]
+                keys = batch.column(0).take(pa.array(np.full(len(ids), i)))
+                yield pa.RecordBatch.from_arrays([keys, *out], names=["key", *(x.split()[0] for x in PIECE.split(", "))])
+
+    kind = steps.schema["key"].dataType.simpleString()
+    return packed.select("key", "steps").mapInArrow(run, f"key {kind}, {PIECE}")
+
+
+def _outlines(steps: DataFrame, side: int, corners: bool) -> DataFrame:
+    """(key, id, path, pos, total): each element's outline, by its first element, and its place there.
+
+    Tiles contract what they hold to chains. Chains that go on in other tiles are
+    ranked by pointer doubling. Where outlines touch at corners, the chains
+    between corners are walked, a connected group of them in a task: the choice
+    at a corner depends on the choices before.
+    """
+    pieces = staged(_pieces(steps, side, corners))
+    left = pieces.where("path is null and place = 0")
+    done = lambda df: df.select("key", "id", "path", F.pmod(F.col("base") + F.col("place"), F.col("total")).alias("pos"), "total")
+    if left.isEmpty():
+        return done(pieces)
+    ranks = staged(left.select("key", "id", "next", "n", "last", "low", "low_at").join(graph.ranked(left.select("key", "id", "next", "n")), ["key", "id"]))
+    # a ring begins at its smallest element, which may stand anywhere in a chain
+    least = F.least(F.struct(F.col("id").alias("path"), F.col("before").alias("at")), F.when(F.col("low").isNotNull(), F.struct(F.col("low").alias("path"), (F.col("before") + F.col("low_at")).alias("at"))))
+    whole = ranks.where("closed").groupBy("key", "head").agg(F.sum("n").alias("total"), F.min(least).alias("first"))
+    rings = ranks.where("closed").join(whole, ["key", "head"]).select("key", F.col("id").alias("chain"), "first.path", (F.col("before") - F.col("first.at")).alias("base"), "total")
+    if corners:
+        rings = rings.unionByName(_touching(ranks.where("not closed")))
+    known = pieces.where("path is null").drop("path", "base", "total").join(rings, ["key", "chain"])
+    return done(pieces.where("path is not null").select("key", "id", "path", "base", "place", "total").unionByName(known.select("key", "id", "path", "base", "place", "total")))
+
+
+def _corner(id_: str, end: bool) -> Column:
+    """The vertex at which an edge starts or ends, as one number."""
+    x, y, s = F.shiftright(id_, _X).bitwiseAND(F.lit((1 << (_Y - _X)) - 1)), F.shiftright(id_, _Y), F.col(id_).bitwiseAND(F.lit(3))
+    lower, right = (s.isin(1, 2), s <= 1) if end else (s >= 2, s.isin(1, 2))
+    return F.shiftleft(y + lower.cast("int"), 32) + x + right.cast("int")
+
+
+def _touching(ranks: DataFrame) -> DataFrame:
+    """(key, chain, path, base, total) of chains in lists that run from corner to corner.
+
+    What corners connect is walked by one task; its rows are one for each list,
+    so twice the corners, whatever the length of the outlines.
+    """
+    later = F.when(F.col("id") != F.col("head"), F.struct(F.col("id").alias("low"), F.col("before").alias("low_at")))
+    inner = F.when(F.col("low").isNotNull(), F.struct("low", (F.col("before") + F.col("low_at")).alias("low_at")))
+    lists = ranks.groupBy("key", "head").agg(F.sum("n").alias("n"), F.least(F.min(later), F.min(inner)).alias("low"), F.max_by("last", "before").alias("last"))
+    lists = staged(lists.select("key", F.col("head").alias("first"), "n", _corner("head", False).alias("start"), _corner("last", True).alias("end"), F.col("low.low").alias("low"), F.col("low.low_at").alias("low_at")))
+    found = graph.components(lists.select("key", F.col("start").alias("a"), F.col("end").alias("b"))).withColumnRenamed("id", "start")
+    strand = F.struct("first", "n", "start", "end", "low", "low_at")
+    groups = lists.join(found, ["key", "start"], "left").groupBy("key", F.coalesce("component", "start").alias("cluster")).agg(F.collect_list(strand).alias("strands"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, own in enumerate(batch.column(1)):
+                rows = tiles.walked([tiles.Strand(**s) for s in own.as_py()])
+                keys = batch.column(0).take(pa.array(np.full(len(rows), i)))
+                yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], names=["key", "head", "path", "base", "total"])
+
+    kind = ranks.schema["key"].dataType.simpleString()
+    paths = groups.select("key", "strands").mapInArrow(run, f"key {kind}, head long, path long, base long, total long")
+    return ranks.join(paths, ["key", "head"]).select("key", F.col("id").alias("chain"), "path", (F.col("base") + F.col("before")).alias("base"), "total")
+
+
+def _linked(twice: DataFrame) -> DataFrame:
+    """(key, id, next) from (key, x, y, out, into): at a vertex with one way in and one out they follow each other; at others `next` is null."""
+    at = twice.groupBy("key", "x", "y").agg(F.collect_list("out").alias("out"), F.collect_list("into").alias("into"))
+    return at.select("key", F.explode("into").alias("id"), F.when(F.size("out") == 1, F.get("out", F.lit(0))).alias("next"))
 
 
 def trace_loops(segments: DataFrame) -> DataFrame:
     """(keys, path, pos, x, y) in doubled integers: undirected segments joined to loops of 3 points or more.
 
-    Every vertex of marching squares has two segments, so a loop is a connected
-    component; it starts at its topmost, then leftmost vertex. One group is one
-    mask of one image.
+    Every vertex of marching squares has two segments, so a loop is a ring; it
+    starts at its topmost, then leftmost vertex and goes on to the right. path
+    is a number that ascends by these vertices. Each segment stands for two
+    darts, one for each direction, of which one ring is kept; what does not
+    close is left out.
     """
+    part = lambda a, b: (F.col(f"{b}x") - F.col(f"{a}x") + 2) * 5 + F.col(f"{b}y") - F.col(f"{a}y") + 2
+    dart = lambda a, b: _number(F.col(f"{a}x"), F.col(f"{a}y"), part(a, b))
+    ends = F.array(*[F.struct(F.col(f"{a}x").alias("x"), F.col(f"{a}y").alias("y"), dart(a, b).alias("out"), dart(b, a).alias("into")) for a, b in (("s", "e"), ("e", "s"))])
+    at = segments.select(F.struct(*KEY).alias("key"), F.explode(ends).alias("d")).select("key", "d.*").groupBy("key", "x", "y").agg(F.collect_list(F.struct("out", "into")).alias("d"))
+    other = F.when(F.size("d") == 2, F.transform("d", lambda v, i: F.struct(v["into"].alias("id"), F.get("d", 1 - i)["out"].alias("next")))).otherwise(F.transform("d", lambda v: F.struct(v["into"].alias("id"), F.lit(None).cast("long").alias("next"))))
+    rings = _outlines(at.select("key", F.explode(other).alias("s")).select("key", "s.*"), 2 * tiles.TILE, corners=False)
+    rightward = F.col("path").bitwiseAND(F.lit((1 << _X) - 1)) >= 15
+    return _nodes(rings.where(rightward & (F.col("total") >= 3)), F.lit(0), F.lit(0))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["sy", "sx", "ey", "ex"], kind="stable")
-        rows, path = [], 0
-        for loop in _walk_undirected(*(pdf[c].tolist() for c in ("sx", "sy", "ex", "ey"))):
-            if len(loop) >= 3:
-                rows += [(path, k, x, y) for k, (x, y) in enumerate(loop)]
-                path += 1
-        out = pd.DataFrame(rows, columns=["path", "pos", "x", "y"])
-        for k in KEY[::-1]:
-            out.insert(0, k, [pdf[k].iloc[0]] * len(out))
-        return out
 
-    kinds = {f.name: f.dataType.simpleString() for f in segments.schema}
-    return segments.groupBy(*KEY).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in KEY) + ", path int, pos int, x int, y int")
+def _nodes(rings: DataFrame, right: Column, lower: Column) -> DataFrame:
+    x = (F.shiftright("id", _X).bitwiseAND(F.lit((1 << (_Y - _X)) - 1)) + right).cast("int")
+    y = (F.shiftright("id", _Y) + lower).cast("int")
+    return rings.select(*[F.col(f"key.{k}") for k in KEY], "path", F.col("pos").cast("int").alias("pos"), x.alias("x"), y.alias("y"))
 
 
 def trace_edges(mask: DataFrame) -> DataFrame:
@@ -214,31 +341,11 @@ def trace_edges(mask: DataFrame) -> DataFrame:
 
     Edges are taken in row order (top, right, bottom, left of each pixel); where
     outlines touch at a corner the edge that came last goes first. Outlines of
-    fewer than 4 points are left out. One group is one mask of one image.
+    fewer than 4 points are left out. path is the number of the first edge.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x", "side"], kind="stable")
-        leaving: dict[tuple, list[tuple]] = {}
-        for sx, sy, ex, ey in zip(*(pdf[c].tolist() for c in ("sx", "sy", "ex", "ey")), strict=True):
-            leaving.setdefault((sx, sy), []).append((ex, ey))
-        rows, path = [], 0
-        for start in list(leaving):
-            while leaving.get(start):
-                loop, at = [start], leaving[start].pop()
-                while at != start:
-                    loop.append(at)
-                    if not leaving.get(at):
-                        break
-                    at = leaving[at].pop()
-                if len(loop) >= 4:
-                    rows += [(path, k, x, y) for k, (x, y) in enumerate(loop)]
-                    path += 1
-        out = pd.DataFrame(rows, columns=["path", "pos", "x", "y"])
-        for k in KEY[::-1]:
-            out.insert(0, k, [pdf[k].iloc[0]] * len(out))
-        return out
-
-    edges = boundary_edges(mask)
-    kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
-    return edges.groupBy(*KEY).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in KEY) + ", path int, pos int, x int, y int")
+    edges = boundary_edges(mask).withColumn("id", _number(F.col("x"), F.col("y"), F.col("side")))
+    none = F.lit(None).cast("long")
+    ends = F.array(F.struct(F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("id").alias("out"), none.alias("into")), F.struct(F.col("ex").alias("x"), F.col("ey").alias("y"), none.alias("out"), F.col("id").alias("into")))
+    steps = _linked(edges.select(F.struct(*KEY).alias("key"), F.explode(ends).alias("e")).select("key", "e.*"))
+    side = F.col("id").bitwiseAND(F.lit(3))
+    return _nodes(_outlines(steps, tiles.TILE, corners=True).where("total >= 4"), side.isin(1, 2).cast("int"), (side >= 2).cast("int"))
