@@ -207,7 +207,7 @@ def component_sizes(spark, sf_dir):
     return masks.component_sizes(derived.mask(spark, sf_dir))
 
 
-@_register(f"WITH RECURSIVE {_COMPONENTS.replace(MASK, LEDGER).replace('* 31', f'* {LEDGER_WIDTH}')} SELECT component, CAST(count(*) AS BIGINT) AS size FROM z GROUP BY ALL")
+@_register(f"WITH RECURSIVE {LEDGER}, d AS (SELECT * FROM (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) t(dx, dy)), c AS (SELECT x, y, CAST(y AS BIGINT) * {LEDGER_WIDTH} + x AS root FROM m UNION SELECT m.x, m.y, k.root FROM (SELECT x + dx AS x, y + dy AS y, root FROM c, d) k JOIN m ON m.x = k.x AND m.y = k.y), z AS (SELECT x, y, min(root) AS component FROM c GROUP BY ALL) SELECT component, CAST(count(*) AS BIGINT) AS size FROM z GROUP BY ALL")
 def table_components(spark, sf_dir):
     """The connected parts of one mask over a whole table, over many tiles."""
     return masks.component_sizes(derived.ledger(spark, sf_dir)).select("component", "size")
@@ -252,11 +252,11 @@ def loop_sizes(spark, sf_dir):
 
 _WALK = f"""{_SEGMENTS}, v AS (SELECT image_id, label, sx AS x, sy AS y, ex AS x2, ey AS y2 FROM e UNION SELECT image_id, label, ex, ey, sx, sy FROM e), c AS (SELECT image_id, label, x, y, y * 1000 + x AS root FROM v UNION SELECT v.image_id, v.label, v.x2, v.y2, c.root FROM c JOIN v ON v.image_id = c.image_id AND v.label = c.label AND v.x = c.x AND v.y = c.y),
 s0 AS (SELECT image_id, label, min(root) AS root FROM (SELECT image_id, label, x, y, min(root) AS root FROM c GROUP BY ALL) GROUP BY image_id, label, root HAVING count(*) >= 3),
-w AS (SELECT v.image_id, v.label, root, v.x, v.y, v.x2, v.y2, 0 AS pos FROM s0 JOIN v ON v.image_id = s0.image_id AND v.label = s0.label AND v.y * 1000 + v.x = root AND v.x2 > v.x
-  UNION ALL SELECT w.image_id, w.label, w.root, v.x, v.y, v.x2, v.y2, pos + 1 FROM w JOIN v ON v.image_id = w.image_id AND v.label = w.label AND v.x = w.x2 AND v.y = w.y2 AND NOT (v.x2 = w.x AND v.y2 = w.y) WHERE w.y2 * 1000 + w.x2 <> w.root)"""
+t AS (SELECT v.image_id, v.label, root, v.x, v.y, v.x2, v.y2, 0 AS pos FROM s0 JOIN v ON v.image_id = s0.image_id AND v.label = s0.label AND v.y * 1000 + v.x = root AND v.x2 > v.x
+  UNION ALL SELECT t.image_id, t.label, t.root, v.x, v.y, v.x2, v.y2, pos + 1 FROM t JOIN v ON v.image_id = t.image_id AND v.label = t.label AND v.x = t.x2 AND v.y = t.y2 AND NOT (v.x2 = t.x AND v.y2 = t.y) WHERE t.y2 * 1000 + t.x2 <> t.root)"""
 
 
-@_register(f"WITH RECURSIVE {_WALK} SELECT image_id, label, root, pos, x, y FROM w")
+@_register(f"WITH RECURSIVE {_WALK} SELECT image_id, label, root, pos, x, y FROM t")
 def loop_points(spark, sf_dir):
     """Loops point by point, from the topmost, then leftmost one to the right."""
     loops = masks.trace_loops(masks.cell_segments(masks.marching_cells(derived.mask(spark, sf_dir))))

@@ -66,13 +66,14 @@ MASK = (
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One mask over all of lineitem: ship day by quantity, a bit where there is a line; wider than a tile."""
+    """One mask over all of lineitem: ship day by supplier, a bit where there is a line; it grows with the suppliers, over many tiles."""
     day = F.datediff("l_shipdate", F.lit("1992-01-01").cast("date"))
-    return table(spark, sf_dir, "lineitem").select(F.lit("ledger").alias("image_id"), F.lit(0).alias("label"), day.alias("x"), F.col("l_quantity").cast("int").alias("y"), F.lit(LEDGER_WIDTH).alias("width"), F.lit(51).alias("height")).distinct()
+    return table(spark, sf_dir, "lineitem").select(F.lit("ledger").alias("image_id"), F.lit(0).alias("label"), day.alias("x"), F.col("l_suppkey").cast("int").alias("y"), F.lit(LEDGER_WIDTH).alias("width"), F.lit(LEDGER_HEIGHT).alias("height")).distinct()
 
 
-LEDGER_WIDTH = 2700
-LEDGER = f"""m AS (SELECT DISTINCT 'ledger' AS image_id, 0 AS label, CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS INTEGER) AS x, CAST(l_quantity AS INTEGER) AS y, {LEDGER_WIDTH} AS width, 51 AS height FROM lineitem)"""
+#: Days that a ship date may lie after the first one, and more lines than there are suppliers.
+LEDGER_WIDTH, LEDGER_HEIGHT = 2700, 100_000_000
+LEDGER = f"""m AS (SELECT DISTINCT 'ledger' AS image_id, 0 AS label, CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS INTEGER) AS x, CAST(l_suppkey AS INTEGER) AS y, {LEDGER_WIDTH} AS width, {LEDGER_HEIGHT} AS height FROM lineitem)"""
 
 
 def order_path(spark: SparkSession, sf_dir: str) -> DataFrame:
