@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import mix64, row_groups, text_buffers, written
 from .words import word_hashes
@@ -138,8 +139,8 @@ def scored(docs: DataFrame, text_col: str, makers: list[tuple[Callable, int]], w
     return source.mapInArrow(run, docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(name, "double"))
 
 
-#: Bytes of features that a sample brings to the driver at most, besides its number of rows.
-SAMPLE_BYTES = 256 << 20
+#: Bytes of features that a sample brings to the driver at most, and different rows (samples have fewer ids than that).
+SAMPLE_BYTES, FETCHED = 256 << 20, 100_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: int, id_col: str = "doc_id", text_col: str = "text", where: Column | None = None) -> DataFrame:
@@ -158,12 +159,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: in
 
 def fetched(sample: DataFrame, makers: list[tuple[Callable, int]], bytes_: int = SAMPLE_BYTES) -> tuple[list[np.ndarray], np.ndarray]:
     """The features and labels of a sample's rows, in the order of the ids' hashes: the first ones whose features have so many bytes together."""
-    rows = written(featurised(sample, "text", makers).withColumn("h", F.xxhash64("doc")))
-    order = ["h", "doc", F.xxhash64("features")]
-    sizes = rows.select("h", F.length("features").alias("n")).orderBy("h").collect()
-    total = np.cumsum([r["n"] for r in sizes])
-    fits = max(1, int(np.searchsorted(total, bytes_, side="right")))
-    if fits < len(sizes):
-        rows = rows.where(F.col("h") < sizes[fits]["h"])
+    rows = written(featurised(sample, "text", makers).withColumn("h", F.xxhash64("doc")).withColumn("g", F.xxhash64("features")))
+    order = ["h", "doc", "g"]
+    # equal rows of one id go together: a row for each kind, with the bytes of all before it
+    kinds = rows.groupBy(*order).agg(F.sum(F.length("features")).alias("n"), F.count("*").alias("rows"), F.max(F.length("features")).alias("one")).orderBy(*order).limit(FETCHED).collect()
+    room, left = [], bytes_
+    for r in kinds:
+        fit = min(r["rows"], max(left // max(r["one"], 1), 0 if room else 1))
+        if fit:
+            room.append((r["h"], r["doc"], r["g"], fit))
+        left -= fit * r["one"]
+        if fit < r["rows"]:
+            break
+    taken = rows.sparkSession.createDataFrame(room, rows.select(*order).schema.add("fit", "long"))
+    nth = F.row_number().over(Window.partitionBy(*order).orderBy("label"))
+    rows = rows.join(F.broadcast(taken), order).withColumn("nth", nth).where(F.col("nth") <= F.col("fit"))
     got = rows.orderBy(*order).select("features", "label").collect()
     return [np.frombuffer(r["features"], "<i4") for r in got], np.array([r["label"] for r in got], float)
