@@ -22,6 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,15 +167,24 @@ class RunLengthIndex:
     """
 
     def __init__(self, texts: list[bytes], groups: list[int] | None = None, columns: list[int] | None = None):
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self._build(np.frombuffer(b"".join(texts), np.uint8), np.fromiter(map(len, texts), np.int64, len(texts)), groups, columns)
+
+    @classmethod
+    def of(cls, data: np.ndarray, sizes: np.ndarray, groups: np.ndarray, columns: np.ndarray) -> RunLengthIndex:
+        """The same of texts that lie one after the other in `data`."""
+        out = cls.__new__(cls)
+        out._build(data, sizes, groups, columns)
+        return out
+
+    def _build(self, data: np.ndarray, sizes: np.ndarray, groups, columns) -> None:
         self.starts = np.concatenate(([0], np.cumsum(sizes + 1)))
         self.text = np.zeros(int(self.starts[-1]), np.int64)
         inside = np.ones(len(self.text), bool)
         ends = self.starts[1:] - 1
         inside[ends] = False
-        self.text[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
+        self.text[inside] = data.astype(np.int64) + 1
         if groups is not None:
-            first = np.repeat(np.array(groups) * COLUMNS + np.array(columns) - self.starts[:-1], sizes)
+            first = np.repeat(np.asarray(groups) * COLUMNS + np.asarray(columns) - self.starts[:-1], sizes)
             self.text[inside] += (first + np.flatnonzero(inside)) * ALPHABET
         order, levels = suffix_ranks(self.text, ends)
         before = np.concatenate(([0], self.text[:-1]))[order]  # the transform; 0 before each text's first symbol
@@ -235,28 +245,22 @@ CONTEXT_SCHEMA = f"gram long, key {KEY}, place long, at long, low long, high lon
 def _contexts(rows: DataFrame, size: int) -> DataFrame:
     """From (key, text, wanted): the contexts of anchors, with their flags `known` and `crowded`."""
     reach = size - GRAM
+    names = [*CONTEXT, "known", "crowded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            out: list[tuple] = []
-            for i, wanted in enumerate(batch.column(2).to_pylist()):
-                raw = data[offsets[i] : offsets[i + 1]].tobytes()
-                for x in wanted:
-                    place, low = x["place"], x["place"] - x["back"]
-                    at = max(0, place - reach)
-                    out.append((x["gram"], i, place, at, low, low + x["span"], reach - (place - at), raw[at : place + size], x["known"], x["crowded"]))
-                if len(out) > 5000:
-                    yield batch_of(batch, out)
-                    out = []
-            if out:
-                yield batch_of(batch, out)
-
-    def batch_of(batch: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True))
-        columns[1] = batch.column(0).take(pa.array(columns[1]))
-        kinds = [*CONTEXT_TYPES, pa.bool_(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([c if t is None else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[*CONTEXT, "known", "crowded"])
+            wanted, lists = batch.column(2).flatten(), np.diff(batch.column(2).offsets.to_numpy())
+            row = np.repeat(np.arange(batch.num_rows), lists)
+            place, back, span = (wanted.field(c).to_numpy().astype(np.int64) for c in ("place", "back", "span"))
+            at, end = np.maximum(0, place - reach), np.minimum(place + size, np.diff(offsets)[row])
+            low, begin = place - back, offsets[row]
+            for i in range(0, len(row), 5000):
+                k = slice(i, i + 5000)
+                cut = [data[x:y].tobytes() for x, y in zip((begin[k] + at[k]).tolist(), (begin[k] + end[k]).tolist(), strict=True)]
+                numbers = [place[k], at[k], low[k], low[k] + span[k], reach - (place[k] - at[k])]
+                part = wanted.slice(i, 5000)
+                yield pa.RecordBatch.from_arrays([part.field("gram"), batch.column(0).take(pa.array(row[k])), *(pa.array(v, pa.int64()) for v in numbers), pa.array(cut, pa.binary()), part.field("known"), part.field("crowded")], names=names)
 
     return rows.mapInArrow(run, f"{CONTEXT_SCHEMA}, known boolean, crowded boolean")
 
@@ -304,42 +308,57 @@ def _marked(contexts: DataFrame, size: int) -> DataFrame:
     """(key, low, high): runs of windows that occur in another place of their anchor's contexts."""
     dealt = contexts.repartition(shuffle_width(contexts.sparkSession), "gram").sortWithinPartitions("gram", "key", "place")
 
-    def marks(held: list[tuple]) -> Iterator[tuple]:
-        group, last, groups = -1, None, []
-        for x in held:
-            group, last = group + (x[0] != last), x[0]
-            groups.append(group)
-        index = RunLengthIndex([x[7] for x in held], groups, [x[6] for x in held])
+    def marks(batch: pa.RecordBatch) -> pa.RecordBatch:
+        gram, at, low, high, lead = (batch.column(k).to_numpy() for k in (0, 3, 4, 5, 6))
+        data, offsets = text_buffers(batch.column(7))
+        groups = np.cumsum(np.concatenate(([0], gram[1:] != gram[:-1])))
+        index = RunLengthIndex.of(data, np.diff(offsets), groups, lead)
         enough = index.matching_statistics() >= size
-        for (_, a, b, at, low, high, _, _, known), start in zip(held, index.starts[:-1].tolist(), strict=True):
-            if known:
-                continue
-            own = enough[start + low - at : start + high - at + 1]
-            step = np.flatnonzero(np.diff(np.concatenate(([False], own, [False])).astype(np.int8)))
-            for i, j in zip(step[::2].tolist(), step[1::2].tolist(), strict=True):
-                yield a, b, low + i, low + j - 1
+        # the windows of all contexts that are not known, one after the other
+        some = np.flatnonzero(~batch.column(8).to_numpy(zero_copy_only=False))
+        many = (high - low + 1)[some]
+        first = np.cumsum(many) - many
+        owner = np.repeat(np.arange(len(some)), many)
+        nth = np.arange(len(owner)) - first[owner]
+        hit = enough[(index.starts[:-1][some] + low[some] - at[some])[owner] + nth]
+        edge = np.zeros(len(hit) + 1, bool)
+        edge[first], edge[-1] = True, True
+        begin = np.flatnonzero(hit & (edge[:-1] | ~np.concatenate(([False], hit[:-1]))))
+        end = np.flatnonzero(hit & (edge[1:] | ~np.concatenate((hit[1:], [False]))))
+        row = some[owner[begin]]
+        return pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(row)), pa.array(low[row] + nth[begin]), pa.array(low[row] + nth[end])], names=["key", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        weight = 0
+        held: list[pa.RecordBatch] = []
+        weight, rows, last = 0, 0, None
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            found = list(marks(held))
+        def flush() -> pa.RecordBatch:
+            nonlocal weight, rows
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held.clear()
-            if found:
-                a, b, low, high = (pa.array(c, pa.int64()) for c in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([a, b], names=["a", "b"]), low, high], names=["key", "low", "high"])
+            weight = rows = 0
+            return marks(whole)
 
         for batch in batches:
-            gram, key, _, *rest = batch.columns
-            for row in zip(*(c.to_pylist() for c in (gram, key.field(0), key.field(1), *rest)), strict=True):
-                if (weight > INDEX or len(held) >= GROUPS) and row[0] != held[-1][0]:
-                    yield from flush()
-                    weight = 0
-                held.append(row)
-                weight += len(row[7])
+            gram, ends = batch.column(0).to_numpy(), np.cumsum(pc.binary_length(batch.column(7)).to_numpy())
+            # an index ends where an anchor does
+            turns = np.flatnonzero(np.concatenate(([last is None or gram[0] != last], gram[1:] != gram[:-1])))
+            begin = 0
+            for t in turns.tolist():
+                before = int(ends[t - 1]) if t else 0
+                done = int(ends[begin - 1]) if begin else 0
+                if weight + before - done > INDEX or rows + t - begin >= GROUPS:
+                    if t > begin:
+                        held.append(batch.slice(begin, t - begin))
+                    if held:
+                        yield flush()
+                    begin = t
+            held.append(batch.slice(begin))
+            weight += int(ends[-1]) - (int(ends[begin - 1]) if begin else 0)
+            rows += batch.num_rows - begin
+            last = gram[-1]
         if held:
-            yield from flush()
+            yield flush()
 
     return dealt.mapInArrow(run, f"key {KEY}, low long, high long")
 
@@ -371,14 +390,14 @@ def _judged(found: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
 
 
 def repeated_windows(rows: DataFrame, size: int = 200) -> DataFrame:
-    """(key, spans): for each key of rows (key, text) the windows, as runs of first bytes, that start in another place too."""
+    """(key, spans): for each key of rows (key, text) the windows, as runs of first bytes, that start in another place too. Keys are distinct."""
     runs = lambda df: df.select("key", (F.col("place") - F.col("back")).alias("low"), (F.col("place") - F.col("back") + F.col("span")).alias("high"))
     same, judged = _judged(written(_anchored(rows, size)), CROWD)
     sure = [runs(same), written(runs(judged.where("known")))]
     # a context that occurs often goes on once, for others to match
     left = judged.where("not known or first").groupBy("key").agg(F.collect_list(F.struct("gram", "place", "back", "span", "known", "crowded")).alias("wanted"))
     with arrow_rows(rows.sparkSession, 500):
-        contexts = written(_contexts(rows.dropDuplicates(["key"]).join(left, "key").select("key", "text", "wanted"), size))
+        contexts = written(_contexts(rows.join(left, "key").select("key", "text", "wanted"), size))
     forget(judged, shuffles=True)
     whole = [*CONTEXT, "known"]
     indexed, crowd = [contexts.where("not crowded").select(*whole)], contexts.where("crowded")
@@ -416,8 +435,20 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("key", _key(F.col("id"), F.col("text")))
-    spans = written(repeated_windows(rows.select("key", "text"), size))
-    joined = rows.join(spans, "key", "left").select("id", "text", "spans")
+    # of equal rows all goes, and one of them stands for all
+    many = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    each = rows.select("key", "text")
+    equal = not many.isEmpty()
+    if equal:
+        each = each.join(many, "key", "left_anti").unionByName(each.join(many, "key", "left_semi").dropDuplicates(["key"]))
+    spans = written(repeated_windows(each, size))
+    if equal:
+        alone = spans.join(many, "key", "left_anti")
+        bytes_ = F.octet_length("text")
+        whole = rows.join(many, "key", "left_semi").select("id", "text", F.when(bytes_ >= size, F.array(F.struct(F.lit(0).cast("long").alias("low"), (bytes_ - size).cast("long").alias("high")))).alias("spans"))
+        joined = rows.join(many, "key", "left_anti").join(alone, "key", "left").select("id", "text", "spans").unionByName(whole)
+    else:
+        joined = rows.join(spans, "key", "left").select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -931,3 +931,26 @@ def test_whitening_without_variance(spark):
     assert abs(flat[0]["whitened"]) == 1.0 and flat[1]["whitened"] is None and flat[0]["explained"] == 1.0 and flat[4]["explained"] is None and flat[4]["whitened"] is None
     assert whitening.whiten(df([])).count() == 0 and whitening.whiten(df([("a", None)])).count() == 0
     assert whitening.deviations(np.array([[2**40, 1], [3, 4]])) == [None, 25]
+
+
+def test_sample_bound_cuts_inside_an_id(spark):
+    rng = random.Random(3)
+    rows = [(1, _text(rng, 80)) for _ in range(3)] + [(1, "same words again " * 20)] * 50 + [(i, _text(rng, 80)) for i in range(2, 12)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 12)], "doc_id long, toxic int")
+    picked = features.labelled_sample(_docs(spark, rows), labels, "toxic", 100)
+    whole, label = features.fetched(picked, toxicity.MAKERS)
+    assert len(whole) == len(label) == 63
+    sizes = [4 * len(x) for x in whole]
+    for bound in (1, sizes[0] + 1, sum(sizes) // 3, sum(sizes) // 2):
+        few, own = features.fetched(picked, toxicity.MAKERS, bound)
+        assert 1 <= len(few) == len(own) and (sum(4 * len(x) for x in few) <= bound or len(few) == 1)
+        assert bound - sum(4 * len(x) for x in few) < max(sizes)
+
+
+def test_repeats_of_many_equal_rows(spark):
+    rng = random.Random(6)
+    text, other = _text(rng, 200), _text(rng, 100)
+    docs = _docs(spark, [(7, text)] * 3000 + [(8, text[100:900]), (9, other), (9, "short"), (9, "short")])
+    got = rindex.drop_repeated_bytes(docs).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    n = len(text)
+    assert sorted(map(tuple, got)) == [(7, n, n, 1, 3000), (8, 800, 800, 1, 1), (9, 5, 0, 0, 2), (9, len(other), 0, 0, 1)]
