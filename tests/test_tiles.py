@@ -151,3 +151,29 @@ def test_graph_operators(spark):
     links = [(10, 7, 2), (7, 12, 3), (12, None, 1), (20, 31, 5), (31, 25, 1), (25, 20, 4), (40, 40, 6)]
     got = {r["id"]: (r["head"], r["before"], r["closed"]) for r in graph.ranked(spark.createDataFrame([("k", *x) for x in links], "k string, id long, next long, n long").select(F.struct("k").alias("key"), "id", "next", "n")).collect()}
     assert got == {10: (10, 0, False), 7: (10, 2, False), 12: (10, 5, False), 20: (20, 0, True), 31: (20, 5, True), 25: (20, 6, True), 40: (40, 0, True)}
+
+
+def test_kmeans_of_many_blocks(spark, monkeypatch):
+    from contourlake.functions.numbers import Lcg
+    from contourlake.operators import kmeans
+
+    rng = np.random.default_rng(5)
+    grids = {"a": rng.integers(0, 256, (9, 11, 3)), "flat": np.full((6, 7, 3), 40), "few": rng.integers(0, 2, (8, 8, 3)) * 200}
+    alpha = {name: np.where(rng.random(g.shape[:2]) < 0.2, 0, 255) for name, g in grids.items()}
+    grids["clear"], alpha["clear"] = np.zeros((4, 4, 3), int), np.zeros((4, 4), int)
+    rows = [(name, g.shape[1], g.shape[0], x, y, *map(int, g[y, x]), int(alpha[name][y, x])) for name, g in grids.items() for y in range(g.shape[0]) for x in range(g.shape[1])]
+    df = spark.createDataFrame(rows, "image_id string, width int, height int, x int, y int, r int, g int, b int, a int")
+    key = lambda r: (r["image_id"], r["y"], r["x"])
+    for order in (False, True):
+        whole = sorted(kmeans.quantize(df, 4, order).collect(), key=key)
+        with monkeypatch.context() as m:
+            m.setattr(kmeans, "BLOCK", 10)
+            assert sorted(kmeans.quantize(df, 4, order).collect(), key=key) == whole
+        for name, g in grids.items():
+            own = [r for r in whole if r["image_id"] == name]
+            seen = [r for r in own if r["a"] >= 8]
+            assert all((r["label"], r["hex"]) == ((None, None) if order else (0, own[0]["hex"] if not seen else r["hex"])) for r in own if r["a"] < 8)
+            if seen and not order:
+                label, centers = kmeans.cluster(np.array([(r["r"], r["g"], r["b"]) for r in seen]), 4, Lcg(kmeans.seed_state(g.shape[1], g.shape[0], 4)))
+                names = ["#%02x%02x%02x" % tuple(np.floor(c + 0.5).astype(int)) for c in centers]
+                assert [(r["label"], r["hex"]) for r in seen] == [(int(v), names[v]) for v in label]
