@@ -33,6 +33,8 @@ from .words import _powers
 GRAM, CROWD, SPLIT, INDEX = 41, 8192, 8, 1 << 19
 #: Bytes of a document that are worked on at once.
 STRETCH = 1 << 20
+#: The bits of a place in a stretch and what stands around it; grams are compared by the others.
+PLACE = np.uint64((1 << 22) - 1)
 
 
 def _prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,24 +62,15 @@ def anchors(data: np.ndarray, size: int, stretch: int) -> Iterator[tuple[np.ndar
         gram = mix64((sums[GRAM:] - sums[:-GRAM]) * inverse[: len(part) - GRAM + 1])
         first, last = begin - base, end - size - base  # windows of this stretch
         own = gram[first : last + reach + 1]
+        # the leftmost gram of the least value: places stand in the low bits
+        own = (own & ~PLACE) | np.arange(len(own), dtype=np.uint64)
         w = reach + 1
         pad = -len(own) % w
         blocks = np.concatenate((own, np.full(pad, ~np.uint64(0)))).reshape(-1, w)
         ahead = np.minimum.accumulate(blocks, axis=1).ravel()
         behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
         m = last - first + 1
-        least = np.minimum(behind[:m], ahead[w - 1 : w - 1 + m])
-        # the leftmost gram of the least value in each window
-        edge = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-        place = np.empty(m, np.int64)
-        hits = np.flatnonzero(np.isin(own, least[edge]))
-        j = np.searchsorted(hits, np.arange(m))
-        left = np.arange(m)
-        while len(left):
-            right = own[hits[j[left]]] == least[left]
-            place[left[right]] = hits[j[left[right]]]
-            left = left[~right]
-            j[left] += 1
+        place = (np.minimum(behind[:m], ahead[w - 1 : w - 1 + m]) & PLACE).astype(np.int64)
         runs = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         at = place[runs] + first
         low, high = runs + first, np.append(runs[1:], m) - 1 + first
@@ -304,14 +297,46 @@ def _split(contexts: DataFrame, size: int, width: int) -> DataFrame:
     return contexts.select(*CONTEXT).mapInArrow(run, f"{CONTEXT_SCHEMA}, context long")
 
 
+def paired(data: np.ndarray, offsets: np.ndarray, groups: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, size: int) -> np.ndarray:
+    """Whether a context may share a window with another one of its group; all places are places of `data`.
+
+    Windows that begin at nearly the same distance before the anchor have most
+    of their bytes in common; a context whose hashes of these are all its own
+    shares none.
+    """
+    sums, inverse = _prefix_hash(data)
+    reach = size - GRAM
+    width = -(-(reach + 1) // SPLIT)
+    out = np.zeros(len(groups), bool)
+    for near in range(0, reach + 1, width):
+        begin = place - near
+        end = begin + size - width + 1
+        some = np.flatnonzero((begin >= offsets[:-1]) & (end <= offsets[1:]) & (place - high < near + width) & (place - low >= near))
+        if len(some) > 1:
+            b, e = begin[some], end[some]
+            key = mix64((sums[e] - sums[b]) * inverse[b] + mix64(groups[some].astype(np.uint64)))
+            _, which, count = np.unique(key, return_inverse=True, return_counts=True)
+            out[some[count[which] > 1]] = True
+    return out
+
+
 def _marked(contexts: DataFrame, size: int) -> DataFrame:
     """(key, low, high): runs of windows that occur in another place of their anchor's contexts."""
     dealt = contexts.repartition(shuffle_width(contexts.sparkSession), "gram").sortWithinPartitions("gram", "key", "place")
 
     def marks(batch: pa.RecordBatch) -> pa.RecordBatch:
-        gram, at, low, high, lead = (batch.column(k).to_numpy() for k in (0, 3, 4, 5, 6))
+        gram, place, at, low, high = (batch.column(k).to_numpy() for k in (0, 2, 3, 4, 5))
         data, offsets = text_buffers(batch.column(7))
         groups = np.cumsum(np.concatenate(([0], gram[1:] != gram[:-1])))
+        shift = offsets[:-1] - at
+        fit = np.flatnonzero(paired(data, offsets, groups, place + shift, low + shift, high + shift, size))
+        if len(fit) < len(gram):
+            batch = batch.take(pa.array(fit))
+            groups = groups[fit]
+            data, offsets = text_buffers(batch.column(7))
+        if not len(fit):
+            return pa.RecordBatch.from_arrays([batch.column(1), *[pa.array([], pa.int64())] * 2], names=["key", "low", "high"])
+        at, low, high, lead = (batch.column(k).to_numpy() for k in (3, 4, 5, 6))
         index = RunLengthIndex.of(data, np.diff(offsets), groups, lead)
         enough = index.matching_statistics() >= size
         # the windows of all contexts that are not known, one after the other
