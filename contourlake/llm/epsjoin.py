@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from .common import arrow_rows, forget, met, numbered, renamed, shuffle_width, table, written
 from .components import connected_components
+from .whitening import gramian
 
 #: Principal axes of the grid, bytes of vectors in a block, how many intervals one interval splits into, and vectors in the shortest ones.
 AXES, BLOCK, FAN, INNER = 8, 1 << 20, 8, 256
@@ -52,25 +53,17 @@ def usable(vectors: DataFrame, num_col: str, vector_col: str, label_col: str) ->
 
 
 def principal_axes(heads: DataFrame, axes: int = AXES) -> dict[int, np.ndarray]:
-    """For each dimension that occurs, the leading axes of all unit vectors; sums of products are added up on the executors."""
+    """For each dimension that occurs, the leading axes of all unit vectors; MLlib adds up products on the executors and brings one matrix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            sizes = np.diff(batch.column(0).offsets.to_numpy())
-            for d in np.unique(sizes).tolist():
-                u = _unit(_matrix(batch.column(0).filter(pa.array(sizes == d))))
-                u = np.hstack((u, np.ones((len(u), 1))))
-                total[d] = total.get(d, 0) + u.T @ u
-        for d, m in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m.size, d), pa.int32()), pa.array(np.arange(m.size), pa.int32()), pa.array(m.ravel())], names=["d", "at", "x"])
-
-    sums: dict[int, dict[int, float]] = {}
-    for r in heads.select("v").mapInArrow(run, "d int, at int, x double").groupBy("d", "at").agg(F.sum("x").alias("x")).collect():
-        sums.setdefault(r["d"], {})[r["at"]] = r["x"]
+            u = _unit(_matrix(batch.column(0)))
+            flat = pa.array(np.hstack((u, np.ones((len(u), 1)))).ravel())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, u.shape[1] + 1), pa.int32()), flat)], names=["u"])
+
     out = {}
-    for d, x in sums.items():
-        m = np.array([x[k] for k in range((d + 1) ** 2)]).reshape(d + 1, d + 1)
+    for d in sorted(r["d"] for r in heads.select(F.size("v").alias("d")).distinct().collect()):
+        m = gramian(heads.where(F.size("v") == d).select("v").mapInArrow(run, "u array<double>"), F.col("u"))
         mean = m[:d, d] / m[d, d]
         _, vectors = np.linalg.eigh(m[:d, :d] / m[d, d] - np.outer(mean, mean))
         out[d] = np.zeros((d, axes))
