@@ -220,14 +220,19 @@ def _crossing(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id) for each row of docs: the smallest id that verified links lead to.
 
-    Rows with one id are one document; rows without an id get a null class.
-    Texts without words link with nothing. Documents of equal words have one
+    Rows with one id are one document, with the text that has the smallest hash;
+    rows without an id get a null class. Texts without words link with nothing. Documents of equal words have one
     class without being compared. Ids are of any type that can be sorted. Other
     columns are not read; an empty table gives no rows.
     """
     source, names = numbered(docs.select(*dict.fromkeys((id_col, text_col))), id_col, "__doc")
     source = source.select(F.col("__doc").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     known = source.where("doc is not null")
+    # a document has one text; ids that repeat are looked for without reading texts
+    again = written(known.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"))
+    if not again.isEmpty():
+        least_text = known.join(again, "doc", "left_semi").groupBy("doc").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+        known = written(known.join(again, "doc", "left_anti").unionByName(least_text))
     drawn = written(_sketched(known))
     heads = written(drawn.groupBy("same").agg(F.min("doc").alias("head"), F.min_by("bands", "doc").alias("bands"), F.count("*").alias("n")))
     several = heads.where("n > 1").select("same", "head", "n")

@@ -954,3 +954,12 @@ def test_repeats_of_many_equal_rows(spark):
     got = rindex.drop_repeated_bytes(docs).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
     n = len(text)
     assert sorted(map(tuple, got)) == [(7, n, n, 1, 3000), (8, 800, 800, 1, 1), (9, 5, 0, 0, 2), (9, len(other), 0, 0, 1)]
+
+
+def test_near_duplicates_of_many_rows_of_an_id(spark):
+    rng = random.Random(9)
+    base = _text(rng, 100)
+    near = base + " w1"
+    rows = [(1, base)] * 400 + [(2, near)] * 400 + [(3, _text(rng, 100))] * 3
+    got = probminhash.near_duplicates(_docs(spark, rows)).groupBy("doc_id", "class_id").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 400), (2, 1, 400), (3, 3, 3)]
