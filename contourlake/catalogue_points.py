@@ -181,16 +181,23 @@ def joined_damage(spark, sf_dir):
 
 
 def peucker_sql(source: str, name: str, eps: float) -> str:
-    """CTEs that end in `name` (path_id, pos, x, y): nodes kept by splitting at the first farthest one, with their old pos. Recursive."""
-    return f"""{name}_n AS (SELECT path_id, max(pos) AS top FROM {source} GROUP BY path_id),
-{name}_f AS (SELECT a.path_id, a.pos AS i, b.pos AS j, c.pos AS m, CASE WHEN a.x = b.x AND a.y = b.y THEN sqrt((c.x - a.x) * (c.x - a.x) + (c.y - a.y) * (c.y - a.y)) ELSE abs((b.y - a.y) * c.x - (b.x - a.x) * c.y + b.x * a.y - b.y * a.x) / sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) END AS d
-  FROM {source} a JOIN {source} b ON b.path_id = a.path_id AND b.pos > a.pos + 1 JOIN {source} c ON c.path_id = a.path_id AND c.pos > a.pos AND c.pos < b.pos),
-{name}_t AS (SELECT path_id, i, j, m, d > {eps} AS split FROM {name}_f QUALIFY row_number() OVER (PARTITION BY path_id, i, j ORDER BY d DESC, m) = 1),
-{name}_s AS (SELECT path_id, 0 AS i, CAST(top AS INTEGER) AS j FROM {name}_n UNION ALL SELECT s.path_id, CASE WHEN k = 0 THEN t.i ELSE t.m END, CASE WHEN k = 0 THEN t.m ELSE t.j END FROM {name}_s s JOIN {name}_t t ON t.path_id = s.path_id AND t.i = s.i AND t.j = s.j AND t.split, (SELECT unnest([0, 1]) AS k)),
+    """CTEs that end in `name` (path_id, pos, x, y): nodes kept by splitting at the first farthest one, with their old pos. Recursive; farthest nodes of intervals that are reached only."""
+    off = "CASE WHEN a.x = b.x AND a.y = b.y THEN sqrt((c.x - a.x) * (c.x - a.x) + (c.y - a.y) * (c.y - a.y)) ELSE abs((b.y - a.y) * c.x - (b.x - a.x) * c.y + b.x * a.y - b.y * a.x) / sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) END"
+    return f"""{name}_s AS (SELECT path_id, min(pos) AS i, max(pos) AS j FROM {source} GROUP BY path_id UNION ALL
+  SELECT path_id, CASE WHEN k = 0 THEN i ELSE m END, CASE WHEN k = 0 THEN m ELSE j END FROM (SELECT path_id, i, j, arg_max(pos, (d, -pos)) AS m FROM
+    (SELECT s.path_id, s.i, s.j, c.pos, {off} AS d FROM {name}_s s JOIN {source} a ON a.path_id = s.path_id AND a.pos = s.i JOIN {source} b ON b.path_id = s.path_id AND b.pos = s.j JOIN {source} c ON c.path_id = s.path_id AND c.pos > s.i AND c.pos < s.j)
+    GROUP BY path_id, i, j HAVING max(d) > {eps}), (SELECT unnest([0, 1]) AS k)),
 {name}_z AS (SELECT path_id, i AS pos FROM {name}_s UNION SELECT path_id, j FROM {name}_s),
 {name} AS (SELECT s.path_id, s.pos, x, y FROM {source} s JOIN {name}_z z ON z.path_id = s.path_id AND z.pos = s.pos)"""
 
 
+@register(f"WITH RECURSIVE pd AS (SELECT o_orderstatus AS path_id, o_orderkey AS pos, CAST(o_orderkey * 1000 AS DOUBLE) AS x, CAST(floor(o_totalprice * 100 + 0.5) AS DOUBLE) AS y FROM orders), {peucker_sql('pd', 'k', 10_000_000)} SELECT * FROM k")
+def thinned_orders(spark, sf_dir):
+    """One line over all orders of a status, its prices in the order of keys, simplified in rounds."""
+    o = derived.table(spark, sf_dir, "orders")
+    return paths.thinned(o.select(F.col("o_orderstatus").alias("path_id"), F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") * 1000).alias("x"), derived.cents("o_totalprice").alias("y")), 10_000_000.0)
+
+
 @register(f"WITH RECURSIVE {_DOUBLE}, {peucker_sql('pd', 'k', 2000)} SELECT path_id, {_RECUT.format('pos')} AS pos, x, y FROM k")
 def douglas_peucker(spark, sf_dir):
     p = paths.to_points(derived.order_path(spark, sf_dir))

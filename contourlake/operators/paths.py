@@ -6,11 +6,16 @@ group, and all paths are worked on at once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import clamp_point, dist, interior_angle, parallel_forward, segments_intersect, turning_angle
+from ..sources.stages import staged
 
 KEYS = ["path_id"]
 
@@ -85,32 +90,70 @@ def short_edges(nodes: DataFrame, min_len: float = 0.5, keys: list[str] = KEYS)
     return ring(nodes, keys).groupBy(*keys).agg(F.bool_or(dist(F.col("x"), F.col("y"), F.col("nx"), F.col("ny")) < min_len).alias("short"))
 
 
-def self_intersections(nodes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """(keys, crosses): whether two edges that are no neighbours touch; false for fewer than 4 nodes.
+#: Edges up to which a path's edges are compared in its row, rows that an edge of a longer path gets on average at most, and what rounding may take from a cell.
+FEW, CELLS, SLACK = 64, 16, 1e-6
+
+
+def _touches(n: Column, p: tuple, q: tuple) -> Column:
+    """Whether edges p and q, each (i, ax, ay, bx, by) with p the earlier one, are no neighbours and have a point in common."""
+    (i, pa, pb, pc, pd), (j, qa, qb, qc, qd) = p, q
+    boxes = (F.least(pa, pc) <= F.greatest(qa, qc)) & (F.least(qa, qc) <= F.greatest(pa, pc)) & (F.least(pb, pd) <= F.greatest(qb, qd)) & (F.least(qb, qd) <= F.greatest(pb, pd))
+    return (j > i + 1) & ~((i == 0) & (j == n - 1)) & boxes & segments_intersect((pa, pb), (pc, pd), (qa, qb), (qc, qd))
+
 
-    Edges are dealt to the cells of a grid over their path, about as many as it
-    has edges, and meet edges of the same cell; a pair is tested in the first
-    cell that both have, after their boxes.
+EDGE = ("i", "ax", "ay", "bx", "by")
+
+
+def passed_cells(nodes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """(keys, n, i, ax, ay, bx, by, cx, cy): the edges of rings, once for each cell of their path's grid that they pass.
+
+    Cells are as wide as edges are long: a path of n edges has sqrt(n) lines of
+    cells, fewer where edges are so long that they would pass over CELLS of them
+    on average. An edge along the side of a cell is in both.
     """
     w = Window.partitionBy(*keys).orderBy("pos")
     edges = ring(nodes, keys).select(*keys, "n", (F.row_number().over(w) - 1).alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("nx").alias("bx"), F.col("ny").alias("by"))
     box = Window.partitionBy(*keys)
+    at = {}
     for v in "xy":
-        low, high = F.least(F.col(f"a{v}"), F.col(f"b{v}")), F.greatest(F.col(f"a{v}"), F.col(f"b{v}"))
-        side, lines = F.greatest(F.max(high).over(box) - F.min(low).over(box), F.lit(1e-300)), F.floor(F.sqrt("n"))
-        cell = lambda at, low=low, side=side, lines=lines: F.least(F.floor((at - F.min(low).over(box)) / side * lines), lines - 1).cast("int")
-        edges = edges.withColumn(f"l{v}", cell(low)).withColumn(f"h{v}", cell(high))
-    cells = F.flatten(F.transform(F.sequence("lx", "hx"), lambda x: F.transform(F.sequence("ly", "hy"), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    edges = edges.where("n >= 4").withColumn("cell", F.explode(cells))
-    p, q = edges.alias("p"), edges.alias("q")
-    same = [F.col(f"p.{k}") == F.col(f"q.{k}") for k in (*keys, "cell")]
-    c = lambda s: (F.col(f"{s}.ax"), F.col(f"{s}.ay"), F.col(f"{s}.bx"), F.col(f"{s}.by"))
-    pa, pb, pc, pd_ = c("p")
-    qa, qb, qc, qd = c("q")
-    boxes = (F.least(pa, pc) <= F.greatest(qa, qc)) & (F.least(qa, qc) <= F.greatest(pa, pc)) & (F.least(pb, pd_) <= F.greatest(qb, qd)) & (F.least(qb, qd) <= F.greatest(pb, pd_))
-    apart = F.expr("q.i > p.i + 1 and not (p.i = 0 and q.i = p.n - 1) and p.cell.x = greatest(p.lx, q.lx) and p.cell.y = greatest(p.ly, q.ly)")
-    hit = p.join(q, [*same, apart, boxes]).where(segments_intersect((pa, pb), (pc, pd_), (qa, qb), (qc, qd))).select(*[F.col(f"p.{k}") for k in keys]).distinct().withColumn("crosses", F.lit(True))
-    return nodes.select(*keys).distinct().join(hit, keys, "left").withColumn("crosses", F.coalesce("crosses", F.lit(False)))
+        low, side = F.min(F.least(f"a{v}", f"b{v}")).over(box), F.max(F.greatest(f"a{v}", f"b{v}")).over(box)
+        edges = edges.withColumn(f"low{v}", low.cast("double")).withColumn(f"side{v}", F.greatest(side - low, F.lit(1e-300)).cast("double"))
+        at[v] = [(F.col(f"{e}{v}") - F.col(f"low{v}")) / F.col(f"side{v}") for e in "ab"]
+    length = F.abs(at["x"][1] - at["x"][0]) + F.abs(at["y"][1] - at["y"][0])
+    lines = F.floor(F.least(F.sqrt("n"), CELLS / F.greatest(F.avg(length).over(box), F.lit(1e-9))))
+    edges = edges.withColumn("lines", F.greatest(lines, F.lit(1)))
+    first = at["x"][0] <= at["x"][1]
+    for name, v, which in (("u0", "x", 0), ("v0", "y", 0), ("u1", "x", 1), ("v1", "y", 1)):
+        edges = edges.withColumn(name, F.when(first, at[v][which]).otherwise(at[v][1 - which]) * F.col("lines"))
+    cell = lambda c: F.least(F.greatest(F.floor(c), F.lit(0)), F.col("lines") - 1).cast("int")
+    edges = edges.withColumn("cx", F.explode(F.sequence(cell(F.col("u0") - SLACK), cell(F.col("u1") + SLACK))))
+    # the part of the edge in this column of cells
+    slope = F.when(F.col("u1") - F.col("u0") > SLACK, (F.col("v1") - F.col("v0")) / (F.col("u1") - F.col("u0")))
+    height = lambda u: F.col("v0") + (u - F.col("u0")) * slope
+    enter, leave = height(F.greatest("u0", F.col("cx") - SLACK)), height(F.least("u1", F.col("cx") + 1 + SLACK))
+    low, high = F.coalesce(F.least(enter, leave), F.least("v0", "v1")), F.coalesce(F.greatest(enter, leave), F.greatest("v0", "v1"))
+    return edges.withColumn("cy", F.explode(F.sequence(cell(low - SLACK), cell(high + SLACK)))).select(*keys, "n", *EDGE, "cx", "cy")
+
+
+def self_intersections(nodes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """(keys, crosses): whether two edges that are no neighbours touch; false for fewer than 4 nodes.
+
+    Paths of up to FEW edges are compared in their row. Edges of longer ones are
+    dealt to the cells that they pass, and meet edges of the same cell.
+    """
+    sized = nodes.select(*keys, "pos", "x", "y").withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
+    rows = sized.where(F.col("n") <= FEW).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("p"))
+    n = F.size("p")
+    edge = lambda v, i: F.struct(i.alias("i"), v["x"].alias("ax"), v["y"].alias("ay"), F.get("p", (i + 1) % n)["x"].alias("bx"), F.get("p", (i + 1) % n)["y"].alias("by"))
+    parts = lambda e: tuple(e[c] for c in EDGE)
+    short = rows.withColumn("e", F.transform("p", edge)).select(*keys, ((n >= 4) & F.exists("e", lambda p: F.exists("e", lambda q: _touches(n, parts(p), parts(q))))).alias("crosses"))
+    long_ = sized.where(F.col("n") > FEW).drop("n")
+    cells = passed_cells(long_, keys)
+    p, q = cells.alias("p"), cells.alias("q")
+    same = [F.col(f"p.{k}") == F.col(f"q.{k}") for k in (*keys, "cx", "cy")]
+    side = lambda s: tuple(F.col(f"{s}.{c}") for c in EDGE)
+    hit = p.join(q, [*same, _touches(F.col("p.n"), side("p"), side("q"))]).select(*[F.col(f"p.{k}") for k in keys]).distinct().withColumn("crosses", F.lit(True))
+    return short.unionByName(long_.select(*keys).distinct().join(hit, keys, "left").withColumn("crosses", F.coalesce("crosses", F.lit(False))))
 
 
 def join_damage(raw: DataFrame, simple: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -256,3 +299,59 @@ def simplify(nodes: DataFrame, tolerance: float, smoothing: float, corner: float
     small, large = sized.where("__n < 6").drop("__n"), sized.where("__n >= 6").drop("__n")
     rounded = relax(chaikin(large, 2 if strength >= 0.22 else 1, max(18.0, min(140.0, edge * 0.85)), keys), strength, max(16.0, edge * 0.8), keys)
     return rounded.unionByName(small).unionByName(kept)
+
+
+#: Nodes between two kept ones that a task simplifies at once.
+LINE = 4096
+
+
+def thinned(nodes: DataFrame, eps: float, keys: list[str] = KEYS, most: int = LINE) -> DataFrame:
+    """nodes (keys, pos, x, y) kept by splitting open lines at the first farthest node while it is further off than eps; pos stays.
+
+    Round by round: each interval between kept nodes finds its farthest node by
+    an aggregate that combines before the shuffle, and is split there, so a line
+    of any length is spread over tasks. Intervals of up to `most` nodes end in
+    one task. Rounds are about the logarithm of the longest line, more where
+    splits are uneven.
+    """
+    columns = [*keys, "pos", "x", "y"]
+    own, node = nodes.select(*keys, "pos", *[F.col(c).cast("double").alias(c) for c in "xy"]), F.struct("pos", "x", "y")
+    ends = own.groupBy(*keys).agg(F.min(node).alias("p"), F.max(node).alias("q"))
+    out = [staged(ends.select(*keys, F.explode(F.array_distinct(F.array("p", "q"))).alias("k")).select(*keys, "k.*"))]
+    now = staged(own.join(ends, keys).where("pos > p.pos and pos < q.pos"))
+    ax, ay, bx, by = (F.col(f"{s}.{v}") for s in "pq" for v in "xy")
+    dx, dy = bx - ax, by - ay
+    size = F.sqrt(dx * dx + dy * dy)
+    off = F.when(size == 0, F.sqrt((F.col("x") - ax) * (F.col("x") - ax) + (F.col("y") - ay) * (F.col("y") - ay))).otherwise(F.abs(dy * F.col("x") - dx * F.col("y") + bx * ay - by * ax) / size)
+    while True:
+        far = now.groupBy(*keys, F.col("p.pos").alias("from")).agg(F.count("*").alias("n"), F.max(F.struct(off.alias("d"), (-F.col("pos")).alias("back"), node.alias("node"))).alias("far")).where(F.col("far.d") > eps)
+        met = staged(now.withColumn("from", F.col("p.pos")).join(far.select(*keys, "from", "n", F.col("far.node").alias("m")), [*keys, "from"]))
+        if met.isEmpty():
+            break
+        out.append(_local(met.where(F.col("n") <= most), eps, keys))
+        split = met.where(F.col("n") > most)
+        out.append(split.where("pos = m.pos").select(*columns))
+        before = F.col("pos") < F.col("m.pos")
+        now = staged(split.where("pos != m.pos").select(*columns, F.when(before, F.col("p")).otherwise(F.col("m")).alias("p"), F.when(before, F.col("m")).otherwise(F.col("q")).alias("q")))
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+def _local(intervals: DataFrame, eps: float, keys: list[str]) -> DataFrame:
+    """The nodes kept inside of short intervals (keys, from, pos, x, y, p, q)."""
+    from ..functions.geometry import douglas_peucker_places
+
+    rows = intervals.groupBy(*keys, "from").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("inner"), F.first("p").alias("p"), F.first("q").alias("q"))
+    packed = rows.select(F.struct(*keys).alias("key"), F.concat(F.array("p"), "inner", F.array("q")).alias("nodes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, line in enumerate(batch.column(1)):
+                x, y = (line.values.field(c).to_numpy() for c in "xy")
+                places = pa.array(douglas_peucker_places(x, y, eps)[1:-1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(places), i))), line.values.take(places)], names=["key", "node"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in packed.schema}
+    return packed.mapInArrow(run, f"key {kinds['key']}, node {kinds['nodes'][6:-1]}").select("key.*", "node.*")
