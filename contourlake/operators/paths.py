@@ -138,15 +138,18 @@ def passed_cells(nodes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 def self_intersections(nodes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """(keys, crosses): whether two edges that are no neighbours touch; false for fewer than 4 nodes.
 
-    Paths of up to FEW edges are compared in their row. Edges of longer ones are
+    Paths of up to FEW edges are compared edge by edge where their row is. Edges of longer ones are
     dealt to the cells that they pass, and meet edges of the same cell.
     """
     sized = nodes.select(*keys, "pos", "x", "y").withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
     rows = sized.where(F.col("n") <= FEW).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("p"))
     n = F.size("p")
     edge = lambda v, i: F.struct(i.alias("i"), v["x"].alias("ax"), v["y"].alias("ay"), F.get("p", (i + 1) % n)["x"].alias("bx"), F.get("p", (i + 1) % n)["y"].alias("by"))
-    parts = lambda e: tuple(e[c] for c in EDGE)
-    short = rows.withColumn("e", F.transform("p", edge)).select(*keys, ((n >= 4) & F.exists("e", lambda p: F.exists("e", lambda q: _touches(n, parts(p), parts(q))))).alias("crosses"))
+    pairs = rows.select(*keys, n.alias("n"), F.transform("p", edge).alias("e")).select(*keys, "n", "e", F.explode("e").alias("a"))
+    # each edge with those from the next but one on
+    pairs = pairs.select(*keys, "n", "a", F.explode_outer(F.slice("e", F.col("a.i") + 3, F.col("n"))).alias("b"))
+    part = lambda v: tuple(F.col(f"{v}.{c}") for c in EDGE)
+    short = pairs.groupBy(*keys).agg(F.coalesce(F.bool_or((F.col("n") >= 4) & _touches(F.col("n"), part("a"), part("b"))), F.lit(False)).alias("crosses"))
     long_ = sized.where(F.col("n") > FEW).drop("n")
     cells = passed_cells(long_, keys)
     p, q = cells.alias("p"), cells.alias("q")
