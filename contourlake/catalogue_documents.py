@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import catalogue  # noqa: F401  its SQL is used here
 from .catalogue_points import fixed_sql
@@ -14,7 +15,7 @@ from .plans import derived, export, vectorize
 from .plans.derived import DENSE, DRAWING, DRAWN_RING, MASK, RASTER
 from .registered import SQL, register
 from .sources import png, store
-from .sources.stages import fresh
+from .sources.stages import fresh, staged
 from .streaming import queue
 
 
@@ -50,6 +51,16 @@ def uploaded_files(spark, sf_dir):
     return png.uploads(p).select("p_partkey", "p_name")
 
 
+_NAME = "CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN replace(p_name, 'e', 'é') ELSE replace(p_name, 'a', 'Ä') END"
+
+
+@register(f"SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY icu_sort_key({_NAME}, 'und'), {_NAME}, p_partkey) AS INTEGER) AS place FROM part")
+def collated_names(spark, sf_dir):
+    """File names with capitals and accents in the order of readers."""
+    p = derived.table(spark, sf_dir, "part").withColumn("name", F.expr(_NAME))
+    return p.select("p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy(*png.by_name("name"), "p_partkey")).alias("place"))
+
+
 _HEXES = "k AS (SELECT * FROM (VALUES (0, '#fafafa'), (1, '#202020')) t(label, hex))"
 _FLOODED = "f AS (SELECT image_id, label, count(*) / 744.0 > 0.25 AND bool_or(y = 0) AND bool_or(y = 23) AND bool_or(x = 0) AND bool_or(x = 30) AS flood FROM m GROUP BY image_id, label)"
 
@@ -203,6 +214,26 @@ def written_documents(spark, sf_dir):
     return both.select("image_id", F.col("format").cast("string").alias("format"), F.coalesce(F.col("text") == F.col("file"), F.lit(False)).alias("same"))
 
 
+@register(SQL["written_documents"])
+def archived_documents(spark, sf_dir):
+    """All documents in archives that the executors write, and read again: each is what was written."""
+    texts = staged(export.exports(_images(spark, sf_dir)))
+    folder = fresh(spark, "archives")
+    export.write_archives(texts, folder, 8)
+    read = export.read_archives(spark, folder).select(F.col("image_id").cast("long").alias("image_id"), "format", F.col("text").alias("file"))
+    both = texts.join(read, ["image_id", "format"], "full")
+    return both.select("image_id", "format", F.coalesce(F.col("text") == F.col("file"), F.lit(False)).alias("same"))
+
+
+@register(SQL["queue_latest"])
+def queue_streamed(spark, sf_dir):
+    """The state of queue items from a stream over all events, in micro-batches of a file."""
+    events, folder = catalogue._queue_events(spark, sf_dir).withColumn("at", F.col("at").cast("timestamp")), fresh(spark, "queue")
+    # no event is late here: they are of one month
+    events.repartitionByRange(4, "at").write.parquet(f"{folder}/events")
+    return queue.run_stream(spark, f"{folder}/events", events.schema, folder, "60 days").drop("updated_at")
+
+
 _STORED = "WITH a AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_custkey AS size FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS name, c_nationkey AS size FROM customer WHERE c_custkey % 3 = 0)"
 
 

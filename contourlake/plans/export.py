@@ -13,10 +13,11 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import fixed
+from ..sources.stages import put_whole
 
 HEAD = '<?xml version="1.0" encoding="UTF-8" ?>\n<!DOCTYPE svg PUBLIC "-//W3C//DTD SVG 1.1//EN" "http://www.w3.org/Graphics/SVG/1.1/DTD/svg11.dtd">\n'
 #: Angles under which joints are straight, the handles' share of a segment, and the length of tiny segments (fixed values).
@@ -183,13 +184,79 @@ def write_files(texts: DataFrame, folder: str) -> None:
         store.create_dir(path)
         for batch in batches:
             for image, kind, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with store.open_output_stream(f"{path}/{image}.{kind}") as out:
-                    out.write(text.encode())
+                put_whole(store, f"{path}/{image}.{kind}", lambda out, text=text: out.write(text.encode()))
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
     texts.select("image_id", "format", "text").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
+def write_archives(texts: DataFrame, folder: str, shards: int) -> None:
+    """All documents in archives shard-00000.zip and so on, each written as a stream by one task; a document's archive is a hash of its image.
+
+    A task holds one document and the archive's list of names; nothing passes
+    through the driver. `shards` should grow with the documents.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path)
+        rows = ((*r,) for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        held = next(rows, None)
+        while held is not None:
+            shard, n = held[0], 0
+
+            def fill(out) -> None:
+                nonlocal held, n
+                with zipfile.ZipFile(_Counted(out), "w", zipfile.ZIP_DEFLATED) as z:
+                    while held is not None and held[0] == shard:
+                        z.writestr(zipfile.ZipInfo(f"{held[1]}.{held[2]}"), held[3], zipfile.ZIP_DEFLATED)
+                        n, held = n + 1, next(rows, None)
+
+            put_whole(store, f"{path}/shard-{shard:05d}.zip", fill)
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    shard = F.pmod(F.xxhash64("image_id"), F.lit(shards)).cast("int").alias("shard")
+    dealt = texts.select(shard, F.col("image_id").cast("string").alias("image_id"), "format", "text").repartition(shards, "shard").sortWithinPartitions("shard", "image_id", "format")
+    dealt.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+class _Counted:
+    """A stream that cannot go back but knows where it is, as archives need."""
+
+    def __init__(self, out):
+        self.out, self.at = out, 0
+
+    def write(self, data) -> int:
+        self.out.write(data)
+        self.at += len(data)
+        return len(data)
+
+    def tell(self) -> int:
+        return self.at
+
+    def flush(self) -> None:
+        pass
+
+    def seekable(self) -> bool:
+        return False
+
+
+def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """(image_id, format, text) of the documents in a folder's archives; one task holds one archive."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    names = [n.rpartition(".") for n in z.namelist()]
+                    yield pa.RecordBatch.from_arrays([pa.array([n[0] for n in names]), pa.array([n[2] for n in names]), pa.array([z.read(n).decode() for n in z.namelist()], pa.string())], names=["image_id", "format", "text"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder)
+    return files.select("content").mapInArrow(run, "image_id string, format string, text string")
+
+
 def zip_results(texts: DataFrame) -> bytes:
     """One archive of all documents, made on the driver: for the few results of one user's queue."""
     out = io.BytesIO()

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .stages import put_whole
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples of a pixel by color type (fixed values).
 SAMPLES = {2: 3, 3: 1, 6: 4}
@@ -121,8 +123,7 @@ def write_images(pixels: DataFrame, folder: str) -> None:
         width, height = int(pdf["width"].iloc[0]), int(pdf["height"].iloc[0])
         rgba = np.zeros((height, width, 4), np.uint8)
         rgba[pdf["y"], pdf["x"]] = pdf[["r", "g", "b", "a"]].to_numpy(np.uint8)
-        with store.open_output_stream(f"{path}/{pdf['image_id'].iloc[0]}.png") as out:
-            out.write(encode_filtered(width, height, rgba.tobytes()))
+        put_whole(store, f"{path}/{pdf['image_id'].iloc[0]}.png", lambda out: out.write(encode_filtered(width, height, rgba.tobytes())))
         return pdf.iloc[:1][["image_id"]]
 
     pixels.groupBy("image_id").applyInPandas(run, "image_id string").agg(F.count("*")).collect()
@@ -135,10 +136,15 @@ def encode(width: int, height: int, rgba: bytes) -> bytes:
     return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
 
 
+def by_name(name: str) -> list[Column]:
+    """The order of names by the Unicode collation: letters before their case and accents; equal ones by code points."""
+    return [F.collate(F.col(name), "UNICODE"), F.col(name)]
+
+
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, content) of the folder's .png files of any case, by name in binary order; an error where there are none."""
+    """(name, content) of the folder's .png files of any case, by name as readers sort them; an error where there are none."""
     files = spark.read.format("binaryFile").load(folder).where(F.lower("path").endswith(".png"))
-    out = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").orderBy("name")
+    out = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").orderBy(*by_name("name"))
     if not files.select("path").head(1):
         raise FileNotFoundError(f"no .png files in {folder}")
     return out

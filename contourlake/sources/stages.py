@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -30,3 +31,21 @@ def staged(df: DataFrame) -> DataFrame:
     path = fresh(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def put_whole(store, path: str, write) -> None:
+    """A file that is there as a whole or not at all: `write` fills a hidden one beside it, which then gets the name.
+
+    store: a pyarrow file system. A task that fails or runs twice leaves no part
+    of a file under the name.
+    """
+    folder, _, name = path.rpartition("/")
+    hidden = f"{folder}/_{uuid.uuid4().hex}-{name}"
+    try:
+        with store.open_output_stream(hidden) as out:
+            write(out)
+        store.move(hidden, path)
+    except BaseException:
+        with contextlib.suppress(OSError):
+            store.delete_file(hidden)
+        raise

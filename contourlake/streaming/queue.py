@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..sources.stages import staged
@@ -37,14 +38,30 @@ def fold_queue(events: DataFrame) -> DataFrame:
     return last.where("gone = 0").select("id", status.alias("status"), progress.cast("int").alias("progress"), F.when(kind == "error", F.col("e.error")).alias("error"), F.when(status == "done", F.col("payload")).alias("payload"), F.col("e.at").alias("updated_at"))
 
 
-def fold_queue_stream(events: DataFrame) -> DataFrame:
-    """The same as a stream of updates: a row for each item and micro-batch that changed it; deleted ones come as 'deleted' once."""
+def fold_queue_stream(events: DataFrame, late: str | None = None) -> DataFrame:
+    """The same as a stream of updates: a row for each item and micro-batch that changed it; deleted ones come as 'deleted' once.
+
+    late: how long after others an event may come, as "1 hour"; what comes later
+    is dropped. The state of a deleted item ends when no event for it can come
+    any more; without `late` it stays, as any event may.
+    """
+    if late is not None:
+        events = events.withWatermark("at", late)
     out = "id string, status string, progress int, error string, payload string, updated_at timestamp"
     state = "status string, progress int, error string, payload string, updated_at timestamp, seq long"
 
+    def ends(held: GroupState, at) -> None:
+        """The item's state ends once the watermark passes its last event."""
+        if late is not None:
+            held.setTimeoutTimestamp(max(int(pd.Timestamp(at).timestamp() * 1000), held.getCurrentWatermarkMs()) + 1)
+
     def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         now = held.get if held.exists else (None, 0, None, None, pd.Timestamp(0), -1)
         if now[0] == "deleted":
+            ends(held, now[4])
             return
         for pdf in frames:
             for e in pdf.sort_values(["at", "seq"]).itertuples():
@@ -59,9 +76,25 @@ def fold_queue_stream(events: DataFrame) -> DataFrame:
                 progress = 0 if status == "queued" else 100 if status == "done" else int(e.progress) if pd.notna(e.progress) else 1
                 now = (status, progress, e.error if status == "error" else None, e.payload if status == "done" else None, e.at, e.seq)
         held.update(now)
+        if now[0] == "deleted":
+            ends(held, now[4])
         yield pd.DataFrame([(key[0], *now[:5])], columns=["id", "status", "progress", "error", "payload", "updated_at"])
 
-    return events.groupBy("id").applyInPandasWithState(run, out, state, "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("id").applyInPandasWithState(run, out, state, "update", GroupStateTimeout.NoTimeout if late is None else GroupStateTimeout.EventTimeTimeout)
+
+
+def run_stream(spark: SparkSession, source: str, schema: StructType, folder: str, late: str, files: int = 1) -> DataFrame:
+    """The state of live items after all event files of a folder went through the stream, `files` of them in a micro-batch.
+
+    Each micro-batch's updates are a table of its own, which a repeated batch
+    replaces; the last update of an item is its state.
+    """
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    keep = lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/updates/batch={n}")
+    fold_queue_stream(events, late).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    updates = spark.read.parquet(f"{folder}/updates")
+    row = F.struct(*[c for c in updates.columns if c not in ("id", "batch")])
+    return updates.groupBy("id").agg(F.max_by(row, "batch").alias("r")).select("id", "r.*").where("status != 'deleted'")
 
 
 def next_queued(queue: DataFrame) -> DataFrame:
