@@ -30,7 +30,7 @@ from .common import arrow_rows, forget, met, mix64, shuffle_width, table, text_b
 from .words import _powers
 
 #: Length of the anchors' grams; different contexts that an anchor may have before it is split, and into how many; bytes of an index.
-GRAM, CROWD, SPLIT, INDEX = 41, 8192, 8, 1 << 19
+GRAM, CROWD, SPLIT, INDEX = 41, 8192, 8, 1 << 16
 #: Bytes of a document that are worked on at once.
 STRETCH = 1 << 20
 #: The bits of a place in a stretch and what stands around it; grams are compared by the others.
@@ -185,10 +185,10 @@ class RunLengthIndex:
         #: Heads of the runs: where in the suffix array they begin, and their symbol.
         self.heads = np.flatnonzero(step)
         self.symbols = before[self.heads]
-        top, last = self.heads[self.heads > 0], np.append(self.heads[1:], len(order)) - 1
-        last = last[last < len(order) - 1]
-        self._above = (order[top], common_prefix(order[top], order[top - 1], self.text, levels))
-        self._below = (order[last], common_prefix(order[last], order[last + 1], self.text, levels))
+        # where one run ends the next one begins: one common prefix is the sample of both
+        top = self.heads[self.heads > 0]
+        length = common_prefix(order[top], order[top - 1], self.text, levels)
+        self._above, self._below = (order[top], length), (order[top - 1], length)
         self._ends = (order[0], order[-1])
 
     def matching_statistics(self) -> np.ndarray:
@@ -297,17 +297,17 @@ def _split(contexts: DataFrame, size: int, width: int) -> DataFrame:
     return contexts.select(*CONTEXT).mapInArrow(run, f"{CONTEXT_SCHEMA}, context long")
 
 
-def paired(data: np.ndarray, offsets: np.ndarray, groups: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, size: int) -> np.ndarray:
-    """Whether a context may share a window with another one of its group; all places are places of `data`.
+def paired(data: np.ndarray, offsets: np.ndarray, groups: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) for each context: windows that it may share with another one of its group begin so far before the anchor; last is -1 for none.
 
-    Windows that begin at nearly the same distance before the anchor have most
-    of their bytes in common; a context whose hashes of these are all its own
-    shares none.
+    All places are places of `data`. Windows that begin at nearly the same
+    distance before the anchor have most of their bytes in common; where a
+    context's hash of these is its own it shares none of them.
     """
     sums, inverse = _prefix_hash(data)
     reach = size - GRAM
     width = -(-(reach + 1) // SPLIT)
-    out = np.zeros(len(groups), bool)
+    nearest, furthest = np.full(len(groups), reach + 1), np.full(len(groups), -1)
     for near in range(0, reach + 1, width):
         begin = place - near
         end = begin + size - width + 1
@@ -316,8 +316,10 @@ def paired(data: np.ndarray, offsets: np.ndarray, groups: np.ndarray, place: np.
             b, e = begin[some], end[some]
             key = mix64((sums[e] - sums[b]) * inverse[b] + mix64(groups[some].astype(np.uint64)))
             _, which, count = np.unique(key, return_inverse=True, return_counts=True)
-            out[some[count[which] > 1]] = True
-    return out
+            shared = some[count[which] > 1]
+            nearest[shared] = np.minimum(nearest[shared], near)
+            furthest[shared] = near + width - 1
+    return nearest, furthest
 
 
 def _marked(contexts: DataFrame, size: int) -> DataFrame:
@@ -328,30 +330,35 @@ def _marked(contexts: DataFrame, size: int) -> DataFrame:
         gram, place, at, low, high = (batch.column(k).to_numpy() for k in (0, 2, 3, 4, 5))
         data, offsets = text_buffers(batch.column(7))
         groups = np.cumsum(np.concatenate(([0], gram[1:] != gram[:-1])))
-        shift = offsets[:-1] - at
-        fit = np.flatnonzero(paired(data, offsets, groups, place + shift, low + shift, high + shift, size))
-        if len(fit) < len(gram):
-            batch = batch.take(pa.array(fit))
-            groups = groups[fit]
-            data, offsets = text_buffers(batch.column(7))
+        shift, known, lead = offsets[:-1] - at, batch.column(8).to_numpy(zero_copy_only=False), batch.column(6).to_numpy()
+        nearest, furthest = paired(data, offsets, groups, place + shift, low + shift, high + shift, size)
+        fit = np.flatnonzero(furthest >= 0)
         if not len(fit):
-            return pa.RecordBatch.from_arrays([batch.column(1), *[pa.array([], pa.int64())] * 2], names=["key", "low", "high"])
-        at, low, high, lead = (batch.column(k).to_numpy() for k in (3, 4, 5, 6))
+            return pa.RecordBatch.from_arrays([batch.column(1).slice(0, 0), *[pa.array([], pa.int64())] * 2], names=["key", "low", "high"])
+        # of each context what its shared windows cover goes on
+        place, at, low, high, lead, shift, known, groups, end = (v[fit] for v in (place, at, low, high, lead, shift, known, groups, at + np.diff(offsets)))
+        begin = np.maximum(at, place - furthest[fit])
+        end, lead = np.minimum(end, place - nearest[fit] + size), lead + begin - at
+        low, high = np.maximum(low, begin), np.minimum(high, place - nearest[fit])
+        sizes = end - begin
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        data = data[np.arange(offsets[-1]) + np.repeat(begin + shift - offsets[:-1], sizes)]
+        at = begin
         index = RunLengthIndex.of(data, np.diff(offsets), groups, lead)
         enough = index.matching_statistics() >= size
         # the windows of all contexts that are not known, one after the other
-        some = np.flatnonzero(~batch.column(8).to_numpy(zero_copy_only=False))
+        some = np.flatnonzero(~known & (high >= low))
         many = (high - low + 1)[some]
         first = np.cumsum(many) - many
         owner = np.repeat(np.arange(len(some)), many)
         nth = np.arange(len(owner)) - first[owner]
         hit = enough[(index.starts[:-1][some] + low[some] - at[some])[owner] + nth]
         edge = np.zeros(len(hit) + 1, bool)
-        edge[first], edge[-1] = True, True
+        edge[first], edge[-1] = True, True  # a run ends with its context
         begin = np.flatnonzero(hit & (edge[:-1] | ~np.concatenate(([False], hit[:-1]))))
         end = np.flatnonzero(hit & (edge[1:] | ~np.concatenate((hit[1:], [False]))))
         row = some[owner[begin]]
-        return pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(row)), pa.array(low[row] + nth[begin]), pa.array(low[row] + nth[end])], names=["key", "low", "high"])
+        return pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(fit[row])), pa.array(low[row] + nth[begin]), pa.array(low[row] + nth[end])], names=["key", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
