@@ -9,7 +9,8 @@ knows of each place how much text the pages put there, how much of it in links,
 and whether pages that differ elsewhere have the same text there: that is the
 template's. A page's article is then the element in which the host's pages say
 something of their own; names of elements and words of classes decide between
-places of which the wrapper leaves both open.
+places of which the wrapper leaves both open. Items that the wrapper found repeated,
+signed by a reader and without a headline are comments, whatever they are called.
 
 Wrappers are folded in each partition first, so a host that holds a third of all
 pages costs one small wrapper a partition.
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 #: Elements that do not end a block, elements whose content is no text, and empty elements (fixed values).
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
-RAW = frozenset("script style noscript template textarea svg math iframe object select title canvas audio video".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded mphantom".split())
+RAW = frozenset("script style noscript template textarea svg annotation annotation-xml iframe object select title canvas audio video".split())
 VOID = frozenset("area base col embed hr input link meta param source track br img wbr".split())
 #: Elements that are a block of text or a part of one, not a place of its own.
 PARTS = frozenset("p li dt dd tr td th option h1 h2 h3 h4 h5 h6 hr pre blockquote figcaption caption ul ol dl table thead tbody tfoot figure details".split())
@@ -46,6 +47,9 @@ AROUND_WORDS = frozenset(
     "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login register share sharing social related recommended comment comments respond disqus pagination pager widget toolbar search copyright legal disclaimer skip".split()
 )
 MAIN = frozenset(("article", "main"))
+HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words in class, id or role of an element that names who wrote a text (fixed values).
+SIGNED_WORDS = frozenset("author user username nick nickname avatar byline poster writer who".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^\"'>]*)([\"'>]?)")
 _STOP = re.compile(r"[\"'>]")
 _ATTR = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -55,8 +59,10 @@ _BLANK = re.compile(r"\s+")
 
 #: How the words of an element speak against it.
 PLAIN, PARTLY, PLAINLY = 0, 1, 2
-#: A place is forgotten by a host's wrapper if less than one of so many pages has it; so much of a page's own text an element must hold to be the article's.
+#: A place is forgotten by a host's wrapper if less than one of so many pages has it; so much of a page's own text the innermost element must hold to be the article's.
 SELDOM, MOST = 1000, 0.9
+#: What a wrapper says of a place: one text on pages that differ; mostly links; most pages have text there only; texts that differ; items of readers.
+FIXED, LINKED, ALONE, DIFFERS, READERS = 1, 2, 4, 8, 16
 
 
 def _tag_end(page: str, m: re.Match, state: dict) -> tuple[int, str]:
@@ -150,7 +156,7 @@ def _words(attrs: str) -> tuple[int, str]:
 class Slot:
     """A place of a wrapper: an element by the elements around it. Texts right inside of it are its item '#'."""
 
-    __slots__ = ("chars", "high", "key", "kids", "links", "low", "order", "pages", "parent", "text", "times")
+    __slots__ = ("alone", "chars", "high", "key", "kids", "links", "low", "order", "pages", "parent", "signed", "text", "times")
 
     def __init__(self, parent: int, key: str):
         self.parent, self.key = parent, key
@@ -158,6 +164,8 @@ class Slot:
         self.pages, self.times, self.kids, self.order = 1, 0, {}, []
         #: Characters of text, of these in links, the text's digest ("" once it differs), and least and largest digest of the pages.
         self.chars, self.links, self.text, self.low, self.high = 0, 0, None, None, None
+        #: Pages that have all their text in such elements, and whether right inside of one stands who wrote it.
+        self.alone, self.signed = 0, False
 
     def saw(self, items: list[str]) -> None:
         """One element with these items in order."""
@@ -181,6 +189,8 @@ class Slot:
             self.order = merged_order(self.order, other.order)
         self.chars += other.chars
         self.links += other.links
+        self.alone += other.alone
+        self.signed |= other.signed
         if other.text is not None:
             self.low, self.high = (other.low, other.high) if self.low is None else (min(self.low, other.low), max(self.high, other.high))
             self.text = other.text if self.text in (None, other.text) else ""
@@ -190,12 +200,12 @@ class Slot:
         return bool(self.text) and self.low != self.high
 
     def row(self) -> list:
-        return [self.parent, self.key, self.pages, self.times, self.kids, self.order, self.chars, self.links, self.text, self.low, self.high]
+        return [self.parent, self.key, self.pages, self.times, self.kids, self.order, self.chars, self.links, self.text, self.low, self.high, self.alone, self.signed]
 
     @classmethod
     def of(cls, row: list) -> Slot:
         out = cls(row[0], row[1])
-        _, _, out.pages, out.times, out.kids, out.order, out.chars, out.links, out.text, out.low, out.high = row
+        _, _, out.pages, out.times, out.kids, out.order, out.chars, out.links, out.text, out.low, out.high, out.alone, out.signed = row
         return out
 
 
@@ -292,6 +302,8 @@ class Page:
                     in_link = kind == "open"
                 elif name == "br":
                     parts.append(" ")
+                if kind == "open" and "=" in rest and not SIGNED_WORDS.isdisjoint(_words(rest)[1].split()):
+                    self.slots[stack[-1][1]].signed = True
                 continue
             flush()
             if kind == "close":
@@ -312,6 +324,8 @@ class Page:
             place = _place(stack[-1][1], key)
             if place not in self.slots:
                 self.slots[place], self.names[place] = Slot(stack[-1][1], key), name
+            if words and not SIGNED_WORDS.isdisjoint(words.split()):
+                self.slots[stack[-1][1]].signed = True
             self.strength[place] = max(strength, self.strength.get(place, PLAIN))
             stack.append((name, place, []))
             open_names[name] += 1
@@ -321,21 +335,25 @@ class Page:
         self._measure()
 
     def _measure(self) -> None:
-        held: dict[int, list[str]] = {}
+        texts: dict[int, list[str]] = {}
         for place, text, links in self.blocks:
             slot = self.slots[place]
             slot.chars += len(text)
             slot.links += links
-            held.setdefault(place, []).append(text)
+            texts.setdefault(place, []).append(text)
         #: Characters of text of each slot, and these in links; how the slot's own name and words speak against it.
         self.own = {p: (s.chars, s.links) for p, s in self.slots.items() if s.chars}
         self.marks = self._marks()
         spoken = self.spoken_against(frozenset(p for p, m in self.marks.items() if m == PARTLY))
-        said = [t for p, texts in held.items() if not spoken[p] for t in texts]
+        said = [t for p, own in texts.items() if not spoken[p] for t in own]
         whole = _digest(said or [t for _, t, _ in self.blocks])
-        for place, texts in held.items():
+        if not any(c > 2 * n and not spoken[p] and self.names[p] not in HEADS for p, (c, n) in self.own.items()):
+            held = self.inside({p: c - min(c, 2 * n) for p, (c, n) in self.own.items()})
+            for p, mark in self.marks.items():
+                self.slots[p].alone = int(mark > PLAIN and held[p] > 0)
+        for place, own in texts.items():
             slot = self.slots[place]
-            slot.text, slot.low, slot.high = _digest(texts), whole, whole
+            slot.text, slot.low, slot.high = _digest(own), whole, whole
 
     def inside(self, weight: dict[int, float]) -> dict[int, float]:
         """For each slot the weight of it and of all slots in it."""
@@ -375,19 +393,26 @@ class Page:
             out[p] = out.get(s.parent, False) or (marks[p] > PLAIN and p not in lifted)
         return out
 
-    def article(self, known: dict[int, tuple[float, bool, bool]]) -> set[int]:
-        """The slots whose texts are the article's. known: of each slot of the host's wrapper, its own text a page, whether it is the template's, and whether it is mostly links."""
+    def article(self, known: dict[int, tuple[float, int]]) -> set[int]:
+        """The slots whose texts are the article's. known: of each slot of the host's wrapper, its own text a page, and what the wrapper says of it."""
         marks = self.marks
         own = {p: known[p][0] if p in known else max(0, c - 2 * n) for p, (c, n) in self.own.items()}
+        readers = self._readers(own, known)
+        for p in readers:
+            own[p] = 0
         outside = self.spoken_against()
         # a place that is only partly spoken against counts after all if it holds more than all that is not
         free = sum(w for p, w in own.items() if not outside[p])
+        lifted: frozenset[int] = frozenset()
         weak = [p for p in self.slots if marks[p] == PARTLY and outside[p] and not outside.get(self.slots[p].parent, False)]
         if weak:
             held = self.inside({p: w for p, w in own.items() if not self._strongly(p)})
             lifted = frozenset(p for p in weak if held[p] > free)
             if lifted:
                 outside = self.spoken_against(lifted)
+        outside = self._nothing_else(own, known, outside, lifted)
+        for p in readers:
+            outside[p] = True
         mains, outer = self._mains(own, outside), set()
         if mains:
             roots = mains
@@ -398,14 +423,46 @@ class Page:
             if not sum(weight.values()):
                 weight = {p: c for p, (c, _) in self.own.items() if not outside[p]}
             roots, outer = self._narrowest(weight)
+            # paragraphs elsewhere in which the host's pages differ
+            outer |= {p for p, w in weight.items() if w > 0 and self.names[p] in PARTS and _says(known, p) & DIFFERS}
         within: dict[int, bool] = {}
+        home: dict[int, int] = {}
         for p, s in self.slots.items():
             within[p] = p in roots or within.get(s.parent, False)
+            home[p] = home[s.parent] if self.names[p] in PARTS and s.parent >= 0 else p
         use = {p for p in self.own if (within[p] or p in outer) and not outside[p]}
         if not mains:
-            use -= {p for p in use if known.get(p, (0, False, False))[2] and 2 * self.own[p][1] > self.own[p][0]}
+            # lists of links right inside of the article's own element are its references
+            kept = {p for p in roots if self.names[p] not in ("html", "body", "")}
+            use -= {p for p in use if home[p] not in kept and _says(known, p) & LINKED and 2 * self.own[p][1] > self.own[p][0]}
         return use - self._template(use, known)
 
+    def _readers(self, own: dict[int, float], known: dict[int, tuple[float, int]]) -> set[int]:
+        """Texts in items of readers, and headlines of elements that hold nothing else; none if a page has no other text of its own."""
+        inside: dict[int, bool] = {}
+        for p, s in self.slots.items():
+            inside[p] = inside.get(s.parent, False) or bool(_says(known, p) & READERS)
+        found = {p for p in own if inside[p]}
+        if not found or not any(w > 0 and p not in found and self.names[p] not in HEADS for p, w in own.items()):
+            return set()
+        texts = self.inside({p: 1 for p in own if p not in found and self.names[p] not in HEADS})
+        items = self.inside({p: 1 for p in found})
+        whole: dict[int, bool] = {}
+        for p, s in self.slots.items():
+            whole[p] = whole.get(s.parent, False) or (items[p] > 0 and not texts[p])
+        return found | {p for p in own if whole[p]}
+
+    def _nothing_else(self, own: dict[int, float], known: dict[int, tuple[float, int]], outside: dict[int, bool], lifted: frozenset[int]) -> dict[int, bool]:
+        """`outside` without the form, or the element with words against it, that holds all that the page says of its own, if most of the host's pages that have it say nothing elsewhere."""
+        while not any(w > 0 and not outside[p] and self.names[p] not in HEADS for p, w in own.items()):
+            held = self.inside(own)
+            open_ = [p for p, s in self.slots.items() if outside[p] and not outside.get(s.parent, False) and held[p] > 0 and (p not in known or _says(known, p) & ALONE) and (self.names[p] == "form" or self.names[p] not in AROUND and self.names[p] != "header")]
+            if not open_:
+                break
+            lifted |= {max(open_, key=held.__getitem__)}
+            outside = self.spoken_against(lifted)
+        return outside
+
     def _strongly(self, p: int) -> bool:
         while p > 0:
             if self.marks[p] == PLAINLY:
@@ -439,10 +496,10 @@ class Page:
             home[p] = home[s.parent] if self.names[p] in PARTS else p
         return {around[-1]}, {p for p, w in weight.items() if w > 0 and home[p] in outer}
 
-    def _template(self, use: set[int], known: dict[int, tuple[float, bool, bool]]) -> set[int]:
+    def _template(self, use: set[int], known: dict[int, tuple[float, int]]) -> set[int]:
         """Of these slots those in elements whose whole text is the template's, unless that is the larger part of all."""
         said = {p: self.own[p][0] for p in use}
-        fixed = {p: n for p, n in said.items() if known.get(p, (0, False, False))[1]}
+        fixed = {p: n for p, n in said.items() if _says(known, p) & FIXED}
         if not fixed or 2 * sum(fixed.values()) > sum(said.values()):
             return set()
         whole, constant = self.inside(said), self.inside(fixed)
@@ -452,6 +509,10 @@ class Page:
         return {p for p in use if gone[p]}
 
 
+def _says(known: dict[int, tuple[float, int]], p: int) -> int:
+    return known[p][1] if p in known else 0
+
+
 def _digest(texts: list[str]) -> str:
     return hashlib.blake2b("\n".join(texts).encode("utf-8", "replace"), digest_size=12).hexdigest()
 
@@ -493,9 +554,38 @@ class Wrapper:
             out.append(f"({' '.join(items)})+" if len(group) > 1 else items[0])
         return " ".join(out)
 
+    def readers(self) -> set[int]:
+        """The innermost items around what somebody signs that repeat, alone or in a group, and have no headline: what readers write."""
+
+        def repeats(p: int) -> bool:
+            s = self.slots[p]
+            around, name = self.slots.get(s.parent), s.key.partition(".")[0]
+            if around is None or s.key not in around.kids or name in MAIN or (name in PARTS and name != "li"):
+                return False
+            return around.kids[s.key][1] or any(len(g) > 1 and s.key in g for g in around.order)
+
+        headed: set[int] = set()
+        for p, s in self.slots.items():
+            if s.key.partition(".")[0] in HEADS:
+                while p in self.slots and p not in headed:
+                    headed.add(p)
+                    p = self.slots[p].parent
+        found = set()
+        for p, s in self.slots.items():
+            if s.signed:
+                while p in self.slots and not repeats(p):
+                    p = self.slots[p].parent
+                if p in self.slots and p not in headed:
+                    found.add(p)
+        return found
+
     def roles(self) -> bytes:
-        """Of each slot with text: its number, its own text a page, and whether it is the template's and mostly links."""
-        rows = [(p, 0.0 if s.constant() else max(0, s.chars - 2 * s.links) / s.pages, s.constant() + 2 * (2 * s.links > s.chars)) for p, s in sorted(self.slots.items()) if s.chars]
+        """Of each slot of which there is something to say: its number, its own text a page, and what the wrapper says of it."""
+        readers, rows = self.readers(), []
+        for p, s in sorted(self.slots.items()):
+            kind = FIXED * s.constant() + LINKED * (2 * s.links > s.chars) + ALONE * (2 * s.alone > s.pages) + DIFFERS * (s.text == "") + READERS * (p in readers)
+            if s.chars or s.alone or kind & READERS:
+                rows.append((p, 0.0 if s.constant() else max(0, s.chars - 2 * s.links) / s.pages, kind))
         return np.array(rows, ROLE).tobytes()
 
     def dump(self) -> str:
@@ -510,8 +600,8 @@ class Wrapper:
 ROLE = np.dtype([("place", "<i8"), ("weight", "<f4"), ("kind", "u1")])
 
 
-def _known(roles: bytes) -> dict[int, tuple[float, bool, bool]]:
-    return {p: (w, bool(k & 1), bool(k & 2)) for p, w, k in np.frombuffer(roles, ROLE).tolist()}
+def _known(roles: bytes) -> dict[int, tuple[float, int]]:
+    return {p: (w, k) for p, w, k in np.frombuffer(roles, ROLE).tolist()}
 
 
 def _host(url: Column) -> Column:
@@ -561,9 +651,11 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     those in an element that is spoken against count only where they hold more
     than the others. On other pages it is the innermost element that holds most
     of the text that is neither in links nor the template's, with such texts right
-    inside of the elements around it, as a headline. In it, elements
-    whose names or words speak against them are left out, and elements whose
-    whole text the template has; words that are part of a compound, as in
+    inside of the elements around it, as a headline, and paragraphs elsewhere that
+    differ from page to page. In it, elements whose names or words speak against
+    them are left out, items of readers, and elements whose whole text the template
+    has; a form, or an element with such words, that holds all that its host's pages
+    say stays; words that are part of a compound, as in
     "comment-free", do so only where the element holds no more than the rest.
 
     Null and empty html give the empty text. Repeated rows are extracted alike;

@@ -433,6 +433,50 @@ def test_wrappers_decide_by_what_pages_say(spark):
     assert _texts(spark, ["<ul><li class='comment'><p>No</p></li></ul><div><p>" + said[0] + "</p></div>"]) == said[:1]
 
 
+def test_wrappers_keep_articles_whatever_holds_them(spark):
+    said = [_text(random.Random(i), 20) for i in range(5)]
+    for around in ("<body><form><div class=content>{}</div></form>", "<div class=legal>{}</div>", "<main><div id=legal>{}</div></main>", "<main><h1>T</h1><div class=notice>{}</div></main>", "<form><div class=disclaimer>{}</div></form>"):
+        want = [("T\n" if "<h1>" in around else "") + t for t in said]
+        assert _texts(spark, ["<nav>Menu</nav>" + around.format(f"<p>{t}</p>") + "<footer>us</footer>" for t in said]) == want
+    # not where the host's pages say something elsewhere
+    assert _texts(spark, [f"<div class=story><p>{t}</p></div><div class=promo><p>Buy {i}</p></div>" for i, t in enumerate(said)] + ["<div class=promo><p>Buy 9</p></div>"]) == [*said, ""]
+    last = [_text(random.Random(50 + i), 2) for i in range(5)]
+    assert _texts(spark, [f"<div class=content><p>{t}</p></div><div class=more><p>{e}</p></div><div class=about><p>About us</p></div>" for t, e in zip(said, last, strict=True)]) == [f"{t}\n{e}" for t, e in zip(said, last, strict=True)]
+    links = "<h2>References</h2><ul><li><a href=a>First book {0}</a><li><a href=b>Second book {0}</a></ul>"
+    assert _texts(spark, [f"<ul><li><a href=m>Menu {i}</a></ul><div class=content><p>{t}</p>{links.format(i)}</div>" for i, t in enumerate(said)]) == [f"{t}\nReferences\nFirst book {i}\nSecond book {i}" for i, t in enumerate(said)]
+    assert _texts(spark, [f"<div><p>{t} <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b</p></div>" for t in said]) == [f"{t} x=1 b" for t in said]
+
+
+REPLIES = "<div class=replies><h3>{0} replies</h3>{1}</div>"
+REPLY = "<div class=reply><span class=author>Ann {0}</span><p>{1}</p></div>"
+
+
+def test_wrappers_know_readers_by_repetition(spark, monkeypatch):
+    said = [_text(random.Random(i), 20) for i in range(6)]
+    # pages with one reply, and with none, are told by those with several
+    replies = ["".join(REPLY.format(n, _text(random.Random(100 * i + n), 3)) for n in range(i)) for i in range(6)]
+    for around in ("<article><p>{0}</p>{1}</article>", "<div class=story><p>{0}</p></div>{1}"):
+        pages = [around.format(t, REPLIES.format(i, r) if i else "") for i, (t, r) in enumerate(zip(said, replies, strict=True))]
+        assert _texts(spark, pages) == said
+    whole = wrappers.Wrapper()
+    for page in pages:
+        whole.absorb(wrappers.Page(page).slots, 1)
+    assert {whole.slots[p].key for p in whole.readers()} == {"div.reply"}
+    # sections that somebody signs have headlines, and a page of nothing but signed items keeps them
+    sections = ["".join(f"<section><h2>H{n}</h2><p class=author>Ann</p><p>{t} {n}</p></section>" for n in range(3)) for t in said]
+    assert _texts(spark, [f"<article>{s}</article>" for s in sections]) == ["\n".join(f"H{n}\nAnn\n{t} {n}" for n in range(3)) for t in said]
+    assert all(t.count("Ann") == 3 for t in _texts(spark, [REPLY.format(i, t) * 3 for i, t in enumerate(said)]))
+    # without the inferred items and their order nothing tells them
+    monkeypatch.setattr(wrappers.Slot, "saw", lambda self, items: None)
+    blind = wrappers.Wrapper()
+    for page in pages:
+        blind.absorb(wrappers.Page(page).slots, 1)
+    assert not blind.readers()
+    known = wrappers._known(blind.roles())
+    page = wrappers.Page(pages[-1])
+    assert "Ann 1" in " ".join(t for p, t, _ in page.blocks if p in page.article(known))
+
+
 def test_wrappers_long_and_broken_pages(spark):
     for page in ('<a href="' * 120_000, "<p>x</p>" + '<a ="">"' * 120_000, "<a b='>" * 150_000, "<svg>" * 200_000, "<script>" * 100_000):
         began = time.time()
