@@ -139,7 +139,7 @@ def scored(docs: DataFrame, text_col: str, makers: list[tuple[Callable, int]], w
     return source.mapInArrow(run, docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(name, "double"))
 
 
-#: Bytes of features that a sample brings to the driver at most, and different rows (samples have fewer ids than that).
+#: Bytes of features that a sample has at most, and different rows (samples have fewer ids than that).
 SAMPLE_BYTES, FETCHED = 256 << 20, 100_000
 
 
@@ -157,22 +157,63 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: in
     return source.join(F.broadcast(picked), "doc").select("doc", "label", "text")
 
 
-def fetched(sample: DataFrame, makers: list[tuple[Callable, int]], bytes_: int = SAMPLE_BYTES) -> tuple[list[np.ndarray], np.ndarray]:
-    """The features and labels of a sample's rows, in the order of the ids' hashes: the first ones whose features have so many bytes together."""
+def drawn(sample: DataFrame, makers: list[tuple[Callable, int]], bytes_: int = SAMPLE_BYTES) -> DataFrame:
+    """Rows (nr, label, features) of a sample, numbered from 0 in the order of the ids' hashes: the first ones whose features have so many bytes together."""
     rows = written(featurised(sample, "text", makers).withColumn("h", F.xxhash64("doc")).withColumn("g", F.xxhash64("features")))
     order = ["h", "doc", "g"]
     # equal rows of one id go together: a row for each kind, with the bytes of all before it
     kinds = rows.groupBy(*order).agg(F.sum(F.length("features")).alias("n"), F.count("*").alias("rows"), F.max(F.length("features")).alias("one")).orderBy(*order).limit(FETCHED).collect()
-    room, left = [], bytes_
+    room, left, first = [], bytes_, 0
     for r in kinds:
         fit = min(r["rows"], max(left // max(r["one"], 1), 0 if room else 1))
         if fit:
-            room.append((r["h"], r["doc"], r["g"], fit))
+            room.append((r["h"], r["doc"], r["g"], fit, first))
         left -= fit * r["one"]
+        first += fit
         if fit < r["rows"]:
             break
-    taken = rows.sparkSession.createDataFrame(room, rows.select(*order).schema.add("fit", "long"))
+    taken = rows.sparkSession.createDataFrame(room, rows.select(*order).schema.add("fit", "long").add("first", "long"))
     nth = F.row_number().over(Window.partitionBy(*order).orderBy("label"))
     rows = rows.join(F.broadcast(taken), order).withColumn("nth", nth).where(F.col("nth") <= F.col("fit"))
-    got = rows.orderBy(*order).select("features", "label").collect()
+    return rows.select((F.col("first") + F.col("nth") - 1).alias("nr"), "label", "features")
+
+
+def gathered(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    """The features and labels of rows (nr, label, features) on the driver, in the order of their numbers."""
+    got = rows.orderBy("nr").select("features", "label").collect()
     return [np.frombuffer(r["features"], "<i4") for r in got], np.array([r["label"] for r in got], float)
+
+
+def fetched(sample: DataFrame, makers: list[tuple[Callable, int]], bytes_: int = SAMPLE_BYTES) -> tuple[list[np.ndarray], np.ndarray]:
+    """The features and labels of the rows that drawn() leaves of a sample, in their order."""
+    return gathered(drawn(sample, makers, bytes_))
+
+
+def feature_counts(rows: DataFrame, group: Column, n: int) -> DataFrame:
+    """Of rows with `features`: (feature, n0, n1, ...), in how many rows of each of n groups, numbered from 0, a feature is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = text_buffers(batch.column(1))
+            for i, j in row_groups(offsets):
+                flat = data[offsets[i] : offsets[j]].view("<i4").astype(np.int64)
+                keys, count = np.unique(flat * n + np.repeat(own[i:j], np.diff(offsets[i : j + 1]) // 4), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys // n, pa.int32()), pa.array(keys % n), pa.array(count, pa.int64())], names=["feature", "own", "n"])
+
+    parts = rows.select(group.cast("long"), "features").mapInArrow(run, "feature int, own long, n long")
+    return parts.groupBy("feature").agg(*[F.sum(F.when(F.col("own") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(n)])
+
+
+def narrowed(rows: DataFrame, chosen: np.ndarray, size: int) -> DataFrame:
+    """rows (nr, label, features) with the chosen ones of their features alone, of which there are `size`; no row goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(size, bool)
+        wanted[chosen] = True
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(2))
+            out = (data[a:b].view("<i4") for a, b in zip(offsets[:-1], offsets[1:], strict=True))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([r[wanted[r]].tobytes() for r in out], pa.binary())], names=["nr", "label", "features"])
+
+    return rows.select("nr", "label", "features").mapInArrow(run, rows.select("nr", "label", "features").schema)

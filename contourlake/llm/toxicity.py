@@ -7,12 +7,15 @@ probabilities, and the probability of any toxicity.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
-from .features import fetched, labelled_sample, scored, word_features
+from .common import forget, table, written
+from .features import drawn, feature_counts, gathered, labelled_sample, narrowed, scored, word_features
 
 BITS = 20
 MAKERS = [(word_features(BITS, prefixes=(4, 5, 6)), 1 << BITS)]
@@ -31,11 +34,42 @@ def grades(rows: list[np.ndarray], toxic: np.ndarray, size: int) -> np.ndarray:
     for k in range(FOLDS):
         model = OrdinalModel.fit([r for r, f in zip(rows, fold, strict=True) if f != k], toxic[fold != k], size)
         for i in np.flatnonzero(fold == k):
-            margin[i] = float(model.weights[rows[i]].sum())
+            margin[i] = model.weights[rows[i]].sum(dtype=float)
     cuts = np.quantile(margin[toxic > 0], np.arange(1, GRADES) / GRADES)
     return np.where(toxic > 0, 1 + (margin[:, None] > cuts).sum(axis=1), 0)
 
 
+def deviations(seen: np.ndarray, bad: np.ndarray, n: int, n_bad: int) -> np.ndarray:
+    """By how many standard deviations a feature's share in toxic rows is above that in clean ones; seen, bad: rows, and toxic rows, that have it."""
+    n_bad, n_good = max(1, n_bad), max(1, n - n_bad)
+    mean = ((seen + 0.5) / (n + 1)).clip(0, 1 - 1e-9)
+    return (bad / n_bad - (seen - bad) / n_good) / np.sqrt(mean * (1 - mean) * (1 / n_bad + 1 / n_good))
+
+
+def telling(rows: DataFrame, size: int) -> DataFrame:
+    """rows (nr, label, features) with those features alone that a model of the sample, or of it without one of the folds, takes.
+
+    They are counted and picked by the executors, so the driver gets few of the
+    features of a text; fit() would leave out the others and gives the same model.
+    """
+    part = F.col("nr") % FOLDS * 2 + ((F.col("label") > 0) & ~F.isnan("label")).cast("long")
+    n = np.zeros((FOLDS, 2), np.int64)
+    for r in rows.groupBy(part.alias("part")).count().collect():
+        n[divmod(r["part"], 2)] = r["count"]
+    models = [[k for k in range(FOLDS) if k != out] for out in range(-1, FOLDS)]
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]).reshape(FOLDS, 2, -1)
+            keep = np.zeros(batch.num_rows, bool)
+            for folds in models:
+                keep |= np.abs(deviations(seen[folds].sum(axis=(0, 1)), seen[folds, 1].sum(axis=0), int(n[folds].sum()), int(n[folds, 1].sum()))) >= DEVIATIONS
+            yield batch.select(["feature"]).filter(pa.array(keep))
+
+    chosen = feature_counts(rows, part, 2 * FOLDS).mapInArrow(pick, "feature int").toArrow()
+    return narrowed(rows, chosen.column(0).to_numpy(), size)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
@@ -81,16 +115,13 @@ class OrdinalModel:
         if len(rows) == 0 or grade.max(initial=0) == 0:
             return cls(np.zeros(size), np.array([8.0]))
         top = int(grade.max())
-        flat = np.concatenate(rows)
-        seen = np.bincount(flat, minlength=size)
-        bad = np.bincount(np.concatenate([r for r, g in zip(rows, grade, strict=True) if g > 0]), minlength=size)
-        n_bad, n_good = int((grade > 0).sum()), int((grade == 0).sum())
-        mean = ((seen + 0.5) / (len(rows) + 1)).clip(0, 1 - 1e-9)
-        apart = (bad / max(1, n_bad) - (seen - bad) / max(1, n_good)) / np.sqrt(mean * (1 - mean) * (1 / max(1, n_bad) + 1 / max(1, n_good)))
-        used = np.flatnonzero(np.abs(apart) >= DEVIATIONS)
-        place = np.full(size, -1, np.int64)
-        place[used] = np.arange(len(used))
         owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        names, flat = np.unique(np.concatenate(rows), return_inverse=True)
+        seen = np.bincount(flat, minlength=len(names))
+        bad = np.bincount(flat[grade[owner] > 0], minlength=len(names))
+        used = np.flatnonzero(np.abs(deviations(seen, bad, len(rows), int((grade > 0).sum()))) >= DEVIATIONS)
+        place = np.full(len(names), -1, np.int64)
+        place[used] = np.arange(len(used))
         keep = place[flat] >= 0
         col, owner = place[flat][keep], owner[keep]
         n = len(rows)
@@ -105,7 +136,7 @@ class OrdinalModel:
             second = 0.99 * second + 0.01 * slope**2
             params = params - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         weights = np.zeros(size)
-        weights[used] = params[: len(used)]
+        weights[names[used]] = params[: len(used)]
         return cls(weights, cut_points(params, top))
 
     def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -124,13 +155,15 @@ class OrdinalModel:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, label_col: str = "toxic", where=None) -> OrdinalModel:
-    """An ordinal model from two-valued labels, fitted on at most `most` labelled rows and SAMPLE_BYTES of features.
+    """An ordinal model from two-valued labels, fitted on at most `most` labelled rows and SAMPLE_BYTES of features, of which the driver gets the telling ones.
 
     Labels that are null, or of a null id, play no part; an id with both labels
     is toxic, and each text of a repeated id counts. Rows are picked by the hash
     of their id. Without toxic rows the model finds nothing toxic.
     """
-    rows, label = fetched(labelled_sample(docs, labels, label_col, most, where=where), MAKERS)
+    sample = written(drawn(labelled_sample(docs, labels, label_col, most, where=where), MAKERS))
+    rows, label = gathered(telling(sample, 1 << BITS))
+    forget(sample)
     toxic = (label > 0).astype(int)
     return OrdinalModel.fit(rows, grades(rows, toxic, 1 << BITS), 1 << BITS)
 

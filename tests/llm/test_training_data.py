@@ -183,6 +183,29 @@ def test_samples_are_bounded(spark):
     assert len(few) == 10 and all((x == y).all() for x, y in zip(few, whole, strict=False))
 
 
+def test_toxicity_brings_few_features_to_the_driver(spark, monkeypatch):
+    rows, labels = _toxic_rows(300, 5)
+    docs, known = _docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    whole, label = features.fetched(features.labelled_sample(docs, known, "toxic", 200), toxicity.MAKERS)
+    toxic, size = (label > 0).astype(int), 1 << toxicity.BITS
+    want = toxicity.OrdinalModel.fit(whole, toxicity.grades(whole, toxic, size), size)
+    fit, got = toxicity.OrdinalModel.fit, []
+    monkeypatch.setattr(toxicity.OrdinalModel, "fit", lambda rows, *more: got.append(rows) or fit(rows, *more))
+    model = toxicity.fit_toxicity(docs, known, most=200)
+    assert (model.weights == want.weights).all() and (model.thresholds == want.thresholds).all() and np.count_nonzero(want.weights) > 4
+    assert len(got) == toxicity.FOLDS + 1 and len(got[-1]) == len(whole) == 200
+    assert 0 < sum(map(len, got[-1])) < sum(map(len, whole)) / 10
+
+
+def test_feature_counts_of_groups(spark):
+    lists = [[1, 5, 9], [5], [], [9, 5], [1]]
+    rows = spark.createDataFrame([(i, float(i % 2), np.array(x, "<i4").tobytes()) for i, x in enumerate(lists)], "nr long, label double, features binary")
+    got = {r["feature"]: tuple(r)[1:] for r in features.feature_counts(rows, F.col("label"), 2).collect()}
+    assert got == {1: (2, 0), 5: (1, 2), 9: (1, 1)}
+    left, label = features.gathered(features.narrowed(rows, np.array([9, 1], np.int32), 16))
+    assert [x.tolist() for x in left] == [[1, 9], [], [], [9], [1]] and label.tolist() == [0, 1, 0, 1, 0]
+
+
 def test_toxicity_edges(spark, edge, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.fit_toxicity(edge, none)
