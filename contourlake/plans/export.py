@@ -38,16 +38,20 @@ def polyline_text(points: list[dict]) -> str:
     return f"M {_xy(*_p(points[0]))} " + " ".join(f"L {_xy(*_p(p))}" for p in points[1:]) + " Z"
 
 
+def _length(dx: float, dy: float) -> float:
+    return math.sqrt(dx * dx + dy * dy)
+
+
 def _angle(a, b, c) -> float:
     ax, ay, bx, by = a[0] - b[0], a[1] - b[1], c[0] - b[0], c[1] - b[1]
-    size = math.hypot(ax, ay) * math.hypot(bx, by)
+    size = _length(ax, ay) * _length(bx, by)
     return 180.0 if size == 0 else math.degrees(math.acos(max(-1.0, min(1.0, (ax * bx + ay * by) / size))))
 
 
-def _handle(anchor, control, most: float):
-    dx, dy = control[0] - anchor[0], control[1] - anchor[1]
-    d = math.hypot(dx, dy)
-    return control if d <= most or d == 0 else (anchor[0] + dx * most / d, anchor[1] + dy * most / d)
+def _pull(dx: float, dy: float, most: float) -> float:
+    """The factor that bounds a handle, whose offset is scaled before it is added: a sum that should be 0 has the same sign as in SQL."""
+    d = _length(dx, dy)
+    return 1.0 if d <= most or d == 0 else most / d
 
 
 def bezier_text(points: list[dict], guarded: bool = True) -> str:
@@ -59,17 +63,16 @@ def bezier_text(points: list[dict], guarded: bool = True) -> str:
     out = [f"M {_xy(*at[0])}"]
     for i in range(n):
         a, b, c, d = at[i - 1], at[i], at[(i + 1) % n], at[(i + 2) % n]
-        one = (b[0] + (c[0] - a[0]) / 6, b[1] + (c[1] - a[1]) / 6)
-        two = (c[0] - (d[0] - b[0]) / 6, c[1] - (d[1] - b[1]) / 6)
+        ox, oy, tx, ty, one, two = (c[0] - a[0]) / 6, (c[1] - a[1]) / 6, (d[0] - b[0]) / 6, (d[1] - b[1]) / 6, 1.0, 1.0
         if guarded:
-            length = lambda p, q: max(0.001, math.dist(p, q))
+            length = lambda p, q: max(0.001, _length(p[0] - q[0], p[1] - q[1]))
             seg = length(b, c)
-            one, two = _handle(b, one, HANDLE * min(seg, length(a, b))), _handle(c, two, HANDLE * min(seg, length(c, d)))
             least = min(_angle(a, b, c), _angle(b, c, d))
             if least < SHARP or (seg < TINY and least < TINY_SHARP):
                 out.append(f"L {_xy(*c)}")
                 continue
-        out.append(f"C {_xy(*one)} {_xy(*two)} {_xy(*c)}")
+            one, two = _pull(ox, oy, HANDLE * min(seg, length(a, b))), _pull(tx, ty, HANDLE * min(seg, length(c, d)))
+        out.append(f"C {_xy(b[0] + ox * one, b[1] + oy * one)} {_xy(c[0] - tx * two, c[1] - ty * two)} {_xy(*c)}")
     return " ".join(out) + " Z"
 
 
