@@ -12,3 +12,8 @@ def _points(pairs):
 
 def test_a_bounded_handle_that_ends_at_zero_has_no_sign():
     assert "C -4.85 15.72 0.00 6.00 6.00 9.00" in export.bezier_text(_points(ZERO))
+
+
+def test_the_flat_form_has_no_signed_zero():
+    layer = {"name": "COLOR_01", "color": "#ff0000", "paths": [{"points": _points(ZERO), "holes": []}]}
+    assert "-0.00" not in export.svg_text(60, 40, [layer], "flat")
