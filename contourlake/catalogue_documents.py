@@ -203,25 +203,27 @@ def dxf_documents(spark, sf_dir):
 
 @register(f"WITH {_LAYERED}, a AS (SELECT DISTINCT image_id FROM l) SELECT image_id, format, true AS same FROM a, (SELECT unnest(['svg', 'eps', 'dxf']) AS format)")
 def written_documents(spark, sf_dir):
-    """All documents written by the executors, as rows and as files, and read again: each is what was written."""
-    texts = export.exports(_images(spark, sf_dir))
+    """All documents written by the executors, as rows and as files, and read again: each is what was written, by digests of the bytes."""
+    texts = export.exports(staged(_images(spark, sf_dir)))
     rows, files = fresh(spark, "vectors"), fresh(spark, "files")
     export.write_vectors(texts, rows)
     export.write_files(texts, files)
-    name = F.split(F.element_at(F.split("path", "/"), -1), "[.]")
-    read = spark.read.format("binaryFile").load(files).select(name[0].cast("long").alias("image_id"), name[1].alias("format"), F.decode("content", "utf-8").alias("file"))
-    both = spark.read.parquet(rows).join(read, ["image_id", "format"], "full")
-    return both.select("image_id", F.col("format").cast("string").alias("format"), F.coalesce(F.col("text") == F.col("file"), F.lit(False)).alias("same"))
+    names = spark.read.parquet(rows).select("image_id", "format", F.sha2(F.encode("text", "utf-8"), 256).alias("row"))
+    return export.file_digests(names, files).select("image_id", "format", F.coalesce(F.col("row") == F.col("sha256"), F.lit(False)).alias("same"))
+
+
+#: Documents of an archive, about.
+ARCHIVED = 3000
 
 
 @register(SQL["written_documents"])
 def archived_documents(spark, sf_dir):
-    """All documents in archives that the executors write, and read again: each is what was written."""
+    """All documents in archives that the executors write, and read again: each is what was written, by digests of the bytes."""
     texts = staged(export.exports(_images(spark, sf_dir)))
     folder = fresh(spark, "archives")
-    export.write_archives(texts, folder, 8)
-    read = export.read_archives(spark, folder).select(F.col("image_id").cast("long").alias("image_id"), "format", F.col("text").alias("file"))
-    both = texts.join(read, ["image_id", "format"], "full")
+    export.write_archives(texts, folder, max(8, texts.count() // ARCHIVED))
+    digest = lambda df, name: df.select(F.col("image_id").cast("long").alias("image_id"), "format", F.sha2(F.encode("text", "utf-8"), 256).alias(name))
+    both = digest(texts, "text").join(digest(export.read_archives(spark, folder), "file"), ["image_id", "format"], "full")
     return both.select("image_id", "format", F.coalesce(F.col("text") == F.col("file"), F.lit(False)).alias("same"))
 
 

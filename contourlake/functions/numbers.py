@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from decimal import ROUND_HALF_UP, Decimal
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,11 +18,15 @@ def round_half_up(x: Column) -> Column:
     return F.floor(x + F.lit(0.5))
 
 
+@lru_cache(1 << 16)
 def fixed(value: float, digits: int) -> str:
     """Decimal text by the exact binary value, halves away from zero; zero has no sign, small negatives keep theirs."""
     if value != value or value in (float("inf"), float("-inf")):
         return {"inf": "Infinity", "-inf": "-Infinity"}.get(str(value), "NaN")
-    text = str(Decimal(value + 0.0).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+    # only an odd multiple of 2^-(digits + 1) lies halfway between two texts; formatting rounds these to even
+    if value * (2 << digits) % 2 != 1:
+        return "%.*f" % (digits, value + 0.0)
+    text = str(Decimal(value).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
     return text if value else text.lstrip("-")
 
 

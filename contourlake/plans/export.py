@@ -7,6 +7,8 @@ document is written in an Arrow batch, one image a row.
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
 import io
 import math
 import zipfile
@@ -142,6 +144,28 @@ def dxf_text(width: int, height: int, layers: list[dict], style: str = "grouped"
     return "\n".join(f"{code}\n{value}" for code, value in pairs) + "\n"
 
 
+#: Images, or texts, that a task turns to Python objects at once, whatever the size of an Arrow batch.
+ROWS = 32
+
+
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession, rows: int = 8 * ROWS) -> Iterator[None]:
+    """Actions inside hand Python so many rows at once: texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 WRITERS: dict[str, Callable] = {"svg": svg_text, "eps": eps_text, "dxf": dxf_text}
 
 
@@ -149,7 +173,7 @@ def exports(images: DataFrame, style: str = "grouped", formats: tuple[str, ...]
     """(image_id, format, text): a document of each image in each format, from one pass over the images."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             rows = list(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True))
             for k in formats:
                 texts = pa.array([WRITERS[k](w, h, x or [], style) for w, h, x in rows], pa.string())
@@ -172,9 +196,8 @@ def to_dxf(images: DataFrame, style: str = "grouped") -> DataFrame:
 
 
 def write_vectors(texts: DataFrame, folder: str) -> None:
-    """Documents as Parquet rows (image_id, text) under format=...; spread over tasks by image."""
-    spread = texts.select("format", "image_id", "text").repartition("format", "image_id")
-    spread.write.partitionBy("format").mode("overwrite").parquet(folder)
+    """Documents as Parquet rows (image_id, text) under format=..., written by the tasks that make them."""
+    texts.select("format", "image_id", "text").write.partitionBy("format").mode("overwrite").parquet(folder)
 
 
 def write_files(texts: DataFrame, folder: str) -> None:
@@ -185,12 +208,37 @@ def write_files(texts: DataFrame, folder: str) -> None:
 
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path)
-        for batch in batches:
+        for batch in _few(batches):
             for image, kind, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 put_whole(store, f"{path}/{image}.{kind}", lambda out, text=text: out.write(text.encode()))
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    texts.select("image_id", "format", "text").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    with _small_batches(texts.sparkSession):
+        texts.select("image_id", "format", "text").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def file_digests(names: DataFrame, folder: str) -> DataFrame:
+    """names (image_id, format and others) with sha256, that of the bytes of the file image_id.format of the folder; null without such a file."""
+    kept = [c for c in names.columns if c not in ("image_id", "format")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
+
+        def digest(name: str) -> str | None:
+            try:
+                with store.open_input_stream(f"{path}/{name}") as file:
+                    return hashlib.sha256(file.read()).hexdigest()
+            except FileNotFoundError:
+                return None
+
+        for batch in batches:
+            found = [digest(f"{image}.{kind}") for image, kind in zip(*(c.to_pylist() for c in batch.columns[:2]), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "sha256"])
+
+    own = names.select("image_id", F.col("format").cast("string").alias("format"), *kept)
+    return own.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema), "sha256 string"]))
 
 
 def write_archives(texts: DataFrame, folder: str, shards: int) -> None:
@@ -205,7 +253,7 @@ def write_archives(texts: DataFrame, folder: str, shards: int) -> None:
 
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path)
-        rows = ((*r,) for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        rows = ((*r,) for b in _few(batches) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         held = next(rows, None)
         while held is not None:
             shard, n = held[0], 0
@@ -222,7 +270,8 @@ def write_archives(texts: DataFrame, folder: str, shards: int) -> None:
 
     shard = F.pmod(F.xxhash64("image_id"), F.lit(shards)).cast("int").alias("shard")
     dealt = texts.select(shard, F.col("image_id").cast("string").alias("image_id"), "format", "text").repartition(shards, "shard").sortWithinPartitions("shard", "image_id", "format")
-    dealt.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    with _small_batches(texts.sparkSession):
+        dealt.mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
 class _Counted:
@@ -247,17 +296,23 @@ class _Counted:
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """(image_id, format, text) of the documents in a folder's archives; one task holds one archive."""
+    """(image_id, format, text) of the documents in a folder's archives; a task holds some documents of one archive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for content in batch.column(0):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                    names = [n.rpartition(".") for n in z.namelist()]
-                    yield pa.RecordBatch.from_arrays([pa.array([n[0] for n in names]), pa.array([n[2] for n in names]), pa.array([z.read(n).decode() for n in z.namelist()], pa.string())], names=["image_id", "format", "text"])
+            for archive in batch.column(0).to_pylist():
+                with store.open_input_file(f"{path}/{archive}") as file, zipfile.ZipFile(file) as z:
+                    names = z.namelist()
+                    for at in range(0, len(names), ROWS):
+                        own = names[at : at + ROWS]
+                        parts = [n.rpartition(".") for n in own]
+                        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts]), pa.array([p[2] for p in parts]), pa.array([z.read(n).decode() for n in own], pa.string())], names=["image_id", "format", "text"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder)
-    return files.select("content").mapInArrow(run, "image_id string, format string, text string")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name")).mapInArrow(run, "image_id string, format string, text string")
 
 
 def zip_results(texts: DataFrame) -> bytes:
