@@ -149,7 +149,9 @@ def resize_bilinear(pixels: DataFrame, max_dim: int) -> DataFrame:
     """Images no larger than max_dim on their longer side; smaller ones stay. pixels must be dense.
 
     Each target pixel is the weighted mean of four neighbours, found by an
-    equi-join on their places; the channels are interpolated one by one.
+    equi-join on their places; the channels are interpolated one by one. The
+    join is a merge: the targets look as small as the table of sizes that they
+    are exploded from, so Spark would broadcast them through the driver.
     """
     sizes = pixels.select("image_id", "width", "height").distinct()
     scale = F.least(F.lit(1.0), F.lit(float(max_dim)) / F.greatest("width", "height"))
@@ -162,7 +164,7 @@ def resize_bilinear(pixels: DataFrame, max_dim: int) -> DataFrame:
     corner = lambda k, dx, dy: F.struct(F.lit(k).alias("k"), F.least(F.col("x0") + dx, F.col("width") - 1).alias("x"), F.least(F.col("y0") + dy, F.col("height") - 1).alias("y"))
     keys = ["image_id", "tw", "th", "tx", "ty"]
     taps = at.select(*keys, "fx", "fy", F.explode(F.array(corner(0, 0, 0), corner(1, 1, 0), corner(2, 0, 1), corner(3, 1, 1))).alias("t")).select(*keys, "fx", "fy", "t.*")
-    met = taps.join(pixels.select("image_id", "x", "y", "r", "g", "b", "a"), ["image_id", "x", "y"])
+    met = taps.hint("merge").join(pixels.select("image_id", "x", "y", "r", "g", "b", "a"), ["image_id", "x", "y"])
     four = met.groupBy(*keys, "fx", "fy").agg(*[F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for c in "rgba" for k in range(4)])
 
     def blend(c: str) -> Column:

@@ -141,13 +141,23 @@ def by_name(name: str) -> list[Column]:
     return [F.collate(F.col(name), "UNICODE"), F.col(name)]
 
 
-def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, content) of the folder's .png files of any case, by name as readers sort them; an error where there are none."""
+#: Files, and bytes of them, that a task reads about; Spark alone makes a task of every few small files.
+FILES, BYTES = 256, 16 << 20
+
+
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, content) of the folder's .png files of any case, in no order; an error where there are none."""
     files = spark.read.format("binaryFile").load(folder).where(F.lower("path").endswith(".png"))
-    out = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").orderBy(*by_name("name"))
-    if not files.select("path").head(1):
+    least = spark.sparkContext.defaultParallelism
+    n, size = files.select("length").coalesce(least).agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).head()
+    if not n:
         raise FileNotFoundError(f"no .png files in {folder}")
-    return out
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").coalesce(max(least, n // FILES, size // BYTES))
+
+
+def scan(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, content) of the same files, by name as readers sort them."""
+    return listed(spark, folder).orderBy(*by_name("name"))
 
 
 def uploads(files: DataFrame) -> DataFrame:
@@ -163,15 +173,14 @@ def decoded(files: DataFrame, name_col: str = "name") -> DataFrame:
     """(image_id, width, height, pixels, error): one row a file; files that do not decode have their error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
         for batch in batches:
-            rows = []
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, data in zip(*batch.columns, strict=True):
                 try:
-                    rows.append((name, *decode(data or b""), None))
+                    row = (name.as_py(), *decode(data.as_py() or b""), None)
                 except (ValueError, zlib.error, struct.error, IndexError) as e:
-                    rows.append((name, None, None, None, str(e)))
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names=["image_id", "width", "height", "pixels", "error"])
+                    row = (name.as_py(), None, None, None, str(e))
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=["image_id", "width", "height", "pixels", "error"])
 
     return files.select(stem(F.col(name_col)).alias("image_id"), "content").mapInArrow(run, "image_id string, width int, height int, pixels binary, error string")
 
@@ -200,4 +209,4 @@ def read_images(spark: SparkSession, folder: str, max_dim: int = 1000) -> DataFr
     """Pixels of all images of a folder, scaled to max_dim on their longer side."""
     from ..operators.pixels import resize_bilinear
 
-    return resize_bilinear(to_pixels(decoded(scan(spark, folder))), max_dim)
+    return resize_bilinear(to_pixels(decoded(listed(spark, folder))), max_dim)
