@@ -173,6 +173,47 @@ def douglas_peucker_places(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarr
     return np.flatnonzero(keep)
 
 
+def chord_distances(x: np.ndarray, y: np.ndarray, a: tuple[float, float], b: tuple[float, float]) -> np.ndarray:
+    """Distances of points from the line through a and b, or from the point that both are."""
+    dx, dy = b[0] - a[0], b[1] - a[1]
+    size = np.sqrt(dx * dx + dy * dy)
+    return np.sqrt((x - a[0]) ** 2 + (y - a[1]) ** 2) if size == 0 else np.abs(dy * x - dx * y + b[0] * a[1] - b[1] * a[0]) / size
+
+
+def rounding(x: np.ndarray, y: np.ndarray, a: tuple[float, float], b: tuple[float, float]) -> float:
+    """By how much these distances may be off."""
+    dx, dy = abs(b[0] - a[0]), abs(b[1] - a[1])
+    wide, high, size = np.abs(x).max(), np.abs(y).max(), np.sqrt(dx * dx + dy * dy)
+    whole = wide + high + abs(a[0]) + abs(a[1]) if size == 0 else (dy * wide + dx * high + abs(b[0] * a[1]) + abs(b[1] * a[0])) / size
+    return 16 * float(np.finfo(float).eps) * whole
+
+
+def _upper(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The places of the upper hull's corners, by x."""
+    left, right = (int(np.lexsort((-y, k))[0]) for k in (x, -x))
+    found, todo = {left, right}, [(left, right, np.arange(len(x)))]
+    while todo:
+        a, b, among = todo.pop()
+        above = (x[b] - x[a]) * (y[among] - y[a]) - (y[b] - y[a]) * (x[among] - x[a])
+        among, above = among[above > 0], above[above > 0]
+        if len(among):
+            m = int(among[above.argmax()])
+            if m not in found:
+                found.add(m)
+                todo += [(a, m, among), (m, b, among)]
+    out = np.array(sorted(found, key=lambda i: x[i]))
+    return out
+
+
+def near_hull(x: np.ndarray, y: np.ndarray, margin: float) -> np.ndarray:
+    """The places of points that are not inside of the hull by more than the margin along both axes."""
+    near = np.zeros(len(x), bool)
+    for u, v in ((x, y), (x, -y), (y, x), (y, -x)):
+        top = _upper(u, v)
+        near |= np.interp(u, u[top], v[top]) - v <= margin
+    return np.flatnonzero(near)
+
+
 def douglas_peucker(points: Column, eps: Column) -> Column:
     """The same on arrays of points, in Arrow batches: the recursion has no built-in form."""
 

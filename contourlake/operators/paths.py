@@ -7,15 +7,17 @@ group, and all paths are worked on at once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geometry import clamp_point, dist, interior_angle, parallel_forward, segments_intersect, turning_angle
-from ..sources.stages import staged
+from ..functions.geometry import chord_distances, clamp_point, dist, douglas_peucker_places, interior_angle, near_hull, parallel_forward, rounding, segments_intersect, turning_angle
+from ..sources.stages import small_batches, staged
 
 KEYS = ["path_id"]
 
@@ -304,57 +306,159 @@ def simplify(nodes: DataFrame, tolerance: float, smoothing: float, corner: float
     return rounded.unionByName(small).unionByName(kept)
 
 
-#: Nodes between two kept ones that a task simplifies at once.
-LINE = 4096
+#: Nodes of a block of a line, blocks at either end of an interval that a round sees whole, and the part of a block's extent by which a node must lie inside of its hull to be left out of the outline.
+LINE, WHOLE, INSIDE = 4096, 64, 1e-8
 
 
 def thinned(nodes: DataFrame, eps: float, keys: list[str] = KEYS, most: int = LINE) -> DataFrame:
     """nodes (keys, pos, x, y) kept by splitting open lines at the first farthest node while it is further off than eps; pos stays.
 
-    Round by round: each interval between kept nodes finds its farthest node by
-    an aggregate that combines before the shuffle, and is split there, so a line
-    of any length is spread over tasks. Intervals of up to `most` nodes end in
-    one task. Rounds are about the logarithm of the longest line, more where
-    splits are uneven.
+    Lines are cut to blocks of up to `most` nodes. The node that is farthest from
+    a chord lies on the outline of its block, so a round looks at outlines, and
+    at all nodes of a few blocks at the ends of an interval, where lines that go
+    up and down split again and again: each interval splits as often as these
+    tell where. What stays open goes to the next round, which looks at the parts
+    of blocks that are left. Intervals in two blocks or one end in one task.
     """
-    columns = [*keys, "pos", "x", "y"]
-    own, node = nodes.select(*keys, "pos", *[F.col(c).cast("double").alias(c) for c in "xy"]), F.struct("pos", "x", "y")
-    ends = own.groupBy(*keys).agg(F.min(node).alias("p"), F.max(node).alias("q"))
-    out = [staged(ends.select(*keys, F.explode(F.array_distinct(F.array("p", "q"))).alias("k")).select(*keys, "k.*"))]
-    now = staged(own.join(ends, keys).where("pos > p.pos and pos < q.pos"))
-    ax, ay, bx, by = (F.col(f"{s}.{v}") for s in "pq" for v in "xy")
-    dx, dy = bx - ax, by - ay
-    size = F.sqrt(dx * dx + dy * dy)
-    off = F.when(size == 0, F.sqrt((F.col("x") - ax) * (F.col("x") - ax) + (F.col("y") - ay) * (F.col("y") - ay))).otherwise(F.abs(dy * F.col("x") - dx * F.col("y") + bx * ay - by * ax) / size)
-    while True:
-        far = now.groupBy(*keys, F.col("p.pos").alias("from")).agg(F.count("*").alias("n"), F.max(F.struct(off.alias("d"), (-F.col("pos")).alias("back"), node.alias("node"))).alias("far")).where(F.col("far.d") > eps)
-        met = staged(now.withColumn("from", F.col("p.pos")).join(far.select(*keys, "from", "n", F.col("far.node").alias("m")), [*keys, "from"]))
-        if met.isEmpty():
-            break
-        out.append(_local(met.where(F.col("n") <= most), eps, keys))
-        split = met.where(F.col("n") > most)
-        out.append(split.where("pos = m.pos").select(*columns))
-        before = F.col("pos") < F.col("m.pos")
-        now = staged(split.where("pos != m.pos").select(*columns, F.when(before, F.col("p")).otherwise(F.col("m")).alias("p"), F.when(before, F.col("m")).otherwise(F.col("q")).alias("q")))
-    whole = out[0]
-    for more in out[1:]:
-        whole = whole.unionByName(more)
-    return whole
-
-
-def _local(intervals: DataFrame, eps: float, keys: list[str]) -> DataFrame:
-    """The nodes kept inside of short intervals (keys, from, pos, x, y, p, q)."""
-    from ..functions.geometry import douglas_peucker_places
-
-    rows = intervals.groupBy(*keys, "from").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("inner"), F.first("p").alias("p"), F.first("q").alias("q"))
-    packed = rows.select(F.struct(*keys).alias("key"), F.concat(F.array("p"), "inner", F.array("q")).alias("nodes"))
+    spark = nodes.sparkSession
+    own = nodes.select(F.struct(*keys).alias("key"), "pos", *[F.col(c).cast("double").alias(c) for c in "xy"])
+    blocks = staged(_blocks(own, most))
+    index = blocks.select("key", "at", "first", "last")
+    ends = staged(index.groupBy("key").agg(F.min("first").alias("p"), F.max("last").alias("q"), F.count("*").alias("n")))
+    kept = [ends.select("key", F.explode(F.array_distinct(F.array("p", "q"))).alias("m"))]
+    now, short = ends.where("n > 2").select("key", "p", "q"), [ends.where("n <= 2").select("key", "p", "q")]
+    here = lambda df: index.join(df, "key").where("first.pos < q.pos and last.pos > p.pos").select("key", "at", "p", "q")
+    side = lambda order: F.row_number().over(Window.partitionBy("key", "p", "q").orderBy(order)) <= WHOLE
+    with small_batches(spark, 8):
+        while not now.isEmpty():
+            ended = here(now).withColumn("whole", side(F.col("at")) | side(F.col("at").desc()))
+            parts = _outlined(blocks.join(ended, ["key", "at"])).groupBy("key", "p", "q").agg(F.array_sort(F.collect_list(F.struct("at", "far", "nodes", "all"))).alias("parts"))
+            found = staged(_split(parts, eps))
+            kept.append(found.where("kind = 'kept'").select("key", F.col("p").alias("m")))
+            short.append(found.where("kind = 'short'").select("key", "p", "q"))
+            now = found.where("kind = 'open'").select("key", "p", "q")
+        inner = blocks.join(here(reduce(DataFrame.unionByName, short)), ["key", "at"])
+        inner = inner.select("key", "p", "q", F.filter("nodes", lambda v: (v["pos"] > F.col("p.pos")) & (v["pos"] < F.col("q.pos"))).alias("nodes")).groupBy("key", "p", "q").agg(F.array_sort(F.flatten(F.collect_list("nodes"))).alias("inner"))
+        kept.append(staged(_local(inner, eps)))
+    return reduce(DataFrame.unionByName, kept).select("key.*", "m.*")
+
+
+def _blocks(own: DataFrame, most: int) -> DataFrame:
+    """(key, at, first, last, nodes) of nodes (key, pos, x, y): runs of up to `most` nodes of a line in order; at is the first one's pos."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            edges = [pc.run_end_encode(c).run_ends.to_numpy() for c in batch.column(0).flatten()]
+            ends = np.unique(np.concatenate([*edges, [batch.num_rows]]))
+            starts = np.concatenate([np.arange(a, b, most) for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)])
+            offsets = pa.array(np.append(starts, batch.num_rows).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(starts)), pa.ListArray.from_arrays(offsets, batch.column(1))], names=["key", "nodes"])
+
+    sorted_ = own.repartitionByRange("key", "pos").sortWithinPartitions("key", "pos").select("key", F.struct("pos", "x", "y").alias("node"))
+    kinds = {f.name: f.dataType.simpleString() for f in sorted_.schema}
+    cut = sorted_.mapInArrow(run, f"key {kinds['key']}, nodes array<{kinds['node']}>")
+    return cut.select("key", F.col("nodes")[0]["pos"].alias("at"), F.col("nodes")[0].alias("first"), F.element_at("nodes", -1).alias("last"), "nodes")
+
+
+def _coordinates(nodes: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(nodes.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+
+
+def _listed(lists: pa.ListArray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """The coordinates of all lists' nodes, and where each list begins, with the end of the last."""
+    return _coordinates(lists.flatten()), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+
+
+def _outlined(parts: DataFrame) -> DataFrame:
+    """(key, p, q, at, far, nodes, all) of the parts of blocks that intervals have: the first farthest node from the interval's chord, the outline, and all nodes of parts that are wanted whole."""
+    lists = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (p, q, nodes, whole) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2)), *batch.columns[4:], strict=True)):
+                pos, x, y = _coordinates(nodes.values)
+                inside = np.flatnonzero((pos > p["pos"]) & (pos < q["pos"]))
+                if not len(inside):
+                    continue
+                x, y = x[inside], y[inside]
+                far = int(inside[chord_distances(x, y, (p["x"], p["y"]), (q["x"], q["y"])).argmax()])
+                outline = nodes.values.take(pa.array(inside[near_hull(x, y, INSIDE * max(np.ptp(x), np.ptp(y)))]))
+                every = nodes.values.take(pa.array(inside if whole.as_py() else inside[:0]))
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns[:4], nodes.values.take(pa.array([far])), lists(outline), lists(every)], names=["key", "p", "q", "at", "far", "nodes", "all"])
+
+    rows = parts.select("key", "p", "q", "at", "nodes", "whole")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, f"key {kinds['key']}, p {kinds['p']}, q {kinds['p']}, at {kinds['at']}, far {kinds['p']}, nodes {kinds['nodes']}, all {kinds['nodes']}")
+
+
+def _split(parts: DataFrame, eps: float) -> DataFrame:
+    """(key, kind, p, q) of intervals with the outlines of their parts: nodes p that are kept, and intervals that are short or still open."""
+    none = {"pos": None, "x": None, "y": None}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (p, q, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True)):
+                outline, ends = _listed(own.values.field(2))
+                every, begins = _listed(own.values.field(3))
+                first, starts = own.values.field(1).to_pylist(), own.values.field(0).to_numpy(zero_copy_only=False)
+                spread = INSIDE * min(max(np.ptp(c[k]) for k in (1, 2)) for c in ([v[j:k] for v in outline] for j, k in zip(ends, ends[1:], strict=False))) / np.sqrt(2)
+                out = []
+                todo = [(p, q, 0, len(first) - 1)]
+                while todo:
+                    a, b, low, high = todo.pop()
+                    if high - low <= 1:
+                        out.append(("short", a, b))
+                        continue
+                    s, e = (a["x"], a["y"]), (b["x"], b["y"])
+                    if a is p and b is q:
+                        d = chord_distances(np.array([v["x"] for v in first]), np.array([v["y"] for v in first]), s, e)
+                        at = int(d.argmax())
+                        m, block, far = first[at], at, d[at]
+                    else:
+                        # blocks in which a split lies: all of their nodes, or else what bounds them
+                        left, right = (cut and bool(begins[k + 1] > begins[k]) for k, cut in ((low, a is not p), (high, b is not q)))
+                        runs = [(every, begins[low], begins[low + 1])] * left + [(outline, ends[low + left], ends[high + 1 - right])] + [(every, begins[high], begins[high + 1])] * right
+                        pos, x, y = (np.concatenate([v[c][j:k] for v, j, k in runs]) for c in range(3))
+                        seen = (pos > a["pos"]) & (pos < b["pos"])
+                        known = seen.copy()
+                        if left:
+                            known[: begins[low + 1] - begins[low]] = True
+                        if right:
+                            known[len(pos) - (begins[high + 1] - begins[high]) :] = True
+                        d = chord_distances(x, y, s, e)
+                        far = d[seen].max(initial=-1.0)
+                        # unless rounding may hide it, what the outlines leave out is nearer than they are
+                        if 2 * rounding(x, y, s, e) >= spread or d[~known].max(initial=-1.0) > max(far, eps):
+                            out.append(("open", a, b))
+                            continue
+                        if far > eps:
+                            at = int(np.flatnonzero(seen & (d == far))[0])
+                            m = {"pos": pos[at].item(), "x": x[at].item(), "y": y[at].item()}
+                            block = int(np.searchsorted(starts, m["pos"], "right")) - 1
+                    if far > eps:
+                        out.append(("kept", m, none))
+                        todo += [(a, m, low, block), (m, b, block, high)]
+                if out:
+                    kind = batch.schema.field(1).type
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(out), i))), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), kind, kind), strict=True))], names=["key", "kind", "p", "q"])
+
+    rows = parts.select("key", "p", "q", "parts")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, f"key {kinds['key']}, kind string, p {kinds['p']}, q {kinds['p']}")
+
+
+def _local(intervals: DataFrame, eps: float) -> DataFrame:
+    """(key, m): the nodes kept inside of short intervals (key, p, q, inner)."""
+    packed = intervals.select("key", F.concat(F.array("p"), "inner", F.array("q")).alias("nodes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, line in enumerate(batch.column(1)):
-                x, y = (line.values.field(c).to_numpy() for c in "xy")
+                _, x, y = _coordinates(line.values)
                 places = pa.array(douglas_peucker_places(x, y, eps)[1:-1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(places), i))), line.values.take(places)], names=["key", "node"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(places), i))), line.values.take(places)], names=["key", "m"])
 
     kinds = {f.name: f.dataType.simpleString() for f in packed.schema}
-    return packed.mapInArrow(run, f"key {kinds['key']}, node {kinds['nodes'][6:-1]}").select("key.*", "node.*")
+    return packed.mapInArrow(run, f"key {kinds['key']}, m {kinds['nodes'][6:-1]}")

@@ -7,7 +7,6 @@ document is written in an Arrow batch, one image a row.
 
 from __future__ import annotations
 
-import contextlib
 import hashlib
 import io
 import math
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import fixed
-from ..sources.stages import put_whole
+from ..sources.stages import put_whole, small_batches
 
 HEAD = '<?xml version="1.0" encoding="UTF-8" ?>\n<!DOCTYPE svg PUBLIC "-//W3C//DTD SVG 1.1//EN" "http://www.w3.org/Graphics/SVG/1.1/DTD/svg11.dtd">\n'
 #: Angles under which joints are straight, the handles' share of a segment, and the length of tiny segments (fixed values).
@@ -154,18 +153,6 @@ def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
-@contextlib.contextmanager
-def _small_batches(spark: SparkSession, rows: int = 8 * ROWS) -> Iterator[None]:
-    """Actions inside hand Python so many rows at once: texts are long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 WRITERS: dict[str, Callable] = {"svg": svg_text, "eps": eps_text, "dxf": dxf_text}
 
 
@@ -213,7 +200,7 @@ def write_files(texts: DataFrame, folder: str) -> None:
                 put_whole(store, f"{path}/{image}.{kind}", lambda out, text=text: out.write(text.encode()))
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    with _small_batches(texts.sparkSession):
+    with small_batches(texts.sparkSession, 8 * ROWS):
         texts.select("image_id", "format", "text").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
@@ -270,7 +257,7 @@ def write_archives(texts: DataFrame, folder: str, shards: int) -> None:
 
     shard = F.pmod(F.xxhash64("image_id"), F.lit(shards)).cast("int").alias("shard")
     dealt = texts.select(shard, F.col("image_id").cast("string").alias("image_id"), "format", "text").repartition(shards, "shard").sortWithinPartitions("shard", "image_id", "format")
-    with _small_batches(texts.sparkSession):
+    with small_batches(texts.sparkSession, 8 * ROWS):
         dealt.mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
