@@ -284,9 +284,7 @@ def edge_loops(spark, sf_dir):
 @_register(f"WITH {_BOUNDARY.replace(MASK, LEDGER)} SELECT (SELECT CAST(count(*) AS BIGINT) FROM b) AS edges, (SELECT CAST(count(*) AS DOUBLE) FROM m) AS area")
 def table_outlines(spark, sf_dir):
     """The outlines of one mask over a whole table: all edges, and areas that add up to the bits."""
-    keys = ["image_id", "label", "path"]
-    loops = masks.trace_edges(derived.ledger(spark, sf_dir))
-    return loops.groupBy(*keys).agg(F.count("*").alias("edges")).join(paths.signed_area(loops, keys), keys).agg(F.sum("edges").alias("edges"), F.sum("area").alias("area"))
+    return masks.outline_sizes(derived.ledger(spark, sf_dir, repeated=True)).agg(F.sum("edges").alias("edges"), F.sum("area").alias("area"))
 
 
 @_register(f"WITH {RING} SELECT path_id, CAST(abs(sum(x * ny - nx * y)) AS DOUBLE) / 2 AS area FROM g GROUP BY path_id")

@@ -65,10 +65,11 @@ MASK = (
 )
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One mask over all of lineitem: ship day by supplier, a bit where there is a line; it grows with the suppliers, over many tiles."""
+def ledger(spark: SparkSession, sf_dir: str, repeated: bool = False) -> DataFrame:
+    """One mask over all of lineitem: ship day by supplier, a bit where there is a line; it grows with the suppliers, over many tiles. repeated: a row a line."""
     day = F.datediff("l_shipdate", F.lit("1992-01-01").cast("date"))
-    return table(spark, sf_dir, "lineitem").select(F.lit("ledger").alias("image_id"), F.lit(0).alias("label"), day.alias("x"), F.col("l_suppkey").cast("int").alias("y"), F.lit(LEDGER_WIDTH).alias("width"), F.lit(LEDGER_HEIGHT).alias("height")).distinct()
+    bits = table(spark, sf_dir, "lineitem").select(F.lit("ledger").alias("image_id"), F.lit(0).alias("label"), day.alias("x"), F.col("l_suppkey").cast("int").alias("y"), F.lit(LEDGER_WIDTH).alias("width"), F.lit(LEDGER_HEIGHT).alias("height"))
+    return bits if repeated else bits.distinct()
 
 
 #: Days that a ship date may lie after the first one, and more lines than there are suppliers.
